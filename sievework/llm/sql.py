@@ -26,4 +26,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM doc LEFT JOIN hit_word USING (doc_id) LEFT JOIN hit_item USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1}
+_BLANK_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+OP6 = f"""
+WITH doc AS (SELECT doc_id, coalesce({_BLANK_WORDS}, []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS seq
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM doc WHERE len(w) >= 13)),
+first_doc AS (SELECT seq, min(doc_id) AS source FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first_doc USING (seq) WHERE source < doc_id),
+gone_list AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM doc LEFT JOIN gone_list USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op6_substring_dedup": OP6}

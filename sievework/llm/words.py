@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+#: Bytes hashed at once.
+BLOCK = 1 << 21
 _STEP = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
 _BASE_INV = pow(_BASE, -1, 1 << 64)
@@ -105,6 +107,12 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts)
 
 
+def _blocks(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Runs of words of about ``BLOCK`` bytes, so that temporary arrays stay small."""
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, n, BLOCK)), len(starts)))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def words_of(texts: pa.Array, alphabet: Alphabet) -> Words:
     """All words of ``texts`` (null: none), in order."""
     if texts.null_count:
@@ -127,10 +135,15 @@ def words_of(texts: pa.Array, alphabet: Alphabet) -> Words:
     first[1:] &= ~inside[:-1] | edge[1:n]
     last[:-1] &= ~inside[1:] | edge[1:n]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _BYTES.get(n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(alphabet.value[data] * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(_STEP))
+    hashes = np.zeros(len(starts), U64)
+    for low, high in _blocks(starts, n):
+        begin = starts[low]
+        part = data[begin : ends[high - 1]]
+        up, down = _BYTES.get(len(part))
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(alphabet.value[part] * up, out=sums[1:])
+        at, to = starts[low:high] - begin, ends[low:high] - begin
+        hashes[low:high] = mix((sums[to] - sums[at]) * down[at] + (to - at).astype(U64) * U64(_STEP))
     return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
 
 
