@@ -41,4 +41,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS B
 FROM doc LEFT JOIN gone_list USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op6_substring_dedup": OP6}
+OP3 = r"""
+WITH source_tokens AS (
+  SELECT source, sum(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)) AS tokens FROM documents GROUP BY 1),
+weighted AS (SELECT source, CAST(tokens AS DOUBLE) AS tokens, CAST(floor(sqrt(CAST(tokens AS DOUBLE)) * 1e6) AS HUGEINT) AS weight FROM source_tokens),
+total AS (SELECT sum(tokens) AS all_tokens, CAST(sum(weight) AS DOUBLE) AS weights FROM weighted WHERE tokens > 0),
+rates AS (SELECT source, CASE WHEN tokens > 0 THEN all_tokens * (weight / weights) / tokens ELSE 0.0 END AS rate FROM weighted, total),
+poisson AS (
+  WITH RECURSIVE c(source, rate, k, p, upto) AS (
+    SELECT source, rate, 0, exp(-rate), exp(-rate) FROM rates
+    UNION ALL
+    SELECT source, rate, k + 1, p * rate / (k + 1), upto + p * rate / (k + 1) FROM c WHERE k + 1 <= ceil(rate + 12 * sqrt(rate) + 24))
+  SELECT * FROM c),
+counted AS (
+  SELECT d.doc_id, d.source, d.text, any_value(c.rate) AS rate, count(*) FILTER (WHERE c.upto <= d.u) AS times
+  FROM (SELECT doc_id, source, text,
+               CAST(CAST('0x' || substr(md5('20240229-count|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+        FROM documents) d
+  JOIN poisson c ON d.source IS NOT DISTINCT FROM c.source GROUP BY ALL)
+SELECT doc_id, source, copy, rate, md5('20240229-order|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || copy) AS shuffle_key, sha256(text) AS text_sha256
+FROM (SELECT *, unnest(range(times)) AS copy FROM counted)
+"""
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_substring_dedup": OP6}
