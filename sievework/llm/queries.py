@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import decontamination, jaccard_join, mixing, substring_dedup
+from sievework.llm import compression_classifier, decontamination, jaccard_join, mixing, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +41,22 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return compression_classifier.score(docs, model).select(
+        "doc_id",
+        compression_classifier.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= compression_classifier.CUT, 1).otherwise(0).alias("predicted"),
+        "difference",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_quality": op10_quality,
 }
