@@ -1 +1,64 @@
-STAGES = []
+"""From raw documents to a training mixture: five stages, each one operator of ``sievework.llm``.
+
+Every stage takes all that its predecessor kept and returns the columns of
+``documents``; the last adds copy, rate and shuffle_key. Each result is written
+as Parquet to the shared folder and read again, so that a lost executor costs
+tasks of one stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievework.llm import compression_classifier, decontamination, jaccard_join, mixing, substring_dedup
+from sievework.llm.common import stored
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier rejects go."""
+    model = compression_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return compression_classifier.keep_good(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of the n-gram Jaccard join stays: that with the least doc_id."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows that earlier documents have go; a document may be left with an empty text."""
+    done = substring_dedup.dedup_substrings(docs, carry=True)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return done.select(docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return decontamination.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated to their source's target share and shuffled globally."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_deduplication),
+    ("decontamination", benchmark_decontamination),
+    ("mixing", source_mixing),
+]
+
+#: Stages 1, 2 and 5's input can't be expressed in SQL; tests compare the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

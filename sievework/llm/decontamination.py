@@ -297,6 +297,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Rows of ``docs`` whose ``doc_id`` has no match, with the columns of ``docs``."""
-    hit = decontaminate(docs, benchmark, window).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"] == hit["doc_id"], "left_anti")
+    """Rows of ``docs`` without a match, with the columns of ``docs``.
+
+    Rows are told apart by a hash of doc_id and text, so that a row with a null
+    ``doc_id`` goes or stays for its own text.
+    """
+    rows = pick(docs, doc_id="doc_id", text="text")
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    hit = decontaminate(rows.select(row.alias("doc_id"), "text"), benchmark, window).filter("n_hit > 0")
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    own = F.xxhash64(F.col(f"_c{names.index('doc_id')}").cast("long"), F.col(f"_c{names.index('text')}").cast("string"))
+    left = plain.withColumn("__row", own).join(hit.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti")
+    return left.drop("__row").toDF(*names)

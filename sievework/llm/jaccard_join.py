@@ -431,7 +431,19 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
 
 
 def keep_one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` with the least doc_id of their class; rows with a null doc_id stay."""
-    kept = jaccard_classes(docs, size, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.filter(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    return rows.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Rows of ``docs`` with the least doc_id of their class.
+
+    Rows with a null doc_id stay; of rows equal in doc_id and text one stays;
+    rows with one doc_id and different texts stay or go together.
+    """
+    names = docs.columns
+    doc, text = f"_c{names.index('doc_id')}", f"_c{names.index('text')}"
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    kept = jaccard_classes(docs, size, threshold).filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__kept"))
+    kept = stored(kept.agg(F.count("*").alias("__times")), "kept")
+    rows = plain.join(kept, F.col(doc).cast("long") == F.col("__kept"))
+    single = rows.filter("__times = 1").select(plain.columns)
+    if not kept.filter("__times > 1").isEmpty():
+        again = rows.filter("__times > 1").select(plain.columns).withColumn("__text", F.xxhash64(text))
+        single = single.unionByName(again.dropDuplicates([doc, "__text"]).drop("__text"))
+    return single.unionByName(plain.filter(F.col(doc).isNull())).toDF(*names)

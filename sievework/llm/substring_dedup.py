@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import flat, pick
+from sievework.llm.common import flat
 from sievework.llm.words import BLANK_SEPARATED, U64, Words, covered, window_hashes, words_of
 
 K = 13
@@ -206,16 +206,22 @@ def _strip(k: int, ranges: int, schema: pa.Schema):
     return strip
 
 
-def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES, carry: bool = False) -> DataFrame:
     """``docs`` without the words that earlier documents have in windows of ``k`` words.
 
     Returns doc_id (long), text (what is left, with its own white space),
-    n_words, n_removed and spans.
+    n_words, n_removed and spans; with ``carry`` the columns of ``docs``, the
+    text replaced, and after them n_words, n_removed and spans.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    base = pick(docs, doc_id="doc_id", text="text").select(
-        F.col("doc_id").cast("long").alias("__doc"), F.col("text").cast("string").alias("__text")
+    names = docs.columns
+    at = {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    base = plain.select(
+        *([f"_c{i}" for i in range(len(names))] if carry else []),
+        F.col(at["doc_id"]).cast("long").alias("__doc"),
+        F.col(at["text"]).cast("string").alias("__text"),
     )
     total = base.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
@@ -223,15 +229,18 @@ def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES)
     base = base.withColumn("__part", F.pmod(F.xxhash64("__doc", F.xxhash64("__text")), F.lit(parts)).cast("long"))
     out = T.StructType(
         [
-            T.StructField("__doc", T.LongType()),
+            *[f for f in base.schema if f.name.startswith("_c") or f.name == "__doc"],
             T.StructField("text", T.StringType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("spans", SPAN),
         ]
     )
-    arrow = to_arrow_schema(out)
     edges = base.groupBy("__part").applyInArrow(_send(k, ranges), "range long, part long, edges binary, docs binary")
     answers = edges.groupBy("range").applyInArrow(_answer, "__part long, range long, ranks binary, docs binary")
-    done = base.groupBy("__part").cogroup(answers.groupBy("__part")).applyInArrow(_strip(k, ranges, arrow), out)
-    return done.withColumnRenamed("__doc", "doc_id")
+    done = base.groupBy("__part").cogroup(answers.groupBy("__part")).applyInArrow(_strip(k, ranges, to_arrow_schema(out)), out)
+    found = [F.col(n) for n in ("n_words", "n_removed", "spans")]
+    if not carry:
+        return done.select(F.col("__doc").alias("doc_id"), "text", *found)
+    own = [F.col("text" if f"_c{i}" == at["text"] else f"_c{i}").alias(n) for i, n in enumerate(names)]
+    return done.select(*own, *found)
