@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_format, compression_classifier, decontamination, jaccard_join, mixing, quality_rules, substring_dedup
+from sievework.llm import chat_format, compression_classifier, decontamination, jaccard_join, mixing, quality_rules, substring_dedup, warc
+from sievework.llm.common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,21 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_turns(rows))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    read = warc.reassemble(warc.read_records(spark, path))
+    own = F.col("type") == "response"  # a revisit has no payload of its own: what its record states
+    return read.select(
+        "page_id",
+        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+        "complete",
+    )
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression_classifier.fit(docs, table(spark, sf_dir, "labels"))
@@ -76,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
+    "op9_warc": op9_warc,
     "op10_quality": op10_quality,
 }

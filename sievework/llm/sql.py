@@ -79,4 +79,14 @@ SELECT conv_id, count(*) AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_substring_dedup": OP6, "op8_chat_format": OP8}
+OP9 = """
+WITH page AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+hashed AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM page),
+first_page AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM hashed)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to, true AS complete
+FROM first_page
+"""
+
+ORACLE: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op6_substring_dedup": OP6, "op8_chat_format": OP8, "op9_warc": OP9}
