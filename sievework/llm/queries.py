@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_format, compression_classifier, decontamination, jaccard_join, mixing, quality_rules, substring_dedup, warc
+from sievework.llm import chat_format, compression_classifier, decontamination, html_extraction, jaccard_join, mixing, quality_rules
+from sievework.llm import substring_dedup, url_filters, warc
 from sievework.llm.common import shared_path
 
 
@@ -27,6 +28,30 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's url names the document that it shows by the first number of its path; that document's labels mark the url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract(url_filters.path_of(F.col("url")), r"/(\d{1,18})", 1).try_cast("long")
+    labelled = pages.join(labels, number == F.col("doc_id")).select("url", "bad")
+    return url_filters.filter_urls(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copy", "rate", "shuffle_key", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -87,8 +112,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_url_filters": op2_url_filters,
     "op3_mixing": op3_mixing,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_html_extraction": op5_html_extraction,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_chat_format": op8_chat_format,
