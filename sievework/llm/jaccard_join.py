@@ -13,10 +13,11 @@ probability at each level; dissimilar sets part. Buckets of at most
 larger ones are split by the next level. Independent runs are repeated until
 the recall at level ``DEPTH`` reaches ``recall``.
 
-A bucket that is still large after ``DEPTH`` levels holds nodes that are alike.
-It is contracted: blocks of it are compared by brute force and only one node
-of each group in a block goes on, until the bucket is small. So all work grows
-with the number of nodes, whatever the size of a group of copies.
+Before a large bucket is split, it is contracted: blocks of it are compared by
+brute force, and only one node of each group in a block goes on. A group of
+copies thus shrinks by a block's size at each level, so work grows with the
+number of nodes, whatever the size of a group. What is still large after
+``LEVELS`` levels is compared in full, as pairs of blocks.
 
 What was found joins nodes to candidate clusters. Within a cluster, exact
 Jaccard similarities of all nodes are counted from their whole shingle sets, a
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import cut_lineage, flat, pick, stored, text_batches
+from sievework.llm.common import flat, pick, stored, text_batches
 from sievework.llm.components import components
 from sievework.llm.words import BLANK_SEPARATED, U64, Words, mix, span_hashes, words_of
 
@@ -48,7 +49,10 @@ SIZE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
+#: Levels for which the number of runs reaches the recall; most pairs meet at the first.
 DEPTH = 3
+#: Levels after which buckets that stay large are compared in full.
+LEVELS = 10
 SMALL_BUCKET = 64
 BLOCK = 512
 #: Candidates may fall short of the threshold by so much, 3.5 standard deviations of the MinHash estimate.
@@ -181,21 +185,26 @@ def _group_roots(key: np.ndarray, tokens: np.ndarray, need: int) -> np.ndarray:
     return _roots(len(key), np.concatenate(found_a), np.concatenate(found_b))
 
 
+_COMPARED = "path long, u binary, v binary, tokens binary"
+
+
 def _compare(need: int, contract: bool):
-    """Links of each bucket's nodes to a root; for ``contract`` also rows (path, node, null), the roots that go on."""
+    """Links of each bucket's nodes to a root; for ``contract`` also rows (path, root, null, tokens), which go on."""
 
     def compare(table: pa.Table) -> pa.Table:
         path = flat(table["path"]).to_numpy()
         nodes = np.array(flat(table["node"]).to_pylist(), object)
+        raw = np.array(flat(table["tokens"]).to_pylist(), object)
         order = np.lexsort((nodes, path))
-        path, nodes, tokens = path[order], nodes[order], _matrix(table["tokens"])[order]
+        path, nodes, raw, tokens = path[order], nodes[order], raw[order], _matrix(table["tokens"])[order]
         root = _group_roots(path, tokens, need)
         own = root == np.arange(len(root))
-        u, v, p = nodes[~own], nodes[root[~own]], path[~own]
+        p, u, v, t = path[~own], nodes[~own], nodes[root[~own]], np.full((~own).sum(), None)
         if contract:
-            u, v, p = np.append(u, nodes[own]), np.append(v, np.full(own.sum(), None)), np.append(p, path[own])
+            p, u = np.append(p, path[own]), np.append(u, nodes[own])
+            v, t = np.append(v, np.full(own.sum(), None)), np.append(t, raw[own])
         return pa.table(
-            [pa.array(p.astype(np.int64)), pa.array(u.tolist(), pa.binary()), pa.array(v.tolist(), pa.binary())], names=["path", "u", "v"]
+            [pa.array(p.astype(np.int64)), *[pa.array(x.tolist(), pa.binary()) for x in (u, v, t)]], names=["path", "u", "v", "tokens"]
         )
 
     return compare
@@ -228,44 +237,29 @@ def _sized(paths: DataFrame) -> DataFrame:
 def candidate_links(nodes: DataFrame, threshold: float, packs: int) -> DataFrame:
     """Links (u, v) between nodes (node, tokens, paths) that are probably similar."""
     need = math.ceil((threshold - SLACK) * COORDINATES)
-    compared = "path long, u binary, v binary"
     tokens = nodes.select("node", "tokens")
     paths = nodes.select("node", F.explode("paths").alias("path"))
-    links: DataFrame | None = None
-    large: DataFrame | None = None
-
-    def add(found: DataFrame) -> None:
-        nonlocal links
-        links = found if links is None else links.unionByName(found)
-
-    for level in range(DEPTH):
+    links: list[DataFrame] = []
+    for level in range(LEVELS):
         sized = stored(_sized(paths).join(tokens, "node"), "paths")
         small = sized.filter(F.col("bucket") <= SMALL_BUCKET)
-        add(
-            small.groupBy(F.pmod(F.col("path"), F.lit(packs)).alias("pack"))
-            .applyInArrow(_compare(need, False), compared)
-            .select("u", "v")
-        )
-        large = sized.filter(F.col("bucket") > SMALL_BUCKET).select("path", "node", "tokens")
+        packed = small.groupBy(F.pmod(F.col("path"), F.lit(packs)).alias("pack"))
+        links.append(packed.applyInArrow(_compare(need, False), _COMPARED).select("u", "v"))
+        large = sized.filter(F.col("bucket") > SMALL_BUCKET)
         if large.isEmpty():
-            return links.distinct()
-        if level < DEPTH - 1:
-            paths = large.mapInArrow(_children(threshold), "path long, node binary").distinct()
-    turn = 0
-    while True:  # contraction of the buckets that stay large
-        sizes = large.groupBy("path").agg(F.count("*").alias("bucket"))
+            break
         blocks = F.ceil(F.col("bucket") / (BLOCK // 2))
-        dealt = large.join(sizes, "path").withColumn("block", F.pmod(F.xxhash64("node", "path", F.lit(turn)), blocks))
-        split = "path", "block"
-        done = cut_lineage(dealt.groupBy(*split).applyInArrow(_compare(need, True), compared))
-        add(done.filter("v IS NOT NULL").select("u", "v"))
-        on = done.filter("v IS NULL").select("path", F.col("u").alias("node"))
-        again = on.groupBy("path").agg(F.count("*").alias("left"))
-        shrunk = sizes.join(again, "path").filter((F.col("left") > 1) & (F.col("bucket") > BLOCK // 2))
-        large = stored(on.join(shrunk.select("path"), "path").join(tokens, "node").select("path", "node", "tokens"), "paths")
-        turn += 1
-        if large.isEmpty() or turn >= 24:
-            return links.distinct()
+        dealt = large.withColumn("block", F.pmod(F.xxhash64("node", "path"), blocks))
+        if level == LEVELS - 1:  # what no path could part: all pairs of blocks
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            split = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+            links.append(dealt.groupBy("path", *split).applyInArrow(_compare(need, False), _COMPARED).select("u", "v"))
+            break
+        done = stored(dealt.groupBy("path", "block").applyInArrow(_compare(need, True), _COMPARED), "blocks")
+        links.append(done.filter("v IS NOT NULL").select("u", "v"))
+        on = done.filter("v IS NULL").select("path", F.col("u").alias("node"), "tokens")
+        paths = on.mapInArrow(_children(threshold), "path long, node binary").distinct()
+    return functools.reduce(DataFrame.unionByName, links).distinct()
 
 
 def _sets(size: int):
