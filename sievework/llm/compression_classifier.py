@@ -8,7 +8,7 @@ fitted on labelled texts that the dictionaries haven't seen and weighted by the
 labels' true frequencies, turns it into a probability.
 
 Fitting takes at most ``SAMPLE_ROWS`` labelled texts of each class, those with
-the least hashes of their doc_id, and of each at most ``SAMPLE_BYTES`` bytes;
+the least hashes of their doc_id (found from the ids alone), and of each at most ``SAMPLE_BYTES`` bytes;
 that bounds the driver's memory. Scoring covers every byte of every text.
 
 Defined results: null and empty texts have difference 0; labels that are null
@@ -116,17 +116,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         .select("doc_id", (F.col("quality") >= 0.5).alias("good"))
     )
     counts = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     texts = pick(docs, doc_id="doc_id", text="text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
-    sample: dict[bool, list[bytes]] = {}
-    for kind in (True, False):
-        rows = (
-            texts.join(known.filter(F.col("good") == kind), "doc_id")
-            .select(order.alias("at"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text"))
-            .orderBy("at", "text")
-            .limit(sample_rows)
-        )
-        sample[kind] = [bytes(r["text"]) for r in rows.collect()]
+    there = known.join(texts.select("doc_id").distinct(), "doc_id").withColumn("at", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    sample: dict[bool, list[bytes]] = {True: [], False: []}
+    few = [there.filter(F.col("good") == kind).orderBy("at", "doc_id").limit(sample_rows) for kind in (True, False)]
+    chosen = F.broadcast(few[0].unionByName(few[1]))  # at most twice sample_rows rows
+    rows = texts.join(chosen, "doc_id").select("good", "at", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text"))
+    for row in sorted(rows.collect(), key=lambda r: (r["at"], bytes(r["text"]))):
+        sample[row["good"]].append(bytes(row["text"]))
     n_good, n_bad = counts.get(True, 0), counts.get(False, 0)
     share = (n_good + 1) / (n_good + n_bad + 2)
     if min(len(sample[True]), len(sample[False])) < 4:
