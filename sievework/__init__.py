@@ -1,0 +1 @@
+"""Corpus preparation for language models, as Spark DataFrame operators."""

@@ -1 +1 @@
-
+"""Column functions and the fixed tables that they rest on."""

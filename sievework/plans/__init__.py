@@ -1 +1 @@
-
+"""Whole pipelines, the registered queries and their DuckDB SQL."""
