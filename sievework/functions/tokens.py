@@ -24,14 +24,19 @@ def _float(x: float) -> Column:
     return F.lit(x).cast("float")
 
 
+def _per_token(size: Column, model: str) -> Column:
+    """Bytes over bytes per token, in single precision."""
+    return (size.cast("float") / _float(_BY_NAME[model][1])).cast("float")
+
+
 def scan_estimate(size: Column, model: str) -> Column:
     """Bytes per token, rounded down: what a listing shows."""
-    return F.floor(size.cast("float") / _float(_BY_NAME[model][1])).cast("int")
+    return F.floor(_per_token(size, model)).cast("int")
 
 
 def quick_estimate(text: Column, model: str) -> Column:
     """Bytes per token, rounded up, 1 at least; 0 for an empty text."""
-    tokens = F.ceil(F.octet_length(text).cast("float") / _float(_BY_NAME[model][1])).cast("int")
+    tokens = F.ceil(_per_token(F.octet_length(text), model)).cast("int")
     return F.when(text == "", 0).otherwise(F.greatest(tokens, F.lit(1)))
 
 
@@ -40,7 +45,7 @@ def estimate(text: Column, model: str) -> Column:
     size = F.octet_length(text)
     blanks = (F.octet_length(text) - F.octet_length(F.translate(text, " \t", ""))).cast("float")
     ends = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("float")
-    value = size.cast("float") / _float(_BY_NAME[model][1])
+    value = _per_token(size, model)
     value = (value - (blanks * _float(0.3)).cast("float")).cast("float")
     value = (value + (ends * _float(0.5)).cast("float")).cast("float")
     if _BY_NAME[model][4]:

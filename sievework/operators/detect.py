@@ -41,6 +41,29 @@ def _is_skipped(line: Column) -> Column:
     return comment | own.rlike(r"(?i)\bexample\b") | F.contains(F.lower(own), F.lit("placeholder")) | F.contains(own, F.lit("xxxxx"))
 
 
+def _matches(kind: str, severity: str, pattern: str, grouped: bool, source: Column) -> Column:
+    """An array of a pattern's matches on ``line_text``: value, whole match, and whether the value is quoted."""
+    part = lambda p, group: F.regexp_extract_all("line_text", F.lit(p), F.lit(group))
+    pairs = F.arrays_zip(
+        part(pattern, 1 if grouped else 0).alias("value"),
+        part(pattern, 0).alias("whole"),
+        part(pattern + r"(.?)", 2 if grouped else 1).alias("after"),
+    )
+
+    def made(p: Column) -> Column:
+        quotes = [p["whole"].endswith(F.concat(F.lit(q), p["value"])) & (p["after"] == q) for q in ("'", '"')]
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.lit(severity).alias("severity"),
+            p["value"].alias("value"),
+            p["whole"].alias("whole"),
+            (~source if grouped else F.lit(True)).alias("unquoted_ok"),
+            (quotes[0] | quotes[1]).alias("quoted"),
+        )
+
+    return F.transform(pairs, made)
+
+
 def secret_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, allow: list[str] = ()) -> DataFrame:
     """(key, line, kind, severity, masked) of every match of every pattern on lines that aren't skipped.
 
@@ -51,27 +74,7 @@ def secret_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     source = F.lit(False)
     if path:
         source = F.coalesce(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(SOURCE_EXTENSIONS), F.lit(False))
-    found = []
-    for kind, severity, pattern, grouped in SECRET_PATTERNS:
-        value = F.regexp_extract_all("line_text", F.lit(pattern), F.lit(1 if grouped else 0))
-        whole = F.regexp_extract_all("line_text", F.lit(pattern), F.lit(0))
-        after = F.regexp_extract_all("line_text", F.lit(pattern + r"(.?)"), F.lit(2 if grouped else 1))
-        pairs = F.arrays_zip(value.alias("value"), whole.alias("whole"), after.alias("after"))
-        made = F.transform(
-            pairs,
-            lambda p, kind=kind, severity=severity, grouped=grouped: F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(severity).alias("severity"),
-                p["value"].alias("value"),
-                p["whole"].alias("whole"),
-                (~source if grouped else F.lit(True)).alias("unquoted_ok"),
-                (
-                    p["whole"].endswith(F.concat(F.lit("'"), p["value"])) & (p["after"] == "'")
-                    | p["whole"].endswith(F.concat(F.lit('"'), p["value"])) & (p["after"] == '"')
-                ).alias("quoted"),
-            ),
-        )
-        found.append(made)
+    found = [_matches(kind, severity, pattern, grouped, source) for kind, severity, pattern, grouped in SECRET_PATTERNS]
     hit = F.explode(F.concat(*found)).alias("hit")
     # cheap test first: most lines match nothing
     some = reduce(lambda a, b: a | b, [F.col("line_text").rlike(p) for _, _, p, _ in SECRET_PATTERNS])
@@ -159,10 +162,12 @@ def valid_pii(kind: Column, value: Column) -> Column:
 def pii_matches(docs: DataFrame, kinds: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, kind, value) of every valid match of the kinds; overlapping kinds are all listed."""
     rows = _lines(docs, key, text)
-    made = [
-        F.transform(F.regexp_extract_all("line_text", F.lit(PII_PATTERNS[k]), F.lit(0)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value")))
-        for k in kinds
-    ]
+
+    def of_kind(kind: str) -> Column:
+        found = F.regexp_extract_all("line_text", F.lit(PII_PATTERNS[kind]), F.lit(0))
+        return F.transform(found, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    made = [of_kind(k) for k in kinds]
     some = reduce(lambda a, b: a | b, [F.col("line_text").rlike(PII_PATTERNS[k]) for k in kinds])
     hits = rows.filter(some).select(key, "line", F.explode(F.concat(*made)).alias("hit"))
     return hits.select(key, "line", "hit.kind", "hit.value").filter(valid_pii(F.col("kind"), F.col("value")))

@@ -34,7 +34,7 @@ def as_yaml(path: Column, language: Column, content: Column) -> Column:
 
 def as_toon(path: Column, language: Column, content: Column) -> Column:
     """One tabular line: path, language, content, commas and line ends escaped."""
-    cell = lambda c: F.regexp_replace(escape_yaml(F.coalesce(c, F.lit(""))), ",", "\\\\\\\\,")
+    cell = lambda c: F.replace(escape_yaml(F.coalesce(c, F.lit(""))), F.lit(","), F.lit("\\,"))
     return F.concat_ws(",", cell(path), cell(language), cell(content))
 
 
