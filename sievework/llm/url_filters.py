@@ -1,7 +1,7 @@
 """URL filters: association rules mined from labelled URLs, and an explicit rule list.
 
-URLs become sets of tokens: the host, its parent domains and the words of its
-labels, path segments with digits made uniform, query keys. FP-growth finds
+URLs become sets of tokens: the host, its parent domains, the words of labels
+with hyphens, path segments with digits made uniform, query keys. FP-growth finds
 token combinations that are frequent together with the label ``bad``; rules
 pruned by support and confidence, and those that a shorter rule makes needless
 taken out, are indexed by their rarest token. A URL looks up the rules of its
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import pick
+from sievework.llm.common import pick, stored
 
 BAD = "label=bad"
 MIN_SUPPORT = 0.002
@@ -62,7 +62,8 @@ def tokens_of(url: Column) -> Column:
         F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))),
         lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")),
     )
-    words = F.transform(F.regexp_extract_all(host, F.lit(r"[^.\-_]+"), F.lit(0)), lambda w: F.concat(F.lit("h:"), w))
+    joined = F.filter(labels, lambda label: label.rlike("[-_]"))  # words of labels that have several
+    words = F.transform(F.flatten(F.transform(joined, lambda label: F.split(label, "[-_]+"))), lambda w: F.concat(F.lit("h:"), w))
     segments = F.transform(
         F.regexp_extract_all(path, F.lit(r"[^/]+"), F.lit(0)), lambda s: F.concat(F.lit("p:"), F.regexp_replace(s, r"[0-9]+", "0"))
     )
@@ -79,20 +80,31 @@ def mine_rules(
 ) -> DataFrame:
     """Rules (tokens, confidence, support) for ``bad`` from ``labelled`` (url, bad).
 
+    Tokens that are in too few bad URLs for any rule are taken out first; then
     FP-growth keeps at most 1 / ``min_support`` times the tokens of a URL as
-    frequent tokens; conditional trees are spread over the cluster.
+    frequent tokens, and conditional trees are spread over the cluster.
     """
     from pyspark.ml.fpm import FPGrowth
 
     rows = pick(labelled, url="url", bad="bad").filter("bad IS NOT NULL").select(tokens_of(F.col("url")).alias("tokens"), "bad")
     rows = rows.filter(F.size("tokens") > 0)
-    baskets = rows.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    if rows.filter("bad").isEmpty() or rows.filter("NOT bad").isEmpty():
+    total, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
+    if not 0 < n_bad < total:
         return labelled.sparkSession.createDataFrame([], RULE_SCHEMA)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.filter(F.array_contains("consequent", BAD) & (F.size("antecedent") <= max_tokens) & (F.col("lift") > 1))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    return shortest(rules)
+    least = min_support * total
+    in_bad = rows.filter("bad").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    useful = in_bad.filter(F.col("n") >= least).select("token")  # at most n_bad / least times the tokens of a URL
+    keyed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode("tokens").alias("token")).join(useful, "token")
+    items = keyed.groupBy("row").agg(F.collect_set("token").alias("tokens"), F.bool_or("bad").alias("bad"))
+    baskets = stored(items.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")), "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / max(1, baskets.count()))).fit(baskets)
+    sets = stored(model.freqItemsets.filter(F.size("items") <= max_tokens + 1).select(F.array_sort("items").alias("items"), "freq"), "itemsets")
+    whole = sets.filter(~F.array_contains("items", BAD)).select(F.col("items").alias("tokens"), F.col("freq").alias("freq_all"))
+    bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), "freq")
+    confidence = F.col("freq") / F.col("freq_all")
+    rules = bad.join(whole, "tokens").select("tokens", confidence.alias("confidence"), (F.col("freq") / total).alias("support"))
+    kept = rules.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > n_bad / total))
+    return stored(shortest(stored(kept, "rules")), "rules")
 
 
 def shortest(rules: DataFrame) -> DataFrame:
