@@ -99,7 +99,7 @@ def with_neighbours(chunks: DataFrame, group: list[str] = ()) -> DataFrame:
     whole = Window.partitionBy(*group)
     return chunks.select(
         "*", F.count("*").over(whole).alias("total"), F.concat(F.lit("Previous: "), F.lag("focus").over(order)).alias("previous"),
-        F.format_string("Next: Chunk %s", (F.lead("chunk").over(order) + 1).cast("string")).alias("next"),
+        F.concat(F.lit("Next: Chunk "), (F.lead("chunk").over(order) + 1).cast("string")).alias("next"),
     )
 
 
@@ -110,7 +110,7 @@ def cross_references(symbols: DataFrame, placed: DataFrame, most: int = 25) -> D
     defined = symbols.select("name", "file").join(placed.select(F.col("path").alias("file"), F.col("chunk").alias("other_chunk")), "file").distinct()
     found = here.join(defined, "name").filter("chunk != other_chunk")
     ranked = found.withColumn("k", F.row_number().over(Window.partitionBy("chunk").orderBy("name", "other_chunk", "file")))
-    return ranked.filter(F.col("k") <= most).drop("k")
+    return ranked.filter(F.col("k") <= most).select("chunk", "name", "other_chunk", "file")
 
 
 def split_long(texts: DataFrame, key: str, text: str, limit: int, overlap_lines: int = 2, model: str = "claude") -> DataFrame:
