@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 
 def _scorer(model):
     def score(batches):
-        own: Model = model.value
+        own = Model(**model.value)
         good, bad = (_Sizes(own.good), _Sizes(own.bad)) if own.good else (None, None)
         for batch in batches:
             text = batch.column("text")
@@ -159,12 +159,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, difference and score (0 to 1, high: good) of each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(model)), "doc_id long, difference double, score double")
+    return rows.mapInArrow(_scorer(spark.sparkContext.broadcast(vars(model))), "doc_id long, difference double, score double")
 
 
 def _filter(model, keep_from: float):
     def keep(batches):
-        own: Model = model.value
+        own = Model(**model.value)
         if not own.good:
             ok = 1 / (1 + math.exp(-own.offset)) >= keep_from
             yield from (b for b in batches if ok)
@@ -185,5 +185,5 @@ def keep_good(docs: DataFrame, model: Model, keep_from: float = CUT) -> DataFram
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     at = f"_c{names.index('text')}"
     rows = plain.withColumn("__text", F.coalesce(F.col(at).cast("string"), F.lit("")))
-    kept = rows.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(model), keep_from), plain.schema)
+    kept = rows.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(vars(model)), keep_from), plain.schema)
     return kept.toDF(*names)

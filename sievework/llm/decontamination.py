@@ -115,6 +115,13 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
 class Queries:
     """Distinct windows of some benchmark items, with the items each stands for."""
 
+    @classmethod
+    def of(cls, state: dict) -> Queries:
+        """From ``vars`` of another; plain values, which any executor can read."""
+        out = cls([], 1)
+        vars(out).update(state)
+        return out
+
     def __init__(self, items: list[tuple[int, str]], window: int) -> None:
         found: dict[bytes, set[int]] = {}
         words = words_of(pa.array([text or "" for _, text in items], pa.string()), ALPHANUMERIC)
@@ -179,7 +186,7 @@ def _searcher(queries, slop: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        asked: Queries = queries.value
+        asked = Queries.of(queries.value)
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             for row in range(batch.num_rows):
@@ -259,7 +266,7 @@ def search(
     """
     spark = index.sparkSession
     found = [
-        index.mapInArrow(_searcher(spark.sparkContext.broadcast(Queries(block, window)), slop), MATCH_SCHEMA)
+        index.mapInArrow(_searcher(spark.sparkContext.broadcast(vars(Queries(block, window))), slop), MATCH_SCHEMA)
         for block in _blocks(benchmark, block_bytes)
     ]
     if len(found) == 1:

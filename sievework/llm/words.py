@@ -49,6 +49,9 @@ class _PowerTable:
         self.base, self.inverse = base, inverse
         self.up = self.down = np.ones(1, U64)
 
+    def __reduce__(self) -> tuple:
+        return _PowerTable, (self.base, self.inverse)  # tables are made anew, not sent
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             if n > 1 << 25:  # one very long text: not kept
