@@ -40,23 +40,38 @@ def quick_estimate(text: Column, model: str) -> Column:
     return F.when(text == "", 0).otherwise(F.greatest(tokens, F.lit(1)))
 
 
-def estimate(text: Column, model: str) -> Column:
-    """Bytes per token, less for blanks, more for line ends and for some models for special characters; single precision."""
+def token_stats(text: Column) -> Column:
+    """Bytes, blanks, line ends and special characters of a text: all that estimates need."""
     size = F.octet_length(text)
-    blanks = (F.octet_length(text) - F.octet_length(F.translate(text, " \t", ""))).cast("float")
-    ends = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("float")
-    value = _per_token(size, model)
-    value = (value - (blanks * _float(0.3)).cast("float")).cast("float")
-    value = (value + (ends * _float(0.5)).cast("float")).cast("float")
+    without = lambda t, c: F.replace(t, F.lit(c), F.lit(""))
+    return F.struct(
+        size.alias("bytes"),
+        (size - F.octet_length(without(without(text, " "), "\t"))).alias("blanks"),
+        (size - F.octet_length(without(text, "\n"))).alias("ends"),
+        F.regexp_count(text, F.lit(_SPECIAL)).alias("special"),
+    )
+
+
+def estimate_from(stats: Column, model: str) -> Column:
+    """Bytes per token, less for blanks, more for line ends and for some models for special characters; single precision."""
+    part = lambda name, weight: (stats[name].cast("float") * _float(weight)).cast("float")
+    value = _per_token(stats["bytes"], model)
+    value = (value - part("blanks", 0.3)).cast("float")
+    value = (value + part("ends", 0.5)).cast("float")
     if _BY_NAME[model][4]:
-        special = F.regexp_count(text, F.lit(_SPECIAL)).cast("float")
-        value = (value + (special * _float(0.3)).cast("float")).cast("float")
-    return F.when(text == "", 0).otherwise(F.greatest(F.ceil(value).cast("int"), F.lit(1)))
+        value = (value + part("special", 0.3)).cast("float")
+    return F.when(stats["bytes"] == 0, 0).otherwise(F.greatest(F.ceil(value).cast("int"), F.lit(1)))
+
+
+def estimate(text: Column, model: str) -> Column:
+    """The estimate of a text; for several models take ``token_stats`` first."""
+    return estimate_from(token_stats(text), model)
 
 
 def estimates(text: Column, names: list[str]) -> Column:
-    """A struct of estimates by model."""
-    return F.struct(*[estimate(text, n).alias(n) for n in names])
+    """A struct of estimates by model; the text is read once."""
+    both = F.transform(F.array(token_stats(text)), lambda s: F.struct(*[estimate_from(s, n).alias(n) for n in names]))
+    return both[0]
 
 
 def exceeds(text: Column, model: str, budget: int) -> Column:

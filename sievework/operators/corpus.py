@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from sievework.functions.tables import COUNTED_MODELS, LANGUAGES
 from sievework.functions.text import glob_regex, lines
-from sievework.functions.tokens import estimate, scan_estimate
+from sievework.functions.tokens import estimate, estimate_from, scan_estimate, token_stats
 
 
 def language_stats(files: DataFrame, language: str = "language", text: str = "content", model: str = "claude") -> DataFrame:
@@ -29,15 +29,17 @@ def language_stats(files: DataFrame, language: str = "language", text: str = "co
 
 def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, model, tokens) of each document and counted model."""
-    pairs = [F.struct(F.lit(i).alias("ord"), F.lit(m).alias("model"), estimate(F.col(text), m).alias("tokens")) for i, m in enumerate(COUNTED_MODELS)]
-    rows = docs.select(key, F.explode(F.array(*pairs)).alias("m"))
+    pairs = [F.struct(F.lit(m).alias("model"), estimate_from(F.col("stats"), m).alias("tokens")) for m in COUNTED_MODELS]
+    rows = docs.select(key, token_stats(F.col(text)).alias("stats")).select(key, F.explode(F.array(*pairs)).alias("m"))
     return rows.select(key, "m.model", "m.tokens")
 
 
 def cheapest_model(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The model with the fewest tokens; of equal ones the first in the table."""
-    options = [F.struct(estimate(F.col(text), m).alias("tokens"), F.lit(i).alias("ord"), F.lit(m).alias("model")) for i, m in enumerate(COUNTED_MODELS)]
-    return docs.select(key, F.array_min(F.array(*options)).alias("m")).select(key, "m.model", "m.tokens")
+    options = [
+        F.struct(estimate_from(F.col("stats"), m).alias("tokens"), F.lit(i).alias("ord"), F.lit(m).alias("model")) for i, m in enumerate(COUNTED_MODELS)
+    ]
+    return docs.select(key, token_stats(F.col(text)).alias("stats")).select(key, F.array_min(F.array(*options)).alias("m")).select(key, "m.model", "m.tokens")
 
 
 def scan_totals(files: DataFrame, size: str = "size_bytes") -> DataFrame:
@@ -136,8 +138,10 @@ def fold_in_order(
     return ordered.select(*group, *carry, F.col(value).cast("long").alias("__value")).mapInArrow(run, schema)
 
 
-def pack_chunks(rows: DataFrame, group: list[str], order: list[str], tokens: str, limit: int, key: str) -> DataFrame:
-    """(group, key, tokens, chunk): each group's rows in order, packed next-fit into chunks of ``limit`` tokens; a larger row is alone."""
+def pack_chunks(
+    rows: DataFrame, group: list[str], order: list[str], tokens: str, limit: int, key: str, keep: list[str] = ()
+) -> DataFrame:
+    """(group, key, tokens, keep, chunk): each group's rows in order, packed next-fit into chunks of ``limit`` tokens; a larger row is alone."""
 
     def step(state: tuple, value: int) -> tuple:
         chunk, used = state
@@ -145,7 +149,7 @@ def pack_chunks(rows: DataFrame, group: list[str], order: list[str], tokens: str
             return (chunk + 1, value), (chunk + 1,)
         return (chunk, used + value), (chunk,)
 
-    carry = [key, tokens] if tokens != key else [key]
+    carry = [*dict.fromkeys([key, tokens, *keep])]
     return fold_in_order(rows, group, [F.col(o) for o in order], carry, tokens, lambda: (-1, 0), step, "chunk long")
 
 

@@ -22,11 +22,12 @@ from sievework.functions.tables import (
     LICENSES,
     PII_PATTERNS,
     PII_PLACEHOLDERS,
+    SECRET_ANCHORS,
     SECRET_PATTERNS,
     SOURCE_EXTENSIONS,
     SPDX_IDS,
 )
-from sievework.functions.text import lines, mask, trim
+from sievework.functions.text import contains_any, lines, mask, trim
 
 
 def _lines(docs: DataFrame, key: str, text: str, keep: list[str] = ()) -> DataFrame:
@@ -76,8 +77,10 @@ def secret_findings(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
         source = F.coalesce(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(SOURCE_EXTENSIONS), F.lit(False))
     found = [_matches(kind, severity, pattern, grouped, source) for kind, severity, pattern, grouped in SECRET_PATTERNS]
     hit = F.explode(F.concat(*found)).alias("hit")
-    # cheap test first: most lines match nothing
-    some = reduce(lambda a, b: a | b, [F.col("line_text").rlike(p) for _, _, p, _ in SECRET_PATTERNS])
+    # cheap tests first: most lines hold no anchor, and of the others most match nothing
+    rows = rows.withColumn("lower_text", F.lower("line_text"))
+    anchored = [F.contains("lower_text", F.lit(a)) if a else contains_any(F.col("lower_text"), ["secret", "token"]) for a in SECRET_ANCHORS]
+    some = reduce(lambda a, b: a | b, [a & F.col("line_text").rlike(p) for a, (_, _, p, _) in zip(anchored, SECRET_PATTERNS, strict=True)])
     out = rows.filter(some).select(key, "line", hit).filter("hit.unquoted_ok OR hit.quoted")
     for a in allow:
         out = out.filter(~F.contains("hit.whole", F.lit(a)))
@@ -159,6 +162,11 @@ def valid_pii(kind: Column, value: Column) -> Column:
     )
 
 
+def may_hold_pii(text: Column) -> Column:
+    """A digit, at sign or colon: every match of every kind that passes its checks has one."""
+    return text.rlike("[0-9@:]")
+
+
 def pii_matches(docs: DataFrame, kinds: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line, kind, value) of every valid match of the kinds; overlapping kinds are all listed."""
     rows = _lines(docs, key, text)
@@ -169,7 +177,7 @@ def pii_matches(docs: DataFrame, kinds: list[str], key: str = "doc_id", text: st
 
     made = [of_kind(k) for k in kinds]
     some = reduce(lambda a, b: a | b, [F.col("line_text").rlike(PII_PATTERNS[k]) for k in kinds])
-    hits = rows.filter(some).select(key, "line", F.explode(F.concat(*made)).alias("hit"))
+    hits = rows.filter(may_hold_pii(F.col("line_text"))).filter(some).select(key, "line", F.explode(F.concat(*made)).alias("hit"))
     return hits.select(key, "line", "hit.kind", "hit.value").filter(valid_pii(F.col("kind"), F.col("value")))
 
 
@@ -223,8 +231,7 @@ def pii_findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         for s in batches:
             yield s.map(lambda t: [{"kind": k, "value": t[a:b]} for a, b, k in of_line(t)])
 
-    some = reduce(lambda a, b: a | b, [F.col("line_text").rlike(p) for p in PII_PATTERNS.values()])
-    rows = _lines(docs, key, text).filter(some)
+    rows = _lines(docs, key, text).filter(may_hold_pii(F.col("line_text")))
     return rows.select(key, "line", F.explode(scan("line_text")).alias("hit")).select(key, "line", "hit.kind", "hit.value")
 
 
@@ -244,6 +251,8 @@ def redact_pii_udf() -> object:
     """A pandas UDF that replaces all kinds, one after the other."""
     compiled = [(re.compile(PII_PATTERNS[k], re.ASCII), _CHECKS.get(k), p) for k, p in PII_PLACEHOLDERS.items()]
 
+    may_hold = re.compile("[0-9@:]")
+
     def redact(text: str) -> str:
         for pattern, check, placeholder in compiled:
             text = pattern.sub(lambda m, c=check, p=placeholder: p if c is None or c(m[0]) else m[0], text)
@@ -252,14 +261,17 @@ def redact_pii_udf() -> object:
     @F.pandas_udf("string")
     def redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: t if t is None else redact(t))
+            yield s.map(lambda t: t if t is None or not may_hold.search(t) else redact(t))
 
     return redacted
 
 
 def license_of(text: Column) -> Column:
     """The licence, confidence, phrase and line of the first phrase in the table that a text holds; else null."""
-    lower = F.lower(text)
+    return F.transform(F.array(F.lower(text)), _license_in)[0]
+
+
+def _license_in(lower: Column) -> Column:
     out = F.lit(None).cast("struct<license:string,confidence:double,phrase:string,line:int>")
     for name, confidence, phrase in reversed(LICENSE_PHRASES):
         before = F.substring_index(lower, phrase, 1)

@@ -65,8 +65,15 @@ def deduplicate(blocks: DataFrame) -> DataFrame:
     return mark_repeats(blocks).filter("kept").drop("kept")
 
 
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _ascii_lower(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 def _compress(text: str) -> str:
-    lower = text.lower() if text.isascii() else "".join(c.lower() if c.isascii() else c for c in text)
+    lower = _ascii_lower(text)
     for phrase, replacement in FILLERS:
         at = lower.find(phrase)
         while at >= 0:
@@ -78,7 +85,7 @@ def _compress(text: str) -> str:
             elif at == 0 or text[:at].endswith((". ", ".\n")):
                 new = replacement[0].upper() + replacement[1:]
             text = text[:at] + new + rest
-            lower = "".join(c.lower() if c.isascii() else c for c in text)
+            lower = _ascii_lower(text)
             at = lower.find(phrase)
     while "  " in text:
         text = text.replace("  ", " ")
@@ -97,12 +104,10 @@ def compress_udf() -> object:
 
 
 def compress(blocks: DataFrame) -> DataFrame:
-    """Stage 3: filler phrases of paragraphs go or become short. Texts without any skip Python's work."""
-    some = F.lower("text").rlike("|".join(p.replace(".", r"\.") for p, _ in FILLERS)) | F.contains("text", F.lit("  "))
+    """Stage 3: filler phrases of paragraphs go or become short."""
     plain = F.col("block_type").isin("paragraph", "blockquote", "raw")
-    to_do = blocks.filter(plain & some).withColumn("text", compress_udf()("text"))
-    rest = blocks.filter(~plain | ~some).withColumn("text", F.when(F.col("block_type").isin("paragraph", "blockquote", "raw"), trim(F.col("text"))).otherwise(F.col("text")))
-    return to_do.unionByName(rest)
+    done = compress_udf()(F.when(plain, F.col("text")))
+    return blocks.withColumn("text", F.when(plain, done).otherwise(F.col("text")))
 
 
 def paragraph_score(text: Column) -> Column:
@@ -156,14 +161,14 @@ def score_sections(blocks: DataFrame, keys: list[str] = ("doc_id",), title: str
 
 
 def arrange(sections: DataFrame, key: str = "doc_id", ord: str = "ord", score: str = "importance") -> DataFrame:
-    """Stage 5: (key, ord, new_ord): the best third first, the next third last, the rest between; fewer than three stay."""
+    """Stage 5: ``sections`` with new_ord: the best third first, the next third last, the rest between; fewer than three stay."""
     by_score = Window.partitionBy(key).orderBy(F.desc(score), ord)
     all_rows = Window.partitionBy(key)
-    rows = sections.select(key, ord, F.row_number().over(by_score).alias("__r"), F.count("*").over(all_rows).alias("__n"))
+    rows = sections.withColumn("__r", F.row_number().over(by_score)).withColumn("__n", F.count("*").over(all_rows))
     third = F.ceil(F.col("__n") / 3)
     part = F.when(F.col("__n") < 3, 0).when(F.col("__r") <= third, 0).when(F.col("__r") <= 2 * third, 2).otherwise(1)
     rows = rows.withColumn("__part", part)
-    return rows.select(key, ord, F.row_number().over(Window.partitionBy(key).orderBy("__part", ord)).alias("new_ord"))
+    return rows.withColumn("new_ord", F.row_number().over(Window.partitionBy(key).orderBy("__part", ord))).drop("__r", "__n", "__part")
 
 
 LEVELS = ("none", "minimal", "balanced", "aggressive", "full")
@@ -177,5 +182,4 @@ def distill(blocks: DataFrame, level: str = "full") -> DataFrame:
     if depth < 4:
         return blocks
     scored = blocks.withColumn("importance", block_score(F.col("block_type"), F.col("text")))
-    placed = arrange(scored, "doc_id", "block_ord", "importance")
-    return scored.join(placed, ["doc_id", "block_ord"])
+    return arrange(scored, "doc_id", "block_ord", "importance")

@@ -10,14 +10,13 @@ from sievework.operators import corpus, detect, distill, rank
 
 
 def ingest(docs: DataFrame, level: str = "full", max_tokens: int = 4000, redact: bool = True) -> DataFrame:
-    """(doc_id, block_ord, text, tokens, chunk): distilled, redacted blocks of documents (doc_id, text), in chunks."""
+    """(doc_id, ord, tokens, block_ord, text, chunk): distilled, redacted blocks of documents (doc_id, text), in chunks."""
     blocks = distill.distill(distill.line_blocks(docs), level)
     order = "new_ord" if level == "full" else "block_ord"
     if redact:
         blocks = blocks.withColumn("text", detect.redact_pii_udf()("text"))
     sized = blocks.withColumn("tokens", estimate(F.col("text"), "claude").cast("long")).withColumn("ord", F.col(order).cast("long"))
-    packed = corpus.pack_chunks(sized, ["doc_id"], ["ord"], "tokens", max_tokens, "ord")
-    return sized.select("doc_id", "ord", "block_ord", "text").join(packed, ["doc_id", "ord"])
+    return corpus.pack_chunks(sized, ["doc_id"], ["ord"], "tokens", max_tokens, "ord", ["block_ord", "text"])
 
 
 def summary(docs: DataFrame, level: str = "balanced") -> DataFrame:

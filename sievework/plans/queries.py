@@ -16,8 +16,15 @@ from sievework.plans import ingest
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables whose rows are large texts: worth spreading when they come in fewer partitions than there are cores.
+_TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. A text table of few row groups is spread over all cores; a large one has enough partitions and isn't shuffled."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in _TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +101,7 @@ def section_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrange_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = distill.line_blocks(docs(spark, sf_dir))
     scored = blocks.select("doc_id", "block_ord", F.round(distill.paragraph_score(F.col("text")), 6).alias("importance"))
-    return distill.arrange(scored, "doc_id", "block_ord")
+    return distill.arrange(scored, "doc_id", "block_ord").select("doc_id", "block_ord", "new_ord")
 
 
 def compress_fillers(spark: SparkSession, sf_dir: str) -> DataFrame:
