@@ -3,7 +3,7 @@
 Every stage takes all that its predecessor kept and returns the columns of
 ``documents``; the last adds copy, rate and shuffle_key. Each result is written
 as Parquet to the shared folder and read again, so that a lost executor costs
-tasks of one stage at most.
+tasks of one stage at most, and a stage's own tables are removed once its result is stored.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import compression_classifier, decontamination, jaccard_join, mixing, substring_dedup
-from sievework.llm.common import stored
+from sievework.llm.common import intermediates_removed, shared_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = shared_path(spark, f"stage-{name}")
+        with intermediates_removed(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
     return docs

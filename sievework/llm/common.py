@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
 
 
+#: ``paths``: those given out in the innermost ``intermediates_removed`` block of the thread.
+_GIVEN = threading.local()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; no two calls return the same."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if getattr(_GIVEN, "paths", None) is not None:
+        _GIVEN.paths.append(path)
+    return path
+
+
+@contextmanager
+def intermediates_removed(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Deletes, at the end of the block, what operators of this thread have stored in it, but for paths in ``keep``.
+
+    Results are lazy and read these tables: write them elsewhere within the
+    block. Works on any file system that Spark reaches.
+    """
+    given: list[str] = []
+    outer, _GIVEN.paths = getattr(_GIVEN, "paths", None), given
+    try:
+        yield
+    finally:
+        _GIVEN.paths = outer
+        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for path in given:
+            if path not in keep:
+                place = path_of(path)
+                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -378,7 +378,7 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
         "nodes",
     )
     total, shingles = nodes.agg(F.count("*"), F.sum("shingles")).first()
-    packs = max(16, math.ceil(total / 10_000))
+    packs = max(64, math.ceil(total / 2000))
     clusters = stored(components(candidate_links(nodes, threshold, packs)), "clusters")
     members = (
         nodes.select("node", "doc_id", "copies").join(clusters, "node").select("node", "doc_id", "copies", F.col("root").alias("cluster"))
@@ -387,7 +387,7 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
         _sets(size), "cluster binary, node binary, copies long, set binary"
     )
     in_cluster = clusters.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    packs = max(16, math.ceil((shingles or 0) * 8 / (16 << 20)))
+    packs = max(64, math.ceil((shingles or 0) * 8 / (8 << 20)))
     dealt = (
         sets.dropDuplicates(["node"])
         .join(in_cluster, "cluster")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sievework.llm import compression_classifier
+from sievework.llm.common import stored
 from tests.llm import helpers
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +16,7 @@ def stages(spark):
     """[(name, input, output)]"""
     docs, out = spark.read.parquet(f"{SF}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES:
-        done = corpus_pipeline.stored(stage(spark, docs, SF), "test-stage")
+        done = stored(stage(spark, docs, SF), "test-stage")
         out.append((name, docs, done))
         docs = done
     return out
@@ -65,3 +66,10 @@ def test_mixing_stage(stages):
     _, before, after = stages[4]
     assert {d for d, _ in pairs(after)} <= {d for d, _ in pairs(before)}
     assert after.groupBy("doc_id", "copy").count().filter("count > 1").isEmpty()
+
+
+def test_run_equals_its_stages(spark, stages):
+    before = stages[-1][2]
+    whole = corpus_pipeline.run(spark, SF)
+    columns = ["doc_id", "text", "copy", "rate", "shuffle_key"]
+    assert sorted(map(tuple, whole.select(columns).collect())) == sorted(map(tuple, before.select(columns).collect()))
