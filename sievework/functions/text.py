@@ -94,9 +94,9 @@ def mask(secret: Column) -> Column:
 
 
 def split_identifier(name: Column) -> Column:
-    """Lower-case words of a camelCase, snake_case or ACRONYMCase name."""
+    """Words of a camelCase, snake_case or ACRONYMCase name."""
     parted = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2"), r"([A-Z]+)([A-Z][a-z])", "$1_$2")
-    return F.filter(F.split(F.lower(parted), r"[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(parted, r"[^A-Za-z0-9]+"), lambda w: w != "")
 
 
 def first_sentence(text: Column) -> Column:

@@ -179,10 +179,23 @@ def tags_of(name: Column, signature: Column, kind: Column) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(tag)) for tag, test in rules]))
 
 
-def dead_code_confidence(visibility: Column, kind: Column, name: Column) -> Column:
-    """How sure it is that an unreferenced symbol is dead."""
-    base = F.when(visibility == "private", 0.9).when(visibility == "internal", 0.7).otherwise(0.5)
-    return F.greatest(F.least(base + F.when(kind.isin("function", "method"), 0.05).otherwise(0.0) - F.when(name.startswith("_"), 0.0).otherwise(0.05), F.lit(1.0)), F.lit(0.0))
+def tests_by_name(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, test) of sources (path) and test files (path) whose path holds the source's name in a test's way.
+
+    Names before ``_test.``, ``.test.``, ``.spec.`` (any end of them) and after
+    ``test_``, ``test/``, ``tests/``, ``__tests__/`` (any start) are exploded,
+    so that it is an equi-join; of several such places in one part of a path
+    the last counts.
+    """
+    stem = F.regexp_replace(F.lower(F.regexp_extract("path", r"([^/]*)$", 1)), r"(?<=.)\.[^.]*$", "")
+    asked = sources.select("path", stem.alias("stem")).filter("stem != ''")
+    lower = F.lower(F.col("path"))
+    ends = F.flatten(F.array(*[F.regexp_extract_all(lower, F.lit(rf"([^/]+){p}"), F.lit(1)) for p in (r"_test\.", r"\.test\.", r"\.spec\.")]))
+    starts = F.flatten(F.array(*[F.regexp_extract_all(lower, F.lit(rf"{p}([^/]+)"), F.lit(1)) for p in ("test_", "test/", "tests/", "__tests__/")]))
+    cut_ends = F.transform(ends, lambda e: F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda k: F.right(e, k)))
+    cut_starts = F.transform(starts, lambda e: F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda k: F.left(e, k)))
+    tests = files.filter(is_test_file(F.col("path"))).select(F.col("path").alias("test"), F.explode(F.array_distinct(F.flatten(F.concat(cut_ends, cut_starts)))).alias("stem"))
+    return asked.join(tests, "stem").select("path", "test").distinct()
 
 
 def previous_and_next(rows: DataFrame, group: list[str], order: str, text: str) -> DataFrame:

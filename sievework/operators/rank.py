@@ -71,6 +71,7 @@ def rank_all(rows: DataFrame, score: str, order: str) -> DataFrame:
 
 
 def impact_level(direct: Column, transitive: Column) -> Column:
+    """From dependent files and affected symbols."""
     return (
         F.when((direct > 20) | (transitive > 50), "critical")
         .when((direct > 10) | (transitive > 20), "high")
@@ -155,3 +156,35 @@ def type_leaves(types: DataFrame) -> DataFrame:
 def common_symbols(left: DataFrame, right: DataFrame) -> DataFrame:
     """Names in both repositories."""
     return left.select("name").intersect(right.select("name"))
+
+
+def dead_code_confidence(visibility: Column, kind: Column) -> Column:
+    """How sure it is that an unreferenced symbol is dead; 0.95 at most."""
+    by_kind = F.when(kind.isin("function", "method"), 0.1).when(kind.isin("class", "struct"), 0.05).when(kind.isin("variable", "constant"), 0.15).otherwise(0.0)
+    return F.least(F.lit(0.5) + F.when(visibility.isin("private", "internal"), 0.3).otherwise(0.0) + by_kind, F.lit(0.95))
+
+
+def is_entry_point(name: Column, kind: Column, visibility: Column, language: Column) -> Column:
+    """Symbols that are used from outside: by common names, test names, and each language's ways."""
+    upper = name.rlike(r"^\p{Lu}")
+    common = name.isin("main", "init", "__init__") | name.rlike("^(?:test_|Test)|(?:_test|Test)$")
+    own = (
+        F.when(language == "python", name.rlike("^__.*__$"))
+        .when(language.isin("javascript", "typescript"), upper & kind.isin("class", "function"))
+        .when(language == "rust", visibility == "public")
+        .when(language == "go", upper)
+        .when(language.isin("java", "kotlin"), (visibility == "public") & (kind == "method"))
+        .when(language == "ruby", name.rlike("^(?:initialize$|before_|after_)"))
+        .when(language == "php", name.startswith("__"))
+        .when(language == "swift", name.isin("viewDidLoad", "applicationDidFinishLaunching"))
+        .when(language == "elixir", name.rlike("^(?:start$|child_spec$|handle_)"))
+        .otherwise(False)
+    )
+    return common | own
+
+
+def dead_code(symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """(file, name, kind, confidence) of symbols (file, name, kind, visibility, language) that nothing names and that are no entry points."""
+    rows = symbols.filter(~is_entry_point(F.col("name"), F.col("kind"), F.col("visibility"), F.col("language")) & (F.col("kind") != "import"))
+    found = rows.join(references.select("name").distinct(), "name", "left_anti")
+    return found.select("file", "name", "kind", dead_code_confidence(F.col("visibility"), F.col("kind")).alias("confidence"))

@@ -366,7 +366,7 @@ WHERE (contains(path, 'example.com') OR contains(path, 'example.org/en')) AND NO
 WITH {_PATHS} SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')), '/') || '/x/z' AS path, 'typescript' AS language FROM path""",
     "identifiers": """
 WITH n AS (SELECT p_partkey, 'parseHTTP' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || '_v2' AS t FROM part)
-SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda w: w <> ''), ' ') AS words FROM n""",
+SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> ''), ' ') AS words FROM n""",
     "escapes": f"""
 SELECT item_id, {_xml(_T)} AS xml, {_yaml(_T)} AS yaml, {_cell(_T)} AS cell, '''' || {_T} AS guarded, {_mask('left(text, 20)')} AS masked,
        CASE WHEN length({_T}) > 40 THEN left({_T}, 37) || '...' ELSE {_T} END AS short,
@@ -418,3 +418,83 @@ WITH {_FILES} SELECT ord, {_yaml('path')} || ',' || coalesce(language, '') || ',
 WITH {_FILES}, l AS (SELECT ord, path, {lines('content')} AS ls FROM f)
 SELECT ord, '=== ' || path || ' ===' || chr(10) || array_to_string(list_transform(range(1, len(ls) + 1), lambda i: i || ': ' || ls[i]), chr(10)) AS text FROM l""",
 }
+
+_TYPES = """t AS (SELECT 'T' || p_partkey AS name, CASE WHEN p_partkey > 2 THEN 'T' || (p_partkey // 3) END AS parent FROM part WHERE p_partkey <= 400),
+up(name, ancestor, depth) AS (SELECT name, parent, 1 FROM t WHERE parent IS NOT NULL UNION ALL SELECT u.name, t.parent, u.depth + 1 FROM up u JOIN t ON t.name = u.ancestor WHERE t.parent IS NOT NULL)"""
+_UNIQUE = """c AS (SELECT s_suppkey AS caller_id, 'Brand#1' || (s_suppkey % 5 + 1) AS file, 'f' || (s_suppkey * 5 % 601) AS name FROM supplier),
+s AS (SELECT p_partkey AS id, p_brand AS file, 'f' || (p_partkey % 601) AS name FROM part),
+r AS (SELECT caller_id, c.name, coalesce(
+  (SELECT CASE WHEN count(DISTINCT id) = 1 THEN min(id) END FROM s WHERE s.name = c.name AND s.file = c.file),
+  (SELECT CASE WHEN count(DISTINCT id) = 1 THEN min(id) END FROM s WHERE s.name = c.name AND s.file = 'Brand#22')) AS callee_id FROM c)"""
+
+ORACLE |= {
+    "csv_tables": """
+SELECT n_regionkey || '.csv' AS path, 'table' AS block_type,
+       'k | name | r' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || ' | ''=' || n_regionkey, chr(10) ORDER BY n_nationkey || ';' || n_name) AS text
+FROM nation GROUP BY n_regionkey""",
+    "diff_lines": """
+WITH b AS (SELECT item_id AS key, CAST(item_id + 1 AS BIGINT) AS a, replace(left(text, 10), chr(10), ' ') AS t FROM benchmark)
+SELECT key, 1 AS hunk, 'context' AS kind, a AS old_line, a AS new_line, 'same' AS text FROM b
+UNION ALL SELECT key, 1, 'remove', a + 1, NULL, 'old' FROM b UNION ALL SELECT key, 1, 'add', NULL, a + 1, 'new' FROM b UNION ALL SELECT key, 1, 'add', NULL, a + 2, t FROM b""",
+    "classify_changes": """
+WITH c AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'deletion' WHEN 1 THEN 'file_rename' WHEN 2 THEN 'new_code' WHEN 3 THEN 'signature' WHEN 4 THEN 'type_definition'
+  WHEN 5 THEN 'import' WHEN 6 THEN 'documentation' ELSE CASE WHEN p_size % 2 = 0 THEN 'type_definition' ELSE 'implementation' END END AS class FROM part)
+SELECT p_partkey, class, CAST(CASE class WHEN 'deletion' THEN 1.5 WHEN 'signature' THEN 1.3 WHEN 'type_definition' THEN 1.2 WHEN 'file_rename' THEN 1.1 WHEN 'import' THEN 0.9
+  WHEN 'new_code' THEN 0.8 WHEN 'implementation' THEN 0.7 ELSE 0.3 END AS DOUBLE) AS weight FROM c""",
+    "expand_context": f"""
+WITH RECURSIVE {_SPARSE}, n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge),
+reach(node, depth) AS (SELECT unnest([10, 11, 12, 13]), 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edge e ON e.dst = r.node WHERE r.depth < 2)
+SELECT node AS symbol_id, min(depth) AS level, node % 5 = 0 AS is_test, CASE min(depth) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS score
+FROM reach WHERE node IN (SELECT node FROM n) GROUP BY node""",
+    "type_ancestors": f"WITH RECURSIVE {_TYPES} SELECT name, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2",
+    "type_depths": f"WITH RECURSIVE {_TYPES} SELECT t.name, coalesce(max(depth), 0) AS depth FROM t LEFT JOIN up USING (name) GROUP BY 1",
+    "type_ends": f"""
+WITH RECURSIVE {_TYPES} SELECT name, 'root' AS "end" FROM t WHERE parent IS NULL UNION ALL SELECT name, 'leaf' FROM t WHERE name NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)""",
+    "link_parents": """
+WITH p AS (SELECT p_partkey AS id, p_brand AS file, 'n' || (p_partkey % 11) AS name, CASE WHEN p_partkey % 2 = 1 THEN 'n' || (p_partkey % 7) END AS parent,
+                  p_partkey % 200 AS a, p_partkey % 200 + p_size AS b FROM part WHERE p_partkey <= 1500),
+r AS (SELECT c.id, o.id AS parent_id, row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN o.a <= c.a AND c.b <= o.b THEN 0 WHEN o.a <= c.b AND c.a <= o.b THEN 1 ELSE 2 END, o.b - o.a, o.a, o.b, o.id) AS k
+      FROM p c JOIN p o ON c.file = o.file AND c.parent = o.name AND c.id <> o.id)
+SELECT id, parent_id FROM r WHERE k = 1""",
+    "resolve_unique": f"WITH {_UNIQUE} SELECT * FROM r",
+    "called_by": f"WITH {_UNIQUE} SELECT callee_id AS symbol_id, string_agg(CAST(caller_id AS VARCHAR), ',' ORDER BY caller_id) AS callers, count(*) AS n FROM (SELECT DISTINCT callee_id, caller_id FROM r WHERE callee_id IS NOT NULL) GROUP BY 1",
+    "merge_aliases": """
+SELECT p_brand AS file, p_size AS start_line, min(p_partkey) AS id, arg_min(p_name, p_partkey) AS name, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS tags,
+       max(p_partkey % 50) AS tokens, count(*) AS aliases FROM part GROUP BY 1, 2""",
+    "cross_repo_links": """
+WITH k AS (SELECT p_brand AS repo, CAST(substr(p_brand, 7, 2) AS INTEGER) AS o, p_type AS name FROM part WHERE p_size > 10),
+u AS (SELECT p_brand AS repo, CAST(substr(p_brand, 7, 2) AS INTEGER) AS o, p_type AS name FROM part WHERE p_size <= 10),
+f AS (SELECT name, min(o) AS o, arg_min(repo, o) AS target_repo FROM k GROUP BY 1)
+SELECT DISTINCT u.repo, u.name, 'call' AS kind, f.target_repo FROM u JOIN f USING (name)
+WHERE f.o < u.o AND NOT EXISTS (SELECT 1 FROM k WHERE k.repo = u.repo AND k.name = u.name)""",
+    "hierarchy_summaries": """
+SELECT 'f' AS file, 'R' || n_regionkey AS parent, count(*) AS children,
+       'R' || n_regionkey || ':' || chr(10) || string_agg('- method ' || n_name, chr(10) ORDER BY n_nationkey) AS summary
+FROM nation GROUP BY n_regionkey HAVING count(*) >= 2""",
+    "dead_code": """
+WITH s AS (SELECT p_partkey AS p, p_brand AS file, CASE WHEN p_partkey % 10 = 0 THEN 'test_' ELSE 's' END || p_partkey AS name,
+  CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'constant' END AS kind FROM part)
+SELECT file, name, kind, round(least(0.5::DOUBLE + CASE WHEN p % 2 = 0 THEN 0.3 ELSE 0 END + CASE kind WHEN 'function' THEN 0.1 WHEN 'class' THEN 0.05 ELSE 0.15 END, 0.95), 6) AS confidence
+FROM s WHERE p % 10 <> 0 AND NOT (p % 7 = 0 AND p % 2 = 1) AND p NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 10)""",
+    "tests_by_name": """
+WITH s AS (SELECT p_partkey AS p, 'src/m' || p_partkey || '.py' AS path, 'm' || p_partkey AS stem FROM part WHERE p_partkey <= 300),
+t AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'tests/m' || p_partkey || 'x.py' WHEN 1 THEN 'a/test_m' || p_partkey || '.py' ELSE 'a/xm' || p_partkey || '_test.go' END AS test FROM part WHERE p_partkey <= 300)
+SELECT path, test FROM s JOIN t ON contains(test, stem || '_test.') OR contains(test, 'test_' || stem) OR contains(test, stem || '.test.') OR contains(test, stem || '.spec.')
+  OR contains(test, 'test/' || stem) OR contains(test, 'tests/' || stem) OR contains(test, '__tests__/' || stem)""",
+    "unreachable_code": """
+SELECT CAST(p_partkey AS VARCHAR) AS path, 5 AS line, 2 AS terminator_line, 'y()' AS snippet FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 = 1""",
+    "code_measures": "SELECT p_partkey, 2 * p_size + 1 AS loc, p_size AS depth FROM part",
+    "remote_urls": """
+SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' END AS provider, CASE s_suppkey % 3 WHEN 0 THEN 'o' || s_suppkey WHEN 1 THEN 'g' END AS owner,
+       CASE s_suppkey % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'p' || s_suppkey END AS name FROM supplier""",
+    "fixed_chunks": f"""
+WITH RECURSIVE sized AS (SELECT 1 AS one, doc_id, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens FROM documents),
+{_next_fit('sized', 'one', 'doc_id', 8000)}
+SELECT CAST(chunk AS BIGINT) AS chunk, files, CAST(tokens AS BIGINT) AS tokens FROM chunks""",
+    "chunk_neighbours": """
+SELECT n_regionkey, n_nationkey AS chunk, n_name AS focus, count(*) OVER (PARTITION BY n_regionkey) AS total,
+       'Previous: ' || lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS previous,
+       'Next: Chunk ' || (lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1) AS next FROM nation""",
+    "character_vectors": "SELECT item_id, 1.0::DOUBLE AS norm FROM benchmark",
+    "rollup_sources": "SELECT lang, source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)",
+}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sievework.functions import text as X
 from sievework.functions import tokens as K
 from sievework.functions.tables import COUNTED_MODELS
-from sievework.operators import corpus, detect, distill, emit, graph, rank, state
+from sievework.operators import chunking, context, corpus, detect, distill, emit, graph, rank, state, transform
 from sievework.plans import ingest
+from sievework.sources import code, documents, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -490,6 +491,194 @@ def pack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.pack(files, 100_000, exclude=["tests"]).select("path", F.round("importance", 6).alias("importance"), "tokens", "action", "used")
 
 
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.col("html").alias("content"))
+    return documents.parse_documents(files).groupBy("path", "block_type").agg(F.count("*").alias("n"))
+
+
+def plain_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = docs(spark, sf_dir).select(F.concat("doc_id", F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    return documents.parse_documents(files).groupBy("path").agg(F.count("*").alias("blocks"), F.max("section_ord").alias("sections"))
+
+
+def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(";", "n_nationkey", "n_name", F.concat(F.lit("="), F.col("n_regionkey")))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    files = rows.select(F.concat("n_regionkey", F.lit(".csv")).alias("path"), F.concat(F.lit("k;name;r\n"), "body").alias("content"))
+    return documents.parse_documents(files).select("path", "block_type", "text")
+
+
+def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("item_id") + 1
+    body = F.concat(F.lit("--- a\n+++ b\n@@ -"), at, F.lit(",2 +"), at, F.lit(",3 @@ f\n same\n-old\n+new\n+"), F.replace(F.substring("text", 1, 10), F.lit("\n"), F.lit(" ")))
+    return scan.diff_lines(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), body.alias("diff")))
+
+
+def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 9
+    change = F.when(k == 0, "deleted").when(k == 1, "renamed").when(k == 2, "added").otherwise("modified")
+    diff = F.when(k == 3, "+fn a()").when(k == 4, "-  struct A").when(k == 5, "+use b;\n c").when(k == 6, "+/// doc\n-# x").when(k == 7, "+x = 1")
+    kind = F.when(F.col("p_size") % 2 == 0, "class").otherwise("function")
+    found = table(spark, sf_dir, "part").select("p_partkey", context.classify_change(change, diff, kind).alias("class"))
+    return found.withColumn("weight", context.change_weight(F.col("class")))
+
+
+def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = graph.nodes_of(_sparse(spark, sf_dir)).select(F.col("node").alias("symbol_id"), F.concat(F.lit("f"), F.col("node") % 7, F.when(F.col("node") % 5 == 0, "_test").otherwise("")).alias("file"))
+    changed = spark.range(10, 14).select(F.col("id").alias("symbol_id"))
+    return context.expand_context(changed, _sparse(spark, sf_dir), symbols, 2)
+
+
+def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    parent = F.when(p > 2, F.concat(F.lit("T"), F.floor(p / 3)))
+    return table(spark, sf_dir, "part").filter(p <= 400).select(F.concat(F.lit("T"), p).alias("name"), parent.alias("parent"))
+
+
+def type_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.ancestors(_types(spark, sf_dir))
+
+
+def type_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.hierarchy_depth(_types(spark, sf_dir))
+
+
+def type_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = _types(spark, sf_dir)
+    return rank.type_roots(types).withColumn("end", F.lit("root")).unionByName(rank.type_leaves(types).withColumn("end", F.lit("leaf")))
+
+
+def link_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").filter(p <= 1500).select(
+        p.alias("id"), F.col("p_brand").alias("file"), F.concat(F.lit("n"), p % 11).alias("name"), F.when(p % 2 == 1, F.concat(F.lit("n"), p % 7)).alias("parent"),
+        (p % 200).cast("int").alias("start_line"), (p % 200 + F.col("p_size")).cast("int").alias("end_line"),
+    )
+    return context.link_parents(parts)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    parts = table(spark, sf_dir, "part")
+    symbols = parts.select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("file"), F.concat(F.lit("f"), F.col("p_partkey") % 601).alias("name"))
+    calls = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("caller_id"), F.concat(F.lit("Brand#1"), F.col("s_suppkey") % 5 + 1).alias("file"), F.concat(F.lit("f"), F.col("s_suppkey") * 5 % 601).alias("name"))
+    imports = calls.select("file", F.lit("Brand#22").alias("imported")).distinct()
+    return calls, symbols, imports
+
+
+def resolve_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.resolve_unique(*_named(spark, sf_dir))
+
+
+def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = context.resolve_unique(*_named(spark, sf_dir))
+    return context.called_by(resolved).select("symbol_id", F.array_join(F.transform("callers", lambda c: c.cast("string")), ",").alias("callers"), F.col("n").cast("long").alias("n"))
+
+
+def merge_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    chunks = table(spark, sf_dir, "part").select(
+        p.alias("id"), F.lit("r").alias("repo"), F.col("p_brand").alias("file"), F.col("p_size").alias("start_line"), F.lit(99).alias("end_line"), F.lit("h").alias("full_hash"),
+        F.col("p_name").alias("name"), F.array("p_type").alias("tags"), (p % 50).alias("tokens"),
+    )
+    merged = context.merge_aliases(chunks)
+    return merged.select("file", "start_line", "id", "name", F.array_join("tags", "|").alias("tags"), "tokens", F.size("aliases").cast("long").alias("aliases"))
+
+
+def cross_repo_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    known = parts.filter("p_size > 10").select(F.col("p_brand").alias("repo"), F.substring("p_brand", 7, 2).cast("int").alias("repo_ord"), F.col("p_type").alias("name"))
+    uses = parts.filter("p_size <= 10").select(F.col("p_brand").alias("repo"), F.substring("p_brand", 7, 2).cast("int").alias("repo_ord"), F.col("p_type").alias("name"), F.lit("call").alias("kind"))
+    return context.cross_repo_links(uses, known)
+
+
+def hierarchy_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "nation").select(
+        F.lit("f").alias("file"), F.concat(F.lit("R"), F.col("n_regionkey")).alias("parent"), F.col("n_nationkey").alias("start_line"), F.lit("method").alias("kind"),
+        F.lit(None).cast("string").alias("signature"), F.col("n_name").alias("name"),
+    )
+    return context.hierarchy_summaries(members)
+
+
+def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    symbols = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("file"), F.concat(F.when(p % 10 == 0, "test_").otherwise("s"), p).alias("name"),
+        F.when(p % 3 == 0, "function").when(p % 3 == 1, "class").otherwise("constant").alias("kind"), F.when(p % 2 == 0, "private").otherwise("public").alias("visibility"),
+        F.when(p % 7 == 0, "rust").otherwise("python").alias("language"),
+    )
+    used = table(spark, sf_dir, "lineitem").filter("l_quantity < 10").select(F.concat(F.lit("s"), F.col("l_partkey")).alias("name"))
+    return rank.dead_code(symbols, used).select("file", "name", "kind", F.round("confidence", 6).alias("confidence"))
+
+
+def tests_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").filter(p <= 300)
+    sources = parts.select(F.concat(F.lit("src/m"), p, F.lit(".py")).alias("path"))
+    shape = F.when(p % 3 == 0, F.concat(F.lit("tests/m"), p, F.lit("x.py"))).when(p % 3 == 1, F.concat(F.lit("a/test_m"), p, F.lit(".py"))).otherwise(F.concat(F.lit("a/xm"), p, F.lit("_test.go")))
+    return context.tests_by_name(sources, parts.select(shape.alias("path")))
+
+
+def unreachable_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    body = F.concat(F.lit("def f():\n  "), F.when(p % 3 == 0, "return 1").otherwise("x = 1"), F.lit("\n\n  # c\n  "), F.when(p % 2 == 0, "else:").otherwise("y()"), F.lit("\n  z()\n"))
+    return code.unreachable(table(spark, sf_dir, "part").select(p.cast("string").alias("path"), body.alias("content")))
+
+
+def code_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_size")
+    body = F.concat(F.repeat(F.lit("{\n"), p), F.lit("# no\n\n x\n"), F.repeat(F.lit("}\n"), p))
+    return table(spark, sf_dir, "part").select("p_partkey", code.lines_of_code(body).alias("loc"), code.brace_depth(body).alias("depth"))
+
+
+def remote_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("s_suppkey")
+    url = F.when(s % 3 == 0, F.concat(F.lit("https://github.com/o"), s, F.lit("/r.git"))).when(s % 3 == 1, F.concat(F.lit("git@gitlab.com:g/p"), s)).otherwise(F.concat(F.lit("path/"), s))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", scan.remote_parts(url).alias("r")).select("s_suppkey", "r.provider", "r.owner", "r.name")
+
+
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("path"), K.estimate(F.col("text"), "claude").cast("long").alias("tokens"))
+    return chunking.fixed_chunks(rows, 8000).groupBy("chunk").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"))
+
+
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), K.estimate(F.col("text"), "claude").cast("long").alias("tokens"))
+    return chunking.semantic_chunks(rows, 8000)
+
+
+def dependency_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _types(spark, sf_dir).select(F.col("name").alias("path"), F.char_length("name").cast("long").alias("tokens"))
+    return chunking.dependency_chunks(rows, _types(spark, sf_dir).filter("parent IS NOT NULL").select(F.col("name").alias("path"), F.col("parent").alias("resolved")), 50)
+
+
+def chunk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("chunk"), F.col("n_name").alias("focus"))
+    return chunking.with_neighbours(rows, ["n_regionkey"])
+
+
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.octet_length(transform.truncate_udf(100)("text")).alias("bytes"))
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_long(docs(spark, sf_dir), "doc_id", "text", 200).groupBy("doc_id").agg(F.count("*").alias("parts"))
+
+
+def semantic_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return docs(spark, sf_dir).select("doc_id", F.octet_length(transform.semantic_compress_udf()(spaced)).alias("bytes"))
+
+
+def character_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark").select("item_id", transform.character_vector_udf()("text").alias("v"))
+    return rows.select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 3).alias("norm"))
+
+
+def rollup_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").rollup("lang", "source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+    return rows
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -502,7 +691,10 @@ QUERIES: dict[str, Query] = {
         manifest_diff, manifest_rows, manifest_checksum, chunk_ids, collisions, cache_staleness, deleted_files, upsert_batches,
         audit_chain, unused_parts, cosine_pairs, watch_sessions, commit_frequency, file_rank, filter_paths, normalize_paths, identifiers,
         escapes, data_uris, halstead_measures, complexity_gates, breaking_changes, symbol_scores, impact_levels, common_symbols,
-        emit_documents, graph_export, pack_pages,
+        emit_documents, graph_export, pack_pages, html_blocks, plain_sections, csv_tables, diff_lines, classify_changes, expand_context,
+        type_ancestors, type_depths, type_ends, link_parents, resolve_unique, called_by, merge_aliases, cross_repo_links,
+        hierarchy_summaries, dead_code, tests_by_name, unreachable_code, code_measures, remote_urls, fixed_chunks, semantic_chunks,
+        dependency_chunks, chunk_neighbours, truncated, split_documents, semantic_compress, character_vectors, rollup_sources,
     )
 }
 QUERIES |= {f"emit_{form}": _emitter(form) for form in emit.FORMATS}

@@ -71,7 +71,7 @@ def test_normalize_and_nfc(spark):
 
 
 def test_identifiers_and_sentences(spark):
-    assert one(spark, X.split_identifier(F.col("t")), t="parseHTTPResponse_v2Fast") == ["parse", "http", "response", "v2", "fast"]
+    assert one(spark, X.split_identifier(F.col("t")), t="parseHTTPResponse_v2Fast") == ["parse", "HTTP", "Response", "v2", "Fast"]
     assert one(spark, X.first_sentence(F.col("t")), t="One v1.2 here. Two.") == "One v1.2 here."
     assert one(spark, X.ellipsis(F.col("t"), 8), t="123456789") == "12345..."
 
