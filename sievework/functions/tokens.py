@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,3 +79,24 @@ def estimates(text: Column, names: list[str]) -> Column:
 def exceeds(text: Column, model: str, budget: int) -> Column:
     """Whether a text has more tokens than the budget."""
     return estimate(text, model) > budget
+
+
+def exact_count_udf(vocabulary: str, pattern: str) -> object:
+    """A pandas UDF that counts tokens by a byte-pair vocabulary in the rank format, at a path that executors can read.
+
+    The encoder is made once per worker process.
+    """
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import base64
+
+        import tiktoken
+
+        with open(vocabulary, "rb") as file:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+        encoder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for s in batches:
+            yield s.map(lambda t: 0 if t is None else len(encoder.encode_ordinary(t)))
+
+    return count

@@ -102,6 +102,13 @@ def test_truncation(text, budget):
     assert transform.truncate(cut, budget) == cut
 
 
+def test_exact_counts(spark):
+    names = pytest.importorskip("public_tokenizers")
+    count = K.exact_count_udf(names.path("byte_bpe_50k.tiktoken"), names.PATTERN)
+    df = spark.createDataFrame([("hello world",), ("",), (None,)], "t string")
+    assert [r.x for r in df.select(count("t").alias("x")).collect()] == [2, 0, 0]
+
+
 # --- detection
 
 SECRETS = {
