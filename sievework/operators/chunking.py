@@ -13,6 +13,7 @@ from sievework.functions.text import lines
 from sievework.functions.tokens import estimate
 from sievework.operators.corpus import fold_in_order, pack_chunks
 from sievework.operators.graph import topological_levels
+from sievework.operators.state import numbered
 
 CONTEXT_LINES = 2
 
@@ -28,7 +29,7 @@ def fixed_chunks(files: DataFrame, limit: int) -> DataFrame:
 
 def file_chunks(files: DataFrame) -> DataFrame:
     """Each file a chunk, numbered in order of ``ord``."""
-    return files.withColumn("chunk", F.row_number().over(Window.orderBy("ord")) - 1)
+    return numbered(files, ["ord"], "chunk")
 
 
 def module_of(path: Column) -> Column:
@@ -45,23 +46,19 @@ def semantic_chunks(files: DataFrame, limit: int) -> DataFrame:
 
     The last file of a chunk is carried into the next as overlap if it has at most a tenth of the limit.
     """
-    changed = module_of(F.col("path")) != F.lag(module_of(F.col("path"))).over(Window.partitionBy("corpus").orderBy("path"))
-    coded = _all(files).withColumn("changed", F.coalesce(changed, F.lit(False)).cast("int"))
-    coded = coded.withColumn("value", F.col("tokens") * 2 + F.col("changed"))
-
-    def step(state: tuple, value: int) -> tuple:
-        chunk, used, last = state
-        tokens, new_module = divmod(value, 2)
-        overlap = False
-        if chunk < 0:
-            chunk = 0
-        elif used and (used + tokens > limit or (new_module and used > limit // 2)):
+    coded = _all(files).withColumn("value", F.struct("tokens", module_of(F.col("path")).alias("module")))
+
+    def step(state: tuple, value: dict) -> tuple:
+        chunk, used, last, module = state
+        tokens, overlap = value["tokens"], False
+        new_module = module is not None and value["module"] != module
+        if used and (used + tokens > limit or (new_module and used > limit // 2)):
             chunk += 1
             overlap = last * 10 <= limit
             used = last if overlap else 0
-        return (chunk, used + tokens, tokens), (chunk, overlap)
+        return (chunk, used + tokens, tokens, value["module"]), (chunk, overlap)
 
-    done = fold_in_order(coded, ["corpus"], [F.col("path")], ["path", "tokens"], "value", lambda: (-1, 0, 0), step, "chunk long, overlap boolean")
+    done = fold_in_order(coded, ["corpus"], [F.col("path")], ["path", "tokens"], "value", lambda: (0, 0, 0, None), step, "chunk long, overlap boolean")
     return done.drop("corpus")
 
 
@@ -94,13 +91,21 @@ def symbol_chunks(snippets: DataFrame, limit: int) -> DataFrame:
 
 
 def with_neighbours(chunks: DataFrame, group: list[str] = ()) -> DataFrame:
-    """Chunks (chunk, focus) with total, previous and next summaries."""
-    order = Window.partitionBy(*group).orderBy("chunk") if group else Window.orderBy("chunk")
-    whole = Window.partitionBy(*group)
-    return chunks.select(
-        "*", F.count("*").over(whole).alias("total"), F.concat(F.lit("Previous: "), F.lag("focus").over(order)).alias("previous"),
-        F.concat(F.lit("Next: Chunk "), (F.lead("chunk").over(order) + 1).cast("string")).alias("next"),
-    )
+    """Chunks (chunk, focus) with total, previous and next summaries, per group.
+
+    Without groups the numbers must be consecutive: the neighbours of one long
+    list are found by an equi-join, those of groups by windows.
+    """
+    before, after = F.concat(F.lit("Previous: "), F.col("__before")), F.concat(F.lit("Next: Chunk "), (F.col("__after") + 1).cast("string"))
+    if group:
+        order = Window.partitionBy(*group).orderBy("chunk")
+        rows = chunks.withColumn("total", F.count("*").over(Window.partitionBy(*group)))
+        rows = rows.withColumn("__before", F.lag("focus").over(order)).withColumn("__after", F.lead("chunk").over(order))
+    else:
+        rows = chunks.crossJoin(F.broadcast(chunks.agg(F.count("*").alias("total"))))  # one row
+        rows = rows.join(chunks.select((F.col("chunk") + 1).alias("chunk"), F.col("focus").alias("__before")), "chunk", "left")
+        rows = rows.join(chunks.select((F.col("chunk") - 1).alias("chunk"), F.col("chunk").alias("__after")), "chunk", "left")
+    return rows.select(*chunks.columns, "total", before.alias("previous"), after.alias("next"))
 
 
 def cross_references(symbols: DataFrame, placed: DataFrame, most: int = 25) -> DataFrame:

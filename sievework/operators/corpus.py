@@ -135,7 +135,7 @@ def fold_in_order(
 
     dealt = rows.repartition(*group) if group else rows.coalesce(1)
     ordered = dealt.sortWithinPartitions(*[F.col(g) for g in group], *order)
-    return ordered.select(*group, *carry, F.col(value).cast("long").alias("__value")).mapInArrow(run, schema)
+    return ordered.select(*group, *carry, F.col(value).alias("__value")).mapInArrow(run, schema)
 
 
 def pack_chunks(

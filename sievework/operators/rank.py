@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievework.functions import tables as T
 from sievework.functions.text import contains_any, starts_with_any
+from sievework.operators.state import numbered
 
 
 def _file_name(path: Column) -> Column:
@@ -66,8 +66,8 @@ def updated_importance(files: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def rank_all(rows: DataFrame, score: str, order: str) -> DataFrame:
-    """``rows`` with ``rank`` within ``group``-less order; for tables that one task can sort, such as a top list."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), order)))
+    """``rows`` with ``rank`` from 1 by descending score, ties by ``order``; a distributed sort."""
+    return numbered(rows, [F.desc(score), F.col(order)], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def impact_level(direct: Column, transitive: Column) -> Column:

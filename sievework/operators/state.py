@@ -36,19 +36,23 @@ def deletes(diff: DataFrame) -> DataFrame:
     return diff.filter(F.col("status") == "removed")
 
 
-def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
-    """``rows`` with the number of their batch of ``size`` in a total order.
+def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
+    """``rows`` with their place, from 0, in a total order of column names or expressions.
 
-    Positions come from a range sort and per-partition counts, so no single
-    task orders all rows.
+    Places come from a range sort and per-partition counts, so no single task
+    orders all rows.
     """
     ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("__id", 33)
-    numbered = ranged.withColumn("__part", part).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
-    counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
+    placed = ranged.withColumn("__part", F.shiftrightunsigned("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row per partition
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = numbered.join(F.broadcast(before.select("__part", "__before")), "__part")  # one row per partition
-    return placed.withColumn("batch", F.floor((F.col("__before") + F.col("__at")) / size)).drop("__part", "__id", "__at", "__before")
+    joined = placed.join(F.broadcast(before.select("__part", "__before")), "__part")
+    return joined.withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__id", "__at", "__before")
+
+
+def batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+    """``rows`` with the number of their batch of ``size`` in a total order."""
+    return numbered(rows, order, "__place").withColumn("batch", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def collisions(rows: DataFrame, id: str = "chunk_id", full_hash: str = "full_hash") -> DataFrame:
@@ -84,9 +88,17 @@ def deleted_files(cache: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def verify_chain(log: DataFrame, group: list[str] = (), order: str = "seq") -> DataFrame:
-    """Audit entries (seq, prev_hash, hash) whose ``prev_hash`` isn't the hash before; the first has none or an empty one."""
-    before = F.lag("hash").over(Window.partitionBy(*group).orderBy(order) if group else Window.orderBy(order))
-    return log.withColumn("__before", before).filter(F.coalesce("prev_hash", F.lit("")) != F.coalesce("__before", F.lit(""))).drop("__before")
+    """Audit entries (seq, prev_hash, hash) whose ``prev_hash`` isn't the hash before; the first has none or an empty one.
+
+    Logs of groups are checked by a window; one log of all rows by its places, which are joined with the place before.
+    """
+    broken = F.coalesce("prev_hash", F.lit("")) != F.coalesce("__before", F.lit(""))
+    if group:
+        before = F.lag("hash").over(Window.partitionBy(*group).orderBy(order))
+        return log.withColumn("__before", before).filter(broken).drop("__before")
+    placed = numbered(log, [order], "__place")
+    previous = placed.select((F.col("__place") + 1).alias("__place"), F.col("hash").alias("__before"))
+    return placed.join(previous, "__place", "left").filter(broken).drop("__place", "__before")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:

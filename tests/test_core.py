@@ -594,3 +594,9 @@ def test_random_text_survives(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     for found in (detect.secret_findings(docs), detect.pii_findings(docs), detect.license_files(docs), ingest.ingest(docs)):
         found.count()
+
+
+def test_places(spark):
+    df = spark.createDataFrame([(i, i % 4) for i in range(50)], "k long, s long").repartition(4)
+    ranked = sorted((r.rank, r.k) for r in rank.rank_all(df, "s", "k").collect())
+    assert [k for _, k in ranked] == sorted(range(50), key=lambda k: (-(k % 4), k)) and [r for r, _ in ranked] == list(range(1, 51))
