@@ -43,7 +43,7 @@ def trimmed(text: str) -> str:
 
 
 BLOCKS = f"""block AS (
-  SELECT doc_id, ls[i] AS text, i - 1 AS block_ord
+  SELECT doc_id, ls[i] AS text, CAST(i - 1 AS INTEGER) AS block_ord
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, {lines('text')} AS ls FROM documents)))"""
 
 WORTHLESS = (
@@ -240,7 +240,7 @@ SELECT doc_id, block_ord, strlen(norm) < 20 OR row_number() OVER (PARTITION BY d
 WITH {BLOCKS}, s AS (SELECT doc_id, block_ord, round({SCORE}, 6) AS importance FROM block),
 r AS (SELECT doc_id, block_ord, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, block_ord) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
 p AS (SELECT *, CASE WHEN n < 3 OR r <= ceil(n / 3.0) THEN 0 WHEN r <= 2 * ceil(n / 3.0) THEN 2 ELSE 1 END AS part FROM r)
-SELECT doc_id, block_ord, row_number() OVER (PARTITION BY doc_id ORDER BY part, block_ord) AS new_ord FROM p""",
+SELECT doc_id, block_ord, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, block_ord) AS INTEGER) AS new_ord FROM p""",
     "secret_findings": f"{_SECRET} SELECT doc_id, line, kind, severity, {_mask('v')} AS masked FROM found",
     "secret_summary": f"{_SECRET} SELECT severity, kind, count(*) AS n FROM found GROUP BY ALL",
     "pii_findings": f"{_PII_VALID} SELECT doc_id, line, kind, value FROM found",
@@ -250,14 +250,14 @@ SELECT doc_id, block_ord, row_number() OVER (PARTITION BY doc_id ORDER BY part,
     "license_risk": f"WITH {_LICENSES} SELECT risk, count(*) AS n, bool_or(copyleft) AS has_copyleft FROM licensed GROUP BY 1",
     "license_headers": f"""
 WITH d AS (SELECT doc_id, '// SPDX-License-Identifier: LGPL-3.0' || chr(10) || '# ' || replace(text, chr(10), chr(10) || '# ') AS text FROM documents),
-l AS (SELECT doc_id, i AS line, lower(ls[i]) AS t FROM (SELECT doc_id, ls, unnest(range(1, least(50, len(ls)) + 1)) AS i FROM (SELECT doc_id, {lines('text')} AS ls FROM d))),
+l AS (SELECT doc_id, CAST(i AS INTEGER) AS line, lower(ls[i]) AS t FROM (SELECT doc_id, ls, unnest(range(1, least(50, len(ls)) + 1)) AS i FROM (SELECT doc_id, {lines('text')} AS ls FROM d))),
 f AS (SELECT doc_id, line, CASE WHEN contains(t, 'spdx-license-identifier') THEN (CASE {_SPDX} END) END AS spdx,
              CASE WHEN regexp_matches(t, '//|/\\*|\\*|#') THEN (CASE {_COMMENTS} END) END AS said, CAST(CASE {_COMMENT_SURE} END AS DOUBLE) AS sure FROM l)
 SELECT doc_id, line, coalesce(spdx, said) AS license, CASE WHEN spdx IS NOT NULL THEN 0.99 ELSE sure END AS confidence FROM f WHERE coalesce(spdx, said) IS NOT NULL""",
     "html_title_text": """
 SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title,
-       strlen(trim(regexp_replace(regexp_replace(regexp_replace(html,
-         '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_bytes
+       CAST(strlen(trim(regexp_replace(regexp_replace(regexp_replace(html,
+         '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<nav[^>]*>.*?</nav>|<footer[^>]*>.*?</footer>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) AS INTEGER) AS text_bytes
 FROM pages""",
     "doc_chunks": f"""
 WITH RECURSIVE {BLOCKS}, sized AS (SELECT doc_id, block_ord, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens FROM block),
@@ -299,7 +299,7 @@ SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node""
 WITH RECURSIVE {_SPARSE}, reach(src, dst, depth) AS (SELECT DISTINCT src, dst, 1 FROM edge UNION SELECT r.src, e.dst, r.depth + 1 FROM reach r JOIN edge e ON e.src = r.dst WHERE r.depth < 4)
 SELECT src, dst, min(depth) AS depth FROM reach GROUP BY 1, 2""",
     "transitive_callers": f"""
-WITH RECURSIVE {_SPARSE}, reach(node, depth) AS (SELECT unnest([3, 4, 5]), 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edge e ON e.dst = r.node WHERE r.depth < 3)
+WITH RECURSIVE {_SPARSE}, reach(node, depth) AS (SELECT CAST(unnest([3, 4, 5]) AS BIGINT), 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edge e ON e.dst = r.node WHERE r.depth < 3)
 SELECT node, depth FROM (SELECT node, min(depth) AS depth FROM reach GROUP BY 1) WHERE depth > 0""",
     "callers_callees": f"""
 WITH {_SPARSE}, p AS (SELECT DISTINCT src, dst FROM edge)
@@ -434,7 +434,7 @@ SELECT n_regionkey || '.csv' AS path, 'table' AS block_type,
 FROM nation GROUP BY n_regionkey""",
     "diff_lines": """
 WITH b AS (SELECT item_id AS key, CAST(item_id + 1 AS BIGINT) AS a, replace(left(text, 10), chr(10), ' ') AS t FROM benchmark)
-SELECT key, 1 AS hunk, 'context' AS kind, a AS old_line, a AS new_line, 'same' AS text FROM b
+SELECT key, CAST(1 AS BIGINT) AS hunk, 'context' AS kind, a AS old_line, a AS new_line, 'same' AS text FROM b
 UNION ALL SELECT key, 1, 'remove', a + 1, NULL, 'old' FROM b UNION ALL SELECT key, 1, 'add', NULL, a + 1, 'new' FROM b UNION ALL SELECT key, 1, 'add', NULL, a + 2, t FROM b""",
     "classify_changes": """
 WITH c AS (SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'deletion' WHEN 1 THEN 'file_rename' WHEN 2 THEN 'new_code' WHEN 3 THEN 'signature' WHEN 4 THEN 'type_definition'
@@ -443,7 +443,7 @@ SELECT p_partkey, class, CAST(CASE class WHEN 'deletion' THEN 1.5 WHEN 'signatur
   WHEN 'new_code' THEN 0.8 WHEN 'implementation' THEN 0.7 ELSE 0.3 END AS DOUBLE) AS weight FROM c""",
     "expand_context": f"""
 WITH RECURSIVE {_SPARSE}, n AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge),
-reach(node, depth) AS (SELECT unnest([10, 11, 12, 13]), 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edge e ON e.dst = r.node WHERE r.depth < 2)
+reach(node, depth) AS (SELECT CAST(unnest([10, 11, 12, 13]) AS BIGINT), 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edge e ON e.dst = r.node WHERE r.depth < 2)
 SELECT node AS symbol_id, min(depth) AS level, node % 5 = 0 AS is_test, CASE min(depth) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 ELSE 0.4 END::DOUBLE AS score
 FROM reach WHERE node IN (SELECT node FROM n) GROUP BY node""",
     "type_ancestors": f"WITH RECURSIVE {_TYPES} SELECT name, ancestor, min(depth) AS depth FROM up GROUP BY 1, 2",
