@@ -67,7 +67,7 @@ MARKS = frozenset(
     "menu breadcrumb breadcrumbs pagination pager sidebar sidenav rail aside footer masthead topbar toolbar cookie cookies consent "
     "gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing "
     "social related recommended recommendations trending comment comments commentlist respond reply replies disqus discussion "
-    "widget skip skiplink hidden print-only copyright tags tagcloud byline".split()
+    "widget skip skiplink hidden copyright tags tagcloud byline toc search paywall donate disclaimer".split()
 )
 #: Words of class and id that mark the article.
 CONTENT = frozenset("article content post entry story main body maintext articlebody".split())
@@ -78,7 +78,7 @@ _BODYLIKE = frozenset(["html", "body", "#root"])
 
 
 class Block:
-    """A block of a page: key, kept or not, its pieces (texts and blocks, in order)."""
+    """A block of a page: key, left out with all inside or not, its pieces (texts and blocks, in order)."""
 
     __slots__ = ("tag", "key", "drop", "pieces", "link")
 
@@ -94,14 +94,14 @@ def _marks(value: str) -> set[str]:
 
 def _describe(tag: str, raw: str, in_article: bool) -> tuple[str, bool]:
     """A block's key, and whether its tag or attributes say that it is no main text."""
-    drop = tag in DROPPED or (tag == "header" and not in_article)
+    drop = tag in DROPPED or (tag == "header" and not in_article)  # within an article its headings stay
     if not raw or raw.isspace():
         return tag, drop
     attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     marks = _marks(names)
     if tag not in _BODYLIKE and tag not in ("article", "main"):
-        drop = drop or bool(marks & MARKS)
+        drop = drop or bool(marks & MARKS) or ("header" in marks and not in_article)
     elif tag == "article":
         drop = drop or bool(marks & {"comment", "comments", "ad", "advert", "related", "reply"})
     drop = drop or attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
@@ -167,7 +167,10 @@ def read_blocks(html: str) -> Block:
                     break
         in_article = any(b.tag in ("article", "main") for b in stack)
         key, drop = _describe(tag, m[3], in_article)
-        block = Block(tag, key, drop or stack[-1].drop)
+        block = Block(tag, key, drop)
+        if tag in ("article", "main") and not drop:  # what holds an article is no sidebar or form, whatever it is called
+            for around in stack:
+                around.drop = around.tag in ("nav", "aside", "footer")
         stack[-1].pieces.append(block)
         if not m[3].endswith("/") or tag not in ("p", "div"):
             stack.append(block)

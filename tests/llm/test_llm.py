@@ -220,6 +220,19 @@ def test_wrappers_without_article(spark):
     assert all(r.text.startswith("Paragraph") and r.text.count("Paragraph") == 4 for r in found)
 
 
+@pytest.mark.parametrize("html, text", [
+    ('<BODY><DIV CLASS=content-sidebar-wrap><ARTICLE><P>in</ARTICLE><div class="sidebar">out</div></DIV>', "in"),
+    ('<form action=x><main><p>in</p><form>out</form></main><input></form>', "in"),
+    ('<article><header><h1>Head</h1><p>By me</p></header><p>a&nbsp;&lt;b&gt; &copy c</p><section class="comments"><article class="comment">no</article></section></article>', "Head a <b> © c"),
+    ('<div class="header">site</div><div><p>one two three four five</p><p>six seven eight</p></div><div role="search">s</div><div hidden>h</div>', "one two three four five six seven eight"),
+    ('<article>a<script>if (a</b) "</article>"</script><![CDATA[x]]><!-- <p>c</p> -->b<br>c<i>d</i>e</article>', "ab cde"),
+    ('<article><ul><li>x<li>y</ul><table><tr><td>1<td>2<tr><td>3</table><pre> k\n  l</pre></article><p>after', "x y 1 2 3 k l"),
+    ("just text", "just text"), ("<<>< a < b", "<<>< a < b"),
+])
+def test_odd_pages(html, text):
+    assert html_extraction.extract(html, None) == text
+
+
 def test_wrapper_alignment():
     one = html_extraction.wrapper_of(html_extraction.read_blocks("<body><h1>a</h1><p>b</p><p>c</p></body>"))
     two = html_extraction.wrapper_of(html_extraction.read_blocks("<body><h1>a</h1><p>b</p><table></table></body>"))
