@@ -89,6 +89,30 @@ def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
 
 
+def sample_share(rows: DataFrame, key: str, percent: float, seed: int = 42) -> tuple[DataFrame, float]:
+    """About ``percent`` of the rows by seeded hash, and the factor that extrapolates sums to all."""
+    place = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+    kept = rows.filter(place < F.lit(int(percent / 100 * (1 << 32))))
+    total, some = rows.agg(F.count("*")).first()[0], kept.agg(F.count("*")).first()[0]
+    return kept, total / some if some else 0.0
+
+
+def within_limits(files: DataFrame, max_bytes: int = 10 << 20, max_line: int = 10_000, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected with ``reason``): files within the limits on size and on the longest line, both in bytes."""
+    longest = F.array_max(F.transform(F.split(content, "\n"), lambda x: F.octet_length(x)))
+    reason = F.when(F.octet_length(content) > max_bytes, "file_size").when(longest > max_line, "line_length")
+    judged = files.withColumn("reason", reason)
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")
+
+
+def token_tree(files: DataFrame, depth: int = 3) -> DataFrame:
+    """(folder, files, tokens): tokens of the files (path, tokens) below each folder down to a depth."""
+    parts = F.split("path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(depth))), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    inside = files.filter(F.contains("path", F.lit("/"))).select(F.explode(folders).alias("folder"), "tokens")
+    return inside.groupBy("folder").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"))
+
+
 def top_n(rows: DataFrame, score: Column, key: str, n: int) -> DataFrame:
     """The ``n`` rows of highest score with their rank; ties by key. A distributed top-k, then ranks over n rows."""
     best = rows.withColumn("score", score).orderBy(F.desc("score"), key).limit(n)

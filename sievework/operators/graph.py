@@ -218,6 +218,32 @@ def module_graph(edges: DataFrame, module_of) -> DataFrame:
     return rows.filter("src_module != dst_module").groupBy("src_module", "dst_module").agg(F.count("*").alias("weight"))
 
 
+def limited_call_graph(edges: DataFrame, max_nodes: int, max_edges: int) -> DataFrame:
+    """Edges between the first ``max_nodes`` nodes, the first ``max_edges`` of them, both in id order."""
+    kept = nodes_of(edges).orderBy("node").limit(max_nodes)
+    inside = edges.join(kept.withColumnRenamed("node", "src"), "src").join(kept.withColumnRenamed("node", "dst"), "dst")
+    return inside.select("src", "dst").distinct().orderBy("src", "dst").limit(max_edges)
+
+
+def text_references(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file, line, name, symbol_id): identifiers in code lines of files (path, content) that name a symbol (symbol_id, file, name).
+
+    Import lines, comments and definitions of the same name on the line don't
+    count; of several symbols the same file's, else the least id, is meant.
+    """
+    rows = files.select(F.col("path").alias("file"), F.posexplode(F.split("content", r"\r?\n")).alias("at", "text"))
+    code = rows.filter(~F.col("text").rlike(r"^\s*(?://|#|\*|/\*|import\b|from\b|use\b|package\b)"))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
+    used = code.select("file", (F.col("at") + 1).alias("line"), "text", F.explode(words).alias("name"))
+    defines = r"(?:def|fn|func|function|class|struct|enum|trait|interface|type|const|let|var)\s+"
+    used = used.filter(~F.contains(F.regexp_replace("text", defines, "\u0001"), F.concat(F.lit("\u0001"), F.col("name"))))
+    named = symbols.select("symbol_id", F.col("file").alias("where"), "name")
+    best = used.join(named, "name").groupBy("file", "line", "name").agg(
+        F.min(F.struct((F.col("where") != F.col("file")).alias("far"), "symbol_id")).alias("m")
+    )
+    return best.select("file", "line", "name", F.col("m.symbol_id").alias("symbol_id"))
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """(caller_id, callee_id) of calls (caller_id, file, name): a symbol (symbol_id, file, name) of the same file,
     else of an imported file (file, imported), else the first by id."""

@@ -188,3 +188,44 @@ def dead_code(symbols: DataFrame, references: DataFrame) -> DataFrame:
     rows = symbols.filter(~is_entry_point(F.col("name"), F.col("kind"), F.col("visibility"), F.col("language")) & (F.col("kind") != "import"))
     found = rows.join(references.select("name").distinct(), "name", "left_anti")
     return found.select("file", "name", "kind", dead_code_confidence(F.col("visibility"), F.col("kind")).alias("confidence"))
+
+
+def exported_symbols(symbols: DataFrame) -> DataFrame:
+    """Exports, and public declarations."""
+    kinds = ["function", "class", "struct", "trait", "enum", "interface", "type", "constant", "module"]
+    return symbols.filter((F.col("kind") == "export") | ((F.col("visibility") == "public") & F.col("kind").isin(kinds)))
+
+
+def parameters(signature: Column) -> Column:
+    """The parameters of a signature: its first parentheses' content, split at commas outside of brackets."""
+    inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, c: Column) -> Column:
+        depth = a["depth"] + F.when(c.rlike(r"[(\[{<]"), 1).when(c.rlike(r"[)\]}>]"), -1).otherwise(0)
+        cut = (c == ",") & (a["depth"] == 0)
+        return F.struct(
+            depth.alias("depth"), F.when(cut, "").otherwise(F.concat(a["now"], c)).alias("now"), F.when(cut, F.array_append(a["out"], F.trim(a["now"]))).otherwise(a["out"]).alias("out")
+        )
+
+    done = F.aggregate(F.split(inner, ""), start, step, lambda a: F.array_append(a["out"], F.trim(a["now"])))
+    return F.filter(done, lambda p: p != "")
+
+
+def return_type(signature: Column) -> Column:
+    """What follows ``->`` or ``):`` in a signature; else null."""
+    return F.nullif(F.trim(F.regexp_extract(signature, r"(?s)\)\s*(?:->|:)\s*([^{]*?)\s*[:{]?\s*$", 1)), F.lit(""))
+
+
+def signature_changes(old: Column, new: Column) -> Column:
+    """An array of what differs between two signatures: parameter_added, parameter_removed, parameter_changed, return_type_changed."""
+    a, b = parameters(old), parameters(new)
+    name = lambda p: F.regexp_extract(p, r"(\w+)", 1)
+    before, after = F.transform(a, name), F.transform(b, name)
+    common = F.size(F.array_intersect(before, after))
+    changed = F.size(F.array_intersect(a, b)) < common
+    tests = [
+        ("parameter_added", F.size(F.array_except(after, before)) > 0), ("parameter_removed", F.size(F.array_except(before, after)) > 0),
+        ("parameter_changed", changed), ("return_type_changed", ~return_type(old).eqNullSafe(return_type(new))),
+    ]
+    return F.array_compact(F.array(*[F.when(test, F.lit(kind)) for kind, test in tests]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,6 +75,31 @@ def manifest_checksum(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("entries"), F.sha2(F.concat_ws("-", *[part(k) for k in (1, 9, 17, 25)]).cast("binary"), 256).alias("checksum"))
 
 
+def save_manifest(manifest: DataFrame, path: str) -> None:
+    """The manifest and its checksum as Parquet below a path."""
+    manifest.write.mode("overwrite").parquet(f"{path}/entries")
+    manifest_checksum(manifest.sparkSession.read.parquet(f"{path}/entries")).write.mode("overwrite").parquet(f"{path}/checksum")
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A saved manifest; an error if its checksum is wrong."""
+    entries = spark.read.parquet(f"{path}/entries")
+    if manifest_checksum(entries).first() != spark.read.parquet(f"{path}/checksum").first():
+        raise ValueError(f"the manifest at {path} is damaged")
+    return entries
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Events as lines of JSON, appended."""
+    events.write.mode("append").json(path)
+
+
+def pending(files: DataFrame, processed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Files (path) that a resumed run has still to do: neither processed nor failed."""
+    left = files.join(processed.select("path"), "path", "left_anti")
+    return left if failed is None else left.join(failed.select("path"), "path", "left_anti")
+
+
 def needs_rescan(files: DataFrame, cache: DataFrame) -> DataFrame:
     """Files (path, mtime, size, hash) that the cache lacks or has with another time, size or hash."""
     old = cache.select("path", F.col("mtime").alias("m"), F.col("size").alias("s"), F.col("hash").alias("h"), F.lit(True).alias("known"))
