@@ -47,8 +47,8 @@ def test_references_and_limits(spark, files):
     assert ("src/m.py", 9, "helper", 3) in rows(found) and not found.filter("file = 'lib/h.py'").count()
     edges = spark.createDataFrame([(1, 2), (2, 3), (1, 9)], "src long, dst long")
     assert rows(graph.limited_call_graph(edges, 3, 1)) == [(1, 2)]
-    accepted, rejected = corpus.within_limits(files, max_line=40)
-    assert accepted.count() == 1 and rejected.first().reason == "line_length"
+    accepted, rejected = corpus.within_limits(files, max_line=36)
+    assert (accepted.count(), rejected.count()) == (1, 1) and rejected.first().reason == "line_length"
     tree = corpus.token_tree(spark.createDataFrame([("a/b/c", 3), ("a/d", 4), ("e", 5)], "path string, tokens long"))
     assert rows(tree) == [("a", 2, 7), ("a/b", 1, 3)]
     kept, factor = corpus.sample_share(spark.range(1000).withColumnRenamed("id", "k"), "k", 20)
