@@ -83,7 +83,6 @@ def table_text(rows: list[list[str]]) -> str:
 _BULLET = re.compile(r"(?:[-*•] |[0-9]+[.)] |[a-z]\) )(.*)", re.S)
 _ATX = re.compile(r"(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*")
 _RULE = re.compile(r"(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})")
-_REFERENCE = re.compile(r"(?:see|refer to) (?:section|chapter|appendix) [\w.]+", re.I)
 
 
 def parse_markdown(text: str) -> list[dict]:
