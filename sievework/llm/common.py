@@ -54,19 +54,32 @@ def intermediates_removed(spark: SparkSession, *keep: str) -> Iterator[None]:
                 place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Files that a stored table has at most for each core of the cluster.
+FILES_PER_CORE = 4
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than some for each core, so that small results don't become thousands of files.
+
+    Partitions are joined without a shuffle and run one after the other within
+    a task: all cores stay busy and no task needs more memory.
+    """
+    return df.coalesce(FILES_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return few_files(df).checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    few_files(df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import flat, pick, shared_path, text_batches
+from sievework.llm.common import few_files, flat, pick, shared_path, text_batches
 from sievework.llm.words import ALPHANUMERIC, words_of
 
 WINDOW = 10
@@ -108,7 +108,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
         F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     path = shared_path(docs.sparkSession, "postings")
-    rows.mapInArrow(segments, INDEX_SCHEMA).write.option("compression", "none").parquet(path)
+    few_files(rows.mapInArrow(segments, INDEX_SCHEMA)).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.schema(INDEX_SCHEMA).parquet(path)
 
 
@@ -316,4 +316,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     own = F.xxhash64(F.col(f"_c{names.index('doc_id')}").cast("long"), F.col(f"_c{names.index('text')}").cast("string"))
     left = plain.withColumn("__row", own).join(hit.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti")
-    return left.drop("__row").toDF(*names)
+    return few_files(left.drop("__row")).toDF(*names)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import flat, pick, stored, text_batches
+from sievework.llm.common import few_files, flat, pick, stored, text_batches
 from sievework.llm.components import components
 from sievework.llm.words import BLANK_SEPARATED, U64, Words, mix, span_hashes, words_of
 
@@ -421,7 +421,7 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     alone = signed.filter("node IS NULL OR doc_id IS NULL").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")
     )
-    return known.unionByName(alone)
+    return few_files(known.unionByName(alone))
 
 
 def keep_one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRESHOLD) -> DataFrame:
@@ -440,4 +440,4 @@ def keep_one_of_each(docs: DataFrame, size: int = SIZE, threshold: float = THRES
     if not kept.filter("__times > 1").isEmpty():
         again = rows.filter("__times > 1").select(plain.columns).withColumn("__text", F.xxhash64(text))
         single = single.unionByName(again.dropDuplicates([doc, "__text"]).drop("__text"))
-    return single.unionByName(plain.filter(F.col(doc).isNull())).toDF(*names)
+    return few_files(single.unionByName(plain.filter(F.col(doc).isNull()))).toDF(*names)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import flat
+from sievework.llm.common import few_files, flat
 from sievework.llm.words import BLANK_SEPARATED, U64, Words, covered, window_hashes, words_of
 
 K = 13
@@ -239,6 +239,7 @@ def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES,
     edges = base.groupBy("__part").applyInArrow(_send(k, ranges), "range long, part long, edges binary, docs binary")
     answers = edges.groupBy("range").applyInArrow(_answer, "__part long, range long, ranks binary, docs binary")
     done = base.groupBy("__part").cogroup(answers.groupBy("__part")).applyInArrow(_strip(k, ranges, to_arrow_schema(out)), out)
+    done = few_files(done)
     found = [F.col(n) for n in ("n_words", "n_removed", "spans")]
     if not carry:
         return done.select(F.col("__doc").alias("doc_id"), "text", *found)

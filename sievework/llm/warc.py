@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import pick
+from sievework.llm.common import few_files, pick
 
 SEPARATOR = "\r\n\r\n"
 SEGMENT_BYTES = 32 << 10
@@ -187,7 +187,7 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
 
     rows = _with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
     text = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    few_files(text).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def parse_records(stream) -> Iterator[dict]:
