@@ -37,9 +37,9 @@ from sievework.llm.common import few_files, flat
 from sievework.llm.words import BLANK_SEPARATED, U64, Words, covered, window_hashes, words_of
 
 K = 13
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 #: Edges that one task joins at once, about.
-RANGE_EDGES = 1_500_000
+RANGE_EDGES = 750_000
 
 SPAN = T.ArrayType(
     T.StructType(

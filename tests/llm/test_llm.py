@@ -248,7 +248,7 @@ def dedup_digests(done):
     return done.select("doc_id", "n_words", "n_removed", F.sha2(kept.cast("binary"), 256))
 
 
-@pytest.mark.parametrize("part_bytes", [1000, 4 << 20])
+@pytest.mark.parametrize("part_bytes", [1000, 2 << 20])
 def test_substring_dedup_against_brute_force(spark, docs, texts, part_bytes):
     done = substring_dedup.dedup_substrings(docs, part_bytes=part_bytes)
     assert rows(dedup_digests(done)) == sorted(helpers.deduplicated(texts), key=repr)
