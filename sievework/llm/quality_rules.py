@@ -123,17 +123,22 @@ def transformed() -> dict[str, Column]:
     }
 
 
-def _distance(names: list[str]) -> Column:
-    """Mahalanobis distance from ``m_x`` by the Cholesky factor of the covariance ``c_x_y``."""
-    factor: dict[tuple[int, int], Column] = {}
+def _factored(groups: DataFrame, names: list[str]) -> DataFrame:
+    """``groups`` with the Cholesky factor ``l_y_x`` of its covariance ``c_y_x``, entry by entry, instead of the covariance."""
     for i, a in enumerate(names):
         for j, b in enumerate(names[: i + 1]):
-            rest = F.col(f"c_{b}_{a}") - reduce(lambda s, k: s + factor[i, k] * factor[j, k], range(j), F.lit(0.0))
-            factor[i, j] = F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 * 1e-3))) if i == j else rest / factor[j, j]
+            rest = reduce(lambda s, k: s - F.col(f"l_{names[k]}_{a}") * F.col(f"l_{names[k]}_{b}"), range(j), F.col(f"c_{b}_{a}"))
+            entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 * 1e-3))) if i == j else rest / F.col(f"l_{b}_{b}")
+            groups = groups.withColumn(f"l_{b}_{a}", entry)
+    return groups.drop(*[f"c_{b}_{a}" for i, a in enumerate(names) for b in names[: i + 1]])
+
+
+def _distance(names: list[str]) -> Column:
+    """Mahalanobis distance from ``m_x`` by forward substitution in the Cholesky factor."""
     solved: list[Column] = []
     for i, a in enumerate(names):
-        rest = F.col(a) - F.col(f"m_{a}") - reduce(lambda s, k: s + factor[i, k] * solved[k], range(i), F.lit(0.0))
-        solved.append(rest / factor[i, i])
+        rest = reduce(lambda s, k: s - F.col(f"l_{names[k]}_{a}") * solved[k], range(i), F.col(a) - F.col(f"m_{a}"))
+        solved.append(rest / F.col(f"l_{a}_{a}"))
     return F.sqrt(reduce(lambda s, y: s + y * y, solved, F.lit(0.0)))
 
 
@@ -162,7 +167,7 @@ def core_estimates(vectors: DataFrame, names: list[str], steps: int = STEPS) ->
         F.count("*").alias("rows"),
     )
     spread = {a: (F.col(f"q_{a}")[1] - F.col(f"q_{a}")[0]) / 1.349 for a in names}
-    now = cut_lineage(
+    first = (
         middle.filter(F.col("rows") >= MIN_GROUP).select(
             "lang",
             "source",
@@ -174,11 +179,12 @@ def core_estimates(vectors: DataFrame, names: list[str], steps: int = STEPS) ->
             ],
         )
     )
+    now = cut_lineage(_factored(first, names))
     for _ in range(steps):
         measured = _with_group(vectors, now).select("lang", "source", *names, _distance(names).alias("__d"))
         bound = measured.groupBy("lang", "source").agg(F.percentile_approx("__d", CORE, 10_000).alias("__bound"))
         core = _with_group(measured, bound).filter("__d <= __bound")
-        now = cut_lineage(_estimates(core, names))
+        now = cut_lineage(_factored(_estimates(core, names), names))
     return now
 
 
