@@ -1,7 +1,14 @@
-"""The registered queries of the core operators, each over its whole tables."""
+"""The registered queries of the core operators.
+
+Each runs over its whole tables, but for those in ``CUT``: their SQL compares
+them on a subset of rows. Each of these is registered again, under its name
+with ``_whole``, over all rows; that form has no SQL and is tested against
+brute force.
+"""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -223,52 +230,53 @@ def module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.module_graph(edges, lambda c: F.split_part(c, F.lit("/"), F.lit(1)))
 
 
-def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges between nations: a customer's nation to its supplier's, of orders with an even key and quantity over 45."""
+def _supply(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Edges between nations: a customer's nation to its supplier's, of all items or those with quantity 49 and discount 0.09 at least."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    items = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09").select("l_orderkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem")
+    items = (items if whole else items.filter("l_quantity >= 49 AND l_discount >= 0.09")).select("l_orderkey", "l_suppkey")
     rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return rows.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst"))
 
 
-def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank(_supply(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
+def pagerank(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.pagerank(_supply(spark, sf_dir, whole)).select("node", F.round("rank", 6).alias("rank"))
 
 
-def file_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.file_importance(_supply(spark, sf_dir)).select("node", F.round("rank", 6).alias("rank"))
+def file_importance(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.file_importance(_supply(spark, sf_dir, whole)).select("node", F.round("rank", 6).alias("rank"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph over parts: p to p*7 mod 1009 and to p*p mod 997, of parts below 300."""
+def _sparse(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A sparse graph over parts: p to p*7 mod 211 and, for each fifth, to p*p mod 197, of all parts or those below 300."""
     p = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").select(p).filter(p < 300)
+    parts = table(spark, sf_dir, "part").select(p).filter(F.lit(whole) | (p < 300))
     return parts.select(p.alias("src"), ((p * 7) % 211).alias("dst")).union(parts.filter(p % 5 == 0).select(p, (p * p) % 197))
 
 
-def scc_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_sparse(spark, sf_dir))
+def scc_cycles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.cycles(_sparse(spark, sf_dir, whole))
 
 
-def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_sparse(spark, sf_dir), 4)
+def closure(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.closure(_sparse(spark, sf_dir, whole), 4)
 
 
-def transitive_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transitive_callers(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     starts = spark.range(3, 6).withColumnRenamed("id", "node")
-    return graph.reachable(_sparse(spark, sf_dir), starts, 3, backwards=True)
+    return graph.reachable(_sparse(spark, sf_dir, whole), starts, 3, backwards=True)
 
 
-def callers_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_sparse(spark, sf_dir))
+def callers_callees(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.degrees(_sparse(spark, sf_dir, whole))
 
 
-def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.call_chain(_sparse(spark, sf_dir), graph.nodes_of(_sparse(spark, sf_dir)))
+def call_chain(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return graph.call_chain(_sparse(spark, sf_dir, whole), graph.nodes_of(_sparse(spark, sf_dir, whole)))
 
 
-def topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _sparse(spark, sf_dir).filter("src > dst").unionByName(_sparse(spark, sf_dir).filter("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+def topological_levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    edges = _sparse(spark, sf_dir, whole).filter("src > dst").unionByName(_sparse(spark, sf_dir, whole).filter("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return graph.topological_levels(edges)
 
 
@@ -449,8 +457,8 @@ def symbol_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("p_partkey", F.col("references").alias("refs"), F.round("score", 6).alias("score"))
 
 
-def impact_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    degree = graph.degrees(_sparse(spark, sf_dir))
+def impact_levels(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    degree = graph.degrees(_sparse(spark, sf_dir, whole))
     return degree.select("node", rank.impact_level(F.col("callers"), F.col("callers") * 3 + F.col("callees")).alias("level"))
 
 
@@ -475,12 +483,12 @@ def emit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emit.emit_document(distill.line_blocks(docs(spark, sf_dir))).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_export(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     symbols = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("/"), "p_size", F.lit(".py")).alias("file"),
         F.when(F.col("p_partkey") % 4 == 0, F.floor(F.col("p_partkey") / 2)).alias("parent_id"),
     )
-    vertices, edges = emit.graph_export(symbols, _sparse(spark, sf_dir))
+    vertices, edges = emit.graph_export(symbols, _sparse(spark, sf_dir, whole))
     counts = lambda rows, what: rows.groupBy("label").agg(F.count("*").alias("n")).withColumn("what", F.lit(what))
     return counts(vertices, "vertex").unionByName(counts(edges, "edge"))
 
@@ -523,34 +531,34 @@ def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("weight", context.change_weight(F.col("class")))
 
 
-def expand_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    symbols = graph.nodes_of(_sparse(spark, sf_dir)).select(F.col("node").alias("symbol_id"), F.concat(F.lit("f"), F.col("node") % 7, F.when(F.col("node") % 5 == 0, "_test").otherwise("")).alias("file"))
+def expand_context(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    symbols = graph.nodes_of(_sparse(spark, sf_dir, whole)).select(F.col("node").alias("symbol_id"), F.concat(F.lit("f"), F.col("node") % 7, F.when(F.col("node") % 5 == 0, "_test").otherwise("")).alias("file"))
     changed = spark.range(10, 14).select(F.col("id").alias("symbol_id"))
-    return context.expand_context(changed, _sparse(spark, sf_dir), symbols, 2)
+    return context.expand_context(changed, _sparse(spark, sf_dir, whole), symbols, 2)
 
 
-def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _types(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     p = F.col("p_partkey")
     parent = F.when(p > 2, F.concat(F.lit("T"), F.floor(p / 3)))
-    return table(spark, sf_dir, "part").filter(p <= 400).select(F.concat(F.lit("T"), p).alias("name"), parent.alias("parent"))
+    return table(spark, sf_dir, "part").filter(F.lit(whole) | (p <= 400)).select(F.concat(F.lit("T"), p).alias("name"), parent.alias("parent"))
 
 
-def type_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.ancestors(_types(spark, sf_dir))
+def type_ancestors(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return context.ancestors(_types(spark, sf_dir, whole))
 
 
-def type_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.hierarchy_depth(_types(spark, sf_dir))
+def type_depths(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return context.hierarchy_depth(_types(spark, sf_dir, whole))
 
 
-def type_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    types = _types(spark, sf_dir)
+def type_ends(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    types = _types(spark, sf_dir, whole)
     return rank.type_roots(types).withColumn("end", F.lit("root")).unionByName(rank.type_leaves(types).withColumn("end", F.lit("leaf")))
 
 
-def link_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def link_parents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     p = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").filter(p <= 1500).select(
+    parts = table(spark, sf_dir, "part").filter(F.lit(whole) | (p <= 1500)).select(
         p.alias("id"), F.col("p_brand").alias("file"), F.concat(F.lit("n"), p % 11).alias("name"), F.when(p % 2 == 1, F.concat(F.lit("n"), p % 7)).alias("parent"),
         (p % 200).cast("int").alias("start_line"), (p % 200 + F.col("p_size")).cast("int").alias("end_line"),
     )
@@ -610,9 +618,9 @@ def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.dead_code(symbols, used).select("file", "name", "kind", F.round("confidence", 6).alias("confidence"))
 
 
-def tests_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tests_by_name(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     p = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").filter(p <= 300)
+    parts = table(spark, sf_dir, "part").filter(F.lit(whole) | (p <= 300))
     sources = parts.select(F.concat(F.lit("src/m"), p, F.lit(".py")).alias("path"))
     shape = F.when(p % 3 == 0, F.concat(F.lit("tests/m"), p, F.lit("x.py"))).when(p % 3 == 1, F.concat(F.lit("a/test_m"), p, F.lit(".py"))).otherwise(F.concat(F.lit("a/xm"), p, F.lit("_test.go")))
     return context.tests_by_name(sources, parts.select(shape.alias("path")))
@@ -646,9 +654,9 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.semantic_chunks(rows, 8000)
 
 
-def dependency_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _types(spark, sf_dir).select(F.col("name").alias("path"), F.char_length("name").cast("long").alias("tokens"))
-    return chunking.dependency_chunks(rows, _types(spark, sf_dir).filter("parent IS NOT NULL").select(F.col("name").alias("path"), F.col("parent").alias("resolved")), 50)
+def dependency_chunks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = _types(spark, sf_dir, whole).select(F.col("name").alias("path"), F.char_length("name").cast("long").alias("tokens"))
+    return chunking.dependency_chunks(rows, _types(spark, sf_dir, whole).filter("parent IS NOT NULL").select(F.col("name").alias("path"), F.col("parent").alias("resolved")), 50)
 
 
 def chunk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -698,3 +706,9 @@ QUERIES: dict[str, Query] = {
     )
 }
 QUERIES |= {f"emit_{form}": _emitter(form) for form in emit.FORMATS}
+#: Queries whose SQL takes a subset of the rows.
+CUT = (
+    pagerank, file_importance, scc_cycles, closure, transitive_callers, callers_callees, call_chain, topological_levels, impact_levels,
+    expand_context, graph_export, type_ancestors, type_depths, type_ends, dependency_chunks, link_parents, tests_by_name,
+)
+QUERIES |= {f"{f.__name__}_whole": functools.partial(f, whole=True) for f in CUT}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import corpus, graph, rank, state
-from sievework.plans import embed, repo_map
+from sievework.plans import embed, queries, repo_map
 from sievework.sources import code
 from tests.test_core import PYTHON, one, rows
 
@@ -64,3 +64,37 @@ def test_references_and_limits(spark, files):
 ])
 def test_signature_changes(spark, old, new, expected):
     assert one(spark, rank.signature_changes(F.col("a"), F.col("b")), a=old, b=new) == expected
+
+
+def test_whole_tables(spark, tmp_path):
+    """Parts beyond every subset's bound count, by brute force."""
+    parts = [(p, "Brand#11", p % 50 + 1) for p in [*range(1, 8), 350, 355, 401, 1298, 1701]]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_brand string, p_size int")
+    frame.withColumn("p_name", F.lit("n")).write.parquet(str(tmp_path / "part.parquet"))
+    run = lambda name: rows(queries.QUERIES[f"{name}_whole"](spark, str(tmp_path)))
+    edges = {(p, p * 7 % 211) for p, _, _ in parts} | {(p, p * p % 197) for p, _, _ in parts if p % 5 == 0}
+    nodes = {n for e in edges for n in e}
+    degrees = {(n, len({a for a, b in edges if b == n and a != b}), len({b for a, b in edges if a == n and a != b})) for n in nodes}
+    found = queries.QUERIES["callers_callees_whole"](spark, str(tmp_path)).select("node", "callers", "callees")
+    assert set(rows(found)) == degrees
+    reached, now = {(a, b): 1 for a, b in edges}, set(edges)
+    for depth in range(2, 5):
+        now = {(a, d) for a, b in now for c, d in edges if b == c}
+        for pair in now:
+            reached.setdefault(pair, depth)
+    found = queries.QUERIES["closure_whole"](spark, str(tmp_path))
+    assert {r[:2] for r in rows(found)} >= set(reached) and ("T1701", "T567") in {r[:2] for r in run("type_ancestors")}
+    linked = [r for r in run("link_parents") if 1701 in r]
+    assert linked and any("m1701" in str(r) for r in run("tests_by_name"))
+    assert {f"{f.__name__}_whole" for f in queries.CUT} <= set(queries.QUERIES)
+
+
+def test_whole_supply(spark, tmp_path):
+    """Items of small quantity and discount make edges too."""
+    put = lambda name, data, schema: spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("orders", [(1, 10), (2, 11)], "o_orderkey long, o_custkey long")
+    put("customer", [(10, 3), (11, 4)], "c_custkey long, c_nationkey int")
+    put("supplier", [(5, 4), (6, 7)], "s_suppkey long, s_nationkey int")
+    put("lineitem", [(1, 5, 1.0, 0.0), (2, 6, 50.0, 0.1)], "l_orderkey long, l_suppkey long, l_quantity double, l_discount double")
+    assert {r[0] for r in rows(queries.QUERIES["pagerank_whole"](spark, str(tmp_path)))} == {3, 4, 7}
+    assert {r[0] for r in rows(queries.QUERIES["file_importance_whole"](spark, str(tmp_path)))} == {3, 4, 7}
