@@ -5,19 +5,16 @@ shingle of all its words). Texts of equal words are one node with its number
 of copies. Nodes are embedded as ``COORDINATES`` MinHash values, tokens that
 two sets share with a probability equal to their Jaccard similarity.
 
-Chosen paths: at each level a node chooses, by a hash of its path and the
-coordinate, about ``1 / threshold`` of its tokens, and goes on along each path
-extended by such a token. Similar sets therefore share a path with a constant
-probability at each level; dissimilar sets part. Buckets of at most
-``SMALL_BUCKET`` nodes are compared by brute force on the MinHash values;
-larger ones are split by the next level. Independent runs are repeated until
-the recall at level ``DEPTH`` reaches ``recall``.
-
-Before a large bucket is split, it is contracted: blocks of it are compared by
-brute force, and only one node of each group in a block goes on. A group of
-copies thus shrinks by a block's size at each level, so work grows with the
-number of nodes, whatever the size of a group. What is still large after
-``LEVELS`` levels is compared in full, as pairs of blocks.
+Chosen paths: in each run and at each level a node chooses, by a hash of its
+path, one of ``CHOICES`` tokens and goes on along the path extended by it. Each
+run and level has its own MinHash values, so runs are independent: two sets at
+the threshold share a path of ``DEPTH`` tokens in a run with probability
+``threshold ** DEPTH``. Buckets of at most ``SMALL_BUCKET`` nodes are compared
+by brute force on the ``COORDINATES`` values, larger ones are split by the next
+level with all their nodes, and what is still large at ``DEPTH`` tokens is
+compared in full, as pairs of blocks. So no pair can be lost later than there,
+and ``runs_for`` holds for buckets of every size; it also counts the pairs whose
+estimate from the ``COORDINATES`` values falls short.
 
 What was found joins nodes to candidate clusters. Within a cluster, exact
 Jaccard similarities of all nodes are counted from their whole shingle sets, a
@@ -49,29 +46,33 @@ SIZE = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
-#: Levels for which the number of runs reaches the recall; most pairs meet at the first.
+#: Tokens of the longest path. Buckets that are large at the last are compared in full.
 DEPTH = 3
-#: Levels after which buckets that stay large are compared in full.
-LEVELS = 10
+#: Tokens of a run and level of which a path chooses one.
+CHOICES = 2
 SMALL_BUCKET = 64
 BLOCK = 512
-#: Candidates may fall short of the threshold by so much, 3.5 standard deviations of the MinHash estimate.
-SLACK = 3.5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / COORDINATES)
+#: Candidates may fall short of the threshold by so many standard deviations of the MinHash estimate.
+DEVIATIONS = 4.5
 _SEED = 0x51ED270B
 
 
-def runs_for(recall: float, depth: int = DEPTH) -> int:
-    """Runs after which two sets at the threshold share a path of ``depth`` tokens with probability ``recall``."""
-    one = 1.0
-    for _ in range(depth):
-        one = 1 - math.exp(-one)
-    return math.ceil(math.log(1 - recall) / math.log(1 - one))
+def least_equal(threshold: float) -> int:
+    """Equal values of ``COORDINATES`` from which on two nodes are linked."""
+    return math.ceil((threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / COORDINATES)) * COORDINATES)
 
 
-def _chosen(path: int, threshold: float) -> np.ndarray:
-    """The coordinates that a path goes on with."""
-    key = mix(np.arange(COORDINATES, dtype=U64) + mix(np.array([path & (2**64 - 1)], U64)))
-    return np.flatnonzero(key < U64(int(2**64 / (threshold * COORDINATES))))
+def runs_for(recall: float, threshold: float = THRESHOLD, depth: int = DEPTH) -> int:
+    """Runs after which two sets at the threshold share a path of ``depth`` tokens and pass the estimate with probability ``recall``."""
+    short = sum(math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(least_equal(threshold)))
+    if short >= 1 - recall:
+        raise ValueError(f"a recall of {recall} needs more than {COORDINATES} values")
+    return max(1, math.ceil(math.log(1 - recall - short) / math.log(1 - threshold**depth))) if threshold < 1 else 1
+
+
+def _choice(path: np.ndarray) -> np.ndarray:
+    """Which of the next level's tokens each path goes on with."""
+    return (mix(path ^ U64(_SEED)) % U64(CHOICES)).astype(np.int64)
 
 
 def _extended(path: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -100,26 +101,30 @@ def _node_ids(words: Words) -> np.ndarray:
     return np.stack([first, second], axis=1)
 
 
-def _signed(size: int, roots: list[tuple[int, int]]):
+def _signed(size: int, runs: int):
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
             ("node", pa.binary()),
             ("shingles", pa.int64()),
             ("tokens", pa.binary()),
+            ("steps", pa.binary()),
             ("paths", pa.list_(pa.int64())),
         ]
     )
-    run = np.array([mix(np.array([r], U64))[0] for r, _ in roots], U64)
-    coordinate = np.array([i for _, i in roots], np.int64)
-    factors = (mix(np.arange(COORDINATES, dtype=U64) + U64(_SEED)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+    # the estimate's values, then those of each run, level and choice
+    values = COORDINATES + runs * DEPTH * CHOICES
+    run = mix(np.arange(runs, dtype=U64))
+    first = _choice(run)
+    coordinate = COORDINATES + np.arange(runs) * DEPTH * CHOICES + first
+    factors = (mix(np.arange(values, dtype=U64) + U64(_SEED)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 
     def sign(batches):
         for table in text_batches(batches, "text", 1 << 20):
             words = words_of(flat(table["text"]), BLANK_SEPARATED)
             starts, sizes, counts = shingle_spans(words, size)
             some = np.flatnonzero(counts)
-            tokens = np.zeros((len(counts), COORDINATES), np.uint32)
+            tokens = np.zeros((len(counts), values), np.uint32)
             if len(some):
                 low = (span_hashes(words, starts, sizes) >> U64(32)).astype(np.uint32)
                 begin = (np.cumsum(counts) - counts)[some]
@@ -129,15 +134,16 @@ def _signed(size: int, roots: list[tuple[int, int]]):
                     value *= np.uint32(0x2C1B3C6D)
                     tokens[some, j] = np.minimum.reduceat(value, begin)
             ids = _node_ids(words)
-            paths = _extended(run[None, :], coordinate[None, :], tokens[:, coordinate]).view(np.int64)
-            offsets = np.arange(0, paths.size + 1, len(roots), dtype=np.int32)
+            paths = _extended(run[None, :], first[None, :], tokens[:, coordinate]).view(np.int64)
+            offsets = np.arange(0, paths.size + 1, runs, dtype=np.int32)
             raw = tokens.astype(np.uint16)
             yield pa.record_batch(
                 [
                     flat(table["doc_id"]),
                     pa.array([x.tobytes() if n else None for x, n in zip(ids, counts, strict=True)], pa.binary()),
                     pa.array(counts.astype(np.int64)),
-                    pa.array([x.tobytes() for x in raw], pa.binary()),
+                    pa.array([x[:COORDINATES].tobytes() for x in raw], pa.binary()),
+                    pa.array([x[COORDINATES:].tobytes() for x in raw], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths.ravel())),
                 ],
                 schema=schema,
@@ -168,7 +174,16 @@ def _group_roots(key: np.ndarray, tokens: np.ndarray, need: int) -> np.ndarray:
     edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(edges, len(key)))
     found_a, found_b = [], []
-    for n in np.unique(sizes[sizes > 1]):
+    for begin, n in zip(edges[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
+        own = np.ascontiguousarray(tokens[begin : begin + n].T)
+        for k in range(0, n, 256):
+            equal = np.zeros((min(256, n - k), n), np.uint8)
+            for values in own:
+                equal += values[k : k + 256, None] == values[None, :]
+            x, y = np.nonzero(equal >= need)
+            found_a.append(begin + k + x)
+            found_b.append(begin + y)
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= SMALL_BUCKET)]):
         i, j = np.triu_indices(n, 1)
         begin = edges[sizes == n]
         step = max(1, 100_000 // len(i))
@@ -185,80 +200,67 @@ def _group_roots(key: np.ndarray, tokens: np.ndarray, need: int) -> np.ndarray:
     return _roots(len(key), np.concatenate(found_a), np.concatenate(found_b))
 
 
-_COMPARED = "path long, u binary, v binary, tokens binary"
-
-
-def _compare(need: int, contract: bool):
-    """Links of each bucket's nodes to a root; for ``contract`` also rows (path, root, null, tokens), which go on."""
+def _compare(need: int):
+    """Links (u, v) of each bucket's nodes to a root."""
 
     def compare(table: pa.Table) -> pa.Table:
         path = flat(table["path"]).to_numpy()
         nodes = np.array(flat(table["node"]).to_pylist(), object)
-        raw = np.array(flat(table["tokens"]).to_pylist(), object)
         order = np.lexsort((nodes, path))
-        path, nodes, raw, tokens = path[order], nodes[order], raw[order], _matrix(table["tokens"])[order]
+        path, nodes, tokens = path[order], nodes[order], _matrix(table["tokens"])[order]
         root = _group_roots(path, tokens, need)
         own = root == np.arange(len(root))
-        p, u, v, t = path[~own], nodes[~own], nodes[root[~own]], np.full((~own).sum(), None)
-        if contract:
-            p, u = np.append(p, path[own]), np.append(u, nodes[own])
-            v, t = np.append(v, np.full(own.sum(), None)), np.append(t, raw[own])
-        return pa.table(
-            [pa.array(p.astype(np.int64)), *[pa.array(x.tolist(), pa.binary()) for x in (u, v, t)]], names=["path", "u", "v", "tokens"]
-        )
+        return pa.table([pa.array(x.tolist(), pa.binary()) for x in (nodes[~own], nodes[root[~own]])], names=["u", "v"])
 
     return compare
 
 
-def _children(threshold: float):
+def _children(level: int):
+    """Each path extended by the token that it chooses at ``level``."""
+
     def extend(batches):
-        chosen = functools.lru_cache(maxsize=100_000)(functools.partial(_chosen, threshold=threshold))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch])
-            tokens = _matrix(table["tokens"])
-            paths = flat(table["path"]).to_pylist()
-            picks = [chosen(p) for p in paths]
-            row = np.repeat(np.arange(len(paths)), [len(p) for p in picks])
-            coordinate = np.concatenate(picks).astype(np.int64)
-            new = _extended(np.array(paths, np.int64).view(U64)[row], coordinate, tokens[row, coordinate])
-            yield pa.record_batch([pa.array(new.view(np.int64)), table["node"].combine_chunks().take(pa.array(row))], names=["path", "node"])
+            steps = np.frombuffer(b"".join(batch.column("steps").to_pylist()), np.uint16).reshape(-1, DEPTH, CHOICES)
+            path = batch.column("path").to_numpy().view(U64)
+            choice = _choice(path)
+            new = _extended(path, choice, steps[np.arange(len(path)), level, choice])
+            yield pa.record_batch([pa.array(new.view(np.int64)), batch.column("node"), batch.column("steps")], names=["path", "node", "steps"])
 
     return extend
 
 
 def _sized(paths: DataFrame) -> DataFrame:
-    """(path, node, bucket) of the paths that at least two nodes share."""
+    """``paths`` (path, node, steps) that at least two nodes share, with the size of their bucket."""
     sizes = paths.groupBy("path").agg(F.count("*").alias("bucket")).filter("bucket > 1")
     return paths.join(sizes, "path")
 
 
 def candidate_links(nodes: DataFrame, threshold: float, packs: int) -> DataFrame:
-    """Links (u, v) between nodes (node, tokens, paths) that are probably similar."""
-    need = math.ceil((threshold - SLACK) * COORDINATES)
+    """Links (u, v) between nodes (node, tokens, steps, paths) that are probably similar."""
+    compare = _compare(least_equal(threshold))
     tokens = nodes.select("node", "tokens")
-    paths = nodes.select("node", F.explode("paths").alias("path"))
+    width = 2 * DEPTH * CHOICES
+    paths = nodes.select("node", "steps", F.posexplode("paths").alias("run", "path"))
+    paths = paths.select("path", "node", F.expr(f"substring(steps, run * {width} + 1, {width})").alias("steps"))
     links: list[DataFrame] = []
-    for level in range(LEVELS):
+    for level in range(DEPTH):
         sized = stored(_sized(paths).join(tokens, "node"), "paths")
-        small = sized.filter(F.col("bucket") <= SMALL_BUCKET)
+        small = sized.filter(F.col("bucket") <= SMALL_BUCKET).select("path", "node", "tokens")
         packed = small.groupBy(F.pmod(F.col("path"), F.lit(packs)).alias("pack"))
-        links.append(packed.applyInArrow(_compare(need, False), _COMPARED).select("u", "v"))
+        links.append(packed.applyInArrow(compare, "u binary, v binary"))
         large = sized.filter(F.col("bucket") > SMALL_BUCKET)
         if large.isEmpty():
             break
-        blocks = F.ceil(F.col("bucket") / (BLOCK // 2))
-        dealt = large.withColumn("block", F.pmod(F.xxhash64("node", "path"), blocks))
-        if level == LEVELS - 1:  # what no path could part: all pairs of blocks
+        if level == DEPTH - 1:  # what no path could part: all pairs of blocks
+            blocks = F.ceil(F.col("bucket") / BLOCK)
+            dealt = large.withColumn("block", F.pmod(F.xxhash64("node", "path"), blocks))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             split = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-            links.append(dealt.groupBy("path", *split).applyInArrow(_compare(need, False), _COMPARED).select("u", "v"))
+            links.append(dealt.select("path", "node", "tokens", *split).groupBy("path", "low", "high").applyInArrow(compare, "u binary, v binary"))
             break
-        done = stored(dealt.groupBy("path", "block").applyInArrow(_compare(need, True), _COMPARED), "blocks")
-        links.append(done.filter("v IS NOT NULL").select("u", "v"))
-        on = done.filter("v IS NULL").select("path", F.col("u").alias("node"), "tokens")
-        paths = on.mapInArrow(_children(threshold), "path long, node binary").distinct()
+        paths = large.select("path", "node", "steps").mapInArrow(_children(level + 1), "path long, node binary, steps binary")
     return functools.reduce(DataFrame.unionByName, links).distinct()
 
 
@@ -362,10 +364,8 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
     linked with it, directly or through others.
     """
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    roots = [(r, int(i)) for r in range(runs_for(recall)) for i in _chosen(int(mix(np.array([r], U64))[0]), threshold)]
-    signed = stored(
-        rows.mapInArrow(_signed(size, roots), "doc_id long, node binary, shingles long, tokens binary, paths array<long>"), "signed"
-    )
+    schema = "doc_id long, node binary, shingles long, tokens binary, steps binary, paths array<long>"
+    signed = stored(rows.mapInArrow(_signed(size, runs_for(recall, threshold)), schema), "signed")
     real = signed.filter("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(
         real.groupBy("node").agg(
@@ -373,6 +373,7 @@ def jaccard_classes(docs: DataFrame, size: int = SIZE, threshold: float = THRESH
             F.count("*").alias("copies"),
             F.first("shingles").alias("shingles"),
             F.first("tokens").alias("tokens"),
+            F.first("steps").alias("steps"),
             F.first("paths").alias("paths"),
         ),
         "nodes",

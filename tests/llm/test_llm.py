@@ -1,6 +1,7 @@
 """Small fixtures against brute force, exact round trips, and the defined results of odd inputs."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -185,6 +186,27 @@ def test_jaccard_of_large_groups(spark, monkeypatch):
     assert rows(found) == sorted(helpers.jaccard(data), key=repr)
 
 
+def test_jaccard_recall_in_a_large_bucket(spark, monkeypatch):
+    """Pairs just over the threshold, all with one boilerplate, so that their buckets are large and split."""
+    monkeypatch.setattr(jaccard_join, "SMALL_BUCKET", 8)
+    rng = random.Random(11)
+    common, data = [f"c{i}" for i in range(204)], []
+    for i in range(400):
+        own = [f"y{rng.randrange(10**9)}" for _ in range(96)]
+        data += [(2 * i, " ".join([*common, *own])), (2 * i + 1, " ".join([*common, *own[:68], *[f"z{rng.randrange(10**9)}" for _ in range(28)]]))]
+    pair = helpers.jaccard(data[:4])
+    assert [(c, n) for _, c, n in pair] == [(0, 1), (0, 1), (2, 1), (2, 1)]
+    found = {r.doc_id: r.n_links for r in jaccard_join.jaccard_classes(spark.createDataFrame(data, DOCS)).collect()}
+    assert sum(found.values()) >= 2 * 398
+
+
+def test_jaccard_runs():
+    """Misses by paths and by the estimate together stay within the recall."""
+    runs, need = jaccard_join.runs_for(0.999), jaccard_join.least_equal(0.8)
+    short = sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(need))
+    assert (1 - 0.8**jaccard_join.DEPTH) ** runs + short <= 0.001
+
+
 def test_keep_one_of_each(spark, docs):
     kept = jaccard_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
