@@ -15,8 +15,10 @@ rows are all alike rejects only what is far from them by common measure.
 Quantiles are sketches with a relative rank error of 1e-4.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null language or source is a group of its own; groups of fewer than
-``MIN_GROUP`` usable rows reject nothing; repeated rows get equal verdicts;
+null language or source is a group of its own; a group of fewer than
+``MIN_GROUP`` usable rows is judged by the estimate of all rows of its language,
+and where these are fewer too, by that of all rows. Only if the whole table has
+fewer usable rows is nothing an outlier. Repeated rows get equal verdicts;
 empty tables give empty results; further columns are ignored.
 """
 
@@ -35,12 +37,14 @@ WINDOW = 5
 MAX_REPEATED_PERCENT = 20
 STEPS = 4
 #: Share of a group's rows that an estimate rests on.
-CORE = 0.75
+CORE = 0.5
 #: Square root of the 0.999999 quantile of chi-square with 4 degrees of freedom.
 MAX_DISTANCE = 5.8
-#: Makes the covariance of the core of 0.75 consistent for normal data in 4 dimensions.
-CONSISTENCY = 1.46
+#: Makes the covariance of the core of half the rows consistent for normal data in 4 dimensions.
+CONSISTENCY = 2.11
 MIN_GROUP = 30
+#: What an estimate is made for: level 0, a language and source; 1, a language; 2, all rows. Names above the level are null.
+POOL = ("__level", "__lang", "__source")
 #: Least standard deviation of each transformed statistic, and the statistic.
 FLOORS = {"word_length": 0.05, "symbols": 0.03, "line_length": 0.4, "repeats": 0.1}
 
@@ -150,18 +154,53 @@ def _estimates(rows: DataFrame, names: list[str]) -> DataFrame:
         for i, a in enumerate(names)
         for b in names[: i + 1]
     ]
-    return rows.groupBy("lang", "source").agg(*means, *covariances)
+    return rows.groupBy(*POOL).agg(*means, *covariances)
 
 
-def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    own = groups.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
-    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    return rows.join(own, same).drop("__lang", "__source")
+def _with_pool(rows: DataFrame, pools: DataFrame, how: str = "inner") -> DataFrame:
+    own = pools.select(*[F.col(c).alias(f"{c}_own") if c in POOL else F.col(c) for c in pools.columns])
+    same = reduce(lambda s, c: s & F.col(c).eqNullSafe(F.col(f"{c}_own")), POOL, F.lit(True))
+    return rows.join(own, same, how).drop(*[f"{c}_own" for c in POOL])
 
 
-def core_estimates(vectors: DataFrame, names: list[str], steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each (lang, source) in ``vectors``."""
-    middle = vectors.groupBy("lang", "source").agg(
+def _pool(level: Column) -> Column:
+    return F.struct(
+        level.alias("level"), F.when(level < 2, F.col("lang")).alias("lang"), F.when(level < 1, F.col("source")).alias("source")
+    )
+
+
+def levels_of(vectors: DataFrame) -> DataFrame:
+    """(lang, source, __level, __feeds): the level by which each group is judged, and all levels of estimates that its rows feed."""
+    groups = cut_lineage(vectors.groupBy("lang", "source").agg(F.count("*").alias("rows")))
+    languages = groups.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), (F.min("rows") < MIN_GROUP).alias("small"))
+    languages = languages.withColumn("small_lang", F.col("small") & (F.col("lang_rows") < MIN_GROUP))
+    any_small = languages.agg(F.coalesce(F.max("small_lang"), F.lit(False)).alias("any_small"))
+    own = languages.withColumnRenamed("lang", "__own")
+    level = F.when(F.col("rows") >= MIN_GROUP, 0).when(F.col("lang_rows") >= MIN_GROUP, 1).otherwise(2)
+    feeds = F.array(
+        F.when(F.col("rows") >= MIN_GROUP, 0), F.when(F.col("small") & (F.col("lang_rows") >= MIN_GROUP), 1), F.when(F.col("any_small"), 2)
+    )
+    known = groups.join(own, F.col("lang").eqNullSafe(F.col("__own"))).crossJoin(F.broadcast(any_small))
+    return cut_lineage(known.select("lang", "source", level.alias("__level"), F.array_compact(feeds).alias("__feeds")))
+
+
+def _leveled(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    own = levels.withColumnRenamed("lang", "__l").withColumnRenamed("source", "__s")
+    same = F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))
+    return rows.join(own, same, "left").drop("__l", "__s")
+
+
+def _pooled(rows: DataFrame, level: Column) -> DataFrame:
+    """``rows`` with the columns of ``POOL`` for ``level``."""
+    others = [c for c in rows.columns if c not in (*POOL, "__feeds")]
+    named = rows.withColumn("__level", level).withColumn("__pool", _pool(F.col("__level")))
+    return named.select(*others, *[F.col(f"__pool.{c[2:]}").alias(c) for c in POOL])
+
+
+def core_estimates(vectors: DataFrame, levels: DataFrame, names: list[str], steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each pool that ``levels`` asks for, from ``vectors`` (lang, source, names)."""
+    vectors = _pooled(_leveled(vectors, levels), F.explode("__feeds")).select(*POOL, *names)
+    middle = vectors.groupBy(*POOL).agg(
         *[F.percentile_approx(a, 0.5, 10_000).alias(f"m_{a}") for a in names],
         *[F.percentile_approx(a, [0.25, 0.75], 10_000).alias(f"q_{a}") for a in names],
         F.count("*").alias("rows"),
@@ -169,8 +208,7 @@ def core_estimates(vectors: DataFrame, names: list[str], steps: int = STEPS) ->
     spread = {a: (F.col(f"q_{a}")[1] - F.col(f"q_{a}")[0]) / 1.349 for a in names}
     first = (
         middle.filter(F.col("rows") >= MIN_GROUP).select(
-            "lang",
-            "source",
+            *POOL,
             *[f"m_{a}" for a in names],
             *[
                 (spread[a] * spread[a] + FLOORS[a] ** 2 if a == b else F.lit(0.0)).alias(f"c_{b}_{a}")
@@ -181,9 +219,9 @@ def core_estimates(vectors: DataFrame, names: list[str], steps: int = STEPS) ->
     )
     now = cut_lineage(_factored(first, names))
     for _ in range(steps):
-        measured = _with_group(vectors, now).select("lang", "source", *names, _distance(names).alias("__d"))
-        bound = measured.groupBy("lang", "source").agg(F.percentile_approx("__d", CORE, 10_000).alias("__bound"))
-        core = _with_group(measured, bound).filter("__d <= __bound")
+        measured = _with_pool(vectors, now).select(*POOL, *names, _distance(names).alias("__d"))
+        bound = measured.groupBy(*POOL).agg(F.percentile_approx("__d", CORE, 10_000).alias("__bound"))
+        core = _with_pool(measured, bound).filter("__d <= __bound")
         now = cut_lineage(_factored(_estimates(core, names), names))
     return now
 
@@ -196,10 +234,11 @@ def judge(docs: DataFrame) -> DataFrame:
     parts = transformed()
     rows = stored(base.select("*", *[F.when(~F.col("base_failed"), c).alias(n) for n, c in parts.items()]), "statistics")
     names = list(parts)
-    groups = core_estimates(rows.filter("NOT base_failed").select("lang", "source", *names), names)
-    own = groups.withColumnRenamed("lang", "__lang").withColumnRenamed("source", "__source")
-    same = F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source"))
-    measured = rows.join(own, same, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(names)))
+    usable = rows.filter("NOT base_failed").select("lang", "source", *names)
+    levels = levels_of(usable)
+    groups = core_estimates(usable, levels, names)
+    measured = _with_pool(_pooled(_leveled(rows, levels), F.col("__level")), groups, "left")
+    measured = measured.withColumn("distance", F.when(~F.col("base_failed"), _distance(names)))
     outlier = F.coalesce(F.col("distance") > MAX_DISTANCE, F.lit(False))
     return measured.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

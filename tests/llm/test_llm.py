@@ -319,6 +319,20 @@ def test_outliers(spark):
     assert all(kept[2000 + i] for i in range(5))
 
 
+def test_outliers_of_small_groups(spark):
+    """Junk in groups under MIN_GROUP is found by their language, or by all rows; 40% of junk don't make the estimate theirs."""
+    rng = random.Random(2)
+    prose = lambda: "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(25)) for _ in range(4))
+    junk = lambda: " ".join(f"{w}###" for w in prose().split())
+    data = [(i, prose(), "en", f"s{i % 20}") for i in range(200)] + [(1000 + i, junk(), "en", f"s{i % 20}") for i in range(40)]
+    data += [(2000 + i, prose(), "xx", "t") for i in range(5)] + [(3000 + i, junk(), "xx", None) for i in range(5)]
+    data += [(4000 + i, prose(), "yy", "u") for i in range(60)] + [(5000 + i, junk(), "yy", "u") for i in range(40)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()}
+    good = [k for k in kept if k // 1000 in (0, 2, 4)]
+    assert len(kept) == len(data) and sum(kept[i] for i in good) >= len(good) - 6
+    assert not any(v for k, v in kept.items() if k // 1000 in (1, 3, 5))
+
+
 # --- 8
 
 TURNS = [
