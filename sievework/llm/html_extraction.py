@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -205,13 +206,18 @@ def text_of(block: Block, template: frozenset = frozenset(), path: tuple = ()) -
     return " ".join(unescape("".join(out)).split())
 
 
-# --- wrappers: [key, optional, repeated, pages, chars, link chars, text or None if variable, inner wrappers]
+# --- wrappers: [key, optional, repeated, pages, chars, link chars, text (a long one's hash) or None if variable, inner wrappers]
 
 
 def _leaf_text(block: Block) -> str:
     return " ".join("".join(p for p in block.pieces if isinstance(p, str)).split())
 
 
+def _named(text: str) -> str:
+    """Stands for a block's whole text, in at most 32 characters."""
+    return text if len(text) < 32 else blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def wrapper_of(block: Block) -> list:
     """The wrapper of one page's block. Dropped blocks are left out."""
     done: dict[int, list] = {}
@@ -223,7 +229,7 @@ def wrapper_of(block: Block) -> list:
     for b in reversed(order):
         text = _leaf_text(b)
         inner = [done[id(p)] for p in b.pieces if isinstance(p, Block) and not p.drop]
-        done[id(b)] = [b.key, False, False, 1, len(text), min(b.link, len(text)), text[:200], _folded(inner)]
+        done[id(b)] = [b.key, False, False, 1, len(text), min(b.link, len(text)), _named(text), _folded(inner)]
     return done[id(block)]
 
 
@@ -330,17 +336,24 @@ def main_place(wrapper: list) -> tuple:
 
 
 def template_places(wrapper: list, place: tuple) -> list[tuple]:
-    """Places inside the article whose one text all of many different pages share; never paragraphs or headings."""
-    here = wrapper
+    """Places inside the article whose one text all of many different pages share; never paragraphs or headings.
+
+    A place is a path of keys: it counts only if each block on that path, siblings of equal keys too, is constant.
+    """
+    here = [wrapper]
     for key in place:
-        here = next(w for w in here[7] if w[0] == key)
-    varied = any(w[6] is None for _, w in _places(here))
-    if here[3] < TEMPLATE_PAGES or not varied:
+        here = [w for h in here for w in h[7] if w[0] == key]
+    varied = any(w[6] is None for h in here for _, w in _places(h))
+    if min(h[3] for h in here) < TEMPLATE_PAGES or not varied:
         return []
+    at: dict[tuple, list[tuple[list, int]]] = {}
+    for h in here:
+        for path, w in _places(h):
+            if path and "." in w[0]:
+                at.setdefault(path, []).append((w, h[3]))
+    constant = lambda w, pages: w[3] == pages and not w[2] and all(i[6] is not None for _, i in _places(w))
     return [
-        (*place, *path)
-        for path, w in _places(here)
-        if path and "." in w[0] and w[3] == here[3] and not w[2] and w[6] and all(i[6] is not None for _, i in _places(w))
+        (*place, *path) for path, found in at.items() if any(w[6] for w, _ in found) and all(constant(w, pages) for w, pages in found)
     ]
 
 

@@ -262,6 +262,23 @@ def test_wrapper_alignment():
     assert [(w[0], w[1], w[2]) for w in body[7]] == [("h1", False, False), ("p", False, True), ("table", True, False)]
 
 
+def test_preambles_and_equal_siblings_are_no_template():
+    """Texts that start alike vary; a constant block doesn't take its variable sibling of equal key with it."""
+    pages = [
+        f'<body><article><h1>h{i}</h1><div class="text">{"same preamble " * 20} own{i} words</div>'
+        f'<div class="box">always alike</div><p>p{i}</p><div class="box">varies{i}</div>'
+        '<div class="note">printed on every page of this host, longer than any hash</div></article></body>'
+        for i in range(12)
+    ]
+    wrapper = html_extraction.wrapper_of(html_extraction.read_blocks(pages[0]))
+    for page in pages[1:]:
+        wrapper = html_extraction.merged(wrapper, html_extraction.wrapper_of(html_extraction.read_blocks(page)))
+    rules = html_extraction.rules_of(wrapper)
+    for i, page in enumerate(pages):
+        text = html_extraction.extract(page, rules)
+        assert f"own{i} words" in text and f"varies{i}" in text and "printed on" not in text
+
+
 # --- 6
 
 
