@@ -1,22 +1,31 @@
 """Chat formatting with typed content parts.
 
-A message's content is a list of parts of type text, image, audio or document.
-A visitor per type flattens them, in order, into text and placeholders, records
-the references of all attachments and counts the tokens that each placeholder
-will stand for. The template marks turns, and every control string inside a
-text, a role or a reference is escaped reversibly: in ``<|``, ``<\\|``,
-``<\\\\|`` and so on one more backslash is put before the bar, so that a bare
-``<|`` in the output is always the template's own.
-
-Turns are formatted row by row. Reading back needs a conversation's turns in
-order: rows are dealt by conversation, sorted within partitions, and read as a
-stream with running digests, so a conversation of any length needs no more
-memory than one turn.
-
-Defined results: a null text or role is empty, a null part list has no parts;
-turns are ordered by turn (null first), equal ones by role and text; rows with
-a null conv_id are one conversation; empty tables give empty results; further
-columns are ignored.
+A message's content is a list of parts of type text, image, audio or document;
+a plain text is a list of one text part. A visitor flattens the parts, in order,
+into escaped text and placeholders, records the reference of each attachment and
+counts the tokens that its placeholder will stand for. The template then marks
+the turn. Every conversation takes this way, and reading back parses its output:
+``read_parts`` gives the parts of a turn again, ``read_back`` digests.
+
+All control strings begin with ``<|``: the turn marks, and the placeholders
+``<|image 0 ref|>``. Within texts and roles they are escaped reversibly: in
+``<|``, ``<\\|``, ``<\\\\|`` and so on one more backslash is put before the bar, so
+that a bare ``<|`` in the output is always the template's own. Neighbouring
+texts are joined before they are escaped, as the ``<`` of one and the ``|`` of
+the next would be a control string. References are percent-encoded.
+
+Turns are flattened and formatted row by row. Reading back needs a
+conversation's turns in order: rows are dealt by conversation, sorted within
+partitions, and read as a stream with running digests, so a conversation of any
+length needs no more memory than one turn.
+
+Defined results: a null text or role is empty, a null part list has no parts, a
+null part is left out; a part of null type is a text if it has a text, and else
+a document, as is a part of unknown type; a null reference is read back as null,
+an empty one as empty; neighbouring texts are read back as one text; sizes that
+are missing, negative or no numbers count as one token, or one page; turns are ordered by turn (null first), equal ones by role and
+text; rows with a null conv_id are one conversation; empty tables give empty
+results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +34,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +45,8 @@ from sievework.llm.common import pick
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
+#: A placeholder in the output: kind, number within the turn, reference.
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document) (\d+)(?: ([^|\n ]*))?\|>")
 #: A turn in the output: role, then body up to the end mark.
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
 
@@ -52,6 +64,7 @@ PART = T.StructType(
 FLAT = T.StructType(
     [
         T.StructField("content", T.StringType()),
+        T.StructField("plain", T.StringType()),
         T.StructField(
             "attachments",
             T.ArrayType(
@@ -92,47 +105,64 @@ def unescape_role(role: str) -> str:
 
 @dataclass
 class Flattener:
-    """Visits content parts in order; unknown types are kept as documents."""
+    """Visits content parts in order."""
 
     #: Image tokens: one per patch of so many pixels a side; audio: per second; documents: per page.
     patch: int = 28
     per_second: float = 25.0
     per_page: int = 512
     content: list[str] = field(default_factory=list)
+    plain: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
+    #: Neighbouring texts that aren't escaped yet.
+    texts: list[str] = field(default_factory=list)
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('type')}", self.visit_document)(part)
+        kind = part.get("type") or ("text" if part.get("text") is not None else "document")
+        getattr(self, f"visit_{kind}", self.visit_document)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.content.append(part.get("text") or "")
+        self.texts.append(part.get("text") or "")
 
     def visit_image(self, part: dict) -> None:
-        across = -(-(part.get("width") or self.patch) // self.patch)
-        down = -(-(part.get("height") or self.patch) // self.patch)
+        across, down = (max(1, -(-(part.get(side) or 0) // self.patch)) for side in ("width", "height"))
         self._attach("image", part, across * down)
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, round((part.get("seconds") or 0) * self.per_second)))
+        seconds = part.get("seconds") or 0
+        self._attach("audio", part, max(1, round(seconds * self.per_second)) if 0 < seconds < float("inf") else 1)
 
     def visit_document(self, part: dict) -> None:
         self._attach("document", part, max(1, part.get("pages") or 1) * self.per_page)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        number = len(self.attachments)
-        self.attachments.append({"number": number, "type": kind, "ref": part.get("ref"), "tokens": tokens})
-        self.content.append(f"[{kind}:{number}]")
+        self._escape_texts()
+        number, ref = len(self.attachments), part.get("ref")
+        self.attachments.append({"number": number, "type": kind, "ref": ref, "tokens": tokens})
+        self.content.append(f"<|{kind} {number}{'' if ref is None else ' ' + quote(ref, safe='/:')}|>")
+
+    def _escape_texts(self) -> None:
+        text = "".join(self.texts)
+        self.texts.clear()
+        self.plain.append(text)
+        self.content.append(escape(text))
 
     def result(self) -> dict:
+        self._escape_texts()
         return {
             "content": "".join(self.content),
+            "plain": "".join(self.plain),
             "attachments": self.attachments,
             "expanded_tokens": sum(a["tokens"] for a in self.attachments),
         }
 
 
 def flatten_parts(messages: DataFrame, column: str = "parts") -> DataFrame:
-    """``messages`` with the struct ``flat`` (content, attachments, expanded_tokens) of its typed parts."""
+    """``messages`` with the struct ``flat`` of its typed parts.
+
+    ``content`` is the escaped text with placeholders, ``plain`` the texts alone,
+    ``attachments`` has number, type, ref and tokens of each, ``expanded_tokens`` their sum.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = messages.columns
@@ -155,25 +185,58 @@ def flatten_parts(messages: DataFrame, column: str = "parts") -> DataFrame:
     return plain.mapInArrow(flatten, schema).toDF(*names, "flat")
 
 
-def _escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+def text_parts(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role and parts of plain rows (conv_id, turn, role, text): each text is a list of one text part."""
+    rows = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
+    values = {"type": F.lit("text"), "text": F.col("text").cast("string")}
+    part = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PART])
+    return rows.select("conv_id", "turn", "role", F.array(part).alias("parts"))
+
 
+def format_turns(messages: DataFrame) -> DataFrame:
+    """Each message (conv_id, turn, role, parts; or text instead of parts) as the template writes it.
 
-def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and ``formatted`` of each row (conv_id, turn, role, text), as expressions."""
-    rows = pick(conversations, conv_id="conv_id", turn="turn", role="role", text="text").select(
+    Returns conv_id, turn, role, text (its text parts alone), ``formatted``, attachments and expanded_tokens.
+    """
+    typed = messages if any(n.lower() == "parts" for n in messages.columns) else text_parts(messages)
+    rows = pick(typed, conv_id="conv_id", turn="turn", role="role", parts="parts").select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+        "parts",
+    )
+    role = F.regexp_replace(F.replace(F.replace("role", F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")), r"<(\\*)\|", r"<$1\\|")
+    return flatten_parts(rows).select(
+        "conv_id",
+        "turn",
+        "role",
+        F.col("flat.plain").alias("text"),
+        F.concat(F.lit(START), role, F.lit("\n"), F.col("flat.content"), F.lit(END)).alias("formatted"),
+        F.col("flat.attachments").alias("attachments"),
+        F.col("flat.expanded_tokens").alias("expanded_tokens"),
     )
-    role = _escaped(F.replace(F.replace("role", F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
-    return rows.withColumn("formatted", F.concat(F.lit(START), role, F.lit("\n"), _escaped(F.col("text")), F.lit(END)))
+
+
+def read_parts(formatted: str) -> list[tuple[str, list[tuple[str, str | None]]]]:
+    """(role, parts) of each turn in a formatted conversation; a part is (type, its text or reference)."""
+    out = []
+    for role, body in _TURN.findall(formatted):
+        parts: list[tuple[str, str | None]] = []
+        at = 0
+        for m in _PLACEHOLDER.finditer(body):
+            if m.start() > at:
+                parts.append(("text", unescape(body[at : m.start()])))
+            parts.append((m[1], None if m[3] is None else unquote(m[3])))
+            at = m.end()
+        if at < len(body):
+            parts.append(("text", unescape(body[at:])))
+        out.append((unescape_role(role), parts))
+    return out
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each turn in a formatted conversation."""
-    return [(unescape_role(r), unescape(t)) for r, t in _TURN.findall(formatted)]
+    """(role, texts joined) of each turn in a formatted conversation."""
+    return [(role, "".join(value or "" for kind, value in parts if kind == "text")) for role, parts in read_parts(formatted)]
 
 
 class _Reader:
@@ -233,12 +296,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(turns: DataFrame) -> DataFrame:
     """Digests of each conversation, parsed from the ``formatted`` turns of ``format_turns``.
 
-    The loss mask covers the texts of assistant turns, without marks.
+    The loss mask covers the texts of assistant turns, without marks and placeholders.
     """
     ordered = (
         turns.select("conv_id", "turn", "role", "text", "formatted")
         .repartition("conv_id")
-        .sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text")
+        .sortWithinPartitions(F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "text", "formatted")
         .select("conv_id", "formatted")
     )
     return ordered.mapInArrow(

@@ -83,7 +83,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    return chat_format.read_back(chat_format.format_turns(rows))
+    return chat_format.read_back(chat_format.format_turns(chat_format.text_parts(rows)))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
