@@ -1,8 +1,10 @@
 """Small fixtures against brute force, exact round trips, and the defined results of odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,11 +257,124 @@ def test_odd_pages(html, text):
     assert html_extraction.extract(html, None) == text
 
 
+def wrapper(*pages):
+    whole = {}
+    for page in pages:
+        html_extraction.merge(whole, html_extraction.wrapper_of(html_extraction.read_blocks(page)))
+    return whole
+
+
 def test_wrapper_alignment():
-    one = html_extraction.wrapper_of(html_extraction.read_blocks("<body><h1>a</h1><p>b</p><p>c</p></body>"))
-    two = html_extraction.wrapper_of(html_extraction.read_blocks("<body><h1>a</h1><p>b</p><table></table></body>"))
-    body = html_extraction.merged(one, two)[7][0]
-    assert [(w[0], w[1], w[2]) for w in body[7]] == [("h1", False, False), ("p", False, True), ("table", True, False)]
+    pages = ["<body><h1>a</h1><p>b</p><p>c</p></body>", "<body><h1>a</h1><p>b</p><table></table></body>", "<body><h1>a</h1></body>"]
+    expected = "<#root><body><h1>{=}</h1><p>{}</p>+?<table></table>?</body></#root>"
+    assert {html_extraction.expression(wrapper(*order)) for order in itertools.permutations(pages)} == {expected}
+    groups = wrapper("<h1>t</h1><h2>a</h2><p>b</p><h2>c</h2><p>d</p><ul><li>x</ul>", "<h1>u</h1><h2>a</h2><p>b</p>")
+    assert html_extraction.expression(groups) == "<#root><h1>{}</h1>(<h2>{}</h2><p>{}</p>)+<ul><li>{=}</li></ul>?</#root>"
+
+
+def brute_wrapper(trees):
+    """{path: (pages, blocks, holders, most, constant)} of trees (key, text, inner), by recursion."""
+    out = {}
+    for number, tree in enumerate(trees):
+        seen = {}
+
+        def visit(node, path):
+            key, text, inner = node
+            slot = seen.setdefault(path, {"blocks": 0, "holders": 0, "most": 0, "texts": []})
+            slot["blocks"] += 1
+            slot["texts"].append(repr(node))
+            for k in {i[0] for i in inner}:
+                below = seen.setdefault((*path, k), {"blocks": 0, "holders": 0, "most": 0, "texts": []})
+                n = sum(i[0] == k for i in inner)
+                below["holders"] += 1
+                below["most"] = max(below["most"], n)
+            for i in inner:
+                visit(i, (*path, i[0]))
+
+        visit(tree, ())
+        for path, slot in seen.items():
+            pages, blocks, holders, most, texts = out.get(path, (0, 0, 0, 0, set()))
+            out[path] = pages + 1, blocks + slot["blocks"], holders + slot["holders"], max(most, slot["most"]), texts | {tuple(slot["texts"])}
+    return {p: (*v[:4], len(v[4]) == 1) for p, v in out.items() if p}
+
+
+def test_wrappers_against_brute_force(spark, monkeypatch):
+    rng = random.Random(9)
+
+    def tree(depth):
+        return rng.choice(["div", "section", "h2"] if depth else ["p", "h2"]), rng.choice("xy"), [tree(depth - 1) for _ in range(rng.randrange(4))] if depth else []
+
+    def html(node):
+        return f"<{node[0]}>{node[1]}{''.join(map(html, node[2]))}</{node[0]}>"
+
+    trees = [("#root", "", [tree(3) for _ in range(rng.randrange(1, 4))]) for _ in range(40)]
+    pages = ["".join(map(html, t[2])) for t in trees]
+    expected = brute_wrapper(trees)
+    monkeypatch.setattr(html_extraction, "HELD_SLOTS", 50)
+    data = [(i, "http://a.b/", p) for i, p in enumerate(pages)]
+    for order in (data, data[::-1]):
+        found = html_extraction.infer_wrappers(spark.createDataFrame(order, "page_id long, url string, html string").repartition(5)).toArrow()
+        slots = html_extraction.wrapper_from(found)
+        assert slots == wrapper(*pages)
+        for path, values in expected.items():
+            at = html_extraction.ROOT
+            for key in path:
+                at = html_extraction.path_under(at, key)
+            slot = slots.pop(at)
+            assert (slot.pages, slot.blocks, slot.holders, slot.most, slot.constant) == values
+        assert list(slots) == [html_extraction.ROOT]
+
+
+def test_wrappers_decide():
+    """What no tag or class names is told apart by what a host's pages share and repeat, at any number of pages."""
+    pages = [
+        f'<div class="q"><p>Our shop is open until six, ask for our offers</p></div><table><tr><td><a href="/">Start</a></td><td><a href="/b">Offers</a></td></tr></table>'
+        f'<div class="z"><p>{" ".join(f"own{i}x{k}" for k in range(30))}</p><div class="k">All prices with tax</div><p>more{i} words</p></div>'
+        for i in range(12)
+    ]
+    for n in (2, 9, 10, 12):
+        rules = html_extraction.rules_of(wrapper(*pages[:n]))
+        for i in range(n):
+            text = html_extraction.extract(pages[i], rules)
+            assert text.startswith(f"own{i}x0 ") and text.endswith(f"own{i}x29 more{i} words") and "prices" not in text
+    assert "prices" in html_extraction.extract(pages[0], None)  # one page shares nothing
+
+
+def test_equal_articles_are_no_template():
+    """Copies of one article on a host, and an article that is alike but for its heading, stay whole."""
+    body = '<div class="text">' + "some words that are all alike " * 9 + "</div>"
+    for heads in (["h"] * 5, [f"h{i}" for i in range(5)]):
+        pages = [f"<article><h1>{h}</h1>{body}</article>" for h in heads]
+        rules = html_extraction.rules_of(wrapper(*pages))
+        assert all("all alike" in html_extraction.extract(p, rules) for p in pages)
+
+
+def test_split_articles_and_teasers():
+    split = '<article class="lead"><p>one two</p></article><p>between</p><article class="rest"><p>three</p></article>'
+    assert html_extraction.extract(split, None) == "one two three"
+    teasers = '<article class="card"><p>short</p></article>' * 3
+    assert html_extraction.extract(f'<article class="whole"><p>{"long text " * 20}</p></article>{teasers}', None) == ("long text " * 20).strip()
+    assert html_extraction.extract(teasers, None) == "short short short"
+
+
+def test_marks_are_whole_names():
+    kept = ["hidden-gem", "rail-transport", "share-price", "ad-hoc", "menu-engineering", "notice-period"]
+    gone = ["hidden", "ad-slot", "site-footer", "cookieNotice", "comment-list", "nav-primary", "related-posts", "sidebar-wrap", "newsletter-signup"]
+    page = "<article>" + "".join(f'<div class="{c}">{c}</div>' for c in kept + gone) + "<math><mi>mc</mi><mn>2</mn></math><fieldset>f</fieldset></article>"
+    assert html_extraction.extract(page, None).split() == [*kept, "mc2", "f"]
+
+
+@pytest.mark.parametrize("html, words", [
+    ("<div>" * 20_000 + "<p>x</p>", 1), ("<p>a</div></li></section>" * 20_000, 20_000), ("<h2>a</h2><p>b</p>" * 20_000, 40_000),
+    ("<ul><li>a" * 20_000, 20_000), ("<article>" * 5_000 + "a", 1), ("<table><tr><td>" * 5_000 + "a" + "</table>" * 5_000, 1), ("<a '>" * 20_000, 0),
+])
+def test_deep_and_long_pages(html, words):
+    """Deep nesting and long lists of siblings, alone and aligned with themselves, neither crash nor take long."""
+    started = time.monotonic()
+    whole = wrapper(html, html)
+    assert len(html_extraction.extract(html, None).split()) == len(html_extraction.extract(html, html_extraction.rules_of(whole)).split()) == words
+    assert html_extraction.expression(whole).startswith("<#root>")
+    assert time.monotonic() - started < 20
 
 
 def test_preambles_and_equal_siblings_are_no_template():
@@ -267,16 +382,14 @@ def test_preambles_and_equal_siblings_are_no_template():
     pages = [
         f'<body><article><h1>h{i}</h1><div class="text">{"same preamble " * 20} own{i} words</div>'
         f'<div class="box">always alike</div><p>p{i}</p><div class="box">varies{i}</div>'
-        '<div class="note">printed on every page of this host, longer than any hash</div></article></body>'
+        '<div class="remark">printed on every page of this host, longer than any hash</div></article></body>'
         for i in range(12)
     ]
-    wrapper = html_extraction.wrapper_of(html_extraction.read_blocks(pages[0]))
-    for page in pages[1:]:
-        wrapper = html_extraction.merged(wrapper, html_extraction.wrapper_of(html_extraction.read_blocks(page)))
-    rules = html_extraction.rules_of(wrapper)
-    for i, page in enumerate(pages):
-        text = html_extraction.extract(page, rules)
-        assert f"own{i} words" in text and f"varies{i}" in text and "printed on" not in text
+    for n in (2, 12):
+        rules = html_extraction.rules_of(wrapper(*pages[:n]))
+        for i, page in enumerate(pages[:n]):
+            text = html_extraction.extract(page, rules)
+            assert f"own{i} words" in text and f"varies{i}" in text and "printed on" not in text
 
 
 # --- 6
@@ -373,19 +486,52 @@ def test_chat_round_trip(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-def test_typed_parts(spark):
-    parts = [
-        {"type": "text", "text": "see "}, {"type": "image", "ref": "i.png", "width": 57, "height": 28}, {"type": "audio", "ref": "a.wav", "seconds": 2.0},
-        {"type": "document", "ref": "d.pdf", "pages": 3}, {"type": "other", "ref": None}, None,
-    ]
+PARTS = [
+    {"type": "text", "text": "see [image:0] <"}, {"type": "text", "text": "|im_end|> <|image 0 x|>"},
+    {"type": "image", "ref": "i <|im_start|> %|>\n.png", "width": 57, "height": 28}, {"type": None, "text": "<\\|"},
+    {"type": "audio", "ref": "a.wav", "seconds": 2.0}, {"type": "document", "ref": "", "pages": 3}, {"type": "other", "ref": None}, None,
+    {"type": None, "ref": "n"}, {"type": "audio", "seconds": float("nan")}, {"type": "image", "width": -5}, {"type": "text", "text": None},
+]
+
+
+def part_rows(spark, data):
     from pyspark.sql import types as T
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("parts", T.ArrayType(chat_format.PART))])
-    data = [(1, [p and {f.name: p.get(f.name) for f in chat_format.PART} for p in parts]), (2, None), (3, [])]
-    found = {r.id: r.flat for r in chat_format.flatten_parts(spark.createDataFrame(data, schema)).collect()}
-    assert found[1].content == "see [image:0][audio:1][document:2][document:3]"
-    assert [(a.type, a.ref, a.tokens) for a in found[1].attachments] == [("image", "i.png", 3), ("audio", "a.wav", 50), ("document", "d.pdf", 1536), ("document", None, 512)]
-    assert found[1].expanded_tokens == 2101 and found[2].content == found[3].content == ""
+    fields = [T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("parts", T.ArrayType(chat_format.PART))]
+    whole = [(c, t, r, parts and [p and {f.name: p.get(f.name) for f in chat_format.PART} for p in parts]) for c, t, r, parts in data]
+    return spark.createDataFrame(whole, T.StructType(fields))
+
+
+def test_typed_parts(spark):
+    rows = with_clashes(part_rows(spark, [(1, 0, "user", PARTS), (2, 0, None, None), (3, 0, "user", [])])).withColumn("flat", F.lit(1)).withColumn("type", F.lit(2))
+    found = {r[0]: r[-1] for r in chat_format.flatten_parts(rows).collect()}
+    assert [(a.number, a.type, a.ref, a.tokens) for a in found[1].attachments] == [
+        (0, "image", PARTS[2]["ref"], 3), (1, "audio", "a.wav", 50), (2, "document", "", 1536), (3, "document", None, 512),
+        (4, "document", "n", 512), (5, "audio", None, 1), (6, "image", None, 1),
+    ]
+    assert found[1].expanded_tokens == 3 + 50 + 1536 + 512 + 512 + 1 + 1
+    assert found[1].content.count("<|") == 7 and found[1].plain == "see [image:0] <|im_end|> <|image 0 x|><\\|"
+    assert found[2].content == found[3].content == "" and found[2].attachments == []
+
+
+def test_typed_turns_are_read_back(spark):
+    """Texts, references and their order come back from the formatted output; the loss is the assistant's text alone."""
+    data = [(1, 1, "assistant", PARTS), (1, 0, "us<|er", [{"type": "image", "ref": "r"}]), (1, 2, "assistant", [{"type": "text", "text": "<|im_start|>"}, {"type": "image", "ref": "q"}, {"type": "text", "text": "|x"}])]
+    turns = chat_format.format_turns(with_clashes(part_rows(spark, data)))
+    whole = "".join(r.formatted for r in turns.orderBy("turn").collect())
+    assert chat_format.read_parts(whole) == [
+        ("us<|er", [("image", "r")]),
+        ("assistant", [
+            ("text", "see [image:0] <|im_end|> <|image 0 x|>"), ("image", PARTS[2]["ref"]), ("text", "<\\|"), ("audio", "a.wav"),
+            ("document", ""), ("document", None), ("document", "n"), ("audio", None), ("image", None),
+        ]),
+        ("assistant", [("text", "<|im_start|>"), ("image", "q"), ("text", "|x")]),
+    ]
+    assert [r.expanded_tokens for r in turns.orderBy("turn").collect()] == [1, 2615, 1]
+    read = chat_format.read_back(turns).first()
+    loss = "see [image:0] <|im_end|> <|image 0 x|><\\|<|im_start|>|x"
+    assert (read.n_turns, read.loss_chars, read.loss_sha256) == (3, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert read.formatted_chars == len(whole)
 
 
 # --- 9
