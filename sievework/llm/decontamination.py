@@ -6,24 +6,34 @@ and, for each, the positions of all its occurrences. A segment is made and
 searched by one task, so postings are never shuffled and a word that is in
 every document costs no task more than its own segment.
 
-``search`` looks up each window of the benchmark in every segment: a window
-with a word that the segment lacks is out; for the others the position lists
-are intersected after subtracting each word's offset in the window, from the
-segment's rarest word on. What is left are exact phrase matches. With ``slop``
-the words may also stand in any order within ``window + slop`` words
-(proximity match).
+``search`` keys each window of the benchmark by that of its words which is in
+the fewest windows. A segment looks up its own words, and so meets only windows
+whose rarest test word it has: its work grows with the words that it shares with
+the benchmark, not with the benchmark. A window with another word that the
+segment lacks is out; for the others the position lists are intersected after
+subtracting each word's offset in the window, from the segment's rarest word on.
+What is left are exact phrase matches. With ``slop`` the words may also stand in
+any order within ``window + slop`` words (proximity match).
+
+The benchmark is searched in blocks of ``block_bytes`` of text, each of which is
+made into plain arrays of about 30 times that on the driver, sent to the
+executors, and released once its matches are stored; each block reads the index
+once. An item longer than a block is cut into pieces that overlap by a window.
 
 Words are compared by 64-bit hashes. A wrong phrase match needs a collision of
 every differing word at its very position.
 
 Defined results: a null or wordless text has ``n_words`` 0 and no matches; a
 null ``doc_id`` is kept as null; repeated rows each get a row; items with a
-null text or no words match nothing; items with equal texts all match; empty
-tables give empty results; further columns are ignored.
+null text or no words match nothing; items with equal texts all match; different
+texts of one ``item_id`` are one item; words that an item of null id matches are
+hit, but the item isn't listed; empty tables give empty results; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.common import few_files, flat, pick, shared_path, text_batches
+from sievework.llm.common import few_files, flat, pick, shared_path, stored, text_batches
 from sievework.llm.words import ALPHANUMERIC, words_of
 
 WINDOW = 10
 SEGMENT_BYTES = 1 << 20
 #: Benchmark text in one block of queries; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 INDEX_SCHEMA = T.StructType(
     [
@@ -113,7 +123,7 @@ def build_index(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFram
 
 
 class Queries:
-    """Distinct windows of some benchmark items, with the items each stands for."""
+    """Distinct windows of some benchmark items, with the items each stands for; all in plain arrays."""
 
     @classmethod
     def of(cls, state: dict) -> Queries:
@@ -122,22 +132,41 @@ class Queries:
         vars(out).update(state)
         return out
 
-    def __init__(self, items: list[tuple[int, str]], window: int) -> None:
-        found: dict[bytes, set[int]] = {}
+    def __init__(self, items: list[tuple[int | None, str]], window: int) -> None:
         words = words_of(pa.array([text or "" for _, text in items], pa.string()), ALPHANUMERIC)
-        for number, (item_id, _) in enumerate(items):
-            own = words.hashes[words.offsets[number] : words.offsets[number + 1]]
-            size = min(window, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                found.setdefault(own[at : at + size].tobytes(), set()).add(item_id)
-        self.items = [sorted(x, key=lambda i: (i is None, i)) for x in found.values()]
-        rows = [np.frombuffer(x, np.uint64) for x in found]
-        self.vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
+        self.vocabulary, word = np.unique(words.hashes, return_inverse=True)
+        counts = words.counts
+        windows = np.where(counts >= window, counts - window + 1, (counts > 0).astype(np.int64))
+        item = np.repeat(np.arange(len(items)), windows)
+        size = np.minimum(counts, window)[item]
+        start = words.offsets[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
         #: Numbers in the vocabulary; short windows are filled with the last place, an always present word.
-        self.size = np.array([len(x) for x in rows], np.int64)
-        self.words = np.full((len(rows), window), len(self.vocabulary), np.int64)
-        for number, row in enumerate(rows):
-            self.words[number, : len(row)] = np.searchsorted(self.vocabulary, row)
+        every = np.full((len(item), window), len(self.vocabulary), np.int32)
+        for j in range(window):
+            long = np.flatnonzero(size > j)
+            every[long, j] = word[start[long] + j]
+        _, first, which = np.unique(every.view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        self.words, self.size = every[first], size[first].astype(np.int64)
+        order = np.argsort(which, kind="stable")
+        self.item_offsets = np.searchsorted(which[order], np.arange(len(first) + 1))
+        self.item_ids = [items[k][0] for k in item[order].tolist()]
+        # each window by the word of it that is in the fewest windows
+        frequency = np.append(np.bincount(self.words.ravel(), minlength=len(self.vocabulary) + 1)[:-1], np.iinfo(np.int64).max)
+        key = self.words[np.arange(len(first)), np.argmin(frequency[self.words], axis=1)] if len(first) else np.zeros(0, np.int32)
+        self.by_key = np.argsort(key, kind="stable")
+        self.key_offsets = np.searchsorted(key[self.by_key], np.arange(len(self.vocabulary) + 1))
+
+    def items(self, window: int) -> set[int | None]:
+        """The items that a window stands for."""
+        return set(self.item_ids[self.item_offsets[window] : self.item_offsets[window + 1]])
+
+    def candidates(self, there: np.ndarray) -> np.ndarray:
+        """Windows all of whose words are ``there`` (by vocabulary), looked up by their rarest words."""
+        found = np.flatnonzero(there)
+        begin, counts = self.key_offsets[found], self.key_offsets[found + 1] - self.key_offsets[found]
+        at = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        windows = self.by_key[at]
+        return windows[np.append(there, True)[self.words[windows]].all(axis=1)]
 
 
 def _phrase(lists: list[np.ndarray]) -> np.ndarray:
@@ -197,10 +226,12 @@ def _searcher(queries, slop: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 counts = np.frombuffer(value("counts").as_py(), np.uint32)
                 hits: dict[int, list] = {}
                 if len(terms) and len(asked.vocabulary):
-                    places = np.minimum(np.searchsorted(terms, asked.vocabulary), len(terms) - 1)
-                    there = np.append(terms[places] == asked.vocabulary, True)
-                    alive = np.flatnonzero(there[asked.words].all(axis=1))
+                    _, shared, place = np.intersect1d(asked.vocabulary, terms, assume_unique=True, return_indices=True)
+                    there = np.zeros(len(asked.vocabulary), bool)
+                    there[shared] = True
+                    alive = asked.candidates(there)
                     if len(alive):
+                        places = dict(zip(shared.tolist(), place.tolist(), strict=True))
                         positions = np.frombuffer(unpacker.decompress(value("positions").as_py()), np.uint32)
                         begin = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                         for q in alive:
@@ -225,7 +256,7 @@ def _searcher(queries, slop: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                                 inside = ends <= offsets[docs + 1]
                             for d, s, e in zip(docs[inside].tolist(), starts[inside].tolist(), ends[inside].tolist(), strict=True):
                                 own = hits.setdefault(d, [])
-                                own.extend((item, s - int(offsets[d]), e - int(offsets[d])) for item in asked.items[q])
+                                own.extend((item, s - int(offsets[d]), e - int(offsets[d])) for item in asked.items(q))
                 n = len(n_words)
                 yield pa.record_batch(
                     [
@@ -241,17 +272,32 @@ def _searcher(queries, slop: int) -> Callable[[Iterator[pa.RecordBatch]], Iterat
     return run
 
 
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of at most ``limit`` characters; one block is in memory at a time."""
+def _pieces(text: str, limit: int, window: int) -> Iterator[str]:
+    """``text``, or parts of at most about ``limit`` bytes that overlap by a window less one word."""
+    if len(text) <= limit:
+        yield text
+        return
+    words = words_of(pa.array([text], pa.large_string()), ALPHANUMERIC)
+    at, n = 0, len(words.starts)
+    while at < n:
+        end = int(np.searchsorted(words.ends, words.starts[at] + limit, "right"))
+        end = min(n, max(end, at + window))
+        yield words.data[words.starts[at] : words.ends[end - 1]].tobytes().decode()
+        at = n if end == n else end - window + 1
+
+
+def _blocks(benchmark: DataFrame, limit: int, window: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of at most about ``limit`` characters; one block is in memory at a time."""
     held: list[tuple[int, str]] = []
     size = 0
-    rows = pick(benchmark, item_id="item_id", text="text").dropna(subset=["text"])
-    for item_id, text in rows.toLocalIterator():
-        if held and size + len(text) > limit:
-            yield held
-            held, size = [], 0
-        held.append((item_id, text))
-        size += len(text)
+    rows = pick(benchmark, item_id="item_id", text="text").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    for item_id, text in rows.dropna(subset=["text"]).toLocalIterator():
+        for piece in _pieces(text, limit, window):
+            if held and size + len(piece) > limit:
+                yield held
+                held, size = [], 0
+            held.append((item_id, piece))
+            size += len(piece)
     yield held
 
 
@@ -262,23 +308,26 @@ def search(
 
     Returns per training row: segment, ordinal (its place there), doc_id,
     n_words and spans, an array of (item_id, start, end) in words; an item's
-    overlapping windows are one span.
+    overlapping windows are one span within a block.
     """
-    spark = index.sparkSession
-    found = [
-        index.mapInArrow(_searcher(spark.sparkContext.broadcast(vars(Queries(block, window))), slop), MATCH_SCHEMA)
-        for block in _blocks(benchmark, block_bytes)
-    ]
-    if len(found) == 1:
-        return found[0]
-    union = found[0]
-    for more in found[1:]:
-        union = union.unionByName(more)
-    return union.groupBy("segment", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("spans")).alias("spans"),
-    )
+    context = index.sparkSession.sparkContext
+    blocks = _blocks(benchmark, block_bytes, window)
+    block, following = next(blocks), next(blocks, None)
+    sent = context.broadcast(vars(Queries(block, window)))
+    if following is None:
+        return index.mapInArrow(_searcher(sent, slop), MATCH_SCHEMA)
+    hits: list[DataFrame] = []
+    while sent is not None:
+        found = index.mapInArrow(_searcher(sent, slop), MATCH_SCHEMA).filter(F.size("spans") > 0).select("segment", "ordinal", "spans")
+        hits.append(stored(found, "matches"))
+        sent.destroy()
+        sent = None if following is None else context.broadcast(vars(Queries(following, window)))
+        following = next(blocks, None)
+    union = functools.reduce(DataFrame.unionByName, hits).groupBy("segment", "ordinal").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("ordinal", "row"))
+    rows = rows.select("segment", "ordinal", F.col("row.doc_ids").alias("doc_id"), F.col("row.n_words").alias("n_words"))
+    none = F.array().cast("array<struct<item_id:long,start:long,end:long>>")
+    return rows.join(union, ["segment", "ordinal"], "left").withColumn("spans", F.coalesce("spans", none))
 
 
 def summarise(matches: DataFrame) -> DataFrame:
@@ -294,7 +343,7 @@ def summarise(matches: DataFrame) -> DataFrame:
         ),
         lambda a: a["hit"],
     )
-    items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string"))))
+    items = F.array_sort(F.array_compact(F.array_distinct(F.transform("spans", lambda s: s["item_id"].cast("string")))))
     return matches.select("segment", "ordinal", "doc_id", "n_words", hit.alias("n_hit"), items.alias("items"), "spans")
 
 

@@ -79,6 +79,25 @@ def test_decontamination_against_brute_force(spark, docs, texts):
     assert rows(digests(blocks)) == sorted(helpers.contaminated(texts, ITEMS), key=repr)
 
 
+def test_decontamination_of_random_overlaps(spark):
+    """Items of one id and several texts, ties, items longer than a block."""
+    rng = random.Random(4)
+    piece = lambda n: " ".join(f"v{rng.randrange(6)}" for _ in range(n))
+    data = [(i, piece(rng.randrange(60))) for i in range(60)]
+    items = [(i % 7, piece(rng.randrange(1, 14))) for i in range(20)] + [(50, data[3][1]), (51, f"{data[3][1]} {data[4][1]}")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (60, 1 << 20):
+        index = decontamination.build_index(spark.createDataFrame(data, DOCS).repartition(3))
+        found = decontamination.summarise(decontamination.search(index, bench, block_bytes=block_bytes))
+        assert rows(digests(found)) == sorted(helpers.contaminated(data, items), key=repr)
+
+
+def test_items_without_id(spark):
+    bench = spark.createDataFrame([(None, "alpha beta"), (2, "gamma")], "item_id long, text string")
+    found = decontamination.decontaminate(spark.createDataFrame([(1, "Alpha beta x gamma")], DOCS), bench).first()
+    assert (found.n_hit, list(found["items"])) == (3, ["2"])
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     found = {
