@@ -7,13 +7,19 @@ difference ``(b - g) / (b + g)`` is high for good texts. A logistic curve,
 fitted on labelled texts that the dictionaries haven't seen and weighted by the
 labels' true frequencies, turns it into a probability.
 
-Fitting takes at most ``SAMPLE_ROWS`` labelled texts of each class, those with
-the least hashes of their doc_id (found from the ids alone), and of each at most ``SAMPLE_BYTES`` bytes;
-that bounds the driver's memory. Scoring covers every byte of every text.
+Fitting takes at most ``sample_rows`` labelled texts of each class, those with
+the least hashes of their doc_id (found from the ids alone); seven tenths of
+them teach the dictionaries, the others the curve. A dictionary is trained on
+at most ``pieces`` pieces, those with the least hashes among all pieces of its
+whole texts. The curve's texts are compressed whole, on the executors. So the
+driver holds ids, pieces and one number per text, all bounded by parameters.
+Scoring covers every byte of every text.
 
 Defined results: null and empty texts have difference 0; labels that are null
 or of unknown documents don't count; several labels of a document count as
-their mean, a half as good; if either class has no sample, the score is the
+their mean, a half as good; several texts of a document are all learned from,
+and give the curve their mean difference; documents with equal hashes are taken
+by doc_id; if either class has no sample, the score is the
 share of good labels, (good + 1) / (all + 2), for all texts; repeated rows get
 equal scores; empty tables give empty results; further columns are ignored.
 """
@@ -22,6 +28,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +39,8 @@ from sievework.llm.common import pick
 
 PIECE = 4096
 SAMPLE_ROWS = 4000
-SAMPLE_BYTES = 16 << 10
+#: Pieces that a dictionary is trained on: 16 MB, some hundred times its size.
+DICTIONARY_PIECES = 4096
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 #: Score from which a text is predicted to be good.
@@ -73,17 +81,34 @@ def difference(text: memoryview | bytes, good: _Sizes, bad: _Sizes) -> float:
     return (b - g) / (b + g)
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; of too few texts for training, their own bytes."""
+def _dictionary(pieces: list[bytes]) -> bytes:
+    """A trained dictionary; of too few pieces for training, their own bytes."""
     import zstandard
 
-    pieces = [t[k : k + PIECE] for t in texts for k in range(0, len(t), PIECE)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, pieces).as_bytes()
     except zstandard.ZstdError:
         return b"".join(pieces)[-DICTIONARY_BYTES:]
 
 
+def _cut(batches):
+    """The pieces of whole texts (good, doc_id, text), each with a hash of document and place."""
+    for batch in batches:
+        rows = []
+        for good, doc_id, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for k in range(0, len(text), PIECE):
+                rows.append((good, md5(f"{doc_id}|{k}".encode()).digest(), text[k : k + PIECE]))
+                if len(rows) == 1024:
+                    yield _pieces(rows)
+                    rows = []
+        yield _pieces(rows)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["good", "at", "piece"])
+
+
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a weighted, slightly damped logistic regression, by Newton steps."""
     scale = float(x.std()) or 1.0
@@ -105,38 +130,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pieces: int = DICTIONARY_PIECES) -> Model:
     """The model of the labels (doc_id, quality) that aren't held out."""
+    spark = docs.sparkSession
     known = (
         pick(labels, doc_id="doc_id", quality="quality")
         .filter(~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.avg("quality").alias("quality"))
         .filter("quality IS NOT NULL")
-        .select("doc_id", (F.col("quality") >= 0.5).alias("good"))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") >= 0.5).alias("good"))
     )
     counts = {r["good"]: r["n"] for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
     texts = pick(docs, doc_id="doc_id", text="text").filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    texts = texts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     there = known.join(texts.select("doc_id").distinct(), "doc_id").withColumn("at", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    sample: dict[bool, list[bytes]] = {True: [], False: []}
     few = [there.filter(F.col("good") == kind).orderBy("at", "doc_id").limit(sample_rows) for kind in (True, False)]
-    chosen = F.broadcast(few[0].unionByName(few[1]))  # at most twice sample_rows rows
-    rows = texts.join(chosen, "doc_id").select("good", "at", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("text"))
-    for row in sorted(rows.collect(), key=lambda r: (r["at"], bytes(r["text"]))):
-        sample[row["good"]].append(bytes(row["text"]))
+    chosen: dict[bool, list[int]] = {True: [], False: []}
+    for row in sorted(few[0].unionByName(few[1]).collect(), key=lambda r: (r["at"], r["doc_id"])):  # at most twice sample_rows
+        chosen[row["good"]].append(row["doc_id"])
     n_good, n_bad = counts.get(True, 0), counts.get(False, 0)
     share = (n_good + 1) / (n_good + n_bad + 2)
-    if min(len(sample[True]), len(sample[False])) < 4:
+    if min(map(len, chosen.values())) < 4:
         return Model(b"", b"", 0.0, math.log(share / (1 - share)))
-    learn = {kind: own[: len(own) * 7 // 10] for kind, own in sample.items()}
-    model = Model(_dictionary(learn[True]), _dictionary(learn[False]), 0.0, 0.0)
-    good, bad = _Sizes(model.good), _Sizes(model.bad)
+    roles = [(doc, kind, k < len(own) * 7 // 10) for kind, own in chosen.items() for k, doc in enumerate(own)]
+    sample = F.broadcast(spark.createDataFrame(roles, "doc_id long, good boolean, learn boolean"))
+    own = texts.join(sample, "doc_id")
+    learned = own.filter("learn").select("good", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_cut, "good boolean, at binary, piece binary")
+    trained = {}
+    for kind in (True, False):
+        least = learned.filter(F.col("good") == kind).orderBy("at", "piece").limit(pieces).collect()
+        trained[kind] = _dictionary([bytes(r["piece"]) for r in least])
+    model = Model(trained[True], trained[False], 0.0, 0.0)
+    rest = own.filter("NOT learn").select("doc_id", "text")
+    measured = score(rest, model).groupBy("doc_id").agg(F.avg("difference").alias("x")).join(sample, "doc_id").select("doc_id", "good", "x")
     x, y, weight = [], [], []
+    found = sorted(measured.collect(), key=lambda r: r["doc_id"])
     for kind, n in ((True, n_good), (False, n_bad)):
-        rest = sample[kind][len(learn[kind]) :]
-        x += [difference(t, good, bad) for t in rest]
-        y += [float(kind)] * len(rest)
-        weight += [n / (n_good + n_bad) / len(rest) * 1000] * len(rest)
+        values = [r["x"] for r in found if r["good"] == kind]
+        x += values
+        y += [float(kind)] * len(values)
+        weight += [n / (n_good + n_bad) / len(values) * 1000] * len(values)
     slope, offset = _curve(np.array(x), np.array(y), np.array(weight))
     return Model(model.good, model.bad, slope, offset)
 

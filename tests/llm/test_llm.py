@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -605,6 +606,50 @@ def test_classifier(spark):
     assert rows(kept.select("doc_id")) == rows(scores.filter("score >= 0.5").select("doc_id"))
 
 
+def test_classifier_against_brute_force(spark):
+    """Sample, pieces, dictionaries and differences as plain Python makes them; one document has several texts, some are long."""
+    import zstandard
+
+    rng = random.Random(3)
+    good = lambda n: " ".join(rng.choice(helpers.PROSE) for _ in range(n))
+    bad = lambda n: "$$$ ".join(str(rng.randrange(1000)) for _ in range(n))
+    data = [(i, good(60 + 2000 * (i % 9 == 0)) if i % 3 else bad(60 + 4000 * (i % 9 == 0))) for i in range(200)] + [(4, good(90)), (6, bad(90)), (201, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(200)] + [(7, 0), (10, 1)]
+    model = compression_classifier.fit(spark.createDataFrame(data, DOCS).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"), 40, 50)
+    texts, trained = {}, {}
+    for i, text in data:
+        texts.setdefault(i, []).append(text.encode())
+    for kind in (1, 0):
+        ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 and (i % 3 > 0) == kind]
+        ids = sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:40]
+        cut = [(hashlib.md5(f"{i}|{k}".encode()).digest(), t[k : k + 4096]) for i in ids[:28] for t in texts[i] for k in range(0, len(t), 4096)]
+        trained[kind] = compression_classifier._dictionary([p for _, p in sorted(cut)[:50]])
+    assert (model.good, model.bad) == (trained[1], trained[0])
+
+    def size(text, dictionary):
+        pack = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_dict_id=False, write_checksum=False)
+        return sum(len(pack.compress(text[k : k + 4096])) for k in range(0, len(text), 4096))
+
+    scored = compression_classifier.score(spark.createDataFrame(data, DOCS), model).collect()
+    expected = []
+    for i, text in data:
+        g, b = size(text.encode(), model.good), size(text.encode(), model.bad)
+        d = (b - g) / (b + g) if text else 0.0
+        expected.append((i, round(d, 12), round(1 / (1 + math.exp(-(model.slope * d + model.offset))), 9)))
+    assert sorted((r.doc_id, round(r.difference, 12), round(r.score, 9)) for r in scored) == sorted(expected)
+
+
+def test_bad_text_behind_a_good_start(spark):
+    """A long text is learned and scored whole: bad text after many good bytes makes it worse."""
+    rng = random.Random(5)
+    good = lambda n: " ".join(rng.choice(helpers.PROSE) for _ in range(n))
+    bad = lambda n: "$$$ ".join(str(rng.randrange(1000)) for _ in range(n))
+    data = [(i, good(7000) if i % 2 else f"{good(3500)} {bad(4500)}") for i in range(120)]
+    docs = spark.createDataFrame(data, DOCS)
+    model = compression_classifier.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int"))
+    assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in compression_classifier.score(docs, model).collect())
+
+
 def test_classifier_without_labels(spark):
     docs = spark.createDataFrame([(1, "x"), (2, None)], DOCS)
     model = compression_classifier.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
