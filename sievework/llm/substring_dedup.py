@@ -3,18 +3,26 @@
 Every window of ``k`` words is an edge from its first to its last k-1 words.
 
 1. Documents are dealt into parts of about ``part_bytes`` of text by a hash.
-   A part sends each distinct edge once, with the smallest document in which
-   it starts, in packed rows: one for each part and range of edge hashes. An
-   edge that is in every document therefore meets at most once per part.
+   A part sends each distinct edge once, with the coordinates (document and
+   word) at which it first starts, in packed rows: one for each range of edge
+   hashes that it has edges of. An edge that is in every document therefore
+   meets at most once per part.
 2. Edges are joined by hash (one task per range): each part that has an edge
-   whose first document lies elsewhere is told that document.
-3. A second join by part brings these answers to the texts. Consecutive
-   repeated edges with the same source document form a nonbranching path; each
-   document is a walk in the graph, so neighbours need no search. Paths are
-   compacted into spans (start, end, source_doc), and the words they cover go.
-
-The texts are shuffled once: both joins by part read the same exchange.
-Edges are 64-bit hashes; with N windows about N**2 / 2**65 pairs collide.
+   whose first document lies elsewhere is told the coordinates there.
+3. A second join by part brings these answers to the texts. Each document is a
+   walk in the graph, so an edge's neighbours need no search: consecutive
+   repeated edges whose sources are consecutive words of one document form a
+   nonbranching path, and are compacted into a span.
+4. A third join takes each distinct span of a part to the part of its source,
+   where its words are compared with those at the source's coordinates (by a
+   128-bit digest of both runs of words). Spans that are equal go back by a
+   fourth join, and the words that they cover go. A passage that every document
+   has is asked for at most once per part.
+
+The texts are shuffled once: all joins by part read the same exchange. Edges are
+64-bit hashes; with N windows about N**2 / 2**65 pairs collide. Such a pair
+never removes a word: its span fails the comparison. (It may hide a true source
+of that one edge.)
 
 Defined results: a null or wordless text loses nothing; a row with a null
 ``doc_id`` is never a source and loses nothing; rows with one ``doc_id`` are
@@ -25,6 +33,7 @@ empty results; further columns are ignored.
 from __future__ import annotations
 
 import math
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm.common import few_files, flat
-from sievework.llm.words import BLANK_SEPARATED, U64, Words, covered, window_hashes, words_of
+from sievework.llm.words import BLANK_SEPARATED, U64, Words, window_hashes, words_of
 
 K = 13
 PART_BYTES = 2 << 20
@@ -43,100 +52,199 @@ RANGE_EDGES = 750_000
 
 SPAN = T.ArrayType(
     T.StructType(
-        [T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("source_doc", T.LongType())]
+        [T.StructField(n, T.LongType()) for n in ("start", "end", "source_doc", "source_start")]
     )
 )
-_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("source_doc", pa.int64())]))
+_SPAN_ARROW = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "source_doc", "source_start")]))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Differences of 64-bit numbers by byte planes, compressed."""
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers by byte planes, compressed."""
     import zstandard
 
-    values = values.astype(np.int64, copy=False).view(U64)
-    change = values.copy()
-    change[1:] -= values[:-1]
-    return zstandard.ZstdCompressor(level=1).compress(change.view(np.uint8).reshape(-1, 8).T.tobytes())
+    raw = values.astype(np.int64, copy=False).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(raw.T.tobytes())
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _numbers(data: bytes) -> np.ndarray:
+    """The inverse of ``_planes``."""
     import zstandard
 
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(U64).ravel(), dtype=U64)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel()
 
 
-class _Part:
-    """The edges of a part: all windows, and the distinct ones by hash."""
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers as differences."""
+    change = values.astype(np.int64, copy=True).view(U64)
+    change[1:] -= values.astype(np.int64, copy=False).view(U64)[:-1]
+    return _planes(change.view(np.int64))
 
-    def __init__(self, table: pa.Table, k: int, ranges: int) -> None:
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data).view(U64), dtype=U64)
+
+
+class _Texts:
+    """The texts of a part, by document, and their words."""
+
+    def __init__(self, table: pa.Table) -> None:
         doc = flat(table["__doc"])
-        self.has_id = ~np.asarray(doc.is_null())
+        order = pc.array_sort_indices(doc)  # nulls last
+        self.table = table.take(order)
+        doc = doc.take(order)
+        self.n_ids = len(doc) - doc.null_count
         self.doc = doc.fill_null(0).to_numpy(zero_copy_only=False)
-        self.words: Words = words_of(flat(table["__text"]), BLANK_SEPARATED)
+        self.row = flat(self.table["__row"]).to_numpy()
+        self.words: Words = words_of(flat(self.table["__text"]), BLANK_SEPARATED)
+
+    def rows_of(self, doc: int) -> range:
+        own = self.doc[: self.n_ids]
+        return range(int(np.searchsorted(own, doc)), int(np.searchsorted(own, doc, "right")))
+
+    def digest(self, first: int, end: int) -> bytes:
+        """A digest of a run of words, whatever blanks are between them."""
+        raw = self.words.data[self.words.starts[first] : self.words.ends[end - 1]].tobytes()
+        return blake2b(b" ".join(raw.split()), digest_size=16).digest()
+
+
+class _Part(_Texts):
+    """The edges of a part: all windows, and the distinct ones by hash with their first coordinates."""
+
+    def __init__(self, table: pa.Table, k: int, ranges: int) -> None:
+        super().__init__(table)
         at, hashes = window_hashes(self.words, k)
         row = np.searchsorted(self.words.offsets, at, "right") - 1
-        use = self.has_id[row]
-        self.at, hashes = at[use], hashes[use]
-        self.window_doc = self.doc[row[use]]
-        order = np.argsort(hashes, kind="stable")
+        use = row < self.n_ids
+        self.at, hashes, self.window_row = at[use], hashes[use], row[use]
+        self.window_doc = self.doc[self.window_row]
+        order = np.argsort(hashes, kind="stable")  # documents ascend, so the first of equal edges is the source
         ranked = hashes[order]
         new = np.ones(len(ranked), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         self.edges = ranked[new]
-        begin = np.flatnonzero(new)
-        self.first_doc = np.minimum.reduceat(self.window_doc[order], begin) if len(begin) else begin
+        first = order[new]
+        self.first_doc = self.window_doc[first]
+        self.first_start = self.at[first] - self.words.offsets[self.window_row[first]]
         self.edge_of = np.empty(len(order), np.int64)
         self.edge_of[order] = np.cumsum(new) - 1
-        edge_range = (self.edges >> U64(32)) * U64(ranges) >> U64(32)
-        self.cuts = np.searchsorted(edge_range, np.arange(ranges + 1, dtype=U64))
+        edge_range = ((self.edges >> U64(32)) * U64(ranges) >> U64(32)).astype(np.int64)
+        head = np.ones(len(edge_range), bool)
+        head[1:] = edge_range[1:] != edge_range[:-1]
+        begin = np.flatnonzero(head)
+        #: (range, first edge, edge after) of each range that has edges.
+        self.cuts = list(zip(edge_range[begin].tolist(), begin.tolist(), np.append(begin[1:], len(edge_range)).tolist(), strict=True)) if len(begin) else []
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_EDGES = "range long, part long, edges binary, docs binary, starts binary"
+_ANSWERS = "__part long, range long, ranks binary, docs binary, parts binary, starts binary"
+#: A distinct span of a part, and the places (document, text's hash, first word) where it stands there.
+_SPANS = "part long, source_part long, source_doc long, source_start long, length long, digest binary, places binary"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (column.split() for column in ddl.split(", "))])
 
 
 def _send(k: int, ranges: int):
-    schema = pa.schema([("range", pa.int64()), ("part", pa.int64()), ("edges", pa.binary()), ("docs", pa.binary())])
+    schema = _arrow(_EDGES)
 
     def send(table: pa.Table) -> pa.Table:
         part = _Part(table, k, ranges)
         own = table["__part"][0].as_py()
         rows = [
-            (r, own, _packed(part.edges[a:b]), _packed(part.first_doc[a:b]))
-            for r, (a, b) in enumerate(zip(part.cuts[:-1], part.cuts[1:], strict=True))
-            if b > a
+            (r, own, _packed(part.edges[a:b].view(np.int64)), _planes(part.first_doc[a:b]), _planes(part.first_start[a:b])) for r, a, b in part.cuts
         ]
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        return _table(rows, schema)
 
     return send
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For each part the edges of this range that start in an earlier document of another part."""
+    """For each part the edges of this range that start in an earlier document of another part, and where."""
     parts = table["part"].to_pylist()
     edges = [_unpacked(x.as_py()) for x in table["edges"]]
-    docs = [_unpacked(x.as_py()).view(np.int64) for x in table["docs"]]
     sizes = [len(x) for x in edges]
-    every, every_doc = np.concatenate(edges), np.concatenate(docs)
-    del edges, docs
+    every = np.concatenate(edges)
+    doc, start = (np.concatenate([_numbers(x.as_py()) for x in table[n]]) for n in ("docs", "starts"))
+    part = np.repeat(np.array(parts, np.int64), sizes)
+    del edges
     order = np.argsort(every, kind="stable")
-    ranked = every[order]
+    ranked, ranked_doc = every[order], doc[order]
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     begin = np.flatnonzero(new)
-    first = np.minimum.reduceat(every_doc[order], begin)
-    source = np.empty_like(every_doc)
-    source[order] = np.repeat(first, np.diff(np.append(begin, len(ranked))))
-    told, start = [], 0
-    for part, n in zip(parts, sizes, strict=True):
-        own = source[start : start + n]
-        ranks = np.flatnonzero(own < every_doc[start : start + n])
-        start += n
+    run = np.cumsum(new) - 1
+    least = np.flatnonzero(ranked_doc == np.minimum.reduceat(ranked_doc, begin)[run])
+    chosen = least[np.searchsorted(run[least], np.arange(len(begin)))]  # the first with the least document
+    source = np.empty(len(order), np.int64)
+    source[order] = order[chosen][run]
+    told, at = [], 0
+    for own, n in zip(parts, sizes, strict=True):
+        origin = source[at : at + n]
+        ranks = np.flatnonzero(doc[origin] < doc[at : at + n])
+        at += n
         if len(ranks):
-            told.append((part, table["range"][0].as_py(), _packed(ranks), _packed(own[ranks])))
-    columns = list(zip(*told, strict=True)) or [[], [], [], []]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table(
-        [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["__part", "range", "ranks", "docs"]
-    )
+            origin = origin[ranks]
+            told.append((own, table["range"][0].as_py(), _packed(ranks), _planes(doc[origin]), _planes(part[origin]), _planes(start[origin])))
+    return _table(told, _arrow(_ANSWERS))
+
+
+def _paths(k: int, ranges: int):
+    schema = _arrow(_SPANS)
+
+    def paths(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        """The compacted repeated paths of a part's documents, with the coordinates of their sources."""
+        if not texts.num_rows:
+            return schema.empty_table()
+        part = _Part(texts, k, ranges)
+        own = texts["__part"][0].as_py()
+        doc, start, where = part.first_doc.copy(), part.first_start.copy(), np.full(len(part.edges), own)
+        first = {r: a for r, a, _ in part.cuts}
+        for r, ranks, *told in zip(answers["range"].to_pylist(), *[answers[n] for n in ("ranks", "docs", "parts", "starts")], strict=True):
+            at = first[r] + _unpacked(ranks.as_py()).view(np.int64)
+            doc[at], where[at], start[at] = (_numbers(x.as_py()) for x in told)
+        origin = doc[part.edge_of]
+        again = origin < part.window_doc
+        at, row, edge = part.at[again], part.window_row[again], part.edge_of[again]
+        origin, where, start = origin[again], where[edge], start[edge]
+        head = np.ones(len(at), bool)
+        head[1:] = (
+            (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (origin[1:] != origin[:-1]) | (where[1:] != where[:-1]) | (start[1:] != start[:-1] + 1)
+        )
+        heads = np.flatnonzero(head)
+        ends = at[np.append(heads[1:], len(at)) - 1] + k if len(heads) else heads
+        base = part.words.offsets[row[heads]]
+        places = np.stack([part.doc[row[heads]], part.row[row[heads]], at[heads] - base], axis=1)
+        spans: dict[tuple, list[int]] = {}
+        for n, key in enumerate(zip(where[heads].tolist(), origin[heads].tolist(), start[heads].tolist(), at[heads].tolist(), ends.tolist(), strict=True)):
+            spans.setdefault((*key[:3], key[4] - key[3], part.digest(*key[3:])), []).append(n)
+        return _table([(own, *key, places[found].tobytes()) for key, found in spans.items()], schema)
+
+    return paths
+
+
+def _verify(texts: pa.Table, spans: pa.Table) -> pa.Table:
+    """The spans whose words stand at their source's coordinates."""
+    schema = _arrow(_SPANS)
+    if not texts.num_rows or not spans.num_rows:
+        return schema.empty_table()
+    part = _Texts(texts)
+    known: dict[tuple[int, int, int], set[bytes]] = {}
+    good = []
+    for doc, start, length, digest in zip(*[spans[n].to_pylist() for n in ("source_doc", "source_start", "length", "digest")], strict=True):
+        place = doc, start, length
+        if place not in known:
+            rows = [part.words.offsets[r : r + 2].tolist() for r in part.rows_of(doc)]
+            known[place] = {part.digest(low + start, low + start + length) for low, high in rows if low + start + length <= high}
+        good.append(digest in known[place])
+    return spans.filter(pa.array(good))
 
 
 def _without(words: Words, byte_offsets: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,33 +263,28 @@ def _without(words: Words, byte_offsets: np.ndarray, removed: np.ndarray) -> tup
     return words.data[keep], kept_before[byte_offsets]
 
 
-def _strip(k: int, ranges: int, schema: pa.Schema):
-    def strip(texts: pa.Table, answers: pa.Table) -> pa.Table:
+def _strip(schema: pa.Schema):
+    def strip(texts: pa.Table, spans: pa.Table) -> pa.Table:
+        """The texts without the words in their spans."""
         if not texts.num_rows:
             return schema.empty_table()
-        part = _Part(texts, k, ranges)
-        source = part.first_doc.copy()
-        for r, ranks, docs in zip(answers["range"].to_pylist(), answers["ranks"], answers["docs"], strict=True):
-            at = part.cuts[r] + _unpacked(ranks.as_py()).view(np.int64)
-            source[at] = _unpacked(docs.as_py()).view(np.int64)
-        words = part.words
-        window_source = source[part.edge_of]
-        repeated = window_source < part.window_doc
-        at, origin = part.at[repeated], window_source[repeated]
-        removed = covered(at, k, len(words.hashes))
-        # paths: consecutive repeated edges with one source document
-        rows = np.searchsorted(words.offsets, at, "right") - 1
-        head = np.ones(len(at), bool)
-        head[1:] = (at[1:] != at[:-1] + 1) | (origin[1:] != origin[:-1]) | (rows[1:] != rows[:-1])
-        heads = np.flatnonzero(head)
-        tails = np.append(heads[1:], len(at)) - 1 if len(heads) else heads
-        spans: list[list[dict]] = [[] for _ in range(texts.num_rows)]
-        for row, a, b, doc in zip(
-            rows[heads].tolist(), at[heads].tolist(), (at[tails] + k).tolist(), origin[heads].tolist(), strict=True
-        ):
-            base = int(words.offsets[row])
-            spans[row].append({"start": a - base, "end": b - base, "source_doc": doc})
-        text = flat(texts["__text"])
+        part = _Texts(texts)
+        words, table = part.words, part.table
+        change = np.zeros(len(words.hashes) + 1, np.int32)
+        found: list[list[dict]] = [[] for _ in range(table.num_rows)]
+        standing: set[tuple[int, ...]] = set()
+        for length, *source, places in zip(*[spans[n].to_pylist() for n in ("length", "source_doc", "source_start", "places")], strict=True):
+            for doc, text, start in np.frombuffer(places, np.int64).reshape(-1, 3).tolist():
+                standing.add((doc, text, start, start + length, *source))
+        for doc, text, start, end, source_doc, source_start in sorted(standing):
+            for row in part.rows_of(doc):
+                if part.row[row] == text:
+                    base = words.offsets[row]
+                    change[base + start] += 1
+                    change[base + end] -= 1
+                    found[row].append({"start": start, "end": end, "source_doc": source_doc, "source_start": source_start})
+        removed = np.cumsum(change[:-1]) > 0
+        text = flat(table["__text"])
         out = text
         if removed.any():
             lengths = np.asarray(pc.binary_length(text.fill_null("")), dtype=np.int64)
@@ -198,9 +301,9 @@ def _strip(k: int, ranges: int, schema: pa.Schema):
             "text": out,
             "n_words": pa.array(words.counts.astype(np.int64)),
             "n_removed": pa.array(np.diff(counts).astype(np.int64)),
-            "spans": pa.array(spans, _SPAN_ARROW),
+            "spans": pa.array(found, _SPAN_ARROW),
         }
-        columns = [new[f.name] if f.name in new else texts[f.name] for f in schema]
+        columns = [new[f.name] if f.name in new else table[f.name] for f in schema]
         return pa.table([c.cast(f.type) if isinstance(c, pa.ChunkedArray) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return strip
@@ -226,7 +329,8 @@ def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES,
     total = base.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
     ranges = max(1, math.ceil(total / 6 / RANGE_EDGES))
-    base = base.withColumn("__part", F.pmod(F.xxhash64("__doc", F.xxhash64("__text")), F.lit(parts)).cast("long"))
+    base = base.withColumn("__row", F.xxhash64("__text"))
+    base = base.withColumn("__part", F.pmod(F.xxhash64("__doc", "__row"), F.lit(parts)).cast("long"))
     out = T.StructType(
         [
             *[f for f in base.schema if f.name.startswith("_c") or f.name == "__doc"],
@@ -236,9 +340,12 @@ def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES,
             T.StructField("spans", SPAN),
         ]
     )
-    edges = base.groupBy("__part").applyInArrow(_send(k, ranges), "range long, part long, edges binary, docs binary")
-    answers = edges.groupBy("range").applyInArrow(_answer, "__part long, range long, ranks binary, docs binary")
-    done = base.groupBy("__part").cogroup(answers.groupBy("__part")).applyInArrow(_strip(k, ranges, to_arrow_schema(out)), out)
+    by_part = base.groupBy("__part")
+    edges = by_part.applyInArrow(_send(k, ranges), _EDGES)
+    answers = edges.groupBy("range").applyInArrow(_answer, _ANSWERS)
+    spans = by_part.cogroup(answers.groupBy("__part")).applyInArrow(_paths(k, ranges), _SPANS)
+    verified = by_part.cogroup(spans.groupBy("source_part")).applyInArrow(_verify, _SPANS)
+    done = by_part.cogroup(verified.groupBy("part")).applyInArrow(_strip(to_arrow_schema(out)), out)
     done = few_files(done)
     found = [F.col(n) for n in ("n_words", "n_removed", "spans")]
     if not carry:

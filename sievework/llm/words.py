@@ -170,11 +170,3 @@ def span_hashes(words: Words, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     sums = np.zeros(n + 1, U64)
     np.cumsum(words.hashes * up[:n], out=sums[1:])
     return mix((sums[starts + sizes] - sums[starts]) * down[starts])
-
-
-def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window of ``size`` words at ``starts``."""
-    change = np.zeros(n + 1, np.int32)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + size, n), -1)
-    return np.cumsum(change[:-1]) > 0

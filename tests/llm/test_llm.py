@@ -442,7 +442,28 @@ def test_substring_dedup_carries_columns_and_spans(spark):
     two = done.filter("doc_id = 2").first()
     assert done.columns == ["doc_id", "lang", "text", "n_words", "n_removed", "spans"]
     assert (two.text, two.lang, two.n_removed) == ("x y  z", "de", 20)
-    assert [tuple(s) for s in two.spans] == [(1, 21, 1)]
+    assert [tuple(s) for s in two.spans] == [(1, 21, 1, 2)]
+
+
+def test_spans_are_verified_at_their_source(spark, monkeypatch):
+    """Edges that collide remove nothing: spans whose words differ from those at the source's coordinates are dropped."""
+    from sievework.llm import words
+
+    true_hashes = words.window_hashes
+
+    def colliding(found, size):
+        at, hashes = true_hashes(found, size)
+        return at, hashes % words.U64(7) << words.U64(60)
+
+    rng = random.Random(6)
+    passage = " ".join(f"p{i}" for i in range(30))
+    data = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))) for i in range(30)] + [(40, f"{passage} x"), (41, f"y {passage}")]
+    docs = spark.createDataFrame(data, DOCS)
+    whole = {r.doc_id: (r.n_removed, [tuple(s) for s in r.spans]) for r in substring_dedup.dedup_substrings(docs, part_bytes=2000).collect()}
+    assert whole[41] == (30, [(1, 31, 40, 0)]) and all(whole[i] == (0, []) for i in range(41) if i in whole)
+    monkeypatch.setattr(substring_dedup, "window_hashes", colliding)
+    for r in substring_dedup.dedup_substrings(docs, part_bytes=2000).collect():
+        assert r.n_removed == 0 or r.doc_id == 41
 
 
 # --- 7
