@@ -1,25 +1,28 @@
 """Quality rules: base rules and robust multivariate outliers, as DataFrame expressions only.
 
 Statistics of each text are transformed to a vector; per language and source a
-minimum-covariance-determinant estimate of centre and covariance is found by
-concentration steps: from the half of the rows nearest to the group's medians,
-each step takes mean and covariance of the current half and then the half with
-the least Mahalanobis distances. The last estimate, scaled to be consistent for
-normal data, gives each row's distance; rows beyond a chi-square quantile are
-outliers and are rejected.
+minimum-covariance-determinant estimate of centre and covariance is sought. There
+are several deterministic starts about the group's medians: the quartiles' spreads
+alone, and with these the covariances of hyperbolic tangents and of spatial signs
+of the standardised vectors. From each, concentration steps follow: the half of
+the rows with the least Mahalanobis distances gives the next mean and covariance,
+until no determinant changes any more. Of a group's starts the one with the least
+determinant is kept. Scaled to be consistent for normal data, it gives each row's
+distance; rows beyond a chi-square quantile are outliers and are rejected.
 
 A group's steps are aggregations (sums, and quantile sketches of bounded size)
-and joins with one row per group: a group with a third of all rows is
-pre-aggregated like any other. Covariances get a floor, so that a group whose
-rows are all alike rejects only what is far from them by common measure.
-Quantiles are sketches with a relative rank error of 1e-4.
+and joins with one row per group; all starts are columns of the same rows. A group
+with a third of all rows is pre-aggregated like any other. Covariances get a
+floor, so that a group whose rows are all alike rejects only what is far from them
+by common measure. Quantiles are sketches with a relative rank error of 1e-4.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null language or source is a group of its own; a group of fewer than
 ``MIN_GROUP`` usable rows is judged by the estimate of all rows of its language,
 and where these are fewer too, by that of all rows. Only if the whole table has
-fewer usable rows is nothing an outlier. Repeated rows get equal verdicts;
-empty tables give empty results; further columns are ignored.
+fewer usable rows is nothing an outlier. Repeated rows get equal verdicts; of
+starts with equal determinants the first counts; empty tables give empty results;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,11 @@ WORD = r"[^\x20\x09-\x0D]"
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEATED_PERCENT = 20
-STEPS = 4
+#: Concentration steps at most, if the determinants don't settle before: their logarithms change by less than ``SETTLED``.
+STEPS = 25
+SETTLED = 1e-3
+#: Starts: spreads alone, hyperbolic tangents, spatial signs.
+STARTS = 3
 #: Share of a group's rows that an estimate rests on.
 CORE = 0.5
 #: Square root of the 0.999999 quantile of chi-square with 4 degrees of freedom.
@@ -128,33 +135,38 @@ def transformed() -> dict[str, Column]:
 
 
 def _factored(groups: DataFrame, names: list[str]) -> DataFrame:
-    """``groups`` with the Cholesky factor ``l_y_x`` of its covariance ``c_y_x``, entry by entry, instead of the covariance."""
-    for i, a in enumerate(names):
-        for j, b in enumerate(names[: i + 1]):
-            rest = reduce(lambda s, k: s - F.col(f"l_{names[k]}_{a}") * F.col(f"l_{names[k]}_{b}"), range(j), F.col(f"c_{b}_{a}"))
-            entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 * 1e-3))) if i == j else rest / F.col(f"l_{b}_{b}")
-            groups = groups.withColumn(f"l_{b}_{a}", entry)
-    return groups.drop(*[f"c_{b}_{a}" for i, a in enumerate(names) for b in names[: i + 1]])
-
-
-def _distance(names: list[str]) -> Column:
-    """Mahalanobis distance from ``m_x`` by forward substitution in the Cholesky factor."""
+    """``groups`` with the Cholesky factors ``l_k_y_x`` of the covariances ``c_k_y_x`` of each start k instead of these, and their log determinants ``det_k``."""
+    for k in range(STARTS):
+        for i, a in enumerate(names):
+            for j, b in enumerate(names[: i + 1]):
+                rest = reduce(lambda s, n: s - F.col(f"l_{k}_{names[n]}_{a}") * F.col(f"l_{k}_{names[n]}_{b}"), range(j), F.col(f"c_{k}_{b}_{a}"))  # noqa: B023
+                entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 * 1e-3))) if i == j else rest / F.col(f"l_{k}_{b}_{b}")
+                groups = groups.withColumn(f"l_{k}_{b}_{a}", entry)
+        groups = groups.withColumn(f"det_{k}", reduce(lambda s, a: s + 2 * F.log(F.col(f"l_{k}_{a}_{a}")), names, F.lit(0.0)))  # noqa: B023
+    return groups.drop(*[f"c_{k}_{b}_{a}" for k in range(STARTS) for i, a in enumerate(names) for b in names[: i + 1]])
+
+
+def _distance(names: list[str], start: str = "") -> Column:
+    """Mahalanobis distance from ``m_x`` by forward substitution in the Cholesky factor; of a start: ``start`` is its number and ``_``."""
     solved: list[Column] = []
     for i, a in enumerate(names):
-        rest = reduce(lambda s, k: s - F.col(f"l_{names[k]}_{a}") * solved[k], range(i), F.col(a) - F.col(f"m_{a}"))
-        solved.append(rest / F.col(f"l_{a}_{a}"))
+        rest = reduce(lambda s, k: s - F.col(f"l_{start}{names[k]}_{a}") * solved[k], range(i), F.col(a) - F.col(f"m_{start}{a}"))
+        solved.append(rest / F.col(f"l_{start}{a}_{a}"))
     return F.sqrt(reduce(lambda s, y: s + y * y, solved, F.lit(0.0)))
 
 
 def _estimates(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Mean and floored covariance of each group's rows."""
-    means = [F.avg(a).alias(f"m_{a}") for a in names]
-    covariances = [
-        (F.covar_pop(a, b) * CONSISTENCY + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{b}_{a}")
-        for i, a in enumerate(names)
-        for b in names[: i + 1]
-    ]
-    return rows.groupBy(*POOL).agg(*means, *covariances)
+    """Mean and floored covariance of each group's rows within the bound, for each start."""
+    found = []
+    for k in range(STARTS):
+        core = {a: F.when(F.col(f"__d_{k}") <= F.col(f"__bound_{k}"), F.col(a)) for a in names}
+        found += [F.avg(core[a]).alias(f"m_{k}_{a}") for a in names]
+        found += [
+            (F.covar_pop(core[a], core[b]) * CONSISTENCY + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{k}_{b}_{a}")
+            for i, a in enumerate(names)
+            for b in names[: i + 1]
+        ]
+    return rows.groupBy(*POOL).agg(*found)
 
 
 def _with_pool(rows: DataFrame, pools: DataFrame, how: str = "inner") -> DataFrame:
@@ -197,33 +209,56 @@ def _pooled(rows: DataFrame, level: Column) -> DataFrame:
     return named.select(*others, *[F.col(f"__pool.{c[2:]}").alias(c) for c in POOL])
 
 
-def core_estimates(vectors: DataFrame, levels: DataFrame, names: list[str], steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant estimates of each pool that ``levels`` asks for, from ``vectors`` (lang, source, names)."""
-    vectors = _pooled(_leveled(vectors, levels), F.explode("__feeds")).select(*POOL, *names)
+def _starts(vectors: DataFrame, names: list[str]) -> DataFrame:
+    """Each pool's medians ``m_k_x`` and first covariances ``c_k_y_x`` for each start k."""
     middle = vectors.groupBy(*POOL).agg(
-        *[F.percentile_approx(a, 0.5, 10_000).alias(f"m_{a}") for a in names],
-        *[F.percentile_approx(a, [0.25, 0.75], 10_000).alias(f"q_{a}") for a in names],
+        *[F.percentile_approx(a, [0.25, 0.5, 0.75], 10_000).alias(f"q_{a}") for a in names],
         F.count("*").alias("rows"),
     )
-    spread = {a: (F.col(f"q_{a}")[1] - F.col(f"q_{a}")[0]) / 1.349 for a in names}
-    first = (
+    spread = {a: (F.col(f"q_{a}")[2] - F.col(f"q_{a}")[0]) / 1.349 for a in names}
+    middle = cut_lineage(
         middle.filter(F.col("rows") >= MIN_GROUP).select(
             *POOL,
-            *[f"m_{a}" for a in names],
-            *[
-                (spread[a] * spread[a] + FLOORS[a] ** 2 if a == b else F.lit(0.0)).alias(f"c_{b}_{a}")
-                for i, a in enumerate(names)
-                for b in names[: i + 1]
-            ],
+            *[F.col(f"q_{a}")[1].alias(f"m_{a}") for a in names],
+            *[F.sqrt(spread[a] * spread[a] + FLOORS[a] ** 2).alias(f"s_{a}") for a in names],
         )
     )
-    now = cut_lineage(_factored(first, names))
+    standard = {a: (F.col(a) - F.col(f"m_{a}")) / F.col(f"s_{a}") for a in names}
+    length = F.sqrt(reduce(lambda s, a: s + standard[a] * standard[a], names, F.lit(0.0)))
+    bent = _with_pool(vectors, middle).select(
+        *POOL,
+        *[F.tanh(standard[a]).alias(f"__1_{a}") for a in names],
+        *[F.when(length > 0, standard[a] / length).otherwise(0.0).alias(f"__2_{a}") for a in names],
+    )
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[: i + 1]]
+    shapes = bent.groupBy(*POOL).agg(*[F.covar_pop(f"__{k}_{a}", f"__{k}_{b}").alias(f"v_{k}_{b}_{a}") for k in (1, 2) for a, b in pairs])
+    both = _with_pool(middle, shapes)
+    floor = lambda a, b: F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0)
+    return both.select(
+        *POOL,
+        *[F.col(f"m_{a}").alias(f"m_{k}_{a}") for k in range(STARTS) for a in names],
+        *[(F.col(f"s_{a}") * F.col(f"s_{b}") if a == b else F.lit(0.0)).alias(f"c_0_{b}_{a}") for a, b in pairs],
+        *[(F.col(f"v_{k}_{b}_{a}") * F.col(f"s_{a}") * F.col(f"s_{b}") + floor(a, b)).alias(f"c_{k}_{b}_{a}") for k in (1, 2) for a, b in pairs],
+    )
+
+
+def core_estimates(vectors: DataFrame, levels: DataFrame, names: list[str], steps: int = STEPS) -> DataFrame:
+    """Minimum-covariance-determinant estimates of each pool that ``levels`` asks for, from ``vectors`` (lang, source, names)."""
+    vectors = stored(_pooled(_leveled(vectors, levels), F.explode("__feeds")).select(*POOL, *names), "vectors")
+    now = cut_lineage(_factored(_starts(vectors, names), names))
     for _ in range(steps):
-        measured = _with_pool(vectors, now).select(*POOL, *names, _distance(names).alias("__d"))
-        bound = measured.groupBy(*POOL).agg(F.percentile_approx("__d", CORE, 10_000).alias("__bound"))
-        core = _with_pool(measured, bound).filter("__d <= __bound")
-        now = cut_lineage(_factored(_estimates(core, names), names))
-    return now
+        measured = _with_pool(vectors, now).select(*POOL, *names, *[_distance(names, f"{k}_").alias(f"__d_{k}") for k in range(STARTS)])
+        bounds = measured.groupBy(*POOL).agg(*[F.percentile_approx(f"__d_{k}", CORE, 10_000).alias(f"__bound_{k}") for k in range(STARTS)])
+        after = cut_lineage(_factored(_estimates(_with_pool(measured, bounds), names), names))
+        before = now.select(*POOL, *[F.col(f"det_{k}").alias(f"was_{k}") for k in range(STARTS)])
+        change = F.greatest(*[F.abs(F.col(f"det_{k}") - F.col(f"was_{k}")) for k in range(STARTS)])
+        moved = _with_pool(after.select(*POOL, *[f"det_{k}" for k in range(STARTS)]), before).agg(F.max(change)).first()[0]
+        now = after
+        if moved is None or moved < SETTLED:
+            break
+    best = F.array_position(F.array(*[f"det_{k}" for k in range(STARTS)]), F.least(*[F.col(f"det_{k}") for k in range(STARTS)])).cast("int")
+    entries = [f"m_{{}}{a}" for a in names] + [f"l_{{}}{b}_{a}" for i, a in enumerate(names) for b in names[: i + 1]]
+    return now.select(*POOL, *[F.element_at(F.array(*[e.format(f"{k}_") for k in range(STARTS)]), best).alias(e.format("")) for e in entries])
 
 
 def judge(docs: DataFrame) -> DataFrame:
