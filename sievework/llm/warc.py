@@ -5,27 +5,33 @@ least page_id among those of equal payload. Payloads are framed as chunked HTTP
 messages; a message of more than ``SEGMENT_BYTES`` is cut into a first record
 and continuation records. Records go out through Spark's text writer, whose
 line separator is the record separator of WARC, so commits, retries and any
-file system work as for every Spark table; files are gzip-compressed.
-
-Reading: files are parsed record by record. Records of one message are grouped
-by their origin identifier and ordered by segment number; the parts must be
-numbered from 1 without a gap and their bytes sum to the stated total length.
-Then the chunked framing is decoded. A message never leaves its own group, so
-memory is bounded by one message.
+file system work as for every Spark table; files are gzip-compressed as a whole.
+
+Reading: Spark's text reader streams each file in pieces between record
+separators, and a parser joins them to records, so memory is bounded by one
+record, not by a file. Compressed files are read in order by one task each;
+uncompressed ones, which Spark reads in splits, are put in order by file first.
+Parsed records are stored once. Those of one message are grouped by their origin
+identifier and ordered by segment number; the parts must be numbered from 1
+without a gap and their bytes sum to the stated total length. Then the chunked
+framing is decoded. A message never leaves its own group, so memory is bounded
+by one message.
 
 Defined results: a null payload is empty; a null url is left out and read back
 as null; rows with equal page_id and payload are all responses; a null page_id
 is never a page that others refer to; a message with a missing segment or wrong
 length is returned with ``complete`` false and what payload there is; of
-repeated segments one counts; empty tables give empty results; further columns
-are ignored.
+repeated segments one counts; a number in a header that is none is read as null,
+as is one of more than 18 digits; a record without a valid Content-Length
+reaches to the next record's first line, and is not whole; a block that ends
+before its stated length is not whole, and what is between records is skipped; a
+corrupt gzip stream raises, or with ``skip_corrupt`` ends its file; empty tables
+give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
-import gzip
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -33,19 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm.common import few_files, pick
+from sievework.llm.common import few_files, pick, stored
 
 SEPARATOR = "\r\n\r\n"
+_SEPARATOR = SEPARATOR.encode()
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
 #: Payloads of fewer bytes never become revisits.
 LEAST_REVISIT = 100
 RECORDS_PER_FILE = 5000
+_DATE = "2024-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 RECORD = (
     "record_id string, type string, page_id long, url string, refers_to long, payload_bytes long, payload_digest string, "
-    "segment int, origin string, total long, block binary"
+    "segment int, origin string, total long, whole boolean, block binary"
 )
 _RECORD_ARROW = pa.schema(
     [
@@ -59,6 +67,7 @@ _RECORD_ARROW = pa.schema(
         ("segment", pa.int32()),
         ("origin", pa.string()),
         ("total", pa.int64()),
+        ("whole", pa.bool_()),
         ("block", pa.binary()),
     ]
 )
@@ -104,16 +113,20 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block
 
 
+def _uri(url: str | None) -> str | None:
+    return None if url is None else quote(url, safe="/:?#[]@!$&'()*+,;=-._~%")
+
+
 def page_records(
-    key: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int
+    key: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_to_url: str | None, segment_bytes: int
 ) -> list[bytes]:
     """The WARC records of one page, without separators."""
     own = _urn(key)
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", own),
-        ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", None if url is None else quote(url, safe="/:?#[]@!$&'()*+,;=-._~%")),
+        ("WARC-Date", _DATE),
+        ("WARC-Target-URI", _uri(url)),
         ("WARC-Target-Quoted", None if url is None else quote(url, safe="")),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Page-ID", page_id),
@@ -122,7 +135,8 @@ def page_records(
     ]
     if refers_to is not None:
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        return [_record([*head, profile, ("WARC-Refers-To-Page-ID", refers_to)], _HTTP + b"\r\n")]
+        where = [("WARC-Refers-To-Target-URI", _uri(refers_to_url)), ("WARC-Refers-To-Date", _DATE), ("WARC-Refers-To-Page-ID", refers_to)]
+        return [_record([*head, profile, *where], _HTTP + b"\r\n")]
     message = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     pieces = [message[k : k + segment_bytes] for k in range(0, len(message), segment_bytes)]
     if len(pieces) == 1:
@@ -135,6 +149,7 @@ def page_records(
                 [
                     ("WARC-Type", "continuation"),
                     ("WARC-Record-ID", _urn(key, number)),
+                    ("WARC-Date", _DATE),
                     ("WARC-Segment-Origin-ID", own),
                     ("WARC-Segment-Number", number),
                     ("WARC-Segment-Total-Length", last),
@@ -146,7 +161,7 @@ def page_records(
 
 
 def _with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest and refers_to (null: a response) of each page.
+    """page_id, url, payload, digest, and refers_to (null: a response) and refers_to_url of each page.
 
     Only (digest, page_id) rows are grouped; a payload that a third of all pages
     share is pre-aggregated to one row per task.
@@ -157,13 +172,15 @@ def _with_revisits(pages: DataFrame) -> DataFrame:
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    keys = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest")
-    first = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    keys = rows.filter(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "digest", "url")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    first = keys.groupBy("digest").agg(least.alias("least"), F.count("*").alias("n")).filter("n > 1 AND least IS NOT NULL")
+    first = first.select("digest", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url"))
     revisits = (
         keys.join(first, "digest")
         .filter(~F.col("page_id").eqNullSafe(F.col("first")))
         .groupBy(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"))
-        .agg(F.min("first").alias("refers_to"))
+        .agg(F.min("first").alias("refers_to"), F.min("first_url").alias("refers_to_url"))
     )
     same = F.col("page_id").eqNullSafe(F.col("__page")) & (F.col("digest") == F.col("__digest"))
     return rows.join(revisits, same, "left").drop("__page", "__digest")
@@ -179,66 +196,130 @@ def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTE
         number = 0
         for batch in batches:
             out = []
-            for page_id, url, payload, digest, refers_to in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for page_id, url, payload, digest, *refers_to in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
                 key = f"{task.partitionId() if task else 0}-{number}-{page_id}-{digest}"
                 number += 1
-                out += page_records(key, page_id, url, payload, digest, refers_to, segment_bytes)
+                out += page_records(key, page_id, url, payload, digest, *refers_to, segment_bytes)
             yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
-    rows = _with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
+    rows = _with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to", "refers_to_url")
     text = rows.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
     few_files(text).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-def parse_records(stream) -> Iterator[dict]:
-    """Header fields and block of each record in an uncompressed WARC stream."""
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
-        fields: dict = {}
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            fields[name.strip().lower()] = value.strip()
-        fields["block"] = stream.read(int(fields.get("content-length") or 0))
-        yield fields
-
-
-def _number(value: str | None) -> int | None:
-    return None if value is None else int(value)
+class Parser:
+    """Records from the pieces of a WARC stream between record separators, in order."""
+
+    def __init__(self) -> None:
+        self.buffer = bytearray()
+        self.started = False
+        self.fields: dict | None = None  # of the record whose block is awaited
+        self.length: int | None = None
+        self.searched = 0
+
+    def feed(self, piece: bytes) -> Iterator[dict]:
+        """The records that end with ``piece``: header fields, ``block`` and ``whole``."""
+        if self.started:
+            self.buffer += _SEPARATOR
+        self.started = True
+        self.buffer += piece
+        yield from self._records(False)
+
+    def close(self) -> Iterator[dict]:
+        """The records that end with the stream."""
+        yield from self._records(True)
+
+    def _records(self, end: bool) -> Iterator[dict]:
+        while True:
+            if self.fields is None:
+                if not self._header(end):
+                    return
+            if self.length is None:  # up to the next first line
+                at = self.buffer.find(_SEPARATOR + b"WARC/", self.searched)
+                if at < 0 and not end:
+                    self.searched = max(0, len(self.buffer) - 16)
+                    return
+                yield self._record(len(self.buffer) if at < 0 else at, False)
+            elif len(self.buffer) >= self.length:
+                yield self._record(self.length, True)
+            elif end:
+                yield self._record(len(self.buffer), False)
+            else:
+                return
+
+    def _header(self, end: bool) -> bool:
+        """Whether a header is in the buffer; it is taken out."""
+        start = 0 if self.buffer.startswith(b"WARC/") else self.buffer.find(b"\nWARC/") + 1
+        if not start and not self.buffer.startswith(b"WARC/"):
+            del self.buffer[: max(0, len(self.buffer) - 8)]  # what is between records
+            return False
+        stop = self.buffer.find(_SEPARATOR, start)
+        if stop < 0 and not end:
+            return False
+        lines = bytes(self.buffer[start : stop if stop >= 0 else len(self.buffer)]).decode("utf-8", "replace").splitlines()
+        self.fields = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+        self.length = number(self.fields.get("content-length"))
+        self.searched = 0
+        del self.buffer[: stop + len(_SEPARATOR) if stop >= 0 else len(self.buffer)]
+        return True
+
+    def _record(self, length: int, whole: bool) -> dict:
+        out = {**self.fields, "block": bytes(self.buffer[:length]), "whole": whole}
+        del self.buffer[:length]
+        self.fields = None
+        return out
+
+
+def number(value: str | None) -> int | None:
+    """A whole number of at most 18 digits; else None."""
+    return int(value) if value and value.isascii() and value.isdigit() and len(value) <= 18 else None
+
+
+def _signed(value: str | None) -> int | None:
+    if value and value.startswith("-"):
+        positive = number(value[1:])
+        return None if positive is None else -positive
+    return number(value)
+
+
+def _row(f: dict) -> tuple:
+    quoted = f.get("warc-target-quoted")
+    segment = number(f.get("warc-segment-number"))
+    return (
+        f.get("warc-record-id"),
+        f.get("warc-type"),
+        _signed(f.get("warc-page-id")),
+        f.get("warc-target-uri") if quoted is None else unquote(quoted),
+        _signed(f.get("warc-refers-to-page-id")),
+        number(f.get("warc-payload-length")),
+        (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
+        segment if segment is None or segment < 1 << 31 else None,
+        f.get("warc-segment-origin-id"),
+        number(f.get("warc-segment-total-length")),
+        f["whole"],
+        f["block"],
+    )
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of pieces (file, value), file by file."""
+    now, parser = None, Parser()
+    rows: list[tuple] = []
+    held = 0
     for batch in batches:
-        for content in batch.column(0):
-            raw = io.BytesIO(content.as_py())
-            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.getbuffer()[:2] == b"\x1f\x8b" else raw
-            rows: list[tuple] = []
-            held = 0
-            for f in parse_records(stream):
-                quoted = f.get("warc-target-quoted")
-                rows.append(
-                    (
-                        f.get("warc-record-id"),
-                        f.get("warc-type"),
-                        _number(f.get("warc-page-id")),
-                        f.get("warc-target-uri") if quoted is None else unquote(quoted),
-                        _number(f.get("warc-refers-to-page-id")),
-                        _number(f.get("warc-payload-length")),
-                        (f.get("warc-payload-digest") or "").removeprefix("sha256:") or None,
-                        _number(f.get("warc-segment-number")),
-                        f.get("warc-segment-origin-id"),
-                        _number(f.get("warc-segment-total-length")),
-                        f["block"],
-                    )
-                )
-                held += len(f["block"])
-                if held > 4 << 20:
-                    yield _batch(rows, _RECORD_ARROW)
-                    rows, held = [], 0
-            yield _batch(rows, _RECORD_ARROW)
+        for file, value in zip(batch.column("file").to_pylist(), batch.column("value"), strict=True):
+            found = []
+            if file != now:
+                found += parser.close()
+                now, parser = file, Parser()
+            found += parser.feed(value.as_py() or b"")
+            rows += map(_row, found)
+            held += sum(len(f["block"]) for f in found)
+            if held > 4 << 20:
+                yield _batch(rows, _RECORD_ARROW)
+                rows, held = [], 0
+    rows += map(_row, parser.close())
+    yield _batch(rows, _RECORD_ARROW)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -246,10 +327,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All records of the WARC files in ``path``, one row each."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parse, RECORD)
+def read_records(spark: SparkSession, path: str, skip_corrupt: bool = False) -> DataFrame:
+    """All records of the WARC files in ``path``, one row each; ``whole``: the block is as long as stated."""
+    read = spark.read.option("lineSep", SEPARATOR).option("ignoreCorruptFiles", str(skip_corrupt).lower())
+    pieces = read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("value")
+    )
+    packed = F.lower("file").endswith(".gz")
+    plain = pieces.filter(~packed).withColumn("n", F.monotonically_increasing_id())
+    ordered = plain.repartition("file").sortWithinPartitions("file", "at", "n")
+    return pieces.filter(packed).select("file", "value").mapInArrow(_parse, RECORD).unionByName(ordered.select("file", "value").mapInArrow(_parse, RECORD))
 
 
 def reassemble(records: DataFrame) -> DataFrame:
@@ -257,11 +344,12 @@ def reassemble(records: DataFrame) -> DataFrame:
 
     Returns record_id, type, page_id, url, refers_to, payload_bytes and
     payload_digest (as the record states them), payload (null for a revisit)
-    and ``complete``: no segment missing, total length right, framing whole, and
-    the payload as long as stated.
+    and ``complete``: no segment missing or cut off, total length right, framing
+    whole, and the payload as long as stated. Records are stored, so that archives are parsed once.
     """
+    records = stored(records, "records")
     whole = records.filter("segment IS NULL").select(
-        "record_id", "type", "page_id", "url", "refers_to", "payload_bytes", "payload_digest", F.array("block").alias("blocks"), F.lit(True).alias("joined")
+        "record_id", "type", "page_id", "url", "refers_to", "payload_bytes", "payload_digest", F.array("block").alias("blocks"), F.col("whole").alias("joined")
     )
     parts = records.filter("segment IS NOT NULL").withColumn("origin", F.coalesce("origin", "record_id"))
     first = lambda name: F.max(F.when(F.col("segment") == 1, F.col(name))).alias(name)
@@ -273,6 +361,7 @@ def reassemble(records: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("pieces"),
             F.max("total").alias("total"),
             F.max("segment").alias("last"),
+            F.bool_and("whole").alias("whole"),
         )
     )
     length = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + F.octet_length(p["block"]))
@@ -280,7 +369,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = grouped.select(
         F.col("origin").alias("record_id"), "type", "page_id", "url", "refers_to", "payload_bytes", "payload_digest",
         blocks.alias("blocks"),
-        F.coalesce((F.size("pieces") == F.col("last")) & (length == F.col("total")), F.lit(False)).alias("joined"),
+        F.coalesce((F.size("pieces") == F.col("last")) & (length == F.col("total")) & F.col("whole"), F.lit(False)).alias("joined"),
     )
     messages = whole.unionByName(joined).filter("type IS NULL OR type IN ('response', 'revisit')")
     return messages.mapInArrow(

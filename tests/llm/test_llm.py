@@ -653,6 +653,68 @@ def test_warc_round_trip(spark):
     assert warc.reassemble(records.union(records.filter("segment = 2"))).filter("NOT complete").isEmpty()
 
 
+def warc_record(kind, block, length=None, **headers):
+    lines = [f"WARC-Type: {kind}", *[f"{k.replace('_', '-')}: {v}" for k, v in headers.items()], f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+HTTP = b"HTTP/1.1 200 OK\r\n\r\n"
+ODD = [
+    ("good", warc_record("response", HTTP + b"one\r\n", WARC_Record_ID="<a>", WARC_Page_ID=1), True),
+    ("separators", warc_record("response", HTTP + b"\r\n\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\n", WARC_Record_ID="<b>", WARC_Page_ID=-2), True),
+    ("no length", warc_record("response", HTTP + b"three", "many", WARC_Record_ID="<c>", WARC_Page_ID="x"), False),
+    ("huge number", warc_record("response", HTTP + b"four", WARC_Record_ID="<d>", WARC_Page_ID=10**30, WARC_Segment_Number="1e3"), True),
+    ("between records", b"\r\nnoise\r\n\r\n" + warc_record("response", HTTP + b"five", WARC_Record_ID="<e>", WARC_Page_ID=5), True),
+    ("empty", warc_record("response", b"", WARC_Record_ID="<f>", WARC_Page_ID=6), True),
+    ("cut off", warc_record("response", HTTP + b"seven", 9999, WARC_Record_ID="<g>", WARC_Page_ID=7), False),
+]
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_odd_archives(spark, tmp_path, compressed):
+    """Malformed headers, noise, cut-off blocks; per-record gzip members; plain files that Spark reads in many splits."""
+    import gzip
+
+    for n in range(2):
+        raw = [gzip.compress(r) if compressed else r for _, r, _ in ODD]
+        (tmp_path / f"{n}.warc{'.gz' if compressed else ''}").write_bytes(b"".join(raw))
+    for split in ("128m", "200b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+        records = warc.read_records(spark, str(tmp_path))
+        expected = [(f"<{c}>", ok) for c, (_, _, ok) in zip("abcdefg", ODD, strict=True)] * 2
+        assert sorted((r.record_id, r.whole) for r in records.collect()) == sorted(expected)
+        found = {r.record_id: (r.page_id, bytes(r.payload), r.complete) for r in warc.reassemble(records).collect()}
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert found == {
+            "<a>": (1, b"one\r\n", True), "<b>": (-2, b"\r\n\r\n\r\nWARC/1.1\r\n\r\n\r\n\r\n", True), "<c>": (None, b"three", False),
+            "<d>": (None, b"four", True), "<e>": (5, b"five", True), "<f>": (6, b"", True), "<g>": (7, found["<g>"][1], False),
+        }
+
+
+def test_truncated_gzip(spark, tmp_path):
+    import gzip
+
+    raw = gzip.compress(b"".join(warc_record("response", HTTP + random.Random(i).randbytes(3000), WARC_Record_ID=f"<{i}>", WARC_Page_ID=i) for i in range(200)))
+    (tmp_path / "cut.warc.gz").write_bytes(raw[: len(raw) // 2])
+    found = warc.reassemble(warc.read_records(spark, str(tmp_path), skip_corrupt=True)).collect()
+    assert 10 < len(found) < 190 and sum(not r.complete for r in found) <= 1
+    assert all(bytes(r.payload) == random.Random(r.page_id).randbytes(3000) for r in found if r.complete)
+    with pytest.raises(Exception):
+        warc.read_records(spark, str(tmp_path)).count()
+
+
+def test_warc_headers():
+    """Each record has the mandatory headers; revisits and continuations those of their kind."""
+    revisit = warc.page_records("k", 2, "http://b/", b"x", "d", 1, "http://a/", 1000)[0].decode()
+    parts = [r.decode("latin-1") for r in warc.page_records("k", 2, "http://b/", b"x" * 5000, "d", None, None, 1000)]
+    for r in [revisit, *parts]:
+        assert all(f"\r\n{h}: " in r for h in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"))
+    assert "WARC-Refers-To-Target-URI: http://a/\r\n" in revisit and "WARC-Refers-To-Date: " in revisit and "WARC-Profile: " in revisit
+    assert all("WARC-Segment-Origin-ID: " in r for r in parts[1:]) and "WARC-Segment-Total-Length: " in parts[-1]
+
+
 def test_chunked_framing():
     assert warc.unchunked(warc.chunked(b"abc" * 9000)) == (b"abc" * 9000, True)
     assert warc.unchunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == (b"abc", True)
