@@ -4,11 +4,13 @@ A document of source ``s`` is repeated Poisson(rate of s) times, where the rate
 is the tokens that the source shall have over the tokens it has. The number
 comes from inverting the distribution at a uniform number hashed from seed and
 document, so that it depends on nothing else: not on partitions, order or other
-documents. Copies are then put into a global random order by a second hash.
+documents. Copies are then put into a global random order by a second hash: as
+its values are uniform, equal ranges of them are partitions of equal size, with
+no sample of the data, and each is sorted by itself.
 
-All of it is DataFrame expressions. Only one row per source is aggregated; a
-source with a third of all rows is pre-aggregated by Spark and joined as a row
-of a small table. The inverse is exact to the last bit of the uniform number:
+All of it is DataFrame expressions. Only one row per source is aggregated and
+stored; a source with a third of all rows is pre-aggregated by Spark and joined
+as a row of a small table. One number, the bytes to come, goes to the driver. The inverse is exact to the last bit of the uniform number:
 each source's cumulative distribution is tabulated until its rest vanishes.
 
 Defined results: a null or wordless text has 0 tokens and the rate of its
@@ -20,14 +22,18 @@ named copy, rate or shuffle_key are replaced.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import pick, unit_hash
+from sievework.llm.common import FILES_PER_CORE, pick, stored, unit_hash
 
 SEED = 20240229
 #: Without target weights, sources get weights in proportion to this power of their tokens.
 ALPHA = 0.5
+#: Text in a partition of the result, about; small results have some partitions for each core.
+PARTITION_BYTES = 256 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -50,7 +56,7 @@ def cumulative(rate: Column) -> Column:
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA) -> DataFrame:
-    """(source, tokens, rate) of each source in ``docs`` (source, text).
+    """(source, tokens, bytes, rate) of each source in ``docs`` (source, text).
 
     ``weights`` (source, weight) are target shares of all tokens; the total
     stays as it is. Large rates (above 700) are split so that exp() can't vanish:
@@ -58,28 +64,32 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
     """
     tokens = (
         pick(docs, source="source", text="text")
-        .select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("n"))
+        .select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("n"), F.octet_length("text").cast("long").alias("size"))
         .groupBy("source")
-        .agg(F.sum("n").alias("tokens"))
+        .agg(F.sum("n").alias("tokens"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     )
     if weights is None:
         weighted = tokens.withColumn("weight", F.sqrt("tokens") if alpha == 0.5 else F.pow(F.col("tokens").cast("double"), F.lit(alpha)))
     else:
         own = pick(weights, __source="source", weight="weight").groupBy("__source").agg(F.sum("weight").cast("double").alias("weight"))
         weighted = tokens.join(own, F.col("source").eqNullSafe(F.col("__source")), "left").select(
-            "source", "tokens", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")
+            "source", "tokens", "bytes", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight")
         )
     # whole millionths, so that the sum is the same in any order
     weighted = weighted.withColumn("weight", F.floor(F.col("weight") * 1e6).cast("decimal(38,0)"))
     total = weighted.filter("tokens > 0").agg(F.sum("tokens").alias("__all"), F.sum("weight").cast("double").alias("__weights"))
     target = F.col("__all").cast("double") * (F.col("weight").cast("double") / F.col("__weights"))
     rate = F.when((F.col("tokens") > 0) & (F.col("__weights") > 0), target / F.col("tokens").cast("double")).otherwise(0.0)
-    return weighted.join(F.broadcast(total), F.lit(True), "left").select("source", "tokens", rate.alias("rate"))
+    return weighted.join(F.broadcast(total), F.lit(True), "left").select("source", "tokens", "bytes", rate.alias("rate"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, alpha: float = ALPHA) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, alpha: float = ALPHA, partition_bytes: int = PARTITION_BYTES
+) -> DataFrame:
     """``docs`` with each row repeated, and copy (from 0), rate and shuffle_key, in the order of shuffle_key."""
-    rates = source_rates(docs, weights, alpha)
+    rates = stored(source_rates(docs, weights, alpha), "rates")
+    size = rates.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0
+    parts = max(FILES_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / partition_bytes))
     certain = F.when(F.col("rate") > 700, F.floor("rate")).otherwise(F.lit(0)).cast("long")
     rates = rates.select(
         F.col("source").alias("__source"),
@@ -104,4 +114,6 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, seed: int = S
     added = {"copy": F.col("__copy"), "rate": F.col("__rate"), "shuffle_key": key}
     kept = [F.col(f"_c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in added]
     mixed = copies.select(*kept, *[c.alias(n) for n, c in added.items()])
-    return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    place = F.conv(F.substring("shuffle_key", 1, 13), 16, 10).cast("double") / float(1 << 52)
+    dealt = mixed.repartitionById(parts, F.floor(place * parts).cast("int"))
+    return dealt.sortWithinPartitions("shuffle_key", "copy")
