@@ -63,10 +63,24 @@ def semantic_chunks(files: DataFrame, limit: int) -> DataFrame:
 
 
 def dependency_chunks(files: DataFrame, imports: DataFrame, limit: int) -> DataFrame:
-    """(path, tokens, chunk): dependencies before dependents; files on cycles last. ``imports``: path, resolved."""
+    """(path, tokens, chunk): dependencies before dependents; files on cycles last. ``imports``: path, resolved.
+
+    A chunk ends when it is full, but not before a file that imports one of its files.
+    """
     levels = topological_levels(imports.select(F.col("resolved").alias("src"), F.col("path").alias("dst")))
-    placed = files.join(levels.withColumnRenamed("node", "path"), "path", "left").withColumn("level", F.coalesce("level", F.lit(0)))
-    return pack_chunks(_all(placed), ["corpus"], ["level", "path"], "tokens", limit, "path").drop("corpus")
+    own = imports.groupBy("path").agg(F.collect_set("resolved").alias("needs"))
+    placed = files.join(levels.withColumnRenamed("node", "path"), "path", "left").join(own, "path", "left")
+    unknown = F.col("level").isNull() & F.col("needs").isNotNull()  # on or behind a cycle
+    placed = placed.withColumn("order", F.struct(unknown.alias("u"), F.coalesce("level", F.lit(0)).alias("l"), "path"))
+    coded = _all(placed).withColumn("value", F.struct("path", "tokens", F.coalesce("needs", F.array().cast("array<string>")).alias("needs")))
+
+    def step(state: tuple, value: dict) -> tuple:
+        chunk, used, inside = state
+        if inside and used + value["tokens"] > limit and not inside.intersection(value["needs"]):
+            chunk, used, inside = chunk + 1, 0, frozenset()
+        return (chunk, used + value["tokens"], inside | {value["path"]}), (chunk,)
+
+    return fold_in_order(coded, ["corpus"], [F.col("order")], ["path", "tokens"], "value", lambda: (0, 0, frozenset()), step, "chunk long").drop("corpus")
 
 
 def symbol_snippets(symbols: DataFrame, files: DataFrame, model: str = "claude") -> DataFrame:

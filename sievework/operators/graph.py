@@ -1,24 +1,50 @@
 """Graphs as (src, dst) edge DataFrames: ranks, components, reachability, order.
 
-Iterations are driver loops of joins and aggregations; every few rounds a
-checkpoint in the shared folder cuts the lineage. Node and edge sets are never
-collected; only one-row aggregates steer the loops.
+Iterations are driver loops of joins and aggregations; the result of each round
+is a table in the shared folder, so plans stay small and nothing is computed
+twice. Node and edge sets are never collected; only one-row aggregates steer the
+loops.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
+from sievework.functions.shared import stored
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by a reliable checkpoint in the folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder."""
+    return stored(df, "graph")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+class _Grown:
+    """Rows found round by round. The tables of some rounds are joined to one now and then, so that few are read."""
+
+    def __init__(self, first: DataFrame) -> None:
+        self.tables, self.last, self.rounds = [first], first, 1
+
+    def add(self, new: DataFrame) -> None:
+        self.last = cut(new)
+        self.tables.append(self.last)
+        self.rounds += 1
+        if len(self.tables) > 6:
+            self.tables = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return _union(self.tables)
+
+    @property
+    def more(self) -> bool:
+        """Whether the last round found anything."""
+        return not self.last.isEmpty()
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -34,47 +60,42 @@ def pagerank(
     tolerance: float = 0.0,
     dangling: bool = True,
     by_maximum: bool = False,
-    every: int = 5,
 ) -> DataFrame:
     """(node, rank). Parallel edges count.
 
     ``dangling``: the mass of nodes without edges out is spread over all nodes.
     ``tolerance``: stop when the sum of absolute changes is below it.
     ``by_maximum``: ranks are divided by the largest.
+
+    Parallel edges are one weighted edge. A round is one join and one
+    aggregation: nodes come as edges without weight, so that those without
+    gains stay, and bring their old rank and whether they are sinks.
     """
-    nodes = cut(nodes if nodes is not None else nodes_of(edges))
-    n = nodes.count()
+    nodes = nodes if nodes is not None else nodes_of(edges)
+    weights = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
+    degree = weights.groupBy("src").agg(F.sum("w").alias("degree"))
+    shares = cut(weights.join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")))
+    state = cut(nodes.join(degree, nodes["node"] == degree["src"], "left").select("node", F.col("src").isNull().alias("sink")))
+    n = state.count()
     if n == 0:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
-    degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    weighted = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("w")).join(degree, "src").select("src", "dst", (F.col("w") / F.col("degree")).alias("share")))
-    sinks = cut(nodes.join(degree, nodes["node"] == degree["src"], "left_anti"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(1, iterations + 1):
-        lost = ranks.join(sinks, "node").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        gained = (
-            weighted.join(ranks, weighted["src"] == ranks["node"])
-            .groupBy("dst")
-            .agg((F.sum(F.col("rank") * F.col("share")) * damping).alias("gain"))
-        )
-        base = (1 - damping) / n + (F.col("lost") * damping / n if dangling else F.lit(0.0))
-        new = (
-            nodes.join(gained, nodes["node"] == gained["dst"], "left")
-            .crossJoin(F.broadcast(lost))  # one row
-            .select("node", (base + F.coalesce("gain", F.lit(0.0))).alias("rank"))
-        )
-        if tolerance or k % every == 0:
-            new = cut(new)
-        if tolerance:
-            change = new.join(ranks.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change < tolerance:
-                ranks = new
-                break
-        ranks = new
-    if by_maximum:
-        most = ranks.agg(F.max("rank").alias("most"))
-        ranks = ranks.crossJoin(F.broadcast(most)).select("node", (F.col("rank") / F.col("most")).alias("rank"))
-    return ranks
+        return state.select("node", F.lit(0.0).alias("rank"))
+    ranks = state.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(iterations):
+        lost, _ = _masses(ranks) if dangling else (0.0, 0.0)
+        gained = shares.join(ranks, shares["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
+        rank = F.lit((1 - damping) / n + lost * damping / n) + F.coalesce("gain", F.lit(0.0)) * damping
+        new = cut(ranks.withColumnRenamed("rank", "old").join(gained, "node", "left").select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("old")).alias("change")))
+        ranks = new.drop("change")
+        if tolerance and new.agg(F.sum("change")).first()[0] < tolerance:
+            break
+    most = _masses(ranks)[1] if by_maximum else 1.0
+    return ranks.select("node", (F.col("rank") / most).alias("rank"))
+
+
+def _masses(ranks: DataFrame) -> tuple[float, float]:
+    """The summed rank of sinks, and the largest rank of all nodes."""
+    row = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.max("rank")).first()
+    return row[0], row[1]
 
 
 def map_pagerank(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -90,31 +111,23 @@ def file_importance(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, depth): all reachable pairs with the least number of steps. For graphs whose closure is wanted whole."""
     step = cut(edges.select("src", "dst").distinct())
-    known = step.withColumn("depth", F.lit(1))
-    frontier, depth = known, 1
-    while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
-        depth += 1
-        hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
-        new = frontier.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
-        frontier = cut(new.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        known = cut(known.unionByName(frontier))
-    return known
+    hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    known = _Grown(step.withColumn("depth", F.lit(1)))
+    while (max_depth is None or known.rounds < max_depth) and known.more:
+        new = known.last.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
+        known.add(new.join(known.all(), ["src", "dst"], "left_anti").withColumn("depth", F.lit(known.rounds + 1)))
+    return known.all()
 
 
 def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, backwards: bool = False) -> DataFrame:
     """(node, depth) reached from ``starts`` (node), without the starts; ``backwards`` follows edges to their source."""
     a, b = ("dst", "src") if backwards else ("src", "dst")
     step = cut(edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct())
-    known = frontier = cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        new = frontier.select("node").join(step, "node").select(F.col("next").alias("node")).distinct()
-        frontier = cut(new.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        known = cut(known.unionByName(frontier))
-    return known.filter("depth > 0")
+    known = _Grown(cut(starts.select("node").distinct().withColumn("depth", F.lit(0))))
+    while (max_depth is None or known.rounds <= max_depth) and known.more:
+        new = known.last.select("node").join(step, "node").select(F.col("next").alias("node")).distinct()
+        known.add(new.join(known.all(), "node", "left_anti").withColumn("depth", F.lit(known.rounds)))
+    return known.all().filter("depth > 0")
 
 
 def cycles(edges: DataFrame) -> DataFrame:
@@ -148,13 +161,11 @@ def cycles(edges: DataFrame) -> DataFrame:
             before = state
         of = {x: color.select(F.col("node").alias(x), F.col("color").alias(f"{x}_color")) for x in ("src", "dst")}
         inside = cut(rest.join(of["src"], "src").join(of["dst"], "dst").filter("src_color = dst_color").select("src", "dst", F.col("src_color").alias("color")))
-        reach = frontier = cut(color.filter("node = color"))
-        while True:  # backwards from each colour's name, within the colour
-            new = frontier.select(F.col("node").alias("dst"), "color").join(inside, ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
-            frontier = cut(new.join(reach, ["node", "color"], "left_anti"))
-            if frontier.isEmpty():
-                break
-            reach = cut(reach.unionByName(frontier))
+        grown = _Grown(cut(color.filter("node = color")))
+        while grown.more:  # backwards from each colour's name, within the colour
+            new = grown.last.select(F.col("node").alias("dst"), "color").join(inside, ["dst", "color"]).select(F.col("src").alias("node"), "color").distinct()
+            grown.add(new.join(grown.all(), ["node", "color"], "left_anti"))
+        reach = grown.all()
         many = reach.groupBy("color").agg(F.count("*").alias("n")).filter("n > 1").select("color")
         found.append(reach.join(many, "color").select("node", F.col("color").alias("component")))
         done = reach.select("node")
@@ -163,9 +174,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         )
     if not found:
         return nodes_of(edges.limit(0)).withColumn("component", F.col("node"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    out = _union(found)
     names = out.groupBy("component").agg(F.min("node").alias("name"))
     return out.join(names, "component").select("node", F.col("name").alias("component"))
 
@@ -183,18 +192,14 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     """(node, level): level 0 has no edge in, each other one more than its last predecessor; nodes on or behind cycles: null."""
     rest = cut(edges.select("src", "dst").distinct())
     nodes = cut(nodes_of(edges))
-    left, done, level = nodes, None, 0
+    done: list[DataFrame] = []
     while True:
-        ready = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"))
+        left = nodes if not done else nodes.join(_union(done), "node", "left_anti")
+        ready = cut(left.join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(len(done))))
         if ready.isEmpty():
-            break
-        own = ready.withColumn("level", F.lit(level))
-        done = own if done is None else cut(done.unionByName(own))
-        left = cut(left.join(ready, "node", "left_anti"))
-        rest = cut(rest.join(ready.withColumnRenamed("node", "src"), "src", "left_anti"))
-        level += 1
-    behind = left.withColumn("level", F.lit(None).cast("int"))
-    return behind if done is None else done.unionByName(behind)
+            return _union([*done, left.withColumn("level", F.lit(None).cast("int"))])
+        done.append(ready)
+        rest = cut(rest.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
 
 
 def call_chain(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
@@ -206,10 +211,7 @@ def call_chain(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame
         now = now.join(first, now["at"] == first["src"]).filter(~F.array_contains("seen", F.col("next")))
         now = now.select("start", F.col("next").alias("at"), F.array_append("seen", F.col("next")).alias("seen"))
         out.append(now.select("start", F.lit(step).alias("step"), F.col("at").alias("node")))
-    whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    return _union(out)
 
 
 def module_graph(edges: DataFrame, module_of) -> DataFrame:

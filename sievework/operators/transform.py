@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -164,28 +166,60 @@ def character_vector_udf() -> object:
     return run
 
 
-def compress_repeats(text: str) -> str | None:
-    """A text that is one pattern of up to 100 bytes over and over, as the pattern and a count; else null."""
-    raw = text.encode()
-    if len(raw) < 200:
-        return None
-    for n in range(1, min(100, len(raw) // 3) + 1):
-        pattern = raw[:n]
-        if (raw[n] & 0xC0) == 0x80 or not pattern.strip():
+def _folded_period(text: str, ratio: float) -> str | None:
+    """A text that is, for four fifths, one pattern of up to 100 bytes over and over: the pattern some times, and the count."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    for n in range(1, min(100, len(data) // 3) + 1):
+        if (data[n] & 0xC0) == 0x80:
+            continue
+        pattern = data[:n].tobytes().decode()
+        if not pattern.strip():
             continue
-        count = 0
-        while raw.startswith(pattern, count * n):
-            count += 1
-        if count >= 3 and count * n >= 0.8 * len(raw):
-            rest = raw[count * n :].decode()
-            return f"{pattern.decode()}\n/* ... repeated {count} times ... */{rest}"
+        other = np.flatnonzero(data[n:] != data[:-n])  # where the text stops to be as it was a pattern before
+        count = (int(other[0]) if len(other) else len(data) - n) // n + 1
+        if count >= 3 and np.float32(count * n) / np.float32(len(data)) >= np.float32(0.8):
+            shown = min(5, max(1, math.ceil(np.float32(count) * np.float32(ratio))))
+            rest = data[count * n :].tobytes().decode()
+            note = f"{(pattern * shown).rstrip()}\n/* ... pattern repeated {count} times (showing {shown}) ... */"
+            return f"{note}\n{rest.strip()}" if rest else note
     return None
 
 
+def _folded_lines(text: str) -> str | None:
+    """A text half of whose lines are the same: each run of that line once, with its length; only if that halves the text."""
+    own = text.split("\n")
+    own = [x.removesuffix("\r") for x in (own[:-1] if own[-1] == "" else own)]
+    counts = Counter(x for x in own if x.strip())
+    if len(own) < 3 or not counts:
+        return None
+    line, most = counts.most_common(1)[0]  # of equally frequent lines the first
+    if most < 3 or most / len(own) < 0.5:
+        return None
+    out: list[str] = []
+    for repeated, run in itertools.groupby(own, key=lambda x: x == line):
+        rows = list(run)
+        if not repeated:
+            out += rows
+            continue
+        out.append(line)
+        if len(rows) > 1:
+            out.append(f"/* ... above line repeated {len(rows)} times ... */")
+    folded = "\n".join(out)
+    return folded if 2 * len(folded.encode()) < len(text.encode()) else None
+
+
+def compress_repeats(text: str, ratio: float = 0.5) -> str | None:
+    """A repetitive text of 200 bytes or more in short, by its period or by its lines; else null."""
+    if len(text.encode()) < 200:
+        return None
+    short = _folded_period(text, ratio)
+    return _folded_lines(text) if short is None else short
+
+
 def semantic_compress(text: str, ratio: float = 0.5, threshold: float = 0.7) -> str:
     """Repetitions folded; else paragraphs clustered by character vectors, the longest of each cluster kept in first-seen order;
     if all are alike, every n-th paragraph of the wanted share."""
-    if (short := compress_repeats(text)) is not None:
+    if (short := compress_repeats(text, ratio)) is not None:
         return short
     pieces = [p for p in re.split(r"\n\s*\n", text) if p.strip()]
     if len(pieces) < 2:

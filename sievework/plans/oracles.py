@@ -85,20 +85,70 @@ _SECRET = f"""WITH {BLOCKS}, {_LINE},
 usable AS (SELECT * FROM line WHERE NOT {_COMMENT} AND NOT regexp_matches(l, '(?i)\\bexample\\b') AND NOT contains(lower(l), 'placeholder') AND NOT contains(l, 'xxxxx')),
 found AS ({_SECRETS})"""
 
-_KINDS = ["ssn", "credit_card", "email", "ip_address", "phone"]
-_PII = " UNION ALL ".join(f"SELECT doc_id, line, '{k}' AS kind, unnest(regexp_extract_all(text, {q(T.PII_PATTERNS[k])})) AS value FROM line" for k in _KINDS)
+_PII = " UNION ALL ".join(f"SELECT doc_id, line, '{k}' AS kind, unnest(regexp_extract_all(text, {q(p)})) AS value FROM line" for k, p in T.PII_PATTERNS.items())
 _DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
 _LUHN = (
     f"(length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0"
     f" THEN CAST({_DIGITS}[i] AS INTEGER) ELSE (CASE WHEN 2 * CAST({_DIGITS}[i] AS INTEGER) > 9 THEN 2 * CAST({_DIGITS}[i] AS INTEGER) - 9"
     f" ELSE 2 * CAST({_DIGITS}[i] AS INTEGER) END) END)) % 10 = 0)"
 )
-_PII_VALID = f"""WITH {BLOCKS}, {_LINE}, raw AS ({_PII}),
-found AS (SELECT * FROM raw WHERE CASE kind
-  WHEN 'ssn' THEN NOT regexp_matches(value, '^(?:000|666|9..)|-00-|-0000$')
-  WHEN 'credit_card' THEN {_LUHN}
-  WHEN 'ip_address' THEN len(list_filter(string_split(value, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0
-  ELSE true END)"""
+def _valid(kind: str, v: str) -> str:
+    """Whether a match of a kind of personal data passes its checks."""
+    digits = f"regexp_replace({v}, '[^0-9]', '', 'g')"
+    letter = "CASE WHEN regexp_full_match(c, '[0-9]') THEN CAST(c AS BIGINT) ELSE ascii(c)::BIGINT - 55 END"
+    return {
+        "ssn": f"NOT regexp_matches({v}, '^(?:000|666|9..)|-00-|-0000$')",
+        "credit_card": _LUHN.replace(_DIGITS, digits),
+        "ip_address": f"len(list_filter(string_split({v}, '.'), lambda o: CAST(o AS INTEGER) > 255)) = 0",
+        "iban": f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({v}[5:] || {v}[:4], ''), lambda c: {letter})),"
+        " lambda a, d: CASE WHEN d > 9 THEN (a * 100 + d) % 97 ELSE (a * 10 + d) % 97 END) = 1",
+        "intl_phone": f"length({digits}) BETWEEN 7 AND 15",
+        "eu_vat": f"CASE {v}[:2] WHEN 'DE' THEN regexp_full_match({v}[3:], '[0-9]{{9}}') WHEN 'FR' THEN regexp_full_match({v}[3:], '[A-Za-z0-9]{{2}}[0-9]{{9}}')"
+        f" WHEN 'IT' THEN regexp_full_match({v}[3:], '[0-9]{{11}}') WHEN 'ES' THEN regexp_full_match({v}[3:], '[A-Za-z][0-9]{{7}}[A-Za-z0-9]')"
+        f" ELSE length(regexp_replace({v}[3:], '[^0-9]', '', 'g')) >= 2 END",
+    }.get(kind, "true")
+
+
+_CASES = " ".join(f"WHEN '{k}' THEN {_valid(k, 'value')}" for k in T.PII_PATTERNS)
+_PII_VALID = f"""WITH {BLOCKS}, {_LINE}, raw AS ({_PII}), found AS (SELECT * FROM raw WHERE CASE kind {_CASES} END)"""
+
+
+def _redacted(source: str) -> str:
+    """A chain of tables from ``source`` to ``redacted``: all kinds in the column text, one after the other."""
+    steps, before = [], source
+    for k, (kind, mark) in enumerate(T.PII_PLACEHOLDERS.items()):
+        pattern = q(T.PII_PATTERNS[kind])
+        if _valid(kind, "v") == "true":
+            text = f"regexp_replace(text, {pattern}, {q(mark)}, 'g')"
+        else:
+            found = f"list_filter(regexp_extract_all(text, {pattern}), lambda v: {_valid(kind, 'v')})"
+            text = f"list_reduce(list_prepend(text, {found}), lambda t, v: replace(t, v, {q(mark)}))"
+        name = "redacted" if k == len(T.PII_PLACEHOLDERS) - 1 else f"redacted{k}"
+        steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE ({text} AS text) FROM {before})")
+        before = name
+    return ", ".join(steps)
+
+
+def _compressed(source: str) -> str:
+    """A chain of tables from ``source`` to ``compressed``: filler phrases go or become short, one after the other."""
+    steps, before = [], source
+    upper = "(CASE WHEN regexp_matches(p[i], '\\pL') THEN regexp_extract(p[i], '^([^\\pL]*)', 1) || upper(substr(p[i], length(regexp_extract(p[i], '^([^\\pL]*)', 1)) + 1, 1))"
+    upper += " || substr(p[i], length(regexp_extract(p[i], '^([^\\pL]*)', 1)) + 2) ELSE p[i] END)"
+    for k, (phrase, short) in enumerate(T.FILLERS):
+        big = short[:1].upper() + short[1:]
+        start = "((i = 2 AND p[1] = '') OR right(p[i - 1], 2) IN ('. ', '.' || chr(10)))"
+        piece = f"CASE WHEN i = 1 THEN p[1] ELSE {upper} END" if not short else f"CASE WHEN i = 1 THEN p[1] ELSE (CASE WHEN {start} THEN {q(big)} ELSE {q(short)} END) || p[i] END"
+        split = f"regexp_split_to_array(text, '(?i)' || {q(phrase)})"
+        joined = f"(SELECT array_to_string(list_transform(range(1, len(p) + 1), lambda i: {piece}), '') FROM (SELECT {split} AS p))"
+        steps.append(f"filler{k} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN contains(lower(text), {q(phrase)}) THEN {joined} ELSE text END AS text) FROM {before})")
+        before = f"filler{k}"
+    return ", ".join(steps) + f", compressed AS (SELECT * REPLACE ({trimmed("regexp_replace(text, ' {2,}', ' ', 'g')")} AS text) FROM {before})"
+
+
+_STRIPPED = f"""stripped AS (SELECT * FROM block WHERE NOT {WORTHLESS}),
+deduplicated AS (
+  SELECT doc_id, block_ord, text FROM (SELECT *, {NORM} AS norm FROM stripped)
+  QUALIFY strlen(norm) < 20 OR row_number() OVER (PARTITION BY doc_id, norm ORDER BY block_ord) = 1)"""
 
 
 def _license(what: str) -> str:
@@ -128,28 +178,31 @@ chunks AS (SELECT g, chunk, count(*) AS files, sum(tokens) AS tokens FROM fold G
 
 
 _SUPPLY = """edge AS (
-  SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 49 AND l_discount >= 0.09),
-node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge),
-degree AS (SELECT src, count(*) AS d FROM edge GROUP BY 1),
-size AS (SELECT count(*) AS n FROM node)"""
-
-
-def _pagerank(rounds: int, dangling: bool) -> str:
-    parts = [_SUPPLY, "r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM node, size)"]
+  SELECT o_custkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT s_suppkey + 1000000000, CAST(s_nationkey AS BIGINT) + 2000000000 FROM supplier)"""
+
+
+def _pagerank(graph: str, rounds: int, dangling: bool) -> str:
+    parts = [
+        graph,
+        "node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge)",
+        "degree AS (SELECT src, count(*) AS d FROM edge GROUP BY 1)",
+        "size AS (SELECT count(*) AS n FROM node)",
+        "share AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / d AS share FROM edge JOIN degree USING (src) GROUP BY src, dst, d)",
+        "r0 AS MATERIALIZED (SELECT node, src IS NULL AS sink, 1.0::DOUBLE / n AS rank FROM size, node LEFT JOIN degree ON node = src)",
+    ]
     for k in range(1, rounds + 1):
-        lost = f"(SELECT coalesce(sum(rank), 0) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM degree)) * 0.85 / n" if dangling else "0"
+        lost = f"(SELECT coalesce(sum(rank) FILTER (WHERE sink), 0) FROM r{k - 1}) * 0.85 / n" if dangling else "0"
         parts.append(
-            f"r{k} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / n + {lost} + coalesce((SELECT sum(r.rank / d.d) * 0.85 FROM edge e JOIN r{k - 1} r ON r.node = e.src"
-            f" JOIN degree d ON d.src = e.src WHERE e.dst = node.node), 0) AS rank FROM node, size)"
+            f"r{k} AS MATERIALIZED (SELECT node, sink, 0.15::DOUBLE / n + {lost} + coalesce(gain, 0) * 0.85 AS rank FROM size, r{k - 1}"
+            f" LEFT JOIN (SELECT dst, sum(rank * share) AS gain FROM share JOIN r{k - 1} ON node = src GROUP BY 1) ON node = dst)"
         )
     return "WITH " + ", ".join(parts)
 
 
 _SPARSE = """edge AS (
-  SELECT p_partkey AS src, (p_partkey * 7) % 211 AS dst FROM part WHERE p_partkey < 300
-  UNION ALL SELECT p_partkey, (p_partkey * p_partkey) % 197 FROM part WHERE p_partkey < 300 AND p_partkey % 5 = 0)"""
+  SELECT p_partkey AS src, (p_partkey * 7) % 211 AS dst FROM part
+  UNION ALL SELECT p_partkey, (p_partkey * p_partkey) % 197 FROM part WHERE p_partkey % 5 = 0)"""
 _PATHS = """path AS (
   SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '^m[.]', 'tests/') || '/src/index.ts' AS path FROM pages)"""
 _VERSIONS = """now AS (SELECT CAST(doc_id AS VARCHAR) AS location_key, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 3),
@@ -289,15 +342,15 @@ SELECT doc_id, string_agg(word, ' ' ORDER BY r) AS words FROM c WHERE r <= 10 GR
     "module_graph": """
 SELECT p_brand AS src_module, 'nation' || s_nationkey AS dst_module, count(*) AS weight
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""",
-    "pagerank": _pagerank(20, True) + " SELECT node, round(rank, 6) AS rank FROM r20",
-    "file_importance": _pagerank(30, False) + " SELECT node, round(rank / (SELECT max(rank) FROM r30), 6) AS rank FROM r30",
+    "pagerank": _pagerank(_SUPPLY, 20, True) + " SELECT node, round(rank, 8) AS rank FROM r20",
+    "file_importance": _pagerank(_SUPPLY, 30, False) + " SELECT node, round(rank / (SELECT max(rank) FROM r30), 8) AS rank FROM r30",
     "scc_cycles": f"""
 WITH RECURSIVE {_SPARSE}, reach(a, b) AS (SELECT src, dst FROM edge WHERE src <> dst UNION SELECT r.a, e.dst FROM reach r JOIN edge e ON e.src = r.b),
 both_ways AS (SELECT x.a AS node, x.b AS other FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b)
 SELECT node, least(node, min(other)) AS component FROM both_ways GROUP BY node""",
     "closure": f"""
-WITH RECURSIVE {_SPARSE}, reach(src, dst, depth) AS (SELECT DISTINCT src, dst, 1 FROM edge UNION SELECT r.src, e.dst, r.depth + 1 FROM reach r JOIN edge e ON e.src = r.dst WHERE r.depth < 4)
-SELECT src, dst, min(depth) AS depth FROM reach GROUP BY 1, 2""",
+WITH RECURSIVE {_SPARSE}, reach(src, dst) AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON e.src = r.dst)
+SELECT src, dst FROM reach""",
     "transitive_callers": f"""
 WITH RECURSIVE {_SPARSE}, reach(node, depth) AS (SELECT CAST(unnest([3, 4, 5]) AS BIGINT), 0 UNION SELECT e.src, r.depth + 1 FROM reach r JOIN edge e ON e.dst = r.node WHERE r.depth < 3)
 SELECT node, depth FROM (SELECT node, min(depth) AS depth FROM reach GROUP BY 1) WHERE depth > 0""",
@@ -327,7 +380,7 @@ WITH s AS (SELECT p_brand AS file, p_partkey % 500 AS a, p_partkey % 500 + p_siz
 p AS (SELECT DISTINCT p_brand AS file, p_partkey * 3 % 500 AS line FROM part),
 r AS (SELECT p.file, line, symbol_id, row_number() OVER (PARTITION BY p.file, line ORDER BY b - a, a, symbol_id) AS k FROM p JOIN s ON p.file = s.file AND line BETWEEN a AND b)
 SELECT file, line, symbol_id FROM r WHERE k = 1""",
-    "manifest_diff": f"WITH {_VERSIONS} SELECT status, count(*) AS n FROM diff GROUP BY 1",
+    "manifest_diff": f"WITH {_VERSIONS} SELECT location_key, status FROM diff",
     "manifest_rows": f"WITH {_VERSIONS} SELECT location_key, status FROM diff WHERE status <> 'unchanged'",
     "manifest_checksum": f"""
 WITH {_VERSIONS}, d AS (SELECT sha256(location_key || chr(0) || h) AS x FROM now)
@@ -368,7 +421,7 @@ WITH {_PATHS} SELECT page_id, array_to_string(list_filter(string_split(path, '/'
 WITH n AS (SELECT p_partkey, 'parseHTTP' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || '_v2' AS t FROM part)
 SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g'), '[^A-Za-z0-9]+'), lambda w: w <> ''), ' ') AS words FROM n""",
     "escapes": f"""
-SELECT item_id, {_xml(_T)} AS xml, {_yaml(_T)} AS yaml, {_cell(_T)} AS cell, '''' || {_T} AS guarded, {_mask('left(text, 20)')} AS masked,
+SELECT item_id, {_xml(_T)} AS xml, {_yaml(_T)} AS yaml, {_cell(_T)} AS cell, '''' || {_T} AS guarded, {_mask('text')} AS masked,
        CASE WHEN length({_T}) > 40 THEN left({_T}, 37) || '...' ELSE {_T} END AS short,
        CASE WHEN regexp_matches(text, '(?s)^\\s*.*?[.!?](\\s|$)') THEN regexp_extract(text, '(?s)^\\s*(.*?[.!?])(?:\\s|$)', 1) ELSE {trimmed('string_split(text, chr(10))[1]')} END AS sentence
 FROM benchmark""",
@@ -391,20 +444,21 @@ SELECT 'f' || p_partkey AS name,
        CASE p_partkey % 9 WHEN 1 THEN 'low' WHEN 2 THEN 'critical' WHEN 4 THEN 'medium' ELSE 'high' END AS severity
 FROM part WHERE p_partkey % 9 BETWEEN 1 AND 5""",
     "symbol_scores": """
-WITH u AS (SELECT p_name, count(*) AS n FROM (SELECT p_name FROM part WHERE p_size < 10 UNION ALL SELECT p_name FROM part WHERE p_size = 50) GROUP BY 1),
+WITH u AS (SELECT p_name, count(*) AS n FROM (SELECT p_name FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT p_name FROM supplier JOIN part ON s_suppkey = p_partkey) GROUP BY 1),
 s AS (SELECT p_partkey, p_size, coalesce(n, 0) AS refs, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.3 END AS k FROM part LEFT JOIN u USING (p_name))
 SELECT p_partkey, refs, round(least(greatest(0.4::DOUBLE * refs / greatest((SELECT max(refs) FROM s), 1) + 0.25 * k + 0.2 * 0.5 + 0.15 * least(p_size::DOUBLE / (SELECT max(p_size) FROM s), 1), 0), 1), 6) AS score FROM s""",
     "impact_levels": f"""
 WITH {_SPARSE}, p AS (SELECT DISTINCT src, dst FROM edge),
 d AS (SELECT node, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM (SELECT dst AS node, count(*) AS a FROM p GROUP BY 1) FULL JOIN (SELECT src AS node, count(*) AS b FROM p GROUP BY 1) USING (node))
 SELECT node, CASE WHEN a > 20 OR a * 3 + b > 50 THEN 'critical' WHEN a > 10 OR a * 3 + b > 20 THEN 'high' WHEN a > 3 OR a * 3 + b > 5 THEN 'medium' ELSE 'low' END AS level FROM d""",
-    "common_symbols": "SELECT p_type AS name FROM part WHERE p_size < 25 INTERSECT SELECT p_type FROM part WHERE p_size >= 45",
+    "common_symbols": "SELECT unnest(string_split(upper(p_name), ' ')) AS name FROM part INTERSECT SELECT p_type FROM part",
     "emit_documents": f"WITH {BLOCKS} SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY block_ord)) AS digest FROM block GROUP BY 1",
     "graph_export": f"""
-WITH {_SPARSE}, s AS (SELECT p_partkey AS id, p_brand || '/' || p_size || '.py' AS file, p_brand AS m FROM part)
-SELECT 'symbol' AS label, count(*) AS n, 'vertex' AS what FROM s UNION ALL SELECT 'file', count(DISTINCT file), 'vertex' FROM s UNION ALL SELECT 'module', count(DISTINCT m), 'vertex' FROM s
-UNION ALL SELECT 'DEFINED_IN', count(*), 'edge' FROM s UNION ALL SELECT 'CALLS', count(*), 'edge' FROM edge UNION ALL SELECT 'BELONGS_TO', count(DISTINCT file), 'edge' FROM s
-UNION ALL SELECT 'CONTAINS', count(*), 'edge' FROM s WHERE id % 4 = 0""",
+WITH {_SPARSE}, s AS (SELECT 's:' || p_partkey AS id, p_name AS name, p_brand || '/' || p_size || '.py' AS file, p_brand AS m, CASE WHEN p_partkey % 4 = 0 THEN p_partkey // 2 END AS parent FROM part),
+v AS (SELECT id, 'symbol' AS label, name FROM s UNION ALL SELECT DISTINCT 'f:' || file, 'file', file FROM s UNION ALL SELECT DISTINCT 'm:' || m, 'module', m FROM s),
+e AS (SELECT id AS src, 'f:' || file AS dst, 'DEFINED_IN' AS label FROM s UNION ALL SELECT 's:' || src, 's:' || dst, 'CALLS' FROM edge
+  UNION ALL SELECT DISTINCT 'f:' || file, 'm:' || m, 'BELONGS_TO' FROM s UNION ALL SELECT 's:' || parent, id, 'CONTAINS' FROM s WHERE parent IS NOT NULL)
+SELECT id, label, name, NULL::VARCHAR AS src, NULL::VARCHAR AS dst FROM v UNION ALL SELECT src || '-' || label || '-' || dst, label, NULL, src, dst FROM e""",
     "emit_xml": f"""
 WITH {_FILES} SELECT ord, '<file path="' || {_xml('path')} || '"' || CASE WHEN language IS NOT NULL THEN ' language="markdown"' ELSE '' END || '><![CDATA['
   || replace(content, ']]>', ']]]]><![CDATA[>') || ']]></file>' AS text FROM f""",
@@ -419,7 +473,7 @@ WITH {_FILES}, l AS (SELECT ord, path, {lines('content')} AS ls FROM f)
 SELECT ord, '=== ' || path || ' ===' || chr(10) || array_to_string(list_transform(range(1, len(ls) + 1), lambda i: i || ': ' || ls[i]), chr(10)) AS text FROM l""",
 }
 
-_TYPES = """t AS (SELECT 'T' || p_partkey AS name, CASE WHEN p_partkey > 2 THEN 'T' || (p_partkey // 3) END AS parent FROM part WHERE p_partkey <= 400),
+_TYPES = """t AS (SELECT 'T' || p_partkey AS name, CASE WHEN p_partkey > 2 THEN 'T' || (p_partkey // 3) END AS parent FROM part),
 up(name, ancestor, depth) AS (SELECT name, parent, 1 FROM t WHERE parent IS NOT NULL UNION ALL SELECT u.name, t.parent, u.depth + 1 FROM up u JOIN t ON t.name = u.ancestor WHERE t.parent IS NOT NULL)"""
 _UNIQUE = """c AS (SELECT s_suppkey AS caller_id, 'Brand#1' || (s_suppkey % 5 + 1) AS file, 'f' || (s_suppkey * 5 % 601) AS name FROM supplier),
 s AS (SELECT p_partkey AS id, p_brand AS file, 'f' || (p_partkey % 601) AS name FROM part),
@@ -433,7 +487,7 @@ SELECT n_regionkey || '.csv' AS path, 'table' AS block_type,
        'k | name | r' || chr(10) || string_agg(n_nationkey || ' | ' || n_name || ' | ''=' || n_regionkey, chr(10) ORDER BY n_nationkey || ';' || n_name) AS text
 FROM nation GROUP BY n_regionkey""",
     "diff_lines": """
-WITH b AS (SELECT item_id AS key, CAST(item_id + 1 AS BIGINT) AS a, replace(left(text, 10), chr(10), ' ') AS t FROM benchmark)
+WITH b AS (SELECT item_id AS key, CAST(item_id + 1 AS BIGINT) AS a, replace(text, chr(10), ' ') AS t FROM benchmark)
 SELECT key, CAST(1 AS BIGINT) AS hunk, 'context' AS kind, a AS old_line, a AS new_line, 'same' AS text FROM b
 UNION ALL SELECT key, 1, 'remove', a + 1, NULL, 'old' FROM b UNION ALL SELECT key, 1, 'add', NULL, a + 1, 'new' FROM b UNION ALL SELECT key, 1, 'add', NULL, a + 2, t FROM b""",
     "classify_changes": """
@@ -452,7 +506,7 @@ FROM reach WHERE node IN (SELECT node FROM n) GROUP BY node""",
 WITH RECURSIVE {_TYPES} SELECT name, 'root' AS "end" FROM t WHERE parent IS NULL UNION ALL SELECT name, 'leaf' FROM t WHERE name NOT IN (SELECT parent FROM t WHERE parent IS NOT NULL)""",
     "link_parents": """
 WITH p AS (SELECT p_partkey AS id, p_brand AS file, 'n' || (p_partkey % 11) AS name, CASE WHEN p_partkey % 2 = 1 THEN 'n' || (p_partkey % 7) END AS parent,
-                  p_partkey % 200 AS a, p_partkey % 200 + p_size AS b FROM part WHERE p_partkey <= 1500),
+                  p_partkey % 200 AS a, p_partkey % 200 + p_size AS b FROM part),
 r AS (SELECT c.id, o.id AS parent_id, row_number() OVER (PARTITION BY c.id ORDER BY CASE WHEN o.a <= c.a AND c.b <= o.b THEN 0 WHEN o.a <= c.b AND c.a <= o.b THEN 1 ELSE 2 END, o.b - o.a, o.a, o.b, o.id) AS k
       FROM p c JOIN p o ON c.file = o.file AND c.parent = o.name AND c.id <> o.id)
 SELECT id, parent_id FROM r WHERE k = 1""",
@@ -462,8 +516,8 @@ SELECT id, parent_id FROM r WHERE k = 1""",
 SELECT p_brand AS file, p_size AS start_line, min(p_partkey) AS id, arg_min(p_name, p_partkey) AS name, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS tags,
        max(p_partkey % 50) AS tokens, count(*) AS aliases FROM part GROUP BY 1, 2""",
     "cross_repo_links": """
-WITH k AS (SELECT p_brand AS repo, CAST(substr(p_brand, 7, 2) AS INTEGER) AS o, p_type AS name FROM part WHERE p_size > 10),
-u AS (SELECT p_brand AS repo, CAST(substr(p_brand, 7, 2) AS INTEGER) AS o, p_type AS name FROM part WHERE p_size <= 10),
+WITH k AS (SELECT p_brand AS repo, CAST(substr(p_brand, 7, 2) AS INTEGER) AS o, p_name || ' ' || (p_partkey % 9) AS name FROM part),
+u AS (SELECT p_brand AS repo, CAST(substr(p_brand, 7, 2) AS INTEGER) AS o, p_name || ' ' || (p_partkey * 5 % 9) AS name FROM part),
 f AS (SELECT name, min(o) AS o, arg_min(repo, o) AS target_repo FROM k GROUP BY 1)
 SELECT DISTINCT u.repo, u.name, 'call' AS kind, f.target_repo FROM u JOIN f USING (name)
 WHERE f.o < u.o AND NOT EXISTS (SELECT 1 FROM k WHERE k.repo = u.repo AND k.name = u.name)""",
@@ -475,10 +529,10 @@ FROM nation GROUP BY n_regionkey HAVING count(*) >= 2""",
 WITH s AS (SELECT p_partkey AS p, p_brand AS file, CASE WHEN p_partkey % 10 = 0 THEN 'test_' ELSE 's' END || p_partkey AS name,
   CASE p_partkey % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'constant' END AS kind FROM part)
 SELECT file, name, kind, round(least(0.5::DOUBLE + CASE WHEN p % 2 = 0 THEN 0.3 ELSE 0 END + CASE kind WHEN 'function' THEN 0.1 WHEN 'class' THEN 0.05 ELSE 0.15 END, 0.95), 6) AS confidence
-FROM s WHERE p % 10 <> 0 AND NOT (p % 7 = 0 AND p % 2 = 1) AND p NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 10)""",
+FROM s WHERE p % 10 <> 0 AND NOT (p % 7 = 0 AND p % 2 = 1) AND p NOT IN (SELECT s_suppkey * 7 FROM supplier)""",
     "tests_by_name": """
-WITH s AS (SELECT p_partkey AS p, 'src/m' || p_partkey || '.py' AS path, 'm' || p_partkey AS stem FROM part WHERE p_partkey <= 300),
-t AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'tests/m' || p_partkey || 'x.py' WHEN 1 THEN 'a/test_m' || p_partkey || '.py' ELSE 'a/xm' || p_partkey || '_test.go' END AS test FROM part WHERE p_partkey <= 300)
+WITH s AS (SELECT p_partkey AS p, 'src/m' || p_partkey || '.py' AS path, 'm' || p_partkey AS stem FROM part),
+t AS (SELECT CASE p_partkey % 3 WHEN 0 THEN 'tests/m' || p_partkey || 'x.py' WHEN 1 THEN 'a/test_m' || p_partkey || '.py' ELSE 'a/xm' || p_partkey || '_test.go' END AS test FROM part)
 SELECT path, test FROM s JOIN t ON contains(test, stem || '_test.') OR contains(test, 'test_' || stem) OR contains(test, stem || '.test.') OR contains(test, stem || '.spec.')
   OR contains(test, 'test/' || stem) OR contains(test, 'tests/' || stem) OR contains(test, '__tests__/' || stem)""",
     "unreachable_code": """
@@ -489,12 +543,99 @@ SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'github' WHEN 1 THEN 'gitlab' E
        CASE s_suppkey % 3 WHEN 0 THEN 'r' WHEN 1 THEN 'p' || s_suppkey END AS name FROM supplier""",
     "fixed_chunks": f"""
 WITH RECURSIVE sized AS (SELECT 1 AS one, doc_id, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens FROM documents),
-{_next_fit('sized', 'one', 'doc_id', 8000)}
-SELECT CAST(chunk AS BIGINT) AS chunk, files, CAST(tokens AS BIGINT) AS tokens FROM chunks""",
+{_next_fit('sized', 'one', 'doc_id', 8000)},
+place AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, tokens, CAST(chunk AS BIGINT) AS chunk FROM fold JOIN place USING (r)""",
     "chunk_neighbours": """
 SELECT n_regionkey, n_nationkey AS chunk, n_name AS focus, count(*) OVER (PARTITION BY n_regionkey) AS total,
        'Previous: ' || lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS previous,
        'Next: Chunk ' || (lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1) AS next FROM nation""",
-    "character_vectors": "SELECT item_id, 1.0::DOUBLE AS norm FROM benchmark",
+    "character_vectors": """
+WITH c AS (SELECT item_id, unnest(range(1, length(text) + 1)) AS i, text FROM benchmark),
+b AS (SELECT item_id, CAST(unicode(substr(text, i, 1)) % 384 AS INTEGER) AS bucket, sum(1.0::DOUBLE / i) AS w FROM c GROUP BY 1, 2),
+n AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM b GROUP BY 1)
+SELECT item_id, bucket, round(CAST(CAST(w / norm AS FLOAT) AS DOUBLE), 4) AS x FROM b JOIN n USING (item_id)""",
     "rollup_sources": "SELECT lang, source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ROLLUP (lang, source)",
 }
+
+_SIZES = f"count(*) AS blocks, CAST(sum({estimate('text', 'claude')}) AS BIGINT) AS tokens"
+_MASKED = f"""WITH row_text AS (
+  SELECT doc_id, i, ls[i] AS text FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+hit AS ({" UNION ".join(f"SELECT doc_id, i, unnest(regexp_extract_all(text, {q(p)}, {int(g)})) AS v FROM row_text" for _, _, p, g in T.SECRET_PATTERNS)}),
+found AS (SELECT doc_id, i, list(v ORDER BY length(v) DESC, v) AS vs FROM hit GROUP BY 1, 2),
+masked AS (
+  SELECT doc_id, i, CASE WHEN vs IS NULL THEN text ELSE list_reduce(list_prepend(text, vs), lambda t, v: replace(t, v, {_mask('v')})) END AS text
+  FROM row_text LEFT JOIN found USING (doc_id, i))"""
+_SEMANTIC = f"""n AS (SELECT path, split_part(path, '/', 1) AS m, tokens, row_number() OVER (ORDER BY path) AS r FROM
+  (SELECT source || '/' || doc_id AS path, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens FROM documents)),
+f(r, path, tokens, m, chunk, overlap, used) AS (
+  SELECT r, path, tokens, m, 0::BIGINT, false, tokens FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.r, n.path, n.tokens, n.m, f.chunk + s::INTEGER, s AND f.tokens * 10 <= 8000,
+         CASE WHEN NOT s THEN f.used + n.tokens WHEN f.tokens * 10 <= 8000 THEN f.tokens + n.tokens ELSE n.tokens END
+  FROM f JOIN n ON n.r = f.r + 1, LATERAL (SELECT f.used > 0 AND (f.used + n.tokens > 8000 OR (n.m <> f.m AND f.used > 4000)) AS s))"""
+
+ORACLE |= {
+    "map_pagerank": _pagerank(_SPARSE, 20, True)
+    + ", change AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.rank - b.rank)) AS c FROM r{k} a JOIN r{k - 1} b USING (node)" for k in range(1, 21))
+    + "), stop AS (SELECT coalesce(min(k) FILTER (WHERE c < 1e-4), 20) AS k FROM change), every_round AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, node, rank FROM r{k}" for k in range(1, 21))
+    + ") SELECT node, round(rank, 8) AS rank FROM every_round JOIN stop USING (k)",
+    "compress_fillers": f"WITH {BLOCKS}, {_compressed('block')} SELECT doc_id, CAST(strlen(t) AS BIGINT) AS bytes, md5(t) AS digest"
+    " FROM (SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY block_ord) AS t FROM compressed GROUP BY 1)",
+    "ingest_summary": f"""
+WITH {BLOCKS}, {_STRIPPED}, b AS (SELECT doc_id, {_SIZES} FROM block GROUP BY 1), a AS (SELECT doc_id, {_SIZES} FROM deduplicated GROUP BY 1)
+SELECT lang, count(*) AS documents, CAST(sum(coalesce(b.blocks, 0)) AS BIGINT) AS blocks_before, CAST(sum(coalesce(a.blocks, 0)) AS BIGINT) AS blocks_after,
+       CAST(sum(coalesce(b.tokens, 0)) AS BIGINT) AS tokens_before, CAST(sum(coalesce(a.tokens, 0)) AS BIGINT) AS tokens_after
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id) GROUP BY 1""",
+    "ingest_full": f"""
+WITH RECURSIVE {BLOCKS}, {_STRIPPED}, {_compressed('deduplicated')}, s AS (SELECT doc_id, block_ord, text, {SCORE} AS importance FROM compressed),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY importance DESC, block_ord) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+p AS (SELECT *, CASE WHEN n < 3 OR r <= ceil(n / 3.0) THEN 0 WHEN r <= 2 * ceil(n / 3.0) THEN 2 ELSE 1 END AS part FROM r),
+placed AS (SELECT doc_id, block_ord, text, row_number() OVER (PARTITION BY doc_id ORDER BY part, block_ord) AS ord FROM p),
+{_redacted('placed')}, sized AS (SELECT *, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens FROM redacted),
+{_next_fit('sized', 'doc_id', 'ord', 4000)}
+SELECT doc_id, ord, block_ord, CAST(chunk AS BIGINT) AS chunk, sized.tokens AS tokens, md5(text) AS digest FROM sized JOIN fold ON g = doc_id AND r = ord""",
+    "pii_all_kinds": f"""
+{_PII_VALID}, ranked AS (SELECT *, CASE kind WHEN 'phone' THEN 9 WHEN 'intl_phone' THEN 5 ELSE 10 END AS k FROM found)
+SELECT doc_id, line, kind, value FROM ranked f
+WHERE NOT EXISTS (SELECT 1 FROM ranked g WHERE g.doc_id = f.doc_id AND g.line = f.line AND g.kind <> f.kind AND (contains(g.value, f.value) OR contains(f.value, g.value)) AND g.k > f.k)""",
+    "pii_redact_all": f"""
+WITH source AS (SELECT doc_id, text FROM documents), {_redacted('source')}
+SELECT doc_id, CAST(len(regexp_extract_all(text, '\\[REDACTED-')) AS INTEGER) AS n_redacted, md5(text) AS digest FROM redacted""",
+    "secret_redact": f"{_MASKED} SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY i)) AS digest FROM masked GROUP BY 1",
+    "emit_json": f"""
+WITH {_FILES} SELECT ord, CAST(CASE WHEN language IS NULL THEN json_object('path', path, 'content', content)
+  ELSE json_object('path', path, 'language', language, 'content', content) END AS VARCHAR) AS text FROM f""",
+    "semantic_chunks": f"WITH RECURSIVE {_SEMANTIC} SELECT path, tokens, chunk, overlap FROM f",
+    "dependency_chunks": f"""
+WITH RECURSIVE {_TYPES}, d AS (SELECT t.name AS path, t.parent, length(t.name)::BIGINT AS tokens, coalesce(max(depth), 0) AS level FROM t LEFT JOIN up USING (name) GROUP BY 1, 2, 3),
+n AS (SELECT *, row_number() OVER (ORDER BY level, path) AS r FROM d),
+f(r, path, tokens, chunk, used, inside) AS (
+  SELECT r, path, tokens, 0::BIGINT, tokens, [path] FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.r, n.path, n.tokens, f.chunk + s::INTEGER, CASE WHEN s THEN n.tokens ELSE f.used + n.tokens END, CASE WHEN s THEN [n.path] ELSE list_append(f.inside, n.path) END
+  FROM f JOIN n ON n.r = f.r + 1, LATERAL (SELECT f.used + n.tokens > 50 AND NOT coalesce(list_contains(f.inside, n.parent), false) AS s))
+SELECT path, tokens, chunk FROM f""",
+    "truncated": f"""
+WITH p AS (SELECT doc_id, text, unnest(range(1, least(length(text), 1500) + 1)) AS i FROM documents WHERE text <> ''),
+over AS (SELECT doc_id, min(i) AS i FROM (SELECT doc_id, i, left(text, i) AS t FROM p) WHERE {estimate('t', 'claude')} > 100 GROUP BY 1),
+c AS (SELECT d.doc_id, d.text, CASE WHEN i IS NULL OR {estimate('d.text', 'claude')} <= 100 THEN NULL ELSE left(d.text, i - 1) END AS head FROM documents d LEFT JOIN over USING (doc_id)),
+b AS (SELECT *, length(regexp_extract(head, '(?s)^(.*)[ \n]', 1)) AS blank FROM c)
+SELECT doc_id, md5(CASE WHEN head IS NULL THEN text WHEN blank > 0 THEN left(head, blank) ELSE head END) AS digest FROM b""",
+    "pack_pages": f"""
+WITH RECURSIVE {_PATHS}, files AS (
+  SELECT path || '#' || page_id AS path, html, 0 AS page_id FROM path JOIN pages USING (page_id)),
+sized AS (SELECT path, {_rank_cases()} AS importance, CAST({estimate('html', 'claude')} AS BIGINT) AS t FROM files
+  WHERE NOT list_contains(string_split(path, '/'), 'tests') AND NOT starts_with(path, 'tests')),
+n AS (SELECT *, row_number() OVER (ORDER BY importance DESC, path) AS r FROM sized),
+f(r, total, action, used) AS (
+  SELECT r, CASE WHEN t <= 99000 THEN t ELSE 99000 END, CASE WHEN t <= 99000 THEN 'keep' ELSE 'truncate' END, CASE WHEN t <= 99000 THEN t ELSE 99000 END FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.r, CASE WHEN f.total + t <= 99000 THEN f.total + t WHEN f.total + 100 < 99000 THEN 99000 ELSE f.total END,
+         CASE WHEN f.total + t <= 99000 THEN 'keep' WHEN f.total + 100 < 99000 THEN 'truncate' ELSE 'drop' END,
+         CASE WHEN f.total + t <= 99000 THEN t WHEN f.total + 100 < 99000 THEN 99000 - f.total ELSE 0 END
+  FROM f JOIN n ON n.r = f.r + 1)
+SELECT path, importance, t AS tokens, action, CAST(used AS BIGINT) AS used FROM n JOIN f USING (r)""",
+}
