@@ -2,10 +2,13 @@
 
 URLs become sets of tokens: the host, its parent domains, the words of labels
 with hyphens, path segments with digits made uniform, query keys. FP-growth finds
-token combinations that are frequent together with the label ``bad``; rules
-pruned by support and confidence, and those that a shorter rule makes needless
-taken out, are indexed by their rarest token. A URL looks up the rules of its
-tokens and is blocked if all tokens of one are there.
+token combinations that are frequent together with the label ``bad``. Rules are
+pruned by support (a share and a number of bad URLs), by confidence, and by lift:
+even the lower bound of the confidence, at the given number of standard errors,
+must be above the share of bad URLs among all, so that few labels don't make
+rules by chance. Those that a shorter rule makes needless are taken out; the rest
+is indexed by each rule's rarest token. A URL looks up the rules of its tokens
+and is blocked if all tokens of one are there.
 
 Explicit rules (host, path) come first: a rule fits its host and all subdomains
 if the path starts with the rule's; the longest that fits wins.
@@ -26,6 +29,10 @@ from sievework.llm.common import pick, stored
 BAD = "label=bad"
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+#: Bad URLs that a rule must hold for, however few are labelled.
+MIN_COUNT = 10
+#: Standard errors of the lower bound of a rule's confidence.
+ERRORS = 4.0
 #: Longest token combination of a rule.
 MAX_TOKENS = 4
 
@@ -75,8 +82,20 @@ def tokens_of(url: Column) -> Column:
 RULE_SCHEMA = "tokens array<string>, confidence double, support double"
 
 
+def lower_bound(successes: Column, trials: Column, errors: float) -> Column:
+    """The lower end of the Wilson interval of a share."""
+    share, z2 = successes / trials, errors * errors
+    middle = share + z2 / (2 * trials)
+    return (middle - errors * F.sqrt((share * (1 - share) + z2 / (4 * trials)) / trials)) / (1 + z2 / trials)
+
+
 def mine_rules(
-    labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS
+    labelled: DataFrame,
+    min_support: float = MIN_SUPPORT,
+    min_confidence: float = MIN_CONFIDENCE,
+    max_tokens: int = MAX_TOKENS,
+    min_count: int = MIN_COUNT,
+    errors: float = ERRORS,
 ) -> DataFrame:
     """Rules (tokens, confidence, support) for ``bad`` from ``labelled`` (url, bad).
 
@@ -91,7 +110,7 @@ def mine_rules(
     total, n_bad = rows.agg(F.count("*"), F.count_if("bad")).first()
     if not 0 < n_bad < total:
         return labelled.sparkSession.createDataFrame([], RULE_SCHEMA)
-    least = min_support * total
+    least = max(min_support * total, min_count)
     in_bad = rows.filter("bad").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     useful = in_bad.filter(F.col("n") >= least).select("token")  # at most n_bad / least times the tokens of a URL
     keyed = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "bad", F.explode("tokens").alias("token")).join(useful, "token")
@@ -102,8 +121,10 @@ def mine_rules(
     whole = sets.filter(~F.array_contains("items", BAD)).select(F.col("items").alias("tokens"), F.col("freq").alias("freq_all"))
     bad = sets.filter(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("tokens"), "freq")
     confidence = F.col("freq") / F.col("freq_all")
-    rules = bad.join(whole, "tokens").select("tokens", confidence.alias("confidence"), (F.col("freq") / total).alias("support"))
-    kept = rules.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > n_bad / total))
+    rules = bad.join(whole, "tokens").select(
+        "tokens", confidence.alias("confidence"), (F.col("freq") / total).alias("support"), lower_bound(F.col("freq"), F.col("freq_all"), errors).alias("bound")
+    )
+    kept = rules.filter((F.col("confidence") >= min_confidence) & (F.col("bound") > n_bad / total)).drop("bound")
     return stored(shortest(stored(kept, "rules")), "rules")
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,6 +153,47 @@ def test_mined_rules_block(spark):
     assert verdicts == {1: "block", 2: "allow", 3: "allow"}
 
 
+def brute_rules(data, min_support, min_confidence, min_count, errors):
+    """{tokens} of all rules, by counting every combination of up to four tokens."""
+    total, n_bad = len(data), sum(bad for _, bad in data)
+    sets = [(frozenset(c), bad) for tokens, bad in data for k in range(1, 5) for c in itertools.combinations(sorted(tokens), k)]
+    whole, bads, found = Counter(s for s, _ in sets), Counter(s for s, bad in sets if bad), {}
+    for s, n in bads.items():
+        share, z2, m = n / whole[s], errors**2, whole[s]
+        bound = (share + z2 / (2 * m) - errors * math.sqrt((share * (1 - share) + z2 / (4 * m)) / m)) / (1 + z2 / m)
+        if n >= max(min_support * total, min_count) and share >= min_confidence and bound > n_bad / total:
+            found[s] = share
+    return {s for s, c in found.items() if not any(o < s and found[o] >= c for o in found)}
+
+
+def test_mined_verdicts_against_brute_force(spark):
+    rng = random.Random(12)
+    hosts, parts = [f"{a}{b}.net" for a in ("cheap-", "news", "shop-") for b in "xyz"], ["buy", "read", "p7", "en"]
+    data = []
+    for i in range(400):
+        host, path = rng.choice(hosts), "/".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+        chance = 0.9 if "cheap" in host and "buy" in path else 0.7 if host == "shop-x.net" else 0.15
+        data.append((i, f"http://{host}/{path}?id={i % 3}", rng.random() < chance))
+    labelled = spark.createDataFrame(data, "page_id long, url string, bad boolean")
+    tokens = {r.page_id: frozenset(r.t) for r in labelled.select("page_id", url_filters.tokens_of(F.col("url")).alias("t")).collect()}
+    for settings in ((0.002, 0.6, 10, 3.0), (0.05, 0.5, 1, 1.0)):
+        expected = brute_rules([(tokens[i], bad) for i, _, bad in data], *settings)
+        share, confidence, count, errors = settings
+        rules = url_filters.mine_rules(labelled, share, confidence, 4, count, errors)
+        found = {frozenset(r.tokens) for r in rules.collect()}
+        assert found == expected and found
+        index = url_filters.rule_index(rules, labelled.select(url_filters.tokens_of(F.col("url")).alias("tokens")))
+        blocked = {r.url for r in url_filters.match_rules(labelled, index).collect()}
+        assert blocked == {url for i, url, _ in data if any(r <= tokens[i] for r in expected)}
+
+
+def test_chance_makes_no_rules(spark):
+    """Labels that have nothing to do with the URLs give no rules, however few they are."""
+    rng = random.Random(3)
+    data = [(f"http://h{rng.randrange(40)}.net/{rng.choice('abc')}/{rng.randrange(9)}", rng.random() < 0.15) for _ in range(900)]
+    assert url_filters.mine_rules(spark.createDataFrame(data, "url string, bad boolean")).count() == 0
+
+
 def test_no_labels_block_nothing(spark):
     empty = spark.createDataFrame([], "url string, bad boolean")
     assert url_filters.mine_rules(empty).count() == 0
