@@ -68,6 +68,7 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: float
         .groupBy("source")
         .agg(F.sum("n").alias("tokens"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
     )
+    tokens = stored(tokens, "tokens")
     if weights is None:
         weighted = tokens.withColumn("weight", F.sqrt("tokens") if alpha == 0.5 else F.pow(F.col("tokens").cast("double"), F.lit(alpha)))
     else:
@@ -87,7 +88,7 @@ def mix_sources(
     docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED, alpha: float = ALPHA, partition_bytes: int = PARTITION_BYTES
 ) -> DataFrame:
     """``docs`` with each row repeated, and copy (from 0), rate and shuffle_key, in the order of shuffle_key."""
-    rates = stored(source_rates(docs, weights, alpha), "rates")
+    rates = source_rates(docs, weights, alpha)
     size = rates.agg(F.sum(F.col("bytes") * F.col("rate"))).first()[0] or 0
     parts = max(FILES_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / partition_bytes))
     certain = F.when(F.col("rate") > 700, F.floor("rate")).otherwise(F.lit(0)).cast("long")
