@@ -337,3 +337,62 @@ LANGUAGES = {
     "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml",
     "md": "markdown", "xml": "xml", "sql": "sql",
 }
+
+# Paths that are left out by default.
+DEFAULT_IGNORES = [
+    "node_modules/**", "vendor/**", ".venv/**", "venv/**", "__pycache__/**", ".cache/**", ".npm/**", ".yarn/**", ".pnpm/**", "bower_components/**",
+    "jspm_packages/**", "dist/**", "build/**", "out/**", "target/**", "_build/**", ".next/**", ".nuxt/**", ".output/**", ".svelte-kit/**",
+    ".vercel/**", ".netlify/**", "*.min.js", "*.min.css", "*.bundle.js", "*.chunk.js", "*.min.map", "*.generated.*", "*.pb.go", "*_generated.go",
+    "*.g.dart", "generated/**", "*.gen.ts", "*.gen.js", "__generated__/**", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock",
+    "poetry.lock", "Gemfile.lock", "composer.lock", "Pipfile.lock", "bun.lockb", "flake.lock", "*.svg", "*.png", "*.jpg", "*.jpeg", "*.gif",
+    "*.ico", "*.webp", "*.avif", "*.bmp", "*.tiff", "*.psd", "*.ai", "*.sketch", "*.fig", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.otf", "*.mp3",
+    "*.mp4", "*.wav", "*.ogg", "*.webm", "*.mov", "*.avi", "*.mkv", "*.flv", "*.pdf", ".idea/**", ".vscode/**", "*.swp", "*.swo", "*~",
+    ".DS_Store", "Thumbs.db", "*.iml", "coverage/**", ".nyc_output/**", "htmlcov/**", ".coverage", "lcov.info", "*.lcov", "*.log", "logs/**",
+    "npm-debug.log*", "yarn-debug.log*", "yarn-error.log*", "tmp/**", "temp/**", ".tmp/**", ".temp/**", "*.db", "*.sqlite", "*.sqlite3", "*.csv",
+    "*.parquet", "*.arrow", "*.feather", "__snapshots__/**", "*.snap", "*.d.ts.map", "*.wasm", "*.pyc", "*.pyo", "*.pyd", ".git/**", ".hg/**",
+    ".svn/**", ".env", ".env.*", "*.bak", "*.backup",
+]
+# Paths of tests.
+TEST_IGNORES = [
+    "**/test/**", "**/tests/**", "**/__tests__/**", "**/spec/**", "**/specs/**", "**/*_test.*", "**/*.test.*", "**/*.spec.*", "**/*.fixture.*",
+    "**/*_fixture.*", "**/test_*.*", "**/conftest.py", "**/fixtures/**", "**/mocks/**", "**/__mocks__/**", "**/__fixtures__/**", "**/testdata/**",
+    "**/test-data/**", "**/*_test/**", "**/*.stories.*", "**/*.story.*", "**/e2e/**", "**/integration/**", "**/cypress/**", "**/playwright/**",
+]
+# Paths of documentation.
+DOC_IGNORES = [
+    "docs/**", "doc/**", "documentation/**", "*.md", "*.mdx", "*.rst", "CHANGELOG*", "HISTORY*", "AUTHORS*", "CONTRIBUTORS*", "CONTRIBUTING*",
+    "CODE_OF_CONDUCT*",
+]
+# Ends of paths that the fast ranking puts first, and second.
+FAST_ENTRY_ENDS = [
+    "main.rs", "main.go", "main.py", "main.ts", "main.js", "main.c", "main.cpp", "index.ts", "index.js", "index.tsx", "index.jsx", "index.py",
+    "app.py", "app.ts", "app.js", "app.tsx", "app.jsx", "app.go", "server.py", "server.ts", "server.js", "server.go", "mod.rs", "lib.rs", "lib.py",
+    "__main__.py", "__init__.py",
+]
+FAST_CONFIG_ENDS = [
+    "Cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "build.gradle", "Gemfile", "requirements.txt", "setup.py", "setup.cfg",
+    "tsconfig.json", "webpack.config.js", "vite.config.ts", ".eslintrc", "Makefile", "CMakeLists.txt", "docker-compose.yml", "Dockerfile",
+]
+# What the fast ranking adds, by pieces of the path; lower comes first.
+FAST_PIECES = [
+    (-1000, ["/src/"]), (-800, ["/lib/", "/core/"]), (-600, ["/api/", "/handlers/", "/routes/"]), (2000, ["/test", "_test.", ".test."]),
+    (1500, ["/examples/", "/docs/"]), (3000, ["/vendor/", "/node_modules/"]),
+]
+# A file's priority in a chunk: score, ends of the path, pieces of it, starts of it. The first rule that fits counts.
+CHUNK_PRIORITIES = [
+    (100.0, ["main.rs", "main.py", "__main__.py", "index.ts", "index.js", "app.ts", "app.js", "main.go", "main.java"], [], []),
+    (90.0, ["cargo.toml", "package.json", "pyproject.toml", "go.mod", "pom.xml", "build.gradle"], [], []),
+    (80.0, ["lib.rs", "mod.rs"], ["/lib/", "/core/", "/src/lib"], []),
+    (75.0, [], ["/api/", "/handlers/", "/routes/", "/controllers/", "/endpoints/"], []),
+    (60.0, [], ["/src/"], ["src/"]),
+    (20.0, [], ["/test", "test_", "_test.", ".test.", ".spec."], []),
+    (30.0, [], ["/utils/", "/helpers/", "/util/", "/common/", "/shared/"], []),
+    (10.0, [".md"], ["/examples/", "/docs/", "/example/"], []),
+]
+# Extensions that a qualified name leaves out.
+NAMED_EXTENSIONS = ["rs", "py", "ts", "tsx", "js", "jsx", "go", "java", "c", "cpp", "h", "hpp", "rb", "php", "cs", "swift", "kt", "scala"]
+# Names of test files, for chunks and for streams.
+TEST_DIRECTORIES = ["/tests/", "/test/", "/__tests__/"]
+TEST_FILE_ENDS = [
+    "_test.rs", "_test.py", "_test.go", ".test.ts", ".test.js", ".test.tsx", ".test.jsx", ".spec.ts", ".spec.js", "_spec.rb",
+]

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.tables import NAMED_EXTENSIONS
+
 
 def lines(text: Column) -> Column:
     """The lines of a text without line ends; a final line end adds none; empty text: no lines."""
@@ -202,3 +204,52 @@ def location_key(*parts: Column) -> Column:
 def chunk_id(key: Column, full_hash: Column) -> Column:
     """An id for a content at a place."""
     return content_id(F.concat(key, F.lit("\0"), full_hash))
+
+
+def module_path(path: Column, language: Column) -> Column:
+    """The module that a file is in its language: ``auth.jwt`` for Python, ``auth::jwt`` for Rust, ``auth/jwt`` for scripts, packages for Java and Go."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    bare = F.regexp_replace(p, r"^(?:src|lib)/", "")
+    in_src = F.regexp_replace(p, r"^src/", "")
+    rust = F.when(in_src.isin("lib.rs", "main.rs"), "").otherwise(F.replace(F.regexp_replace(in_src, r"(?:/mod)?\.rs$", ""), F.lit("/"), F.lit("::")))
+    segment = r"^(?!__pycache__)[A-Za-z_][A-Za-z0-9_]*$"
+    parts = F.filter(F.split(F.regexp_replace(F.regexp_replace(p, "^/+", ""), r"^(?:src|lib)/", ""), "/"), lambda x: x != "")
+    after_packages = F.regexp_replace(F.array_join(parts, "/"), r"^(?:.*/)?(?:site-packages|dist-packages)/", "")
+    after_root = F.regexp_replace(after_packages, r"^(?:[^/]+/)*?(?:src|lib)/(?=(?:.*/)?[A-Za-z_])", "")
+    own = F.split(F.regexp_replace(F.when(after_packages != F.array_join(parts, "/"), after_packages).otherwise(after_root), r"\.py$", ""), "/")
+    own = F.filter(own, lambda x: x.rlike(segment))
+    python = F.array_join(F.when(F.element_at(own, -1) == "__init__", F.slice(own, 1, F.size(own) - 1)).otherwise(own), ".")
+    python = F.when(F.size(own) == 0, "").otherwise(python)
+    script = F.when(bare.startswith("index."), "").otherwise(F.regexp_replace(bare, r"(?:/index)?\.(?:tsx?|jsx?)$", ""))
+    package = F.regexp_replace(F.regexp_replace(p, r"^(?:src/main/java/|src/test/java/|src/)", ""), r"(?:^|/)[^/]*$", "")
+    java = F.replace(package, F.lit("/"), F.lit("."))
+    go_file = F.regexp_replace(F.regexp_replace(p, r"^(?:internal|pkg|cmd)/", ""), r"\.go$", "")
+    go = F.regexp_replace(go_file, r"/[^/]*$", "")
+    other = F.replace(F.regexp_replace(bare, r"\.[^./]*$", ""), F.lit("/"), F.lit("::"))
+    lower = F.lower(language)
+    return (
+        F.when(lower == "rust", rust).when(lower == "python", python).when(lower.isin("typescript", "tsx", "javascript", "jsx"), script)
+        .when(lower == "java", java).when(lower == "go", go).otherwise(other)
+    )
+
+
+def qualified_name(path: Column, parent: Column, name: Column, repository: Column | None = None) -> Column:
+    """``repo::folder::file::Parent::name`` of a symbol."""
+    bare = F.regexp_replace(path, r"\.(?:" + "|".join(NAMED_EXTENSIONS) + ")$", "")
+    module = F.translate(bare, "\\/", "\u0001\u0001")
+    parts = [F.nullif(repository, F.lit(""))] if repository is not None else []
+    return F.concat_ws("::", *parts, F.replace(module, F.lit("\u0001"), F.lit("::")), parent, name)
+
+
+def dotted_module(path: Column) -> Column:
+    """A file's module in a dependency graph: without source folder and extension, by dots."""
+    bare = F.regexp_replace(path, r"^(?:src/)*(?:lib/)*(?:app/)*", "")
+    cut = F.regexp_replace(bare, r"\.[^.]*$", "")
+    return F.regexp_replace(F.translate(cut, "/\\", ".."), r"^\.+|\.+$", "")
+
+
+def repository_module(path: Column) -> Column:
+    """A file's module among several repositories: without extension, ``mod``, ``index`` or ``__init__``, by double colons."""
+    bare = F.regexp_replace(path, r"(?:\.rs)*(?:\.py)*(?:\.ts)*(?:\.js)*(?:\.java)*(?:\.go)*(?:\.rb)*(?:\.php)*$", "")
+    module = F.regexp_replace(bare, r"(?:/mod)*(?:/index)*(?:/__init__)*$", "")
+    return F.regexp_replace(F.regexp_replace(module, r"[/\\]", "::"), "^(?:::)+", "")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.functions.tables import TEST_DIRECTORIES, TEST_FILE_ENDS
 from sievework.functions.text import lines
 from sievework.operators.graph import closure, reachable
 
@@ -69,6 +72,19 @@ def is_named_as_test(path: Column) -> Column:
     return out
 
 
+def is_streamed_test(path: Column) -> Column:
+    """The definition for streams: a file below a folder of tests."""
+    lower = F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+    return reduce(lambda a, b: a | b, [F.contains(lower, F.lit(d)) for d in TEST_DIRECTORIES])
+
+
+def is_chunked_test(path: Column) -> Column:
+    """The definition for chunks: below a folder of tests or specs, or with a test's file name."""
+    name = F.regexp_extract(F.lower(path), r"([^/\\]*)$", 1)
+    named = reduce(lambda a, b: a | b, [name.endswith(e) for e in TEST_FILE_ENDS], name.startswith("test_"))
+    return is_streamed_test(path) | F.contains(F.replace(F.lower(path), F.lit("\\"), F.lit("/")), F.lit("/spec/")) | named
+
+
 def changed_symbols(ranges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol_id) of symbols (file, start_line, end_line) that overlap changed ranges (file, start, end)."""
     hit = symbols.join(ranges, "file").filter((F.col("start_line") <= F.col("end")) & (F.col("end_line") >= F.col("start")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sievework.functions.tables import COUNTED_MODELS, LANGUAGES
+from sievework.functions.tables import COUNTED_MODELS, DEFAULT_IGNORES, DOC_IGNORES, LANGUAGES, TEST_IGNORES
 from sievework.functions.text import glob_regex, lines
 from sievework.functions.tokens import estimate, estimate_from, scan_estimate, token_stats
 
@@ -84,6 +85,43 @@ def filter_paths(files: DataFrame, include: list[str] = (), exclude: list[str] =
     return out.filter(~excluded_by(F.col(path), list(exclude))) if exclude else out
 
 
+def matches_any_glob(path: Column, globs: list[str]) -> Column:
+    """Whether a path fits any of the globs: one regular expression."""
+    return path.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs))
+
+
+def is_ignored(path: Column, tests: bool = True, docs: bool = True) -> Column:
+    """Whether a path is left out by default: dependencies, builds, assets and the like; without ``tests`` or ``docs`` these too."""
+    globs = DEFAULT_IGNORES + ([] if tests else TEST_IGNORES) + ([] if docs else DOC_IGNORES)
+    return matches_any_glob(path, globs)
+
+
+def gitignored(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
+    """Files that no rule ignores; ``rules``: folder (of the rule file, empty at the top), ord, pattern.
+
+    As for git: a pattern without a slash but at its end fits at any depth below
+    the folder, one with a slash only from the folder on, one with a slash at its
+    end only folders; what lies in an ignored folder is ignored; ``!`` takes a
+    file back, and of all rules that fit the deepest folder's last counts. The
+    rules are few, so they become one column expression.
+    """
+    own = sorted(rules.collect(), key=lambda r: (r["folder"].count("/") + (r["folder"] != ""), r["ord"]))
+    kept = F.lit(True)
+    for rule in own:
+        pattern = rule["pattern"].rstrip()
+        if not pattern or pattern.startswith("#"):
+            continue
+        back, bare = pattern.startswith("!"), pattern.removeprefix("!").removeprefix("\\")
+        body = bare.rstrip("/").removeprefix("/")
+        anywhere = "" if "/" in bare.rstrip("/") else "(?:.*/)?"
+        steps = re.sub(r"\*+|\?|[^*?]+", lambda m: {"*": "[^/]*", "?": "[^/]"}.get(m[0], ".*" if m[0].startswith("**") else re.escape(m[0])), body)
+        steps = steps.replace(".*/", "(?:.*/)?")
+        folder = re.escape(rule["folder"].rstrip("/") + "/") if rule["folder"] else ""
+        end = "/.*" if bare.endswith("/") else "(?:/.*)?"
+        kept = F.when(F.col(path).rlike(f"^{folder}{anywhere}{steps}{end}$"), F.lit(back)).otherwise(kept)
+    return files.filter(kept)
+
+
 def sample_rows(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows by seeded hash order: the same rows whatever the partitions."""
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key).limit(n)
@@ -203,3 +241,13 @@ def enforce_budget(rows: DataFrame, group: list[str], importance: str, order: st
 
     by = [F.desc(importance), F.col(order)]
     return fold_in_order(rows, group, by, [order], tokens, lambda: 0, step, "action string, used long")
+
+
+def truncated_to_budget(files: DataFrame, budget: int, model: str = "claude", strategy: str = "line", order: str = "path") -> DataFrame:
+    """(order, action, used, content) of files (order, importance, tokens, content): as ``enforce_budget`` decides, truncated contents cut, dropped ones null."""
+    from sievework.operators.transform import truncate_content_udf
+
+    decided = enforce_budget(files.withColumn("all", F.lit(1)), ["all"], "importance", order, "tokens", budget).drop("all")
+    cut = truncate_content_udf(model, strategy)(F.col("content"), F.col("used"))
+    text = F.when(F.col("action") == "keep", F.col("content")).when(F.col("action") == "truncate", cut)
+    return files.select(order, "content").join(decided, order).select(order, "action", "used", text.alias("content"))

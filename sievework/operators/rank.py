@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,34 @@ def file_importance(path: Column, symbols: Column) -> Column:
     return F.when(vendored | test, base).otherwise(boosted)
 
 
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def fast_rank(path: Column) -> Column:
+    """A whole number by the path alone; lower comes first."""
+    score = F.lit(1000)
+    score = score + F.when(_any([path.endswith(e) for e in T.FAST_ENTRY_ENDS]), -5000).otherwise(0)
+    score = score + F.when(_any([path.endswith(e) for e in T.FAST_CONFIG_ENDS]), -3000).otherwise(0)
+    for value, pieces in T.FAST_PIECES:
+        tests = [F.contains(path, F.lit(p)) for p in pieces]
+        if "/src/" in pieces:
+            tests.append(path.startswith("src/"))
+        if "/docs/" in pieces:
+            tests.append(path.endswith(".md"))
+        score = score + F.when(_any(tests), value).otherwise(0)
+    return score
+
+
+def chunk_priority(path: Column) -> Column:
+    """0 to 100: entry points and manifests high, tests, helpers and documentation low."""
+    lower, out = F.lower(path), F.lit(50.0)
+    for value, ends, pieces, starts in reversed(T.CHUNK_PRIORITIES):
+        fits = [lower.endswith(e) for e in ends] + [F.contains(lower, F.lit(p)) for p in pieces] + [lower.startswith(s) for s in starts]
+        out = F.when(_any(fits), value).otherwise(out)
+    return out
+
+
 def importance_bucket(score: Column) -> Column:
     return F.when(score > 0.8, "critical").when(score > 0.6, "high").when(score > 0.3, "normal").otherwise("low")
 
@@ -121,26 +151,67 @@ def unused(definitions: DataFrame, references: DataFrame, key: str) -> DataFrame
     return definitions.join(references.select(key).distinct(), key, "left_anti")
 
 
+def _snapshot(symbols: DataFrame, side: str) -> DataFrame:
+    """Symbols (name, file, signature, visibility, extends) with what is compared between versions, named for a side."""
+    signature = F.coalesce(F.col("signature"), F.lit(""))
+    generic = F.regexp_extract(signature, r"^[^(<]*<([^>]*)>", 1)
+    level = F.create_map(*[F.lit(x) for pair in VISIBILITIES.items() for x in pair])
+    own = {
+        "file": F.col("file"), "level": F.try_element_at(level, F.col("visibility")), "returns": return_type(signature), "parameters": parameters(signature),
+        "is_async": signature.rlike(r"\basync\b"), "generics": F.when(generic != "", F.size(F.split(generic, ","))).otherwise(0), "extends": F.col("extends"),
+    }
+    return symbols.select("name", *[c.alias(f"{side}_{n}") for n, c in own.items()])
+
+
+CHANGE = "array<struct<change:string,severity:string,before:string,after:string>>"
+#: How far a symbol can be seen.
+VISIBILITIES = {"private": 0, "internal": 1, "protected": 2, "public": 3}
+
+
 def breaking_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(name, change, severity) of public symbols (name, kind, signature, visibility) between two versions."""
-    a = old.select("name", *[F.col(c).alias(f"old_{c}") for c in ("kind", "signature", "visibility")])
-    both = a.join(new.select("name", "kind", "signature", "visibility"), "name", "full_outer")
-    order = F.create_map(*[F.lit(x) for pair in {"private": 0, "internal": 1, "protected": 2, "public": 3}.items() for x in pair])
-    public = F.col("old_visibility") == "public"
-    change = (
-        F.when(F.col("old_kind").isNull(), "added")
-        .when(public & F.col("kind").isNull(), "removed")
-        .when(public & (F.col("kind") != F.col("old_kind")), "kind_changed")
-        .when(F.try_element_at(order, F.col("visibility")) < F.try_element_at(order, F.col("old_visibility")), "visibility_reduced")
-        .when(public & ~F.col("signature").eqNullSafe(F.col("old_signature")), "signature_changed")
+    """(name, file, change, severity, before, after): what breaks users of the old version's public symbols.
+
+    Both: name, file, signature, visibility, extends. A symbol may change in
+    several ways, and gives a row for each; parameters that differ give one row
+    each, in place.
+    """
+    both = _snapshot(old, "old").filter("old_level = 3").join(_snapshot(new, "new"), "name", "left")
+    o, n = lambda c: F.col(f"old_{c}"), lambda c: F.col(f"new_{c}")
+    there = n("file").isNotNull()
+    text = lambda c: c.cast("string")
+
+    def found(change: str, severity: str, test: Column, before: Column, after: Column) -> Column:
+        return F.when(test, F.struct(F.lit(change).alias("change"), F.lit(severity).alias("severity"), text(before).alias("before"), text(after).alias("after")))
+
+    sizes = F.size(o("parameters")), F.size(n("parameters"))
+    mode = lambda c: F.when(c, "async").otherwise("sync")
+    none = F.lit(None)
+    single = [
+        found("removed", "critical", ~there, none, none),
+        found("moved", "medium", there & (o("file") != n("file")) & (n("level") == 3), o("file"), n("file")),
+        found("visibility_reduced", "critical", n("level") < o("level"), o("level"), n("level")),
+        found("return_type_changed", "high", o("returns") != n("returns"), o("returns"), n("returns")),
+        found("parameter_added", "high", there & (sizes[1] > sizes[0]), sizes[0], sizes[1]),
+        found("parameter_removed", "high", there & (sizes[1] < sizes[0]), sizes[0], sizes[1]),
+        found("async_changed", "high", there & (o("is_async") != n("is_async")), mode(o("is_async")), mode(n("is_async"))),
+        found("generic_changed", "high", there & (o("generics") != n("generics")), o("generics"), n("generics")),
+        found("type_constraint_changed", "medium", there & ~o("extends").eqNullSafe(n("extends")), o("extends"), n("extends")),
+    ]
+    common = F.greatest(F.least(*sizes), F.lit(1))
+    typed = F.transform(
+        F.sequence(F.lit(1), common),
+        lambda i: found("parameter_type_changed", "high", F.get(o("parameters"), i - 1) != F.get(n("parameters"), i - 1), F.get(o("parameters"), i - 1), F.get(n("parameters"), i - 1)),
     )
-    severity = (
-        F.when(F.col("change") == "removed", "critical")
-        .when(F.col("change").isin("kind_changed", "visibility_reduced"), "high")
-        .when(F.col("change") == "signature_changed", "medium")
-        .otherwise("low")
-    )
-    return both.select("name", change.alias("change")).filter("change IS NOT NULL").withColumn("severity", severity)
+    all_changes = F.array_compact(F.concat(F.array(*single), F.coalesce(typed, F.array().cast(CHANGE))))
+    rows = both.select("name", F.coalesce(n("file"), o("file")).alias("file"), F.explode(all_changes).alias("c"))
+    return rows.select("name", "file", "c.change", "c.severity", "c.before", "c.after")
+
+
+def breaking_summary(changes: DataFrame) -> DataFrame:
+    """One row: changes in all and of each severity, and the files and symbols affected."""
+    of = lambda kind: F.count_if(F.col("severity") == kind).alias(kind)
+    kinds = ("critical", "high", "medium", "low")
+    return changes.agg(F.count("*").alias("total"), *[of(k) for k in kinds], F.count_distinct("file").alias("files"), F.count_distinct("name").alias("symbols"))
 
 
 def type_roots(types: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,7 +68,7 @@ def duplicates(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.groupBy(content_hash(text).alias("hash")).agg(F.count("*").alias("n"), F.min(key).alias("first")).filter("n > 1")
 
 
-def manifest_checksum(manifest: DataFrame) -> DataFrame:
+def entries_checksum(manifest: DataFrame) -> DataFrame:
     """One row: a checksum of all entries that doesn't depend on their order.
 
     Sums of the entries' own digests, so it is a plain aggregation at any size.
@@ -75,20 +78,94 @@ def manifest_checksum(manifest: DataFrame) -> DataFrame:
     return manifest.agg(F.count("*").alias("entries"), F.sha2(F.concat_ws("-", *[part(k) for k in (1, 9, 17, 25)]).cast("binary"), 256).alias("checksum"))
 
 
-def save_manifest(manifest: DataFrame, path: str) -> None:
-    """The manifest and its checksum as Parquet below a path."""
+def settings_hash(settings: dict) -> str:
+    """A hash of settings that doesn't depend on their order."""
+    return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def settings_match(first: dict, second: dict) -> bool:
+    """Whether two runs may share a manifest."""
+    return settings_hash(first) == settings_hash(second)
+
+
+def manifest_checksum(manifest: DataFrame, settings: dict | None = None) -> DataFrame:
+    """One row (entries, checksum) over all entries and the settings that made them."""
+    entries = entries_checksum(manifest)
+    if settings is None:
+        return entries
+    return entries.withColumn("checksum", F.sha2(F.concat(F.lit(settings_hash(settings)), F.col("checksum")).cast("binary"), 256))
+
+
+def save_manifest(manifest: DataFrame, path: str, settings: dict | None = None) -> None:
+    """The manifest, its settings and its checksum as Parquet below a path."""
+    spark = manifest.sparkSession
     manifest.write.mode("overwrite").parquet(f"{path}/entries")
-    manifest_checksum(manifest.sparkSession.read.parquet(f"{path}/entries")).write.mode("overwrite").parquet(f"{path}/checksum")
+    told = spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string")
+    told.coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+    manifest_checksum(spark.read.parquet(f"{path}/entries"), settings).write.mode("overwrite").parquet(f"{path}/checksum")
 
 
-def load_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A saved manifest; an error if its checksum is wrong."""
+def load_manifest(spark: SparkSession, path: str, settings: dict | None = None) -> DataFrame:
+    """A saved manifest; an error if its checksum is wrong, or if it was made with other settings than those given."""
     entries = spark.read.parquet(f"{path}/entries")
-    if manifest_checksum(entries).first() != spark.read.parquet(f"{path}/checksum").first():
+    saved = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+    if manifest_checksum(entries, saved).first() != spark.read.parquet(f"{path}/checksum").first():
         raise ValueError(f"the manifest at {path} is damaged")
+    if settings is not None and not settings_match(settings, saved or {}):
+        raise ValueError(f"the manifest at {path} was made with other settings")
     return entries
 
 
+#: Phases of a resumable run, in order.
+PHASES = ("discovery", "chunking", "call_graph", "hierarchy", "sorting", "complete")
+
+
+def save_checkpoint(spark: SparkSession, path: str, phase: str, processed: DataFrame, settings: dict | None = None) -> None:
+    """Where a run is: its phase and the files (path) that it has done, with a hash of all."""
+    if phase not in PHASES:
+        raise ValueError(f"no phase {phase!r}")
+    processed.select("path").distinct().write.mode("overwrite").parquet(f"{path}/processed")
+    own = entries_checksum(spark.read.parquet(f"{path}/processed").select(F.col("path").alias("location_key"), F.lit("").alias("full_hash"))).first()["checksum"]
+    row = (phase, settings_hash(settings or {}), hashlib.sha256(f"{phase}|{settings_hash(settings or {})}|{own}".encode()).hexdigest())
+    spark.createDataFrame([row], "phase string, settings string, hash string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+
+def load_checkpoint(spark: SparkSession, path: str, settings: dict | None = None) -> tuple[str, DataFrame]:
+    """(phase, processed files) of a run; an error if it is damaged or of other settings."""
+    state, processed = spark.read.parquet(f"{path}/state").first(), spark.read.parquet(f"{path}/processed")
+    own = entries_checksum(processed.select(F.col("path").alias("location_key"), F.lit("").alias("full_hash"))).first()["checksum"]
+    if hashlib.sha256(f"{state['phase']}|{state['settings']}|{own}".encode()).hexdigest() != state["hash"]:
+        raise ValueError(f"the checkpoint at {path} is damaged")
+    if state["settings"] != settings_hash(settings or {}):
+        raise ValueError(f"the checkpoint at {path} is of other settings")
+    return state["phase"], processed
+
+
+# Kinds of audit events.
+AUDIT_EVENTS = [
+    "scan_started", "scan_completed", "scan_failed", "secret_detected", "pii_detected", "secret_redacted", "license_violation", "chunk_generated",
+    "chunk_split", "chunk_skipped", "manifest_created", "manifest_updated", "manifest_diff_computed", "access_denied", "path_traversal_blocked",
+    "config_loaded", "config_changed", "data_exported", "data_transmitted",
+]
+
+
+def chained_audit(events: DataFrame, group: str) -> DataFrame:
+    """Events (group, seq, event, detail) of known kinds with ``prev_hash`` and ``hash``, a chain for each group in order of seq.
+
+    A hash covers all before it, so a group is one ordered pass with one hash in memory.
+    """
+    from sievework.operators.corpus import fold_in_order
+
+    known = events.filter(F.col("event").isin(AUDIT_EVENTS))
+    coded = known.withColumn("value", F.to_json(F.struct("seq", "event", "detail")))
+
+    def step(before: str, value: str) -> tuple:
+        own = hashlib.sha256(f"{before}|{value}".encode()).hexdigest()
+        return own, (before, own)
+
+    return fold_in_order(coded, [group], [F.col("seq")], ["seq", "event", "detail"], "value", lambda: "", step, "prev_hash string, hash string")
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     """Events as lines of JSON, appended."""
     events.write.mode("append").json(path)

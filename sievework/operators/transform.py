@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.functions.text import lines
 from sievework.functions.tables import MODELS, SPECIAL_CHARACTERS
 
 # Comment marks (line, block start, block end) by language.
@@ -145,6 +147,108 @@ def truncate_udf(budget: int, model: str = "claude") -> object:
     return run
 
 
+#: Where a text is cut: at the last byte that fits, the last line end before it, or the last start of a declaration.
+STRATEGIES = ("hard", "line", "semantic")
+TRUNCATED = "\n\n... [truncated]"
+# What starts a declaration after an empty line.
+_DECLARATIONS = ["fn ", "def ", "class ", "function ", "pub fn ", "async ", "impl ", "#[", "@"]
+_DECLARATION = re.compile("\n\n(?=" + "|".join(map(re.escape, _DECLARATIONS)) + ")")
+# Ends of a piece of output, and the note after a cut.
+_OUTPUT_ENDS = ["</file>", "```\n\n", "----------------------------------------\n", "\n---\n"]
+_OUTPUT_NOTE = "\n\n<!-- Output truncated to fit token limit -->\n"
+
+
+def longest_prefix(text: str, budget: int, model: str = "claude") -> str:
+    """The longest prefix of at most ``budget`` tokens before which no prefix has more, at a character's end."""
+    raw = text.encode()
+    if not raw:
+        return text
+    counts = np.maximum.accumulate(prefix_tokens(raw, model))
+    end = int(np.searchsorted(counts, budget, "right"))
+    while end < len(raw) and end and (raw[end] & 0xC0) == 0x80:
+        end -= 1
+    return raw[:end].decode()
+
+
+def truncate_content(text: str, budget: int, model: str = "claude", strategy: str = "line") -> str:
+    """A text within ``budget`` tokens, cut by a strategy, with a note; one that fits stays as it is."""
+    if not text or prefix_tokens(text.encode(), model)[-1] <= budget:
+        return text
+    head = longest_prefix(text, budget, model)
+    cut = len(head)
+    if strategy != "hard" and "\n" in head:
+        cut = head.rindex("\n") + 1
+    if strategy == "semantic" and (starts := [m.end() for m in _DECLARATION.finditer(head)]):
+        cut = starts[-1]
+    return head[:cut] + TRUNCATED
+
+
+def truncate_content_udf(model: str = "claude", strategy: str = "line") -> object:
+    """A pandas UDF of text and budget."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, budgets in batches:
+            yield pd.Series([None if t is None else truncate_content(t, int(b), model, strategy) for t, b in zip(texts, budgets, strict=True)])
+
+    return run
+
+
+def truncate_output(text: str, budget: int, model: str = "claude") -> str:
+    """A whole output within ``budget`` tokens: cut as ``truncate`` does, then back to the end of a piece if that is in the second half."""
+    if not text or prefix_tokens(text.encode(), model)[-1] <= budget:
+        return text
+    head = truncate(text, budget, model)
+    size = len(head.encode())
+    for mark in _OUTPUT_ENDS:
+        at = head.rfind(mark)
+        if at >= 0 and len(head[: at + len(mark)].encode()) > size // 2:
+            head = head[: at + len(mark)]
+            break
+    return head + _OUTPUT_NOTE
+
+
+def truncate_output_udf(budget: int, model: str = "claude") -> object:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: t if t is None else truncate_output(t, budget, model))
+
+    return run
+
+
+KEY_KINDS = ["function", "class", "struct", "trait", "enum", "interface"]
+MOST_KEY_SYMBOLS, MOST_OTHER_SYMBOLS = 30, 20
+
+
+def key_symbols(files: DataFrame, symbols: DataFrame, around: int = 0) -> DataFrame:
+    """(path, text): the signatures of each file's first 30 key symbols that aren't private, else of its first 20 that are no imports.
+
+    A symbol without a signature gives its first line; with ``around``, each
+    gives so many lines before and after its first line instead. Files without
+    symbols give what looks like signatures.
+    """
+    order = F.struct("start_line", "name")
+    own = symbols.filter("kind != 'import'").withColumn("key", F.col("kind").isin(KEY_KINDS) & (F.col("visibility") != "private"))
+    entry = F.struct(order.alias("order"), "key", "kind", "name", "signature", "start_line")
+    grouped = own.groupBy(F.col("file").alias("path")).agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    keys = F.filter("all", lambda s: s["key"])
+    chosen = F.when(F.size(keys) > 0, F.slice(keys, 1, MOST_KEY_SYMBOLS)).otherwise(F.slice("all", 1, MOST_OTHER_SYMBOLS))
+    rows = files.select("path", "language", "content").join(grouped.select("path", chosen.alias("chosen")), "path", "left")
+    lined = rows.withColumn("rows", lines(F.coalesce("content", F.lit(""))))
+
+    def shown(s: Column) -> Column:
+        first = F.greatest(s["start_line"] - around, F.lit(1))
+        near = F.array_join(F.slice(F.col("rows"), first, s["start_line"] + around - first + 1), "\n")
+        line = F.get(F.col("rows"), s["start_line"] - 1)
+        body = near if around else F.coalesce(s["signature"], line)
+        return F.concat(F.lit("// "), s["kind"], F.lit(": "), s["name"], F.lit("\n"), F.coalesce(F.concat(body, F.lit("\n")), F.lit("")))
+
+    found = lined.select("path", "language", "content", F.array_join(F.transform("chosen", shown), "").alias("text"))
+    guessed = signatures_udf()(F.when(F.coalesce("text", F.lit("")) == "", F.col("content")), F.col("language"))
+    return found.select("path", F.when(F.coalesce("text", F.lit("")) != "", F.col("text")).otherwise(guessed).alias("text"))
+
+
 DIMENSIONS = 384
 
 

@@ -37,3 +37,16 @@ def difference(made: DataFrame, manifest: DataFrame) -> DataFrame:
     if not state.collisions(made, "id").isEmpty():
         raise ValueError("chunk ids collide")
     return state.manifest_diff(made.select("location_key", "full_hash"), manifest)
+
+
+def batch(files: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(chunks, failures) of several repositories' files (repo, path, language, content): a repository whose files can't be read is a failure, the others go on.
+
+    Chunks have the column ``repo`` and keys within it; failures are (repo, error).
+    """
+    bad = files.filter("path IS NULL OR content IS NULL").groupBy("repo").agg(F.format_string("%d files without a path or content", F.count("*")).alias("error"))
+    good = files.join(bad.select("repo"), "repo", "left_anti")
+    named = good.withColumn("path", F.concat_ws("\u0001", "repo", "path"))
+    made = chunks(named, "", limit)
+    own = F.split("file", "\u0001")
+    return made.withColumn("repo", own[0]).withColumn("file", own[1]), bad

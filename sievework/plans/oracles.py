@@ -182,10 +182,10 @@ _SUPPLY = """edge AS (
   UNION ALL SELECT s_suppkey + 1000000000, CAST(s_nationkey AS BIGINT) + 2000000000 FROM supplier)"""
 
 
-def _pagerank(graph: str, rounds: int, dangling: bool) -> str:
+def _pagerank(graph: str, rounds: int, dangling: bool, nodes: str = "SELECT src AS node FROM edge UNION SELECT dst FROM edge") -> str:
     parts = [
         graph,
-        "node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge)",
+        f"node AS ({nodes})",
         "degree AS (SELECT src, count(*) AS d FROM edge GROUP BY 1)",
         "size AS (SELECT count(*) AS n FROM node)",
         "share AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE / d AS share FROM edge JOIN degree USING (src) GROUP BY src, dst, d)",
@@ -438,11 +438,6 @@ WITH m AS (
   UNION ALL SELECT p_partkey, 'parameters', p_partkey % 11, p_partkey % 11 > 8, p_partkey % 11 > 5 FROM part
   UNION ALL SELECT p_partkey, 'maintainability', p_partkey % 101, p_partkey % 101 < 20, p_partkey % 101 < 40 FROM part)
 SELECT p_partkey, measure, CAST(v AS DOUBLE) AS value, CASE WHEN e THEN 'error' ELSE 'warning' END AS severity FROM m WHERE e OR w""",
-    "breaking_changes": """
-SELECT 'f' || p_partkey AS name,
-       CASE p_partkey % 9 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' WHEN 3 THEN 'kind_changed' WHEN 4 THEN 'signature_changed' ELSE 'visibility_reduced' END AS change,
-       CASE p_partkey % 9 WHEN 1 THEN 'low' WHEN 2 THEN 'critical' WHEN 4 THEN 'medium' ELSE 'high' END AS severity
-FROM part WHERE p_partkey % 9 BETWEEN 1 AND 5""",
     "symbol_scores": """
 WITH u AS (SELECT p_name, count(*) AS n FROM (SELECT p_name FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT p_name FROM supplier JOIN part ON s_suppkey = p_partkey) GROUP BY 1),
 s AS (SELECT p_partkey, p_size, coalesce(n, 0) AS refs, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 0.3 END AS k FROM part LEFT JOIN u USING (p_name))
@@ -639,3 +634,303 @@ f(r, total, action, used) AS (
   FROM f JOIN n ON n.r = f.r + 1)
 SELECT path, importance, t AS tokens, action, CAST(used AS BIGINT) AS used FROM n JOIN f USING (r)""",
 }
+
+_NL = "chr(10)"
+
+
+def text_of(*pieces: str) -> str:
+    """SQL for pieces one after the other: literals, and after a ``$`` expressions."""
+    return " || ".join(f"({p[1:]})" if p.startswith("$") else q(p).replace("\n", f"' || {_NL} || '") for p in pieces)
+
+
+_CODE = f"""code AS (
+  SELECT *, {text_of('import m', '$q % 25', '.f', '$q', chr(10) + 'import os' + chr(10) * 2 + 'class C', '$p', '(B', '$p % 5', '):' + chr(10) + '    \"\"\"Makes ', '$p',
+  '. More.\"\"\"' + chr(10) + '    def run(self, a: int, b=2) -> str:' + chr(10) + '        if a and b:' + chr(10) + '            return helper', '$p',
+  '(a)  # call' + chr(10) + '        return \"\"' + chr(10) * 2 + 'def helper', '$p', '(v):' + chr(10) + '    return v' + chr(10))} AS content
+  FROM (SELECT p_partkey AS p, p_partkey * 7 % 211 AS q, 'src/m' || (p_partkey % 25) || '/f' || p_partkey || '.py' AS path FROM part)),
+link AS (SELECT a.path, 'm' || (a.q % 25) || '.f' || a.q AS source, b.path AS resolved FROM code a LEFT JOIN code b ON b.p = a.q)"""
+_FILE_EDGES = "edge AS (SELECT DISTINCT path AS src, resolved AS dst FROM link WHERE resolved IS NOT NULL AND resolved <> path)"
+_NAMED = f"""{_SPARSE}, kinds AS (SELECT *, CASE WHEN src % 2 = 0 THEN 'call' ELSE 'reference' END AS edge_type FROM edge),
+s AS (SELECT p_partkey AS symbol_id, p_brand || '.py' AS file, p_name AS name, p_size AS start_line FROM part)"""
+_SHAPES = [
+    "src/a{}/main.py", "node_modules/x{}/a.js", "a/b{}.min.js", "src/tests/t{}.py", "docs/d{}.md", "img/i{}.png", "x{}/__tests__/a.test.ts", "README{}.md",
+    "lib/core/c{}/mod.rs", "x/api/routes/r{}.go", "x{}/package.json", "a/utils/u{}.rb", "vendor/v{}/lib/l.c", "cmd/x{}/y.go", "app/examples/e{}.java", "CHANGELOG{}",
+]
+
+
+def _by_shape(values: list) -> str:
+    """The value of a part's shape; texts with the part's number."""
+    listed = "[" + ", ".join(q(v) if isinstance(v, str) else str(v).lower() for v in values) + "][p_partkey % 16 + 1]"
+    return f"replace({listed}, '{{}}', CAST(p_partkey AS VARCHAR))" if isinstance(values[0], str) else listed
+
+
+def _globbed(globs: list[str]) -> str:
+    own = [g.replace("**", "*") for g in globs] + [g[3:].replace("**", "*") for g in globs if g.startswith("**/")]
+    return "(" + " OR ".join(f"path GLOB {q(g)}" for g in own) + ")"
+
+
+_SHAPED = f"shaped AS (SELECT p_partkey, {_by_shape(_SHAPES)} AS path FROM part)"
+_MODULES = [
+    "a{}.main", "node_modules/x{}/a", "a/b{}.min", "tests.t{}", "docs::d{}", "img::i{}", "x{}/__tests__/a.test", "README{}", "lib::core::c{}", "x/api/routes", "x{}::package",
+    "a::utils::u{}", "vendor::v{}::lib::l", "x{}", "app.examples", "CHANGELOG{}",
+]
+_QUALIFIED = [
+    "src::a{}::main", "node_modules::x{}::a", "a::b{}.min", "src::tests::t{}", "docs::d{}.md", "img::i{}.png", "x{}::__tests__::a.test", "README{}.md", "lib::core::c{}::mod",
+    "x::api::routes::r{}", "x{}::package.json", "a::utils::u{}", "vendor::v{}::lib::l", "cmd::x{}::y", "app::examples::e{}", "CHANGELOG{}",
+]
+_DOTTED = [
+    "a{}.main", "node_modules.x{}.a", "a.b{}.min", "tests.t{}", "docs.d{}", "img.i{}", "x{}.__tests__.a.test", "README{}", "core.c{}.mod", "x.api.routes.r{}", "x{}.package",
+    "a.utils.u{}", "vendor.v{}.lib.l", "cmd.x{}.y", "examples.e{}", "CHANGELOG{}",
+]
+_REPOSITORY = [
+    "src::a{}::main", "node_modules::x{}::a", "a::b{}.min", "src::tests::t{}", "docs::d{}.md", "img::i{}.png", "x{}::__tests__::a.test", "README{}.md", "lib::core::c{}",
+    "x::api::routes::r{}", "x{}::package.json", "a::utils::u{}", "vendor::v{}::lib::l.c", "cmd::x{}::y", "app::examples::e{}", "CHANGELOG{}",
+]
+
+
+def _greedy(rows: str, order: str, start: str, budget: int) -> str:
+    """Tables n (``rows`` in an order, as r) and f (r, total, kept): what still fits, in order."""
+    return f"""n AS (SELECT *, row_number() OVER (ORDER BY {order}) AS r FROM {rows}),
+f(r, total, kept) AS (
+  SELECT r, CASE WHEN {start} + tokens <= {budget} THEN {start} + tokens ELSE {start} END, {start} + tokens <= {budget} FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.r, CASE WHEN f.total + n.tokens <= {budget} THEN f.total + n.tokens ELSE f.total END, f.total + n.tokens <= {budget} FROM f JOIN n ON n.r = f.r + 1)"""
+
+
+_PREAMBLE = "'Use this diff context to understand changes. Start with changed file snippets, then dependent symbols/files/tests. Impact: ' || lv || '.'"
+_CONTEXTS = f"""c AS (
+  SELECT n_nationkey, n_nationkey AS k, n_name AS n, CASE WHEN n_nationkey % 2 = 0 THEN 'low' ELSE 'high' END AS lv,
+         n_nationkey % 3 = 0 AS has_diff, n_nationkey % 5 = 0 AS has_history, n_nationkey % 4 <> 0 AS has_snippet FROM nation)"""
+
+
+def _context(*pieces: str) -> str:
+    """SQL for the text of each context: literals, after ``$`` expressions, after ``?name:`` pieces only where a context has it."""
+    out = []
+    for p in pieces:
+        if p.startswith("?"):
+            name, _, body = p[1:].partition(":")
+            parts = [f"${x[1:]}" if x.startswith("$") else x for x in body.split("\0")]
+            out.append(f"(CASE WHEN has_{name} THEN {text_of(*parts)} ELSE '' END)")
+        else:
+            out.append(text_of(p))
+    return f"WITH {_CONTEXTS} SELECT n_nationkey, {' || '.join(out)} AS text FROM c"
+
+
+def _cut(rows: str, budget: str, most: int) -> str:
+    """Table over (id, i): the first length at which a text (id, text) of ``rows`` has more than ``budget`` tokens."""
+    return f"""p AS (SELECT id, text, {budget} AS b, unnest(range(1, least(length(text), {most}) + 1)) AS i FROM {rows}),
+over AS (SELECT id, min(i) AS i FROM (SELECT id, i, b, left(text, i) AS t FROM p) WHERE {estimate('t', 'claude')} > b GROUP BY 1)"""
+
+
+_CHUNK_TEXTS = f"""piece AS (
+  SELECT path, 'C' || p AS name, 'class' AS kind, NULL::VARCHAR AS parent, array_to_string(string_split(content, {_NL})[4:9], {_NL}) AS t FROM code
+  UNION ALL SELECT path, 'run', 'method', 'C' || p, array_to_string(string_split(content, {_NL})[6:9], {_NL}) FROM code
+  UNION ALL SELECT path, 'helper' || p, 'function', NULL, array_to_string(string_split(content, {_NL})[11:12], {_NL}) FROM code)"""
+_OLD = "(SELECT p_partkey % 11 AS k, 'f' || p_partkey AS name, p_brand || '.py' AS file FROM part)"
+_BREAKING = f"""change AS (
+  SELECT name, file, 'removed' AS change, 'critical' AS severity, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM {_OLD} WHERE k = 2
+  UNION ALL SELECT name, file, 'return_type_changed', 'high', 'str', 'int' FROM {_OLD} WHERE k = 3
+  UNION ALL SELECT name, file, 'parameter_added', 'high', '2', '3' FROM {_OLD} WHERE k = 4
+  UNION ALL SELECT name, file, 'parameter_removed', 'high', '2', '1' FROM {_OLD} WHERE k = 5
+  UNION ALL SELECT name, file, 'async_changed', 'high', 'sync', 'async' FROM {_OLD} WHERE k = 6
+  UNION ALL SELECT name, file, 'parameter_type_changed', 'high', 'a: int', 'a: str' FROM {_OLD} WHERE k = 6
+  UNION ALL SELECT name, file, 'parameter_type_changed', 'high', 'b', 'x' FROM {_OLD} WHERE k = 6
+  UNION ALL SELECT name, file, 'generic_changed', 'high', '0', '2' FROM {_OLD} WHERE k = 7
+  UNION ALL SELECT name, 'moved.py', 'moved', 'medium', file, 'moved.py' FROM {_OLD} WHERE k = 8
+  UNION ALL SELECT name, file, 'visibility_reduced', 'critical', '3', '0' FROM {_OLD} WHERE k = 9
+  UNION ALL SELECT name, file, 'type_constraint_changed', 'medium', NULL, 'Base' FROM {_OLD} WHERE k = 10)"""
+
+ORACLE |= {
+    "breaking_changes": f"WITH {_BREAKING} SELECT * FROM change",
+    "breaking_summary": f"""
+WITH {_BREAKING} SELECT count(*) AS total, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high,
+  count(*) FILTER (WHERE severity = 'medium') AS medium, count(*) FILTER (WHERE severity = 'low') AS low, count(DISTINCT file) AS files, count(DISTINCT name) AS symbols FROM change""",
+    "parsed_symbols": f"""
+WITH {_CODE}
+SELECT path AS file, 'm' || (q % 25) || '.f' || q AS name, 'import' AS kind, NULL::VARCHAR AS signature, NULL::VARCHAR AS docstring, 1 AS start_line, 1 AS end_line,
+       NULL::VARCHAR AS parent, 'public' AS visibility, '' AS calls, NULL::VARCHAR AS extends FROM code
+UNION ALL SELECT path, 'os', 'import', NULL, NULL, 2, 2, NULL, 'public', '', NULL FROM code
+UNION ALL SELECT path, 'C' || p, 'class', 'class C' || p || '(B' || (p % 5) || ')', 'Makes ' || p || '. More.', 4, 9, NULL, 'public', '', 'B' || (p % 5) FROM code
+UNION ALL SELECT path, 'run', 'method', 'def run(self, a: int, b=2) -> str', NULL, 6, 9, 'C' || p, 'public', 'helper' || p, NULL FROM code
+UNION ALL SELECT path, 'helper' || p, 'function', 'def helper' || p || '(v)', NULL, 11, 12, NULL, 'public', '', NULL FROM code""",
+    "import_links": f"WITH {_CODE} SELECT path, source, resolved, resolved IS NULL AS is_external FROM link UNION ALL SELECT path, 'os', NULL, true FROM code",
+    "comment_removal": f"WITH {_CODE} SELECT path, md5(replace(content, '  # call', '')) AS digest FROM code",
+    "signature_lines": f"""
+WITH {_CODE} SELECT path, 'class C' || p || '(B' || (p % 5) || '):' || {_NL} || '    def run(self, a: int, b=2) -> str:' || {_NL} || 'def helper' || p || '(v):' || {_NL} AS text FROM code""",
+    "key_symbols": f"""
+WITH {_CODE} SELECT path, {text_of('// class: C', '$p', chr(10) + 'class C', '$p', '(B', '$p % 5', ')' + chr(10) + '// function: helper', '$p', chr(10) + 'def helper', '$p', '(v)' + chr(10))} AS text FROM code""",
+    "key_symbols_in_context": f"""
+WITH {_CODE}, l AS (SELECT path, p, string_split(content, {_NL}) AS ls FROM code)
+SELECT path, {text_of('// class: C', '$p', chr(10), f'$array_to_string(ls[2:6], {_NL})', chr(10) + '// function: helper', '$p', chr(10), f'$array_to_string(ls[9:12], {_NL})', chr(10))} AS text FROM l""",
+    "type_signatures": f"""
+WITH {_CODE} SELECT path AS file, 'run' AS name, 6 AS start_line, unnest(['return', 'self', 'a', 'b']) AS parameter, unnest(['str', NULL, 'int', NULL]) AS type, unnest([-1, 0, 1, 2]) AS ord FROM code
+UNION ALL SELECT path, 'helper' || p, 11, unnest(['return', 'v']), NULL, unnest([-1, 0]) FROM code""",
+    "python_complexity": f"""
+WITH {_CODE} SELECT path AS file, 'run' AS name, 6 AS start_line, 3 AS cyclomatic, 1 AS nesting, 3 AS parameters, 2 AS returns FROM code
+UNION ALL SELECT path, 'helper' || p, 11, 1, 0, 1, 1 FROM code""",
+    "branch_counts": f"WITH {_CODE} SELECT path, 3 AS complexity FROM code",
+    "text_references": f"WITH {_CODE} SELECT path AS file, 8 AS line, 'helper' || p AS name, 'helper' || p AS symbol_id FROM code",
+    "call_sites": f"""
+WITH {_CODE} SELECT path AS file, 8 AS line, 'helper3' AS symbol_id, array_to_string(string_split(content, {_NL})[7:9], {_NL}) AS context FROM code WHERE p = 3""",
+    "index_files": _pagerank(f"{_CODE}, {_FILE_EDGES}", 30, False, "SELECT path AS node FROM code")
+    + f""" SELECT path, 'python' AS language, sha256(content) AS content_hash, 12 AS lines, {estimate('content', 'claude')} AS tokens, round(rank / (SELECT max(rank) FROM r30), 8) AS importance
+FROM code JOIN r30 ON node = path""",
+    "index_symbols": f"""
+WITH {_CODE} SELECT path || ':4:C' || p AS symbol_id, path AS file, 'C' || p AS name, 'class' AS kind, NULL::VARCHAR AS parent_id FROM code
+UNION ALL SELECT path || ':6:run', path, 'run', 'method', path || ':4:C' || p FROM code UNION ALL SELECT path || ':11:helper' || p, path, 'helper' || p, 'function', NULL FROM code""",
+    "index_edges": f"WITH {_CODE}, {_FILE_EDGES} SELECT src, dst, 'import' AS edge_type FROM edge UNION ALL SELECT path || ':6:run', path || ':11:helper' || p, 'call' FROM code",
+    "find_symbol": "SELECT DISTINCT p_brand || '.py' AS file, p_size AS start_line, p_name AS name FROM part WHERE p_name = 'red widget'",
+    "callers_of": f"WITH {_NAMED} SELECT * FROM s WHERE symbol_id IN (SELECT src FROM kinds JOIN s ON dst = symbol_id WHERE name = 'red widget')",
+    "callees_of": f"WITH {_NAMED} SELECT * FROM s WHERE symbol_id IN (SELECT dst FROM kinds JOIN s ON src = symbol_id WHERE name = 'red widget')",
+    "references_of": f"WITH {_NAMED} SELECT DISTINCT src AS symbol_id, edge_type FROM kinds JOIN s ON dst = symbol_id WHERE name = 'red widget'",
+    "cycle_paths": """
+WITH g AS (SELECT p_partkey AS p FROM part WHERE p_partkey % 5 = 0)
+SELECT p || '>' || (p + 1) || '>' || (p + 2) AS cycle FROM g UNION ALL SELECT p || '>' || (p + 1) || '>' || (p + 2) || '>' || (p + 3) || '>' || (p + 4) FROM g""",
+    "dependency_stats": f"""
+WITH RECURSIVE {_CODE}, {_FILE_EDGES}, reach(a, b) AS (SELECT src, dst FROM edge UNION SELECT r.a, e.dst FROM reach r JOIN edge e ON e.src = r.b),
+component AS (SELECT x.a AS node, least(x.a, min(x.b)) AS name FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
+SELECT (SELECT count(*) FROM code) AS files, (SELECT count(*) FROM edge) AS edges, (SELECT count(DISTINCT source) FROM link WHERE resolved IS NULL) + 1 AS external,
+       (SELECT count(DISTINCT name) FROM component) AS cycles""",
+    "cache_stats": """
+SELECT count(*) AS files, CAST(sum(o_custkey) AS BIGINT) AS tokens, CAST(sum(o_orderkey) AS BIGINT) AS bytes,
+       CAST(date_diff('second', max(o_orderdate)::TIMESTAMP, TIMESTAMP '2030-01-01 00:00:00') AS BIGINT) AS age_seconds FROM orders""",
+    "multi_repo_stats": """
+WITH l AS (SELECT p_brand AS repo, count(*) AS links FROM part WHERE p_brand < 'Brand#2' GROUP BY ROLLUP (p_brand)),
+s AS (SELECT p_brand AS repo, count(*) AS symbols, count(DISTINCT p_name) AS names FROM part GROUP BY ROLLUP (p_brand))
+SELECT s.repo, symbols, names, coalesce(links, 0) AS links FROM s LEFT JOIN l ON s.repo IS NOT DISTINCT FROM l.repo""",
+    "lazy_context": f"""
+WITH {_CODE}, d0 AS (SELECT path FROM code WHERE path LIKE 'src/m1/%'),
+d1 AS (SELECT DISTINCT resolved AS path FROM link JOIN d0 USING (path) WHERE resolved IS NOT NULL AND resolved NOT IN (SELECT path FROM d0)),
+d2 AS (SELECT DISTINCT resolved AS path FROM link JOIN d1 USING (path) WHERE resolved IS NOT NULL AND resolved NOT IN (SELECT path FROM d0 UNION SELECT path FROM d1))
+SELECT path, 0 AS depth FROM d0 UNION ALL SELECT path, 1 FROM d1 UNION ALL SELECT path, 2 FROM d2""",
+    "context_impact": f"""
+WITH {_CODE}, {_FILE_EDGES}, d0 AS (SELECT unnest(['src/m3/f3.py', 'src/m7/f7.py']) AS path),
+d1 AS (SELECT DISTINCT src AS path FROM edge JOIN d0 ON dst = path WHERE src NOT IN (SELECT path FROM d0)),
+d2 AS (SELECT DISTINCT src AS path FROM edge JOIN d1 ON dst = path WHERE src NOT IN (SELECT path FROM d0 UNION SELECT path FROM d1)),
+d AS (SELECT path, 0 AS level FROM d0 UNION ALL SELECT path, 1 FROM d1 UNION ALL SELECT path, 2 FROM d2),
+t AS (SELECT count(*) FILTER (WHERE level = 1) AS a, count(*) FILTER (WHERE level > 1) AS b FROM d)
+SELECT path, level, false AS is_test, CASE WHEN a > 20 OR b > 50 THEN 'critical' WHEN a > 10 OR b > 20 THEN 'high' WHEN a > 3 OR b > 5 THEN 'medium' ELSE 'low' END AS impact FROM d, t""",
+    "context_budget": f"""
+WITH RECURSIVE x AS (
+  SELECT printf('d%08d', doc_id) AS path, CASE WHEN doc_id % 10 = 0 THEN 'changed' WHEN doc_id % 10 < 7 THEN 'dependent' ELSE 'test' END AS role,
+         CAST(n_chars % 97 AS DOUBLE) AS relevance, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens FROM documents),
+o AS (SELECT *, CASE role WHEN 'dependent' THEN 0 ELSE 1 END AS tier FROM x WHERE role <> 'changed'), s AS (SELECT CAST(sum(tokens) AS BIGINT) AS t FROM x WHERE role = 'changed'),
+{_greedy('o', 'tier, relevance DESC, path', '(SELECT t FROM s)', 120_000)}
+SELECT * FROM x WHERE role = 'changed' UNION ALL SELECT path, role, relevance, tokens FROM n JOIN f USING (r) WHERE kept""",
+    "diff_budget": f"""
+WITH RECURSIVE x AS (
+  SELECT printf('f%06d', item_id % 13) AS path, CASE WHEN item_id % 3 = 0 THEN 'test' ELSE 'dependent' END AS role, (item_id % 4) / 4.0::DOUBLE AS relevance, CAST(item_id AS INTEGER) AS ord,
+         ['changed symbol', 'dependent symbol', 'diff hunk', 'file removed', 'other'][item_id % 5 + 1] AS reason, CAST({estimate('text', 'claude')} AS BIGINT) AS tokens,
+         (item_id % 4) / 4.0::DOUBLE + [0.3::DOUBLE, 0.2, 0.1, 0.25, 0.0][item_id % 5 + 1] AS score FROM benchmark),
+{_greedy('x', "score DESC, tokens, CASE role WHEN 'dependent' THEN 0 ELSE 1 END, path, ord", '100', 1200)}
+SELECT path, role, relevance, ord, reason, tokens FROM n JOIN f USING (r) WHERE kept""",
+    "default_ignores": f"""
+WITH {_SHAPED} SELECT p_partkey, {_globbed(T.DEFAULT_IGNORES)} AS ignored, {_globbed(T.DEFAULT_IGNORES + T.TEST_IGNORES)} AS without_tests,
+  {_globbed(T.DEFAULT_IGNORES + T.DOC_IGNORES)} AS without_docs FROM shaped""",
+    "gitignored": f"""
+WITH {_SHAPED} SELECT * FROM shaped
+WHERE NOT (path LIKE '%.js' OR path LIKE 'docs/%' OR (regexp_matches(path, '(^|/)tests(/|$)') AND NOT regexp_matches(path, '^src/(.*/)?tests/'))
+  OR regexp_matches(path, '^x[^/]*/package\\.json(/|$)') OR regexp_matches(path, '^lib/(.*/)?mod\\.rs(/|$)') OR regexp_matches(path, '^vendor/(.*/)?v1[^/]/'))""",
+    "path_ranks": f"""
+SELECT p_partkey, {_by_shape([-5000, 1000, 1000, 2000, 2500, 1000, 3000, 2500, -4800, 400, -2000, 1000, 200, 1000, 2500, 1000])} AS fast,
+       CAST({_by_shape([100, 50, 50, 60, 10, 50, 20, 10, 80, 75, 90, 30, 80, 50, 10, 50])} AS DOUBLE) AS priority FROM part""",
+    "test_predicates": "SELECT p_partkey, t AS wide, t AS named, t AS chunked, t AS streamed FROM (SELECT p_partkey, p_partkey % 16 IN (3, 6) AS t FROM part)",
+    "module_paths": f"""
+SELECT p_partkey, {_by_shape(_MODULES)} AS module, 'r::' || {_by_shape(_QUALIFIED)} || '::P::f' AS qualified, {_by_shape(_DOTTED)} AS dotted, {_by_shape(_REPOSITORY)} AS repository FROM part""",
+    "truncated_contents": f"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, text, CAST({estimate('text', 'claude')} AS BIGINT) AS t, row_number() OVER (ORDER BY n_chars % 7 DESC, doc_id) AS r FROM documents),
+f(doc_id, r, total, action, used) AS (
+  SELECT doc_id, r, least(t, 29000), CASE WHEN t <= 29000 THEN 'keep' ELSE 'truncate' END, least(t, 29000) FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.doc_id, n.r, CASE WHEN f.total + t <= 29000 THEN f.total + t WHEN f.total + 100 < 29000 THEN 29000 ELSE f.total END,
+         CASE WHEN f.total + t <= 29000 THEN 'keep' WHEN f.total + 100 < 29000 THEN 'truncate' ELSE 'drop' END,
+         CASE WHEN f.total + t <= 29000 THEN t WHEN f.total + 100 < 29000 THEN 29000 - f.total ELSE 0 END
+  FROM f JOIN n ON n.r = f.r + 1),
+x AS (SELECT f.doc_id AS id, text, used FROM f JOIN documents USING (doc_id) WHERE action = 'truncate'), {_cut('x', 'used', 200_000)},
+h AS (SELECT id, left(text, i - 1) AS head FROM x JOIN over USING (id)),
+done AS (SELECT id, CASE WHEN contains(head, {_NL}) THEN regexp_extract(head, '(?s)^(.*\\n)', 1) ELSE head END || {_NL} || {_NL} || '... [truncated]' AS t FROM h)
+SELECT doc_id AS path, action, CAST(used AS BIGINT) AS used, CASE action WHEN 'keep' THEN md5(text) WHEN 'truncate' THEN md5(done.t) END AS digest
+FROM f JOIN documents USING (doc_id) LEFT JOIN done ON id = doc_id""",
+    "truncated_output": f"""
+WITH x AS (SELECT item_id AS id, '<file>' || replace(text, '. ', '.</file>' || {_NL} || '<file>') || '</file>' AS text FROM benchmark), {_cut('x', '30', 400)},
+c AS (SELECT x.id, x.text, CASE WHEN {estimate('x.text', 'claude')} <= 30 THEN NULL ELSE left(x.text, i - 1) END AS head FROM x LEFT JOIN over USING (id)),
+b AS (SELECT *, length(regexp_extract(head, '(?s)^(.*)[ \\n]', 1)) AS blank FROM c),
+h AS (SELECT id, text, CASE WHEN blank > 0 THEN left(head, blank) ELSE head END AS head FROM b),
+e AS (SELECT *, regexp_extract(head, '(?s)^(.*</file>)', 1) AS whole FROM h)
+SELECT id AS item_id, CASE WHEN head IS NULL THEN text ELSE CASE WHEN strlen(whole) > strlen(head) // 2 THEN whole ELSE head END
+  || {_NL} || {_NL} || '<!-- Output truncated to fit token limit -->' || {_NL} END AS text FROM e""",
+    "settings_checksum": f"""
+WITH {_VERSIONS}, d AS (SELECT sha256(location_key || chr(0) || h) AS x FROM now),
+e AS (SELECT count(*) AS entries, sha256({" || '-' || ".join(f"CAST(sum(CAST('0x' || substr(x, {k}, 8) AS BIGINT)) AS VARCHAR)" for k in (1, 9, 17, 25))}) AS c FROM d),
+s AS (SELECT sha256('{{"limit":1000,"model":"claude"}}') AS settings) SELECT entries, settings, sha256(settings || c) AS checksum FROM e, s""",
+    "audit_chains": "SELECT o_custkey AS log, count(*) AS events, count(*) AS hashes FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1",
+    "document_counts": f"""
+SELECT doc_id || '.md' AS path, CAST(2 AS BIGINT) AS sections, CAST(2 AS BIGINT) AS blocks, CAST({estimate("'one two'", 'claude')} + {estimate("('three ' || doc_id)", 'claude')} AS BIGINT) AS tokens FROM documents""",
+    "markdown_blocks": f"""
+WITH n AS (SELECT n_nationkey || '.md' AS path, 'Head ' || n_nationkey AS title, n_name FROM nation)
+SELECT path, 'paragraph' AS block_type, 'First ' || n_name || ' line' AS text, title FROM n UNION ALL SELECT path, 'list', 'a' || {_NL} || 'b', title FROM n
+UNION ALL SELECT path, 'code', 'select 1', title FROM n UNION ALL SELECT path, 'blockquote', 'said', 'Sub' FROM n""",
+    "embed_chunks": f"""
+WITH {_CODE}, {_CHUNK_TEXTS} SELECT path AS file, name, kind, parent, 0 AS part, {estimate('t', 'claude')} AS tokens, md5(t) AS digest FROM piece""",
+    "map_symbols": f"""
+WITH {_SPARSE} SELECT a.p_brand AS src_module, b.p_brand AS dst_module, count(*) AS weight
+FROM edge JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey WHERE a.p_brand <> b.p_brand GROUP BY ALL""",
+    "sample_shares": "SELECT doc_id FROM documents WHERE CAST('0x' || substr(md5('42|' || doc_id), 1, 8) AS BIGINT) < 858993459",
+    "diff_json": _context(
+        '{"preamble":"', f"${_PREAMBLE}", '","changed_files":[{"path":"', "$n", '.py","language":"python","tokens":', "$k", ',"diff_content":',
+        "$CASE WHEN has_diff THEN '\"-a\\n+b\"' ELSE 'null' END", ',"history":[', '?history:{"hash":"ab12","author":"A","date":"2024","message":"say x"}', '],"snippets":[',
+        '?snippet:{"start_line":1,"end_line":\0$k\0,"reason":"changed \\"symbol\\"","content":"\0$n\0\\nx"}',
+        ']}],"dependent_files":[{"path":"b.py","reason":"imports it","relevance":0.5,"snippets":[]}],"changed_symbols":[{"name":"', "$n",
+        '","kind":"function","file":"a.py","line":', "$k", '}],"dependent_symbols":[{"name":"g","kind":"class","file":"b.py","line":', "$k",
+        ',"reason":"calls it","relevance":0.7}],"related_tests":[{"path":"t.py","snippets":[{"start_line":1,"end_line":', "$k",
+        ',"reason":"changed \\"symbol\\"","content":"', "$n", '\\nx"}]}],"call_chains":["f → ', "$n", '"],"impact":{"level":"', "$lv", '","description":"About ', "$n",
+        '","direct_files":', "$k", ',"transitive_files":', "$2 * k", ',"affected_symbols":3,"affected_tests":1},"tokens":', "$10 * k", "}",
+    ),
+    "diff_markdown": _context(
+        "# Diff Context\n\n> ", f"${_PREAMBLE}", "\n\n## Impact Summary\n\n**Level:** ", "$lv", "\n\nAbout ", "$n", "\n\n- Direct files: ", "$k", "\n- Transitive files: ", "$2 * k",
+        "\n- Affected symbols: 3\n- Affected tests: 1\n- Total tokens: ", "$10 * k", "\n\n## Changed Files\n\n### `", "$n", ".py`\n\n- Language: python\n- Tokens: ", "$k", "\n\n",
+        "?history:**Recent History**\n\n| Commit | Author | Date | Message |\n|--------|--------|------|--------|\n| `ab12` | A | 2024 | say x |\n\n",
+        "?diff:```diff\n-a\n+b\n```\n\n", '?snippet:**Snippets**\n\n- changed "symbol" (lines 1-\0$k\0)\n\n```text\n\0$n\0\nx\n```\n\n',
+        "## Changed Symbols\n\n| Symbol | Kind | File | Line |\n|--------|------|------|------|\n| `", "$n", "` | function | a.py | ", "$k",
+        " |\n\n## Dependent Symbols\n\n| Symbol | Kind | File | Line | Relevance |\n|--------|------|------|------|-----------|\n| `g` | class | b.py | ", "$k",
+        " | 0.70 |\n\n## Dependent Files\n\n| File | Reason | Relevance |\n|------|--------|----------|\n| `b.py` | imports it | 0.50 |\n\n## Related Tests\n\n### `t.py`\n\n"
+        '- changed "symbol" (lines 1-', "$k", ")\n\n```text\n", "$n", "\nx\n```\n\n## Call Graph\n\n- f → ", "$n", "\n\n",
+    ),
+    "diff_yaml": _context(
+        "# Diff Context\n\npreamble: |\n  ", f"${_PREAMBLE}", "\n\nimpact:\n  level: ", "$lv", '\n  description: "About ', "$n", '"\n  direct_files: ', "$k", "\n  transitive_files: ", "$2 * k",
+        "\n  affected_symbols: 3\n  affected_tests: 1\ntotal_tokens: ", "$10 * k", '\n\nchanged_files:\n  - path: "', "$n", '.py"\n    language: python\n    tokens: ', "$k", "\n",
+        '?history:    history:\n      - hash: "ab12"\n        author: "A"\n        date: "2024"\n        message: "say x"\n', "?diff:    diff: |\n      -a\n      +b\n",
+        '?snippet:    snippets:\n      - start_line: 1\n        end_line: \0$k\0\n        reason: "changed \\"symbol\\""\n        content: |\n          \0$n\0\n          x\n',
+        '\nchanged_symbols:\n  - name: "', "$n", '"\n    kind: function\n    file: "a.py"\n    line: ', "$k",
+        '\n\ndependent_symbols:\n  - name: "g"\n    kind: class\n    file: "b.py"\n    line: ', "$k", '\n    reason: "calls it"\n    relevance: 0.70\n\ndependent_files:\n'
+        '  - path: "b.py"\n    reason: "imports it"\n    relevance: 0.50\n\nrelated_tests:\n  - path: "t.py"\n    snippets:\n      - start_line: 1\n        end_line: ', "$k",
+        '\n        reason: "changed \\"symbol\\""\n        content: |\n          ', "$n", '\n          x\n\ncall_chains:\n  - "f → ', "$n", '"\n',
+    ),
+    "diff_toon": _context(
+        "DIFF|", "$lv", "|d", "$k", "t", "$2 * k", "s3T", "$10 * k", "\nPRE|", f"${_PREAMBLE}", "\nFILES:\nF|", "$n", ".py|python|", "$k", "\n", "?history:H|ab12|A|2024|say x\n",
+        "?diff:D{\n-a\n+b\n}D\n", '?snippet:N|1|\0$k\0|changed "symbol"\nC{\n\0$n\0\nx\n}C\n', "SYMS:\nS|", "$n", "|function|a.py|", "$k", "\nDEPSYMS:\nS|g|class|b.py|", "$k",
+        '|0.7\nDEPS:\nP|b.py|0.5\nTESTS:\nT|t.py\nN|1|', "$k", '|changed "symbol"\nC{\n', "$n", "\nx\n}C\n",
+    ),
+    "diff_plain": _context(
+        "=== DIFF CONTEXT ===\n\n", f"${_PREAMBLE}", "\n\nImpact: ", "$lv", " - About ", "$n", "\nStats: ", "$k", " direct files, ", "$2 * k", " transitive, 3 symbols, 1 tests\nTotal tokens: ",
+        "$10 * k", "\n\n--- CHANGED FILES ---\n\n", "$n", ".py (python, ", "$k", " tokens)\n", "?history:Recent history:\n  ab12 (A, 2024) say x\n", "?diff:-a\n+b\n",
+        '?snippet:Snippets:\n- changed "symbol" (lines 1-\0$k\0)\n\0$n\0\nx\n', "\n--- CHANGED SYMBOLS ---\n", "$n", " (function) in a.py line ", "$k",
+        "\n\n--- DEPENDENT SYMBOLS ---\ng (class) in b.py line ", "$k", " (relevance: 0.70)\n\n--- DEPENDENT FILES ---\nb.py - imports it (relevance: 0.50)\n\n--- RELATED TESTS ---\nt.py\n"
+        'Snippets:\n- changed "symbol" (lines 1-', "$k", ")\n", "$n", "\nx\n",
+    ),
+    "diff_xml": _context(
+        '<?xml version="1.0" encoding="UTF-8"?>\n<diff_context>\n  <summary>\n    <preamble>', f"${_PREAMBLE}", '</preamble>\n    <impact level="', "$lv", '">About ', "$n",
+        '</impact>\n    <stats files="', "$3 * k", '" symbols="3" tests="1"/>\n  </summary>\n  <changed_files>\n    <file path="', "$n", '.py" language="python" tokens="', "$k", '"',
+        "$CASE WHEN has_history OR has_diff OR has_snippet THEN '>' ELSE '/>' END", "\n",
+        '?history:      <history>\n        <commit hash="ab12" date="2024" author="A">\n          say x\n        </commit>\n      </history>\n',
+        "?diff:      <diff>\n<![CDATA[\n-a\n+b]]>\n      </diff>\n",
+        '?snippet:      <snippets>\n        <snippet start="1" end="\0$k\0" reason="changed &quot;symbol&quot;">\n<![CDATA[\n\0$n\0\nx]]>\n        </snippet>\n      </snippets>\n',
+        "$CASE WHEN has_history OR has_diff OR has_snippet THEN '    </file>' || chr(10) ELSE '' END",
+        '  </changed_files>\n  <changed_symbols>\n    <symbol name="', "$n", '" kind="function" file="a.py" line="', "$k",
+        '"/>\n  </changed_symbols>\n  <dependent_symbols>\n    <symbol name="g" kind="class" file="b.py" line="', "$k",
+        '" relevance="0.70" reason="calls it"/>\n  </dependent_symbols>\n  <dependent_files>\n    <file path="b.py" reason="imports it" relevance="0.50"/>\n  </dependent_files>\n'
+        '  <related_tests>\n    <test path="t.py">\n      <snippets>\n        <snippet start="1" end="', "$k", '" reason="changed &quot;symbol&quot;">\n<![CDATA[\n', "$n",
+        "\nx]]>\n        </snippet>\n      </snippets>\n    </test>\n  </related_tests>\n  <call_graph>\n    <chain>f → ", "$n", "</chain>\n  </call_graph>\n</diff_context>\n",
+    ),
+}

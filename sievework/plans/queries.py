@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sievework.functions import text as X
 from sievework.functions import tokens as K
 from sievework.functions.tables import COUNTED_MODELS, PII_PATTERNS
-from sievework.operators import chunking, context, corpus, detect, distill, emit, graph, rank, state, transform
-from sievework.plans import ingest
+from sievework.operators import chunking, context, corpus, detect, diff_output, distill, emit, graph, index, rank, state, transform
+from sievework.plans import embed, ingest, repo_map
 from sievework.sources import code, documents, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,18 +427,312 @@ def complexity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.complexity_gates(rows, "p_partkey")
 
 
-def breaking_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _versions_of_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p, k = F.col("p_partkey"), F.col("p_partkey") % 11
     rows = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("f"), "p_partkey").alias("name"), F.col("p_partkey").alias("k"), F.lit("function").alias("kind"), F.col("p_type").alias("signature"), F.lit("public").alias("visibility")
+        F.concat(F.lit("f"), p).alias("name"), k.alias("k"), F.concat("p_brand", F.lit(".py")).alias("file"), F.lit("def f(a: int, b) -> str").alias("signature"),
+        F.lit("public").alias("visibility"), F.lit(None).cast("string").alias("extends"),
+    )
+    signature = (
+        F.when(F.col("k") == 3, "def f(a: int, b) -> int").when(F.col("k") == 4, "def f(a: int, b, c) -> str").when(F.col("k") == 5, "def f(a: int) -> str")
+        .when(F.col("k") == 6, "async def f(a: str, x) -> str").when(F.col("k") == 7, "def f<T, U>(a: int, b) -> str").otherwise(F.col("signature"))
+    )
+    new = rows.filter("k != 2").select(
+        "name", F.when(F.col("k") == 8, "moved.py").otherwise(F.col("file")).alias("file"), signature.alias("signature"),
+        F.when(F.col("k") == 9, "private").otherwise(F.col("visibility")).alias("visibility"), F.when(F.col("k") == 10, "Base").alias("extends"), "k",
+    )
+    return rows.filter("k != 1"), new.drop("k")
+
+
+def breaking_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.breaking_changes(*_versions_of_symbols(spark, sf_dir))
+
+
+def breaking_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.breaking_summary(rank.breaking_changes(*_versions_of_symbols(spark, sf_dir)))
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python file for each part: it imports the file of part 7p mod 211 and has a class with a method that calls the file's own function."""
+    p = F.col("p_partkey")
+    path = lambda q: F.concat(F.lit("src/m"), q % 25, F.lit("/f"), q, F.lit(".py"))
+    q = p * 7 % 211
+    content = F.concat(
+        F.lit("import m"), q % 25, F.lit(".f"), q, F.lit("\nimport os\n\nclass C"), p, F.lit("(B"), p % 5, F.lit('):\n    """Makes '), p,
+        F.lit('. More."""\n    def run(self, a: int, b=2) -> str:\n        if a and b:\n            return helper'), p,
+        F.lit('(a)  # call\n        return ""\n\ndef helper'), p, F.lit("(v):\n    return v\n"),
+    )
+    return table(spark, sf_dir, "part").select(path(p).alias("path"), F.lit("python").alias("language"), content.alias("content"))
+
+
+def parsed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = code.parse_symbols(_code(spark, sf_dir))
+    return rows.select(
+        "file", "name", "kind", "signature", "docstring", "start_line", "end_line", "parent", "visibility", F.array_join("calls", ",").alias("calls"), "extends"
+    )
+
+
+def import_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.resolve_imports(code.imports(_code(spark, sf_dir)), _code(spark, sf_dir))
+
+
+def comment_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = transform.remove_comments_udf()("content", "language")
+    return _code(spark, sf_dir).select("path", F.md5(out.cast("binary")).alias("digest"))
+
+
+def signature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code(spark, sf_dir).select("path", transform.signatures_udf()("content", "language").alias("text"))
+
+
+def key_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.key_symbols(_code(spark, sf_dir), code.parse_symbols(_code(spark, sf_dir)))
+
+
+def key_symbols_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transform.key_symbols(_code(spark, sf_dir), code.parse_symbols(_code(spark, sf_dir)), around=2)
+
+
+def type_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.type_signatures(code.parse_symbols(_code(spark, sf_dir)))
+
+
+def python_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.complexity(_code(spark, sf_dir)).select("file", "name", "start_line", "cyclomatic", "nesting", "parameters", "returns")
+
+
+def branch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code(spark, sf_dir).select("path", code.branch_count(F.col("content"), F.col("language")).alias("complexity"))
+
+
+def text_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = code.parse_symbols(_code(spark, sf_dir)).filter("kind = 'function'").select(F.col("name").alias("symbol_id"), "file", "name")
+    return graph.text_references(_code(spark, sf_dir), symbols)
+
+
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = code.parse_symbols(_code(spark, sf_dir)).filter("kind = 'function'").select(F.col("name").alias("symbol_id"), "file", "name")
+    return index.call_sites(_code(spark, sf_dir), symbols, "helper3")
+
+
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = index.build_index(_code(spark, sf_dir))["files"]
+    return built.select("path", "language", "content_hash", "lines", "tokens", F.round("importance", 8).alias("importance"))
+
+
+def index_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build_index(_code(spark, sf_dir))["symbols"].select("symbol_id", "file", "name", "kind", "parent_id")
+
+
+def index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.build_index(_code(spark, sf_dir))["edges"]
+
+
+def _named_symbols(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = F.col("p_partkey")
+    symbols = table(spark, sf_dir, "part").select(p.alias("symbol_id"), F.concat("p_brand", F.lit(".py")).alias("file"), F.col("p_name").alias("name"), F.col("p_size").alias("start_line"))
+    return symbols, _sparse(spark, sf_dir).withColumn("edge_type", F.when(F.col("src") % 2 == 0, "call").otherwise("reference"))
+
+
+def find_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.find_symbol(_named_symbols(spark, sf_dir)[0], "red widget").select("file", "start_line", "name")
+
+
+def callers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.callers_of(*_named_symbols(spark, sf_dir), "red widget")
+
+
+def callees_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.callees_of(*_named_symbols(spark, sf_dir), "red widget")
+
+
+def references_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.references_of(*_named_symbols(spark, sf_dir), "red widget")
+
+
+def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of five parts, each with a chord that makes a second, shorter cycle."""
+    p = F.col("p_partkey")
+    ring = table(spark, sf_dir, "part").select(p.alias("src"), (F.floor(p / 5) * 5 + (p + 1) % 5).alias("dst"))
+    chord = table(spark, sf_dir, "part").filter("p_partkey % 5 = 2").select(p.alias("src"), (p - 2).alias("dst"))
+    return index.cycle_paths(ring.unionByName(chord)).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+def dependency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.dependency_stats(_code(spark, sf_dir), code.resolve_imports(code.imports(_code(spark, sf_dir)), _code(spark, sf_dir)))
+
+
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("size"), F.col("o_custkey").alias("tokens"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
+    return index.cache_stats(rows, F.lit("2030-01-01 00:00:00").cast("timestamp"))
+
+
+def multi_repo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.col("p_name").alias("name"))
+    links = table(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), F.col("p_type").alias("target_repo")).filter("repo < 'Brand#2'")
+    return index.multi_repo_stats(symbols, links)
+
+
+def lazy_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = _code(spark, sf_dir).select("path").filter("path LIKE 'src/m1/%'")
+    return index.lazy_context(_code(spark, sf_dir), changed, 2)
+
+
+def context_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = {"edges": index.build_index(_code(spark, sf_dir))["edges"]}
+    return index.context_impact(built, spark.createDataFrame([("src/m3/f3.py",), ("src/m7/f7.py",)], "path string"), 2)
+
+
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id") % 10
+    role = F.when(k == 0, "changed").when(k < 7, "dependent").otherwise("test")
+    tokens = K.estimate(F.col("text"), "claude").cast("long")
+    rows = table(spark, sf_dir, "documents").select(F.format_string("d%08d", "doc_id").alias("path"), role.alias("role"), (F.col("n_chars") % 97).cast("double").alias("relevance"), tokens.alias("tokens"))
+    return index.context_budget(rows, 120_000)
+
+
+def diff_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("item_id") % 5
+    reason = F.when(k == 0, "changed symbol").when(k == 1, "dependent symbol").when(k == 2, "diff hunk").when(k == 3, "file removed").otherwise("other")
+    rows = table(spark, sf_dir, "benchmark").select(
+        F.format_string("f%06d", F.col("item_id") % 13).alias("path"), F.when(F.col("item_id") % 3 == 0, "test").otherwise("dependent").alias("role"), (F.col("item_id") % 4 / 4.0).alias("relevance"),
+        F.col("item_id").cast("int").alias("ord"), reason.alias("reason"), K.estimate(F.col("text"), "claude").cast("long").alias("tokens"),
+    )
+    return index.diff_budget(rows, 100, 1200)
+
+
+def _shaped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path of one of sixteen shapes for each part."""
+    p, k = F.col("p_partkey"), F.col("p_partkey") % 16
+    shapes = [
+        "src/a{}/main.py", "node_modules/x{}/a.js", "a/b{}.min.js", "src/tests/t{}.py", "docs/d{}.md", "img/i{}.png", "x{}/__tests__/a.test.ts", "README{}.md",
+        "lib/core/c{}/mod.rs", "x/api/routes/r{}.go", "x{}/package.json", "a/utils/u{}.rb", "vendor/v{}/lib/l.c", "cmd/x{}/y.go", "app/examples/e{}.java", "CHANGELOG{}",
+    ]
+    path = F.lit("")
+    for i, shape in enumerate(shapes):
+        path = F.when(k == i, F.replace(F.lit(shape), F.lit("{}"), p.cast("string"))).otherwise(path)
+    return table(spark, sf_dir, "part").select("p_partkey", path.alias("path"))
+
+
+def default_ignores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return _shaped_paths(spark, sf_dir).select(
+        "p_partkey", corpus.is_ignored(path).alias("ignored"), corpus.is_ignored(path, tests=False).alias("without_tests"), corpus.is_ignored(path, docs=False).alias("without_docs")
+    )
+
+
+def gitignored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("", 0, "*.js"), ("", 1, "/docs/"), ("", 2, "tests"), ("src", 0, "!tests/"), ("", 3, "x*/package.json"), ("lib", 0, "# no"), ("lib", 1, "**/mod.rs"), ("vendor", 0, "v1?/")]
+    return corpus.gitignored(_shaped_paths(spark, sf_dir), spark.createDataFrame(rules, "folder string, ord int, pattern string"))
+
+
+def path_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return _shaped_paths(spark, sf_dir).select("p_partkey", rank.fast_rank(path).alias("fast"), rank.chunk_priority(path).alias("priority"))
+
+
+def test_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("path")
+    return _shaped_paths(spark, sf_dir).select(
+        "p_partkey", context.is_test_file(path).alias("wide"), context.is_named_as_test(path).alias("named"), context.is_chunked_test(path).alias("chunked"), context.is_streamed_test(path).alias("streamed")
     )
-    old = rows.filter("k % 9 != 1")
-    new = rows.filter("k % 9 != 2").select(
-        "name",
-        F.when(F.col("k") % 9 == 3, "method").otherwise(F.col("kind")).alias("kind"),
-        F.when(F.col("k") % 9 == 4, F.concat("signature", F.lit("?"))).otherwise(F.col("signature")).alias("signature"),
-        F.when(F.col("k") % 9 == 5, "private").otherwise(F.col("visibility")).alias("visibility"),
+
+
+def module_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, language = F.col("path"), corpus.language_of(F.col("path"))
+    return _shaped_paths(spark, sf_dir).select(
+        "p_partkey", X.module_path(path, F.coalesce(language, F.lit(""))).alias("module"), X.qualified_name(path, F.lit("P"), F.lit("f"), F.lit("r")).alias("qualified"), X.dotted_module(path).alias("dotted"),
+        X.repository_module(path).alias("repository"),
+    )
+
+
+def truncated_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"), (F.col("n_chars") % 7).alias("importance"), K.estimate(F.col("text"), "claude").cast("long").alias("tokens"), F.col("text").alias("content")
     )
-    return rank.breaking_changes(old, new)
+    done = corpus.truncated_to_budget(rows, 30_000)
+    return done.select("path", "action", "used", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def truncated_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    framed = F.concat(F.lit("<file>"), F.replace("text", F.lit(". "), F.lit(".</file>\n<file>")), F.lit("</file>"))
+    return table(spark, sf_dir, "benchmark").select("item_id", transform.truncate_output_udf(30)(framed).alias("text"))
+
+
+def settings_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = {"model": "claude", "limit": 1000}
+    plain = state.manifest_checksum(_versions(spark, sf_dir)[0])
+    with_settings = state.manifest_checksum(_versions(spark, sf_dir)[0], settings)
+    return plain.select("entries", F.lit(state.settings_hash(settings)).alias("settings")).join(with_settings, "entries")
+
+
+def audit_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of events of each customer that are whole, and of those the length."""
+    events = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("log"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, "scan_started").when(F.col("o_orderkey") % 3 == 1, "no such event").otherwise("data_exported").alias("event"),
+        F.col("o_orderpriority").alias("detail"),
+    )
+    chained = state.chained_audit(events, "log")
+    broken = state.verify_chain(chained, ["log"]).select("log").distinct()
+    return chained.join(broken, "log", "left_anti").groupBy("log").agg(F.count("*").alias("events"), F.count_distinct("hash").alias("hashes"))
+
+
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = docs(spark, sf_dir).select(F.concat("doc_id", F.lit(".md")).alias("path"), F.concat(F.lit("# Title\n\none two\n\n## Part\n\nthree "), "doc_id", F.lit("\n")).alias("content"))
+    return documents.document_counts(documents.parse_documents(files))
+
+
+def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("# Head "), "n_nationkey", F.lit("\n\nFirst "), "n_name", F.lit("\nline\n\n- a\n- b\n\n```sql\nselect 1\n```\n\n## Sub\n\n> said\n"))
+    files = table(spark, sf_dir, "nation").select(F.concat("n_nationkey", F.lit(".md")).alias("path"), body.alias("content"))
+    return documents.parse_documents(files).select("path", "block_type", "text", "title")
+
+
+def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = embed.chunks(_code(spark, sf_dir))
+    return made.select("file", "name", "kind", "parent", "part", "tokens", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def map_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    symbols = table(spark, sf_dir, "part").select(p.alias("symbol_id"), F.concat("p_brand", F.lit("/x.py")).alias("file"), F.col("p_name").alias("name"), F.lit("function").alias("kind"))
+    sizes = symbols.groupBy(F.col("file").alias("path")).agg(F.count("*").alias("symbols"))
+    made = repo_map.repo_map(symbols, _sparse(spark, sf_dir), sizes)
+    return made["module_edges"].select("src_module", "dst_module", "weight")
+
+
+def sample_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sample_share(docs(spark, sf_dir).select("doc_id"), "doc_id", 20)[0]
+
+
+def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small change context for each nation."""
+    key = F.col("n_nationkey")
+    snippets = F.array(F.struct(F.lit(1).alias("start_line"), key.alias("end_line"), F.lit('changed "symbol"').alias("reason"), F.concat("n_name", F.lit("\nx")).alias("content")))
+    none = F.slice(snippets, 1, 0)
+    parts = {
+        "level": F.when(key % 2 == 0, "low").otherwise("high"), "description": F.concat(F.lit("About "), "n_name"), "direct_files": key, "transitive_files": key * 2, "affected_symbols": F.lit(3),
+        "affected_tests": F.lit(1), "total_tokens": key * 10,
+        "changed_files": F.array(F.struct(
+            F.concat("n_name", F.lit(".py")).alias("path"), F.lit("python").alias("language"), key.alias("tokens"), F.when(key % 3 == 0, "-a\n+b").alias("diff_content"),
+            F.when(key % 5 == 0, F.array(F.struct(F.lit("ab12").alias("hash"), F.lit("A").alias("author"), F.lit("2024").alias("date"), F.lit("say x").alias("message")))).otherwise(
+                F.array().cast("array<struct<hash:string,author:string,date:string,message:string>>")).alias("history"),
+            F.when(key % 4 == 0, none).otherwise(snippets).alias("snippets"),
+        )),
+        "changed_symbols": F.array(F.struct(F.col("n_name").alias("name"), F.lit("function").alias("kind"), F.lit("a.py").alias("file"), key.alias("line"))),
+        "dependent_symbols": F.array(F.struct(F.lit("g").alias("name"), F.lit("class").alias("kind"), F.lit("b.py").alias("file"), key.alias("line"), F.lit("calls it").alias("reason"), F.lit(0.7).cast("double").alias("relevance"))),
+        "dependent_files": F.array(F.struct(F.lit("b.py").alias("path"), F.lit("imports it").alias("reason"), F.lit(0.5).cast("double").alias("relevance"), none.alias("snippets"))),
+        "related_tests": F.array(F.struct(F.lit("t.py").alias("path"), snippets.alias("snippets"))),
+        "call_chains": F.array(F.array(F.lit("f"), F.col("n_name"))),
+    }
+    return table(spark, sf_dir, "nation").select(key, *[c.alias(n) for n, c in parts.items()])
+
+
+def _formatter(form: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return diff_output.format_context(_contexts(spark, sf_dir), form).select("n_nationkey", "text")
+
+    return query
 
 
 def symbol_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -697,7 +991,13 @@ QUERIES: dict[str, Query] = {
         emit_documents, graph_export, pack_pages, html_blocks, plain_sections, csv_tables, diff_lines, classify_changes, expand_context,
         type_ancestors, type_depths, type_ends, link_parents, resolve_unique, called_by, merge_aliases, cross_repo_links,
         hierarchy_summaries, dead_code, tests_by_name, unreachable_code, code_measures, remote_urls, fixed_chunks, semantic_chunks,
+        breaking_summary, parsed_symbols, import_links, comment_removal, signature_lines, key_symbols, key_symbols_in_context, type_signatures,
+        python_complexity, branch_counts, text_references, call_sites, index_files, index_symbols, index_edges, find_symbol, callers_of,
+        callees_of, references_of, cycle_paths, dependency_stats, cache_stats, multi_repo_stats, lazy_context, context_impact, context_budget,
+        diff_budget, default_ignores, gitignored, path_ranks, test_predicates, module_paths, truncated_contents, truncated_output,
+        settings_checksum, audit_chains, document_counts, markdown_blocks, embed_chunks, map_symbols, sample_shares,
         dependency_chunks, chunk_neighbours, truncated, split_documents, semantic_compress, character_vectors, rollup_sources,
     )
 }
 QUERIES |= {f"emit_{form}": _emitter(form) for form in emit.FORMATS}
+QUERIES |= {f"diff_{form}": _formatter(form) for form in diff_output.FORMATS}

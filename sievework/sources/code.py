@@ -71,16 +71,19 @@ def _visibility(name: str, line: str, language: str) -> str:
 
 
 def _python(source: str) -> list[dict]:
-    text = source.split("\n")
     out: list[dict] = []
 
     def visit(node: ast.AST, parent: str | None) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
                 is_class = isinstance(child, ast.ClassDef)
-                first = child.body[0].lineno - 1 if child.body[0].lineno > child.lineno else child.lineno
-                signature = " ".join(x.strip() for x in text[child.lineno - 1 : max(first, child.lineno)]).split(": ")[0].rstrip(":").strip()
                 bases = [ast.unparse(b) for b in child.bases] if is_class else []
+                if is_class:
+                    inside = [*bases, *[ast.unparse(k) for k in child.keywords]]
+                    signature = f"class {child.name}({', '.join(inside)})" if inside else f"class {child.name}"
+                else:
+                    returns = f" -> {ast.unparse(child.returns)}" if child.returns else ""
+                    signature = f"{'async ' * isinstance(child, ast.AsyncFunctionDef)}def {child.name}({ast.unparse(child.args)}){returns}"
                 called = [ast.unparse(c.func).rpartition(".")[2] for c in ast.walk(child) if isinstance(c, ast.Call)] if not is_class else []
                 out.append(
                     {
@@ -325,3 +328,41 @@ def unreachable(files: DataFrame, path: str = "path", content: str = "content")
 
     rows = files.select(path, F.explode(F.aggregate(own, start, step, lambda a: a["out"])).alias("u"))
     return rows.select(path, "u.line", "u.terminator_line", "u.snippet")
+
+
+# Words and signs that branch, by language family.
+_BRANCHES = {
+    "python": r"\b(?:if|elif|for|while|except|case|and|or)\b", "ruby": r"\b(?:if|elsif|unless|for|while|until|when|rescue|and|or)\b|&&|\|\|",
+}
+_BRACED_BRANCHES = r"\b(?:if|for|while|case|catch|match|loop|guard|select)\b|&&|\|\||\?(?=[^.?:])"
+
+
+def branch_count(content: Column, language: Column) -> Column:
+    """1 and the branches of a piece of code, by words and signs outside of strings and comments; null for unknown languages."""
+    bare = F.regexp_replace(content, r"(?s)/\*.*?\*/|//[^\n]*|\"(?:\\\\.|[^\"\\\\\n])*\"|'(?:\\\\.|[^'\\\\\n])*'", " ")
+    hashed = F.regexp_replace(bare, r"#[^\n]*", " ")
+    lower = F.lower(language)
+    out = F.when(lower.isin(list(PATTERNS)), F.regexp_count(bare, F.lit(_BRACED_BRANCHES)) + 1)
+    for name, pattern in _BRANCHES.items():
+        out = F.when(lower == name, F.regexp_count(hashed, F.lit(pattern)) + 1).otherwise(out)
+    return out
+
+
+def type_signatures(symbols: DataFrame) -> DataFrame:
+    """(file, name, start_line, parameter, type, ord): the parameters and, as ``return``, the result of functions and methods.
+
+    Types are what follows the colon (or, where a language puts them first, what
+    stands before the name); null where none is given.
+    """
+    from sievework.operators.rank import parameters, return_type
+
+    rows = symbols.filter(F.col("kind").isin("function", "method") & F.col("signature").isNotNull())
+    own = rows.select("file", "name", "start_line", F.posexplode(parameters(F.col("signature"))).alias("ord", "p"))
+    bare = F.trim(F.regexp_replace("p", r"(?s)\s*=(?![=>]).*$", ""))
+    colon = F.regexp_extract(bare, r"(?s)^[^:]*:\s*(.*)$", 1)
+    before = F.regexp_extract(bare, r"(?s)^(.*\S)\s+[*&]*\w+$", 1)
+    kind = F.nullif(F.when(F.contains(bare, F.lit(":")), colon).otherwise(before), F.lit(""))
+    name = F.when(F.contains(bare, F.lit(":")), F.trim(F.substring_index(bare, ":", 1))).otherwise(F.regexp_extract(bare, r"([*&]*\w+)$", 1))
+    given = own.select("file", "name", "start_line", name.alias("parameter"), kind.alias("type"), "ord")
+    result = rows.select("file", "name", "start_line", F.lit("return").alias("parameter"), return_type(F.concat("signature", F.lit(":"))).alias("type"), F.lit(-1).alias("ord"))
+    return given.unionByName(result)

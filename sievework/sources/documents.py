@@ -392,3 +392,11 @@ def parse_documents(files: DataFrame, path: str = "path", content: str = "conten
 def document_titles(blocks: DataFrame) -> DataFrame:
     """(path, title): the first heading."""
     return blocks.filter("title IS NOT NULL").groupBy("path").agg(F.min_by("title", "section_ord").alias("title"))
+
+
+def document_counts(blocks: DataFrame, model: str = "claude") -> DataFrame:
+    """(path, sections, blocks, tokens) of parsed documents."""
+    from sievework.functions.tokens import estimate
+
+    tokens = F.sum(estimate(F.coalesce("text", F.lit("")), model)).alias("tokens")
+    return blocks.groupBy("path").agg(F.count_distinct("section_ord").alias("sections"), F.count("*").alias("blocks"), tokens)

@@ -11,7 +11,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
 from sievework.functions.text import lines
-from sievework.operators.corpus import filter_paths, is_binary, language_of
+from sievework.functions.tokens import estimate, scan_estimate
+from sievework.operators.corpus import filter_paths, is_binary, language_of, pack_chunks
 
 # Extensions of binary files.
 BINARY_EXTENSIONS = (
@@ -46,6 +47,57 @@ def read_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int =
     return text.select("path", "size_bytes", "modified", language_of(F.col("path")).alias("language"), F.col("content").cast("string").alias("content"))
 
 
+#: Ways to scan: ``accurate`` counts tokens and reads symbols, ``fast`` estimates both from sizes and reads no content.
+PRESETS = {
+    "fast": {"contents": False, "symbols": False, "pipeline_files": 100, "batch_files": 5000},
+    "accurate": {"contents": True, "symbols": True, "pipeline_files": 100, "batch_files": 5000},
+}
+
+
+def scan(spark: SparkSession, path: str, preset: str = "accurate", model: str = "claude", **more: object) -> DataFrame:
+    """Files below a folder by a preset: path, size_bytes, modified, language, tokens; with contents also content, and with symbols their number.
+
+    ``fast`` prunes the content column, so that only the listing is read.
+    """
+    settings = PRESETS[preset] | {k: more.pop(k) for k in list(more) if k in PRESETS[preset]}
+    if not settings["contents"]:
+        rows = listed_files(spark, path, **more)
+        return rows.withColumn("tokens", scan_estimate(F.col("size_bytes"), model))
+    rows = read_files(spark, path, **more).withColumn("tokens", estimate(F.col("content"), model))
+    if not settings["symbols"]:
+        return rows
+    from sievework.sources import code
+
+    counts = code.parse_symbols(rows).groupBy(F.col("file").alias("path")).agg(F.count("*").alias("symbols"))
+    return rows.join(counts, "path", "left").withColumn("symbols", F.coalesce("symbols", F.lit(0)))
+
+
+def listed_files(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = 50 << 20, ignores: list[str] = DEFAULT_IGNORES) -> DataFrame:
+    """(path, size_bytes, modified, language) of the files below a folder; no content is read, so binary files are told by extension only."""
+    root = path.rstrip("/")
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    bare = F.regexp_replace(F.col("path"), r"^.*?" + root.split("://")[-1].replace(".", r"\.") + "/", "")
+    rows = raw.select(bare.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
+    kept = filter_paths(rows.filter(F.col("size_bytes") <= max_bytes), exclude=list(ignores))
+    named = kept.filter(~F.coalesce(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(BINARY_EXTENSIONS), F.lit(False)))
+    return named.withColumn("language", language_of(F.col("path")))
+
+
+def file_pieces(spark: SparkSession, path: str, piece_bytes: int = 1 << 20) -> DataFrame:
+    """(path, piece, size, tokens): the pieces of each file of a folder, for files too large to be one row.
+
+    Files are streamed line by line by Spark's text reader and packed into
+    pieces of about ``piece_bytes``; a longer line is a piece of its own.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"),
+        (F.octet_length("value") + 1).cast("long").alias("size"),
+    )
+    packed = pack_chunks(rows, ["path"], ["block", "n"], "size", piece_bytes, "n").withColumnRenamed("chunk", "piece")
+    sized = packed.groupBy("path", "piece").agg(F.sum("size").alias("size"))
+    return sized.withColumn("tokens", scan_estimate(F.col("size"), "claude"))
+
+
 def listing(files: DataFrame) -> DataFrame:
     """Files without contents, with estimated lines."""
     return files.drop("content").withColumn("lines", F.floor(F.col("size_bytes") / BYTES_PER_LINE).cast("long"))
