@@ -9,7 +9,9 @@ loops.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,12 +132,67 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
     return known.all().filter("depth > 0")
 
 
+#: Edges that one task may search for cycles, in some hundred bytes each.
+SMALL_EDGES = 500_000
+
+
+def _components(links: dict) -> dict:
+    """{node: least node of its strongly connected component}, by Tarjan's search with an explicit stack."""
+    place: dict = {}
+    low: dict = {}
+    name: dict = {}
+    open_nodes: list = []
+    for start in links:
+        if start in place:
+            continue
+        place[start] = low[start] = len(place)
+        open_nodes.append(start)
+        work = [(start, iter(links[start]))]
+        while work:
+            node, after = work[-1]
+            found = next(after, None)
+            if found is not None:
+                if found not in place:
+                    place[found] = low[found] = len(place)
+                    open_nodes.append(found)
+                    work.append((found, iter(links.get(found, ()))))
+                elif found not in name:
+                    low[node] = min(low[node], place[found])
+                continue
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[node])
+            if low[node] == place[node]:
+                own = [open_nodes.pop()]
+                while own[-1] != node:
+                    own.append(open_nodes.pop())
+                name.update(dict.fromkeys(own, min(own)))
+    return name
+
+
+def _searched(edges: DataFrame) -> DataFrame:
+    """(node, component) of the components of at least two nodes, in one task."""
+    kind = dict(edges.dtypes)["src"]
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        links: dict = {}
+        for src, dst in zip(rows["src"], rows["dst"], strict=True):
+            links.setdefault(src, []).append(dst)
+        name = _components(links)
+        sizes = Counter(name.values())
+        kept = [(n, c) for n, c in name.items() if sizes[c] > 1]
+        return pd.DataFrame({"node": [n for n, _ in kept], "component": [c for _, c in kept]}).astype({"node": rows["src"].dtype, "component": rows["src"].dtype})
+
+    return cut(edges.groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: search(rows), f"node {kind}, component {kind}"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on a cycle through at least two nodes; a component is named by its least node.
 
-    Nodes without edges in or out are trimmed first; what is left is coloured
-    forwards and backwards from the least node of each colour until all
-    components are found.
+    Nodes without edges in or out are trimmed first. Of what is left, up to
+    ``SMALL_EDGES`` edges are searched by one task; more are coloured forwards
+    and backwards from the least node of each colour until all components are
+    found, or few enough edges are left.
     """
     rest = cut(edges.filter("src != dst").select("src", "dst").distinct())
     found: list[DataFrame] = []
@@ -148,6 +205,9 @@ def cycles(edges: DataFrame) -> DataFrame:
             rest = cut(left.select("src", "dst"))
         if size == 0:
             break
+        if size <= SMALL_EDGES:
+            found.append(_searched(rest))
+            break
         color = nodes_of(rest).withColumn("color", F.col("node"))
         before = None
         while True:  # the least node that reaches each node
