@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import threading
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,27 +12,27 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_SHARED_DIR = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED_DIR
-
+from sievework.functions import shared
+from sievework.functions.shared import FILES_PER_CORE
 
 #: ``paths``: those given out in the innermost ``intermediates_removed`` block of the thread.
 _GIVEN = threading.local()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; no two calls return the same."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder (``spark.checkpoint.dir``), deleted when the session's JVM ends; no two calls return the same."""
+    path = shared.shared_path(spark, name)
     if getattr(_GIVEN, "paths", None) is not None:
         _GIVEN.paths.append(path)
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path on any file system that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def intermediates_removed(spark: SparkSession, *keep: str) -> Iterator[None]:
     """Deletes, at the end of the block, what operators of this thread have stored in it, but for paths in ``keep``.
@@ -47,15 +46,9 @@ def intermediates_removed(spark: SparkSession, *keep: str) -> Iterator[None]:
         yield
     finally:
         _GIVEN.paths = outer
-        path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for path in given:
             if path not in keep:
-                place = path_of(path)
-                place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-#: Files that a stored table has at most for each core of the cluster.
-FILES_PER_CORE = 4
+                remove(spark, path)
 
 
 def few_files(df: DataFrame) -> DataFrame:
@@ -71,7 +64,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+        context.setCheckpointDir(shared.shared_dir(df.sparkSession))
     return few_files(df).checkpoint(eager=True)
 
 

@@ -73,3 +73,54 @@ def test_run_equals_its_stages(spark, stages):
     whole = corpus_pipeline.run(spark, SF)
     columns = ["doc_id", "text", "copy", "rate", "shuffle_key"]
     assert sorted(map(tuple, whole.select(columns).collect())) == sorted(map(tuple, before.select(columns).collect()))
+
+
+def odd_documents():
+    prose = " ".join(helpers.PROSE)
+    passage = " ".join(f"shared{i}" for i in range(40))
+    return [
+        (1, prose + " " + passage, "en", "a"), (2, passage + " tail", "en", None), (3, None, None, "a"), (4, "", "de", "b"), (5, " \n\t", "de", "b"), (6, "one", "en", "a"),
+        (6, "one", "en", "a"), (7, "one", "en", "c"), (None, prose, "en", "a"), (None, None, None, None), (8, prose + " " + passage, "fr", "d"),
+        (9, " ".join(f"{w}{i % 501}" for i in range(3000) for w in ("long", "text", "here")), "en", "a"),
+    ]
+
+
+def with_further_columns(df):
+    return df.select("*", *[F.lit(7).alias(n) for n in ("n_words", "spans", "class_id", "node", "part", "score", "rate", "copy", "__kept", "_removed", "__row", "path")])
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_odd_documents(spark, name, stage):
+    """Nulls in every column, empty, blank and long texts, ties, repeated rows and clashing further columns."""
+    data = odd_documents()
+    docs = with_further_columns(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).repartition(3)
+    done = stage(spark, docs, SF)
+    if name != "mixing":
+        assert done.columns == docs.columns
+    found = done.collect()
+    own = [r for r in found if r["doc_id"] is None or r["text"] is None]
+    if name in ("near_duplicates", "decontamination", "substring_dedup"):
+        assert len(own) == 3  # both null ids, and the null text
+        assert all(r["path"] == r["node"] == r["spans"] == 7 for r in found)
+    if name == "near_duplicates":
+        classes = {c for _, c, _ in helpers.jaccard([(d, t) for d, t, _, _ in data]) if c is not None}
+        assert sorted(r["doc_id"] for r in found if r["doc_id"] is not None) == sorted(classes)
+    if name == "substring_dedup":
+        expected = {(d, n) for d, _, n, _ in helpers.deduplicated([(d, t) for d, t, _, _ in data])}
+        before = {d: len(helpers.words(t)) for d, t, _, _ in data if d is not None}
+        assert {(r["doc_id"], before[r["doc_id"]] - len(helpers.words(r["text"]))) for r in found if r["doc_id"] is not None} == {x for x in expected if x[0] is not None}
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_on_empty_tables(spark, name, stage):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert stage(spark, docs, SF).count() == 0
+
+
+def test_results_of_earlier_stages_are_removed(spark):
+    from sievework.llm.common import shared_path
+
+    corpus_pipeline.run(spark, SF).count()
+    folder = shared_path(spark, "x").rpartition("/")[0]
+    names = [p.getPath().getName() for p in spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))]
+    assert not [n for n in names if n.startswith(("stage-quality_classifier", "stage-near_duplicates", "stage-substring_dedup", "stage-decontamination"))]
