@@ -3,7 +3,17 @@
 Every stage takes all that its predecessor kept and returns the columns of
 ``documents``; the last adds copy, rate and shuffle_key. Each result is written
 as Parquet to the shared folder and read again, so that a lost executor costs
-tasks of one stage at most, and a stage's own tables are removed once its result is stored.
+tasks of one stage at most, and a stage's own tables and its predecessor's
+result are removed once its own result is stored.
+
+Defined results: a null or empty text is scored like any other, is alone in its
+class, loses no words, is never contaminated, and is repeated at its source's
+rate; a row with a null doc_id stays until the last stage, where it is repeated
+like any other; of rows equal in doc_id and text one stays; a null source is a
+source of its own; documents of equal score, similarity or window stay or go by
+the least doc_id; an empty table gives an empty result at every stage; further
+columns, also those named like results or columns of a stage, come through
+unchanged, but copy, rate and shuffle_key are the last stage's own.
 """
 
 from __future__ import annotations
@@ -12,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import compression_classifier, decontamination, jaccard_join, mixing, substring_dedup
-from sievework.llm.common import intermediates_removed, shared_path
+from sievework.llm.common import intermediates_removed, remove, shared_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +38,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows that earlier documents have go; a document may be left with an empty text."""
-    done = substring_dedup.dedup_substrings(docs, carry=True)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
-    return done.select(docs.columns)
+    names = docs.columns
+    own = [f"_c{i}" for i in range(len(names))]  # by position, as further columns may be named like the operator's
+    done = substring_dedup.dedup_substrings(docs, carry=True).toDF(*own, "_words", "_removed", "_spans")
+    if "n_chars" in names:
+        size = own[names.index("n_chars")]
+        left = F.char_length(own[names.index("text")]).cast("long")
+        done = done.withColumn(size, F.when(F.col("_removed") > 0, left).otherwise(F.col(size).cast("long")))
+    return done.select(own).toDF(*names)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +72,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         with intermediates_removed(spark):
             stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
