@@ -10,14 +10,21 @@ from __future__ import annotations
 
 import functools
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievework.functions.shared import stored
 
 
+#: Edges that one task may hold, in some hundred bytes each.
+SMALL_EDGES = 500_000
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder."""
     return stored(df, "graph")
@@ -69,9 +76,9 @@ def pagerank(
     ``tolerance``: stop when the sum of absolute changes is below it.
     ``by_maximum``: ranks are divided by the largest.
 
-    Parallel edges are one weighted edge. A round is one join and one
-    aggregation: nodes come as edges without weight, so that those without
-    gains stay, and bring their old rank and whether they are sinks.
+    Parallel edges are one weighted edge. A round is two joins and one
+    aggregation. What the
+    next round needs in sums is observed while a round's table is written.
     """
     nodes = nodes if nodes is not None else nodes_of(edges)
     weights = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("w")))
@@ -82,22 +89,18 @@ def pagerank(
     if n == 0:
         return state.select("node", F.lit(0.0).alias("rank"))
     ranks = state.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        lost, _ = _masses(ranks) if dangling else (0.0, 0.0)
+    lost = state.filter("sink").count() / n
+    for k in range(iterations):
         gained = shares.join(ranks, shares["src"] == ranks["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("gain"))
-        rank = F.lit((1 - damping) / n + lost * damping / n) + F.coalesce("gain", F.lit(0.0)) * damping
-        new = cut(ranks.withColumnRenamed("rank", "old").join(gained, "node", "left").select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("old")).alias("change")))
-        ranks = new.drop("change")
-        if tolerance and new.agg(F.sum("change")).first()[0] < tolerance:
+        rank = F.lit((1 - damping) / n + (lost * damping / n if dangling else 0.0)) + F.coalesce("gain", F.lit(0.0)) * damping
+        made = ranks.withColumnRenamed("rank", "old").join(gained, "node", "left").select("node", "sink", rank.alias("rank"), F.abs(rank - F.col("old")).alias("change"))
+        seen = Observation()
+        sums = F.sum(F.when(F.col("sink"), F.col("rank"))).alias("lost"), F.sum("change").alias("change"), F.max("rank").alias("most")
+        ranks = cut(made.observe(seen, *sums)).drop("change")
+        lost, most = seen.get["lost"] or 0.0, seen.get["most"]
+        if tolerance and seen.get["change"] < tolerance:
             break
-    most = _masses(ranks)[1] if by_maximum else 1.0
-    return ranks.select("node", (F.col("rank") / most).alias("rank"))
-
-
-def _masses(ranks: DataFrame) -> tuple[float, float]:
-    """The summed rank of sinks, and the largest rank of all nodes."""
-    row = ranks.agg(F.coalesce(F.sum(F.when(F.col("sink"), F.col("rank"))), F.lit(0.0)), F.max("rank")).first()
-    return row[0], row[1]
+    return ranks.select("node", (F.col("rank") / (most if by_maximum and iterations else 1.0)).alias("rank"))
 
 
 def map_pagerank(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -110,9 +113,54 @@ def file_importance(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return pagerank(edges, nodes, iterations=30, dangling=False, by_maximum=True)
 
 
+def _links(edges: DataFrame) -> dict:
+    """{src: [dst]} of at most ``SMALL_EDGES`` edges."""
+    table = edges.toArrow()
+    out: dict = {}
+    for src, dst in zip(table["src"].to_pylist(), table["dst"].to_pylist(), strict=True):
+        out.setdefault(src, []).append(dst)
+    return out
+
+
+def _search_each(links, max_depth: int | None, arrow: pa.Schema):
+    """(src, dst, depth) of all that each node reaches, by breadth-first searches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after = links.value
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                found: dict = {}
+                frontier, depth = [start], 0
+                while frontier and (max_depth is None or depth < max_depth):
+                    depth += 1
+                    new = []
+                    for node in frontier:
+                        for other in after.get(node, ()):
+                            if other not in found:
+                                found[other] = depth
+                                new.append(other)
+                    frontier = new
+                if found:
+                    columns = [[start] * len(found), list(found), list(found.values())]
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return run
+
+
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(src, dst, depth): all reachable pairs with the least number of steps. For graphs whose closure is wanted whole."""
+    """(src, dst, depth): all reachable pairs with the least number of steps. For graphs whose closure is wanted whole.
+
+    Up to ``SMALL_EDGES`` edges are sent to all executors, and each task
+    searches from its share of the nodes; more are joined round by round.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     step = cut(edges.select("src", "dst").distinct())
+    if step.count() <= SMALL_EDGES:
+        links = step.sparkSession.sparkContext.broadcast(_links(step))
+        starts = step.select("src").distinct()
+        schema = T.StructType([*step.schema.fields, T.StructField("depth", T.IntegerType())])
+        return starts.mapInArrow(_search_each(links, max_depth, to_arrow_schema(schema)), schema)
     hop = step.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     known = _Grown(step.withColumn("depth", F.lit(1)))
     while (max_depth is None or known.rounds < max_depth) and known.more:
@@ -132,10 +180,6 @@ def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None,
     return known.all().filter("depth > 0")
 
 
-#: Edges that one task may search for cycles, in some hundred bytes each.
-SMALL_EDGES = 500_000
-
-
 def _components(links: dict) -> dict:
     """{node: least node of its strongly connected component}, by Tarjan's search with an explicit stack."""
     place: dict = {}
@@ -248,9 +292,36 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ins.join(outs, "node", "full_outer").select("node", F.coalesce("callers", zero).alias("callers"), F.coalesce("callees", zero).alias("callees"))
 
 
+def _levels(edges: pd.DataFrame) -> pd.DataFrame:
+    """(node, level) of one table of distinct edges."""
+    after: dict = {}
+    before: Counter = Counter()
+    for src, dst in zip(edges["src"], edges["dst"], strict=True):
+        after.setdefault(src, []).append(dst)
+        before[dst] += 1
+    nodes = dict.fromkeys([*edges["src"], *edges["dst"]])
+    ready, level, found = [n for n in nodes if not before[n]], 0, {}
+    while ready:
+        found.update(dict.fromkeys(ready, level))
+        new = []
+        for node in ready:
+            for other in after.get(node, ()):
+                before[other] -= 1
+                if not before[other]:
+                    new.append(other)
+        ready, level = new, level + 1
+    return pd.DataFrame({"node": list(nodes), "level": pd.array([found.get(n) for n in nodes], "Int32")}).astype({"node": edges["src"].dtype})
+
+
 def topological_levels(edges: DataFrame) -> DataFrame:
-    """(node, level): level 0 has no edge in, each other one more than its last predecessor; nodes on or behind cycles: null."""
+    """(node, level): level 0 has no edge in, each other one more than its last predecessor; nodes on or behind cycles: null.
+
+    Up to ``SMALL_EDGES`` edges are ordered by one task; more level by level.
+    """
     rest = cut(edges.select("src", "dst").distinct())
+    if rest.count() <= SMALL_EDGES:
+        kind = dict(rest.dtypes)["src"]
+        return rest.groupBy(F.lit(0).alias("all")).applyInPandas(lambda part: _levels(part), f"node {kind}, level int")
     nodes = cut(nodes_of(edges))
     done: list[DataFrame] = []
     while True:
