@@ -24,7 +24,7 @@ def _all(rows: DataFrame) -> DataFrame:
 
 def fixed_chunks(files: DataFrame, limit: int) -> DataFrame:
     """(path, tokens, chunk): files (ord, path, tokens) in order, next-fit."""
-    return pack_chunks(_all(files), ["corpus"], ["ord"], "tokens", limit, "path").drop("corpus")
+    return pack_chunks(_all(files), ["corpus"], ["ord"], "tokens", limit, "path", split=True).drop("corpus")
 
 
 def file_chunks(files: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def module_of(path: Column) -> Column:
 
 def module_chunks(files: DataFrame, limit: int) -> DataFrame:
     """(module, path, tokens, chunk): next-fit by path inside each first path segment; chunks are numbered per module."""
-    return pack_chunks(files.withColumn("module", module_of(F.col("path"))), ["module"], ["path"], "tokens", limit, "path")
+    return pack_chunks(files.withColumn("module", module_of(F.col("path"))), ["module"], ["path"], "tokens", limit, "path", split=True)
 
 
 def semantic_chunks(files: DataFrame, limit: int) -> DataFrame:
@@ -101,7 +101,7 @@ def symbol_snippets(symbols: DataFrame, files: DataFrame, model: str = "claude")
 def symbol_chunks(snippets: DataFrame, limit: int) -> DataFrame:
     """Snippets by importance, then fewer tokens, then place, packed next-fit."""
     keyed = snippets.withColumn("snippet", F.struct((-F.col("importance")).alias("i"), "tokens", "file", "start_line", "name"))
-    return pack_chunks(_all(keyed), ["corpus"], ["snippet"], "tokens", limit, "snippet").select("snippet.file", "snippet.name", "tokens", "chunk")
+    return pack_chunks(_all(keyed), ["corpus"], ["snippet"], "tokens", limit, "snippet", split=True).select("snippet.file", "snippet.name", "tokens", "chunk")
 
 
 def with_neighbours(chunks: DataFrame, group: list[str] = ()) -> DataFrame:

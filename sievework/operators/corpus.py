@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from sievework.functions.tables import COUNTED_MODELS, DEFAULT_IGNORES, DOC_IGNORES, LANGUAGES, TEST_IGNORES
 from sievework.functions.text import glob_regex, lines
 from sievework.functions.tokens import estimate, estimate_from, scan_estimate, token_stats
+from sievework.operators.packing import next_fit, within_budget
 
 
 def language_stats(files: DataFrame, language: str = "language", text: str = "content", model: str = "claude") -> DataFrame:
@@ -201,9 +202,17 @@ def fold_in_order(
 
 
 def pack_chunks(
-    rows: DataFrame, group: list[str], order: list[str], tokens: str, limit: int, key: str, keep: list[str] = ()
+    rows: DataFrame, group: list[str], order: list[str], tokens: str, limit: int, key: str, keep: list[str] = (), split: bool = False
 ) -> DataFrame:
-    """(group, key, tokens, keep, chunk): each group's rows in order, packed next-fit into chunks of ``limit`` tokens; a larger row is alone."""
+    """(group, key, tokens, keep, chunk): each group's rows in order, packed next-fit into chunks of ``limit`` tokens; a larger row is alone.
+
+    With ``split`` a group is packed by many tasks, for groups that may be a
+    large share of all rows; without, by one, for bounded groups such as documents.
+    """
+    if split:
+        own = [*dict.fromkeys([*group, key, tokens, *keep])]
+        needed = rows.select(*dict.fromkeys([*own, *order]))
+        return next_fit(needed, group, [F.col(o) for o in order], tokens, limit, own)
 
     def step(state: tuple, value: int) -> tuple:
         chunk, used = state
@@ -231,16 +240,8 @@ def enforce_budget(rows: DataFrame, group: list[str], importance: str, order: st
     as filling what is left.
     """
     room = max(0, budget - RESERVE)
-
-    def step(used: int, value: int) -> tuple:
-        if used + value <= room:
-            return used + value, ("keep", value)
-        if used + MIN_PARTIAL < room:
-            return room, ("truncate", room - used)
-        return used, ("drop", 0)
-
-    by = [F.desc(importance), F.col(order)]
-    return fold_in_order(rows, group, by, [order], tokens, lambda: 0, step, "action string, used long")
+    needed = rows.select(*dict.fromkeys([*group, importance, order, tokens]))
+    return within_budget(needed, group, [F.desc(importance), F.col(order)], order, tokens, room, MIN_PARTIAL)
 
 
 def truncated_to_budget(files: DataFrame, budget: int, model: str = "claude", strategy: str = "line", order: str = "path") -> DataFrame:

@@ -188,7 +188,7 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def module_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", K.estimate(F.col("text"), "claude").cast("long").alias("tokens"))
-    packed = corpus.pack_chunks(rows, ["source"], ["doc_id"], "tokens", 4000, "doc_id")
+    packed = corpus.pack_chunks(rows, ["source"], ["doc_id"], "tokens", 4000, "doc_id", split=True)
     return corpus.chunk_summary(packed, ["source"], "tokens")
 
 

@@ -93,7 +93,7 @@ def file_pieces(spark: SparkSession, path: str, piece_bytes: int = 1 << 20) -> D
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"),
         (F.octet_length("value") + 1).cast("long").alias("size"),
     )
-    packed = pack_chunks(rows, ["path"], ["block", "n"], "size", piece_bytes, "n").withColumnRenamed("chunk", "piece")
+    packed = pack_chunks(rows, ["path"], ["block", "n"], "size", piece_bytes, "n", split=True).withColumnRenamed("chunk", "piece")
     sized = packed.groupBy("path", "piece").agg(F.sum("size").alias("size"))
     return sized.withColumn("tokens", scan_estimate(F.col("size"), "claude"))
 
