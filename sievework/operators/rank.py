@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sievework.functions import tables as T
 from sievework.functions.text import contains_any, starts_with_any
@@ -95,6 +96,20 @@ def updated_importance(files: DataFrame, scores: DataFrame) -> DataFrame:
     return files.join(mean, "file", "left").withColumn("importance", value).drop("__mean")
 
 
+def ranks(rows: DataFrame, group: list[str], score: str, order: str, parts: int = 4) -> DataFrame:
+    """``rows`` with rank, dense_rank, percent_rank and quantile (of ``parts``) within their group by descending score, and the sum and mean of the
+    scores up to each and of the three around it, ties in these by ``order``. For groups that fit a sorted partition each."""
+    by_score = Window.partitionBy(*group).orderBy(F.desc(score))
+    in_order = Window.partitionBy(*group).orderBy(F.desc(score), order)
+    return rows.withColumns(
+        {
+            "rank": F.rank().over(by_score), "dense_rank": F.dense_rank().over(by_score), "percent_rank": F.percent_rank().over(by_score),
+            "quantile": F.ntile(parts).over(in_order), "running": F.sum(score).over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+            "around": F.avg(score).over(in_order.rowsBetween(-1, 1)),
+        }
+    )
+
+
 def rank_all(rows: DataFrame, score: str, order: str) -> DataFrame:
     """``rows`` with ``rank`` from 1 by descending score, ties by ``order``; a distributed sort."""
     return numbered(rows, [F.desc(score), F.col(order)], "rank").withColumn("rank", F.col("rank") + 1)

@@ -934,3 +934,62 @@ FROM edge JOIN part a ON src = a.p_partkey JOIN part b ON dst = b.p_partkey WHER
         "\nx]]>\n        </snippet>\n      </snippets>\n    </test>\n  </related_tests>\n  <call_graph>\n    <chain>f → ", "$n", "</chain>\n  </call_graph>\n</diff_context>\n",
     ),
 }
+
+_SNIPPETS = f"""l AS (SELECT path, p, string_split(content, {_NL}) AS ls FROM code),
+snippet AS (
+  SELECT path AS file, 'C' || p AS name, 'class' AS kind, 4 AS start_line, 2 AS a, 11 AS b, 1.0::DOUBLE * 0.7 + 0.5 * 0.3 AS importance, ls FROM l
+  UNION ALL SELECT path, 'run', 'method', 6, 4, 11, 0.5::DOUBLE * 0.7 + 0.5 * 0.3, ls FROM l UNION ALL SELECT path, 'helper' || p, 'function', 11, 9, 12, 0.5::DOUBLE * 0.7 + 0.5 * 0.3, ls FROM l),
+sized AS (
+  SELECT file, name, start_line, importance, CAST({estimate('t', 'claude')} AS BIGINT) AS tokens
+  FROM (SELECT *, '// ' || kind || ': ' || name || ' (lines ' || a || '-' || b || ')' || {_NL} || array_to_string(ls[a:b], {_NL}) AS t FROM snippet))"""
+
+ORACLE |= {
+    "within_limits": """
+SELECT doc_id, CASE WHEN strlen(text) > 2000 THEN 'file_size' WHEN list_max(list_transform(string_split(text, chr(10)), lambda x: strlen(x))) > 300 THEN 'line_length' END AS reason FROM documents""",
+    "file_chunks": "SELECT doc_id AS ord, row_number() OVER (ORDER BY doc_id) - 1 AS chunk FROM documents",
+    "symbol_chunks": f"""
+WITH RECURSIVE {_CODE}, {_SNIPPETS}, n AS (SELECT *, row_number() OVER (ORDER BY importance DESC, tokens, file, start_line, name) AS r FROM sized),
+f(r, chunk, used) AS (
+  SELECT r, 0::BIGINT, tokens FROM n WHERE r = 1
+  UNION ALL
+  SELECT n.r, f.chunk + (f.used + n.tokens > 400)::INTEGER, CASE WHEN f.used + n.tokens > 400 THEN n.tokens ELSE f.used + n.tokens END FROM f JOIN n ON n.r = f.r + 1)
+SELECT file, name, tokens, chunk FROM n JOIN f USING (r)""",
+    "cross_references": """
+WITH s AS (SELECT 'f' || p_partkey AS name, p_brand AS file, CAST(substr(p_brand, 7, 2) AS INTEGER) % 6 AS chunk, 'f' || (p_partkey * 7 % 211) AS call,
+                  CASE WHEN p_partkey % 3 = 0 THEN 'f' || (p_partkey % 5) END AS ext FROM part),
+u AS (SELECT chunk, call AS name FROM s UNION SELECT chunk, ext FROM s WHERE ext IS NOT NULL),
+d AS (SELECT DISTINCT name, file, chunk AS other_chunk FROM s)
+SELECT u.chunk, name, other_chunk, file FROM u JOIN d USING (name) WHERE u.chunk <> other_chunk
+QUALIFY row_number() OVER (PARTITION BY u.chunk ORDER BY name, other_chunk, file) <= 25""",
+    "changed_symbols": """
+SELECT DISTINCT p_partkey AS symbol_id FROM part JOIN supplier ON p_brand = 'Brand#' || (s_suppkey % 25 + 1)
+WHERE p_partkey % 200 <= s_suppkey * 3 % 200 + 5 AND p_partkey % 200 + p_size >= s_suppkey * 3 % 200""",
+    "updated_importance": "SELECT p_type AS file, round((0.5::DOUBLE + avg(p_size / 50.0::DOUBLE)) / 2, 9) AS importance FROM part GROUP BY 1",
+    "proto_contracts": """
+WITH n AS (SELECT n_name || '.proto' AS path, 'api.n' || n_nationkey AS package, n_nationkey AS k FROM nation)
+SELECT path, package, 'service' AS kind, 'S' || k AS name FROM n UNION ALL SELECT path, package, 'rpc', 'Get' || k FROM n
+UNION ALL SELECT path, package, 'message', 'A' FROM n UNION ALL SELECT path, package, 'enum', 'E' || k FROM n""",
+    "doc_tags": """
+SELECT n_nationkey, 'param' AS tag, 'x' AS name, 'the ' || n_name AS text FROM nation UNION ALL SELECT n_nationkey, 'returns', 'a', 'number' FROM nation
+UNION ALL SELECT n_nationkey, 'raises', 'ValueError', 'if ' || n_nationkey FROM nation""",
+    "base64_runs": "SELECT item_id, text || ' ' || left(repeat('aB3', 50), 50) || '...[BASE64_TRUNCATED] end' AS text FROM benchmark",
+    "folder_tokens": f"""
+WITH {_SHAPED}, s AS (SELECT string_split(path, '/') AS d, p_partkey % 10 AS tokens FROM shaped),
+f AS (SELECT array_to_string(d[1:k], '/') AS folder, tokens FROM (SELECT d, tokens, unnest(range(1, least(len(d) - 1, 3) + 1)) AS k FROM s))
+SELECT folder, count(*) AS files, CAST(sum(tokens) AS BIGINT) AS tokens FROM f GROUP BY 1""",
+    "window_ranks": """
+WITH r AS (SELECT p_partkey, p_brand, p_size::DOUBLE AS score FROM part)
+SELECT *, CAST(rank() OVER w AS INTEGER) AS rank, CAST(dense_rank() OVER w AS INTEGER) AS dense_rank, round(percent_rank() OVER w, 9) AS percent_rank, CAST(ntile(4) OVER o AS INTEGER) AS quantile,
+       sum(score) OVER (o ROWS UNBOUNDED PRECEDING) AS running, round(avg(score) OVER (o ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS around
+FROM r WINDOW w AS (PARTITION BY p_brand ORDER BY score DESC), o AS (PARTITION BY p_brand ORDER BY score DESC, p_partkey)""",
+    "global_ranks": "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part",
+    "exported_symbols": f"WITH {_CODE} SELECT path AS file, 'C' || p AS name, 'class' AS kind FROM code UNION ALL SELECT path, 'helper' || p, 'function' FROM code",
+    "limited_call_graph": f"""
+WITH {_SPARSE}, n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge) ORDER BY node LIMIT 150)
+SELECT DISTINCT src, dst FROM edge WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n) ORDER BY src, dst LIMIT 120""",
+    "chunk_headers": """
+SELECT n_regionkey, n_nationkey AS chunk, '# Chunk ' || (n_nationkey + 1) || ' of ' || count(*) OVER (PARTITION BY n_regionkey) || ': ' || n_name AS header FROM nation""",
+    "type_relatives": f"WITH RECURSIVE {_TYPES} SELECT ancestor AS name, name AS descendant, min(depth) AS depth FROM up GROUP BY 1, 2 HAVING min(depth) <= 2",
+    "retrieval_tags": """
+SELECT p_partkey, ['async,getter', 'async,parser', 'async,test,auth', 'async,handler', 'async,setter', 'async,constructor'][p_partkey % 6 + 1] || CASE WHEN p_partkey % 2 = 1 THEN ',type' ELSE '' END AS tags FROM part""",
+}

@@ -705,6 +705,101 @@ def sample_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.sample_share(docs(spark, sf_dir).select("doc_id"), "doc_id", 20)[0]
 
 
+def within_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, rejected = corpus.within_limits(docs(spark, sf_dir), 2000, 300, "text")
+    return accepted.select("doc_id", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("doc_id", "reason"))
+
+
+def file_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.file_chunks(docs(spark, sf_dir).select(F.col("doc_id").alias("ord"))).select("ord", F.col("chunk").cast("long").alias("chunk"))
+
+
+def symbol_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    symbols = code.parse_symbols(_code(spark, sf_dir)).withColumn("importance", F.when(F.col("kind") == "class", 1.0).otherwise(0.5))
+    snippets = chunking.symbol_snippets(symbols, _code(spark, sf_dir).withColumn("importance", F.lit(0.5)))
+    return chunking.symbol_chunks(snippets, 400)
+
+
+def cross_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    symbols = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("f"), p).alias("name"), F.col("p_brand").alias("file"), F.array(F.concat(F.lit("f"), p * 7 % 211)).alias("calls"), none.alias("implements"),
+        F.when(p % 3 == 0, F.concat(F.lit("f"), p % 5)).alias("extends"),
+    )
+    placed = symbols.select(F.col("file").alias("path")).distinct().withColumn("chunk", F.substring("path", 7, 2).cast("int") % 6)
+    return chunking.cross_references(symbols, placed)
+
+
+def changed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    symbols = table(spark, sf_dir, "part").select(p.alias("symbol_id"), F.col("p_brand").alias("file"), (p % 200).alias("start_line"), (p % 200 + F.col("p_size")).alias("end_line"))
+    ranges = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), s % 25 + 1).alias("file"), (s * 3 % 200).alias("start"), (s * 3 % 200 + 5).alias("end"))
+    return context.changed_symbols(ranges, symbols)
+
+
+def updated_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    files = parts.select(F.col("p_type").alias("file")).distinct().withColumn("importance", F.lit(0.5))
+    done = rank.updated_importance(files, parts.select(F.col("p_type").alias("file"), (F.col("p_size") / 50.0).alias("score")))
+    return done.select("file", F.round("importance", 9).alias("importance"))
+
+
+def proto_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    body = F.concat(F.lit('syntax = "proto3";\npackage api.n'), k, F.lit(";\n// message Hidden\nservice S"), k, F.lit(" {\n  rpc Get"), k, F.lit("(A) returns (B);\n}\nmessage A {}\nenum E"), k, F.lit(" {}\n"))
+    return scan.contracts(table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit(".proto")).alias("path"), body.alias("content")))
+
+
+def doc_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.concat(F.lit("Makes it.\n@param x the "), "n_name", F.lit("\n * @returns {int} a number\n:raises ValueError: if "), "n_nationkey", F.lit("\n"))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(code.doc_tags(doc)).alias("t"))
+    return rows.select("n_nationkey", "t.tag", "t.name", "t.text")
+
+
+def base64_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = F.concat(F.repeat(F.lit("aB3"), 50), F.lit("+"), F.repeat(F.lit("xyz"), 40))
+    return table(spark, sf_dir, "benchmark").select("item_id", X.truncate_base64(F.concat("text", F.lit(" "), run, F.lit(" end"))).alias("text"))
+
+
+def folder_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.token_tree(_shaped_paths(spark, sf_dir).select("path", (F.col("p_partkey") % 10).alias("tokens")))
+
+
+def window_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("score"))
+    return rank.ranks(rows, ["p_brand"], "score", "p_partkey").withColumn("around", F.round("around", 6)).withColumn("percent_rank", F.round("percent_rank", 9))
+
+
+def global_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.rank_all(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", "p_partkey").select("p_partkey", F.col("rank").cast("long").alias("rank"))
+
+
+def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.exported_symbols(code.parse_symbols(_code(spark, sf_dir))).select("file", "name", "kind")
+
+
+def limited_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.limited_call_graph(_sparse(spark, sf_dir), 150, 120)
+
+
+def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_nationkey").alias("chunk"), F.col("n_name").alias("focus"))
+    placed = chunking.with_neighbours(rows, ["n_regionkey"])
+    return placed.select("n_regionkey", "chunk", emit.chunk_header(F.col("chunk"), F.col("total"), F.col("focus")).alias("header"))
+
+
+def type_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.descendants(_types(spark, sf_dir)).filter("depth <= 2")
+
+
+def retrieval_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("get_user", "parse_file", "test_login", "Handler", "set_name", "__init__")]), (p % 6 + 1).cast("int"))
+    kind = F.when(p % 2 == 0, "function").otherwise("class")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(context.tags_of(name, F.lit("async def"), kind), ",").alias("tags"))
+
+
 def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small change context for each nation."""
     key = F.col("n_nationkey")
@@ -996,6 +1091,8 @@ QUERIES: dict[str, Query] = {
         callees_of, references_of, cycle_paths, dependency_stats, cache_stats, multi_repo_stats, lazy_context, context_impact, context_budget,
         diff_budget, default_ignores, gitignored, path_ranks, test_predicates, module_paths, truncated_contents, truncated_output,
         settings_checksum, audit_chains, document_counts, markdown_blocks, embed_chunks, map_symbols, sample_shares,
+        within_limits, file_chunks, symbol_chunks, cross_references, changed_symbols, updated_importance, proto_contracts, doc_tags, base64_runs,
+        folder_tokens, window_ranks, global_ranks, exported_symbols, limited_call_graph, chunk_headers, type_relatives, retrieval_tags,
         dependency_chunks, chunk_neighbours, truncated, split_documents, semantic_compress, character_vectors, rollup_sources,
     )
 }
