@@ -50,7 +50,10 @@ SECRET_ANCHORS = [
     "akia", "secret", "ghp_", "github_pat_", "gh", "private key", "sk-ant-", "sk-", "k_", "aiza", "accountkey=", "xox", "eyj", "://", "hf_",
     "dop_v1_", "sg.", "sk", "api", "", "password",
 ]
-SOURCE_EXTENSIONS = "c cc cpp cs go h hpp java js jsx kt kts php py pyw rb rs scala swift ts tsx".split()
+# Extensions of source files.
+SOURCE_EXTENSIONS = [
+    "c", "cc", "cpp", "cs", "go", "h", "hpp", "java", "js", "jsx", "kt", "kts", "php", "py", "pyw", "rb", "rs", "scala", "swift", "ts", "tsx",
+]
 
 # Personal data patterns by kind, with ASCII classes.
 PII_PATTERNS = {
@@ -180,10 +183,11 @@ LICENSE_COMMENTS = [
     ("licensed under the mit license", "mit", 0.85),
     ("licensed under apache", "apache2", 0.85),
 ]
-LICENSE_FILES = (
-    "LICENSE LICENSE.MD LICENSE.TXT LICENCE LICENCE.MD LICENCE.TXT COPYING COPYING.MD COPYING.TXT "
-    "LICENSE-MIT LICENSE-APACHE LICENSE.MIT LICENSE.APACHE"
-).split()
+# Names of licence files.
+LICENSE_FILES = [
+    "LICENSE", "LICENSE.MD", "LICENSE.TXT", "LICENCE", "LICENCE.MD", "LICENCE.TXT", "COPYING", "COPYING.MD", "COPYING.TXT", "LICENSE-MIT",
+    "LICENSE-APACHE", "LICENSE.MIT", "LICENSE.APACHE",
+]
 
 # Filler phrases and replacements, applied in this order.
 FILLERS = [
@@ -291,26 +295,29 @@ RAISING_TITLES = [["definition", "glossary", "terms"], ["requirement", "obligati
 LOWERING_TITLES = ["introduction", "background", "overview", "purpose"]
 
 # File names and path pieces for file ranking.
-CRITICAL_FILES = (
-    "__main__.py main.rs main.go main.c main.cpp main.ts main.js index.ts index.js index.tsx index.jsx app.ts app.js app.py app.go "
-    "app.rb server.ts server.js server.py server.go cli.rs cli.ts cli.js cli.py lib.rs mod.rs"
-).split()
-CORE_DIRECTORIES = "/src/ /lib/ /core/ /pkg/ /internal/ /app/ /cmd/ /bin/ /crates/".split()
-ENTRY_PREFIXES = "main. index. app. server. cli. mod. lib. init. __init__. entry. bootstrap.".split()
-DOC_PREFIXES = "readme. changelog. contributing. license. authors.".split()
-CONFIG_PIECES = (
-    "config. settings. .config package.json cargo.toml pyproject.toml setup.py setup.cfg tsconfig. webpack. .eslint .prettier "
-    "jest.config vite.config .env makefile dockerfile docker-compose .github/ .gitlab"
-).split()
-TEST_PIECES = (
-    "test_ _test. .test. .fixture. _fixture. spec. _spec. tests/ test/ __tests__/ testing/ fixtures/ __fixtures__/ mocks/ __mocks__/ "
-    "mock_ _mock. e2e/ integration/ unit/ examples/ example/ benchmark/ cypress/ playwright/"
-).split()
-VENDOR_PIECES = (
-    "vendor/ node_modules/ dist/ build/ target/ __pycache__/ .next/ coverage/ .cache/ generated/ .generated/ gen/ .min.js .min.css "
-    ".bundle. benchmarks/"
-).split()
-BOOSTED_NAMES = "handler service controller model util helper router middleware".split()
+CRITICAL_FILES = [
+    "__main__.py", "main.rs", "main.go", "main.c", "main.cpp", "main.ts", "main.js", "index.ts", "index.js", "index.tsx", "index.jsx", "app.ts",
+    "app.js", "app.py", "app.go", "app.rb", "server.ts", "server.js", "server.py", "server.go", "cli.rs", "cli.ts", "cli.js", "cli.py", "lib.rs",
+    "mod.rs",
+]
+CORE_DIRECTORIES = ["/src/", "/lib/", "/core/", "/pkg/", "/internal/", "/app/", "/cmd/", "/bin/", "/crates/"]
+ENTRY_PREFIXES = ["main.", "index.", "app.", "server.", "cli.", "mod.", "lib.", "init.", "__init__.", "entry.", "bootstrap."]
+DOC_PREFIXES = ["readme.", "changelog.", "contributing.", "license.", "authors."]
+CONFIG_PIECES = [
+    "config.", "settings.", ".config", "package.json", "cargo.toml", "pyproject.toml", "setup.py", "setup.cfg", "tsconfig.", "webpack.",
+    ".eslint", ".prettier", "jest.config", "vite.config", ".env", "makefile", "dockerfile", "docker-compose", ".github/", ".gitlab",
+]
+TEST_PIECES = [
+    "test_", "_test.", ".test.", ".fixture.", "_fixture.", "spec.", "_spec.", "tests/", "test/", "__tests__/", "testing/", "fixtures/",
+    "__fixtures__/", "mocks/", "__mocks__/", "mock_", "_mock.", "e2e/", "integration/", "unit/", "examples/", "example/", "benchmark/",
+    "cypress/", "playwright/",
+]
+VENDOR_PIECES = [
+    "vendor/", "node_modules/", "dist/", "build/", "target/", "__pycache__/", ".next/", "coverage/", ".cache/", "generated/", ".generated/",
+    "gen/", ".min.js", ".min.css", ".bundle.", "benchmarks/",
+]
+# Pieces of telling file names.
+BOOSTED_NAMES = ["handler", "service", "controller", "model", "util", "helper", "router", "middleware"]
 
 # Importance of symbol kinds.
 KIND_IMPORTANCE = {

@@ -15,15 +15,17 @@ from sievework.functions.tokens import estimate, scan_estimate
 from sievework.operators.corpus import filter_paths, is_binary, language_of, pack_chunks
 
 # Extensions of binary files.
-BINARY_EXTENSIONS = (
-    "exe dll so dylib o a lib bin class pyc jar war zip tar gz bz2 xz 7z rar png jpg jpeg gif bmp ico webp tiff svgz mp3 mp4 avi mov "
-    "mkv wav flac ogg webm pdf doc docx xls xlsx ppt pptx ttf otf woff woff2 eot db sqlite sqlite3 wasm"
-).split()
+BINARY_EXTENSIONS = [
+    "exe", "dll", "so", "dylib", "o", "a", "lib", "bin", "class", "pyc", "jar", "war", "zip", "tar", "gz", "bz2", "xz", "7z", "rar", "png", "jpg",
+    "jpeg", "gif", "bmp", "ico", "webp", "tiff", "svgz", "mp3", "mp4", "avi", "mov", "mkv", "wav", "flac", "ogg", "webm", "pdf", "doc", "docx",
+    "xls", "xlsx", "ppt", "pptx", "ttf", "otf", "woff", "woff2", "eot", "db", "sqlite", "sqlite3", "wasm",
+]
 # Paths that a scan leaves out unless told otherwise.
-DEFAULT_IGNORES = (
-    "node_modules vendor .git .hg .svn target dist build out .next .nuxt __pycache__ .venv venv .tox .mypy_cache .pytest_cache .cache "
-    "coverage .idea .vscode *.min.js *.min.css *.map *.lock package-lock.json *.pyc *.log .DS_Store"
-).split()
+DEFAULT_IGNORES = [
+    "node_modules", "vendor", ".git", ".hg", ".svn", "target", "dist", "build", "out", ".next", ".nuxt", "__pycache__", ".venv", "venv", ".tox",
+    ".mypy_cache", ".pytest_cache", ".cache", "coverage", ".idea", ".vscode", "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json",
+    "*.pyc", "*.log", ".DS_Store",
+]
 #: Lines of a file are taken to have so many bytes where nobody counts them.
 BYTES_PER_LINE = 40
 
