@@ -19,7 +19,8 @@ Every window of ``k`` words is an edge from its first to its last k-1 words.
    fourth join, and the words that they cover go. A passage that every document
    has is asked for at most once per part.
 
-The texts are shuffled once: all joins by part read the same exchange. Edges are
+The texts are shuffled once, compressed one by one: all joins by part read the
+same exchange. Edges are
 64-bit hashes; with N windows about N**2 / 2**65 pairs collide. Such a pair
 never removes a word: its span fails the comparison. (It may hide a true source
 of that one edge.)
@@ -85,6 +86,29 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(_numbers(data).view(U64), dtype=U64)
 
 
+def _packed_texts(schema: pa.Schema):
+    """Batches with ``__text`` compressed."""
+
+    def pack(batches):
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        at = schema.get_field_index("__text")
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary())
+            packed = pa.array([None if t is None else packer.compress(t) for t in texts.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(batch.columns)], schema=schema)
+
+    return pack
+
+
+def _unpacked_texts(packed: pa.Array) -> pa.Array:
+    import zstandard
+
+    unpacker = zstandard.ZstdDecompressor()
+    return pa.array([None if t is None else unpacker.decompress(t) for t in packed.to_pylist()], pa.binary()).cast(pa.string())
+
+
 class _Texts:
     """The texts of a part, by document, and their words."""
 
@@ -96,7 +120,8 @@ class _Texts:
         self.n_ids = len(doc) - doc.null_count
         self.doc = doc.fill_null(0).to_numpy(zero_copy_only=False)
         self.row = flat(self.table["__row"]).to_numpy()
-        self.words: Words = words_of(flat(self.table["__text"]), BLANK_SEPARATED)
+        self.text = _unpacked_texts(flat(self.table["__text"]))
+        self.words: Words = words_of(self.text, BLANK_SEPARATED)
 
     def rows_of(self, doc: int) -> range:
         own = self.doc[: self.n_ids]
@@ -284,8 +309,7 @@ def _strip(schema: pa.Schema):
                     change[base + end] -= 1
                     found[row].append({"start": start, "end": end, "source_doc": source_doc, "source_start": source_start})
         removed = np.cumsum(change[:-1]) > 0
-        text = flat(table["__text"])
-        out = text
+        text = out = part.text
         if removed.any():
             lengths = np.asarray(pc.binary_length(text.fill_null("")), dtype=np.int64)
             data, offsets = _without(words, np.concatenate([[0], np.cumsum(lengths)]), np.flatnonzero(removed))
@@ -322,7 +346,7 @@ def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES,
     at = {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     base = plain.select(
-        *([f"_c{i}" for i in range(len(names))] if carry else []),
+        *([c for c in plain.columns if c != at["text"]] if carry else []),
         F.col(at["doc_id"]).cast("long").alias("__doc"),
         F.col(at["text"]).cast("string").alias("__text"),
     )
@@ -331,6 +355,8 @@ def dedup_substrings(docs: DataFrame, k: int = K, part_bytes: int = PART_BYTES,
     ranges = max(1, math.ceil(total / 6 / RANGE_EDGES))
     base = base.withColumn("__row", F.xxhash64("__text"))
     base = base.withColumn("__part", F.pmod(F.xxhash64("__doc", "__row"), F.lit(parts)).cast("long"))
+    packed = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "__text" else f.dataType) for f in base.schema])
+    base = base.mapInArrow(_packed_texts(to_arrow_schema(packed)), packed)
     out = T.StructType(
         [
             *[f for f in base.schema if f.name.startswith("_c") or f.name == "__doc"],
