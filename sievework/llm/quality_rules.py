@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievework.llm.common import cut_lineage, pick, stored
@@ -134,35 +134,40 @@ def transformed() -> dict[str, Column]:
     }
 
 
+# Formulas over several columns are SQL texts: one expression each, instead of a tree of hundreds of calls.
+
+
 def _factored(groups: DataFrame, names: list[str]) -> DataFrame:
     """``groups`` with the Cholesky factors ``l_k_y_x`` of the covariances ``c_k_y_x`` of each start k instead of these, and their log determinants ``det_k``."""
-    for k in range(STARTS):
-        for i, a in enumerate(names):
-            for j, b in enumerate(names[: i + 1]):
-                rest = reduce(lambda s, n: s - F.col(f"l_{k}_{names[n]}_{a}") * F.col(f"l_{k}_{names[n]}_{b}"), range(j), F.col(f"c_{k}_{b}_{a}"))  # noqa: B023
-                entry = F.sqrt(F.greatest(rest, F.lit(FLOORS[a] ** 2 * 1e-3))) if i == j else rest / F.col(f"l_{k}_{b}_{b}")
-                groups = groups.withColumn(f"l_{k}_{b}_{a}", entry)
-        groups = groups.withColumn(f"det_{k}", reduce(lambda s, a: s + 2 * F.log(F.col(f"l_{k}_{a}_{a}")), names, F.lit(0.0)))  # noqa: B023
+    for j, b in enumerate(names):  # column by column, all starts at once
+
+        def rest(k: int, a: str) -> str:
+            return " - ".join([f"c_{k}_{b}_{a}", *[f"l_{k}_{n}_{a} * l_{k}_{n}_{b}" for n in names[:j]]])  # noqa: B023
+
+        groups = groups.withColumns({f"l_{k}_{b}_{b}": F.expr(f"sqrt(greatest({rest(k, b)}, {FLOORS[b] ** 2 * 1e-3!r}D))") for k in range(STARTS)})
+        below = {f"l_{k}_{b}_{a}": F.expr(f"({rest(k, a)}) / l_{k}_{b}_{b}") for k in range(STARTS) for a in names[j + 1 :]}
+        groups = groups.withColumns(below) if below else groups
+    groups = groups.withColumns({f"det_{k}": F.expr(" + ".join(f"2 * ln(l_{k}_{a}_{a})" for a in names)) for k in range(STARTS)})
     return groups.drop(*[f"c_{k}_{b}_{a}" for k in range(STARTS) for i, a in enumerate(names) for b in names[: i + 1]])
 
 
 def _distance(names: list[str], start: str = "") -> Column:
     """Mahalanobis distance from ``m_x`` by forward substitution in the Cholesky factor; of a start: ``start`` is its number and ``_``."""
-    solved: list[Column] = []
+    solved: list[str] = []
     for i, a in enumerate(names):
-        rest = reduce(lambda s, k: s - F.col(f"l_{start}{names[k]}_{a}") * solved[k], range(i), F.col(a) - F.col(f"m_{start}{a}"))
-        solved.append(rest / F.col(f"l_{start}{a}_{a}"))
-    return F.sqrt(reduce(lambda s, y: s + y * y, solved, F.lit(0.0)))
+        rest = " - ".join([f"{a} - m_{start}{a}", *[f"l_{start}{names[k]}_{a} * {solved[k]}" for k in range(i)]])
+        solved.append(f"(({rest}) / l_{start}{a}_{a})")
+    return F.expr("sqrt(" + " + ".join(f"{y} * {y}" for y in solved) + ")")
 
 
 def _estimates(rows: DataFrame, names: list[str]) -> DataFrame:
     """Mean and floored covariance of each group's rows within the bound, for each start."""
     found = []
     for k in range(STARTS):
-        core = {a: F.when(F.col(f"__d_{k}") <= F.col(f"__bound_{k}"), F.col(a)) for a in names}
-        found += [F.avg(core[a]).alias(f"m_{k}_{a}") for a in names]
+        core = {a: f"CASE WHEN __d_{k} <= __bound_{k} THEN {a} END" for a in names}
+        found += [F.expr(f"avg({core[a]}) AS m_{k}_{a}") for a in names]
         found += [
-            (F.covar_pop(core[a], core[b]) * CONSISTENCY + (F.lit(FLOORS[a] ** 2) if a == b else F.lit(0.0))).alias(f"c_{k}_{b}_{a}")
+            F.expr(f"covar_pop({core[a]}, {core[b]}) * {CONSISTENCY!r}D + {FLOORS[a] ** 2 if a == b else 0.0!r}D AS c_{k}_{b}_{a}")
             for i, a in enumerate(names)
             for b in names[: i + 1]
         ]
@@ -245,15 +250,16 @@ def _starts(vectors: DataFrame, names: list[str]) -> DataFrame:
 def core_estimates(vectors: DataFrame, levels: DataFrame, names: list[str], steps: int = STEPS) -> DataFrame:
     """Minimum-covariance-determinant estimates of each pool that ``levels`` asks for, from ``vectors`` (lang, source, names)."""
     vectors = stored(_pooled(_leveled(vectors, levels), F.explode("__feeds")).select(*POOL, *names), "vectors")
-    now = cut_lineage(_factored(_starts(vectors, names), names))
+    now = stored(_factored(_starts(vectors, names), names), "estimates")
     for _ in range(steps):
         measured = _with_pool(vectors, now).select(*POOL, *names, *[_distance(names, f"{k}_").alias(f"__d_{k}") for k in range(STARTS)])
         bounds = measured.groupBy(*POOL).agg(*[F.percentile_approx(f"__d_{k}", CORE, 10_000).alias(f"__bound_{k}") for k in range(STARTS)])
-        after = cut_lineage(_factored(_estimates(_with_pool(measured, bounds), names), names))
+        after = _factored(_estimates(_with_pool(measured, bounds), names), names)
         before = now.select(*POOL, *[F.col(f"det_{k}").alias(f"was_{k}") for k in range(STARTS)])
         change = F.greatest(*[F.abs(F.col(f"det_{k}") - F.col(f"was_{k}")) for k in range(STARTS)])
-        moved = _with_pool(after.select(*POOL, *[f"det_{k}" for k in range(STARTS)]), before).agg(F.max(change)).first()[0]
-        now = after
+        seen = Observation()
+        now = stored(_with_pool(after, before).observe(seen, F.max(change).alias("moved")), "estimates").drop(*[f"was_{k}" for k in range(STARTS)])
+        moved = seen.get["moved"]
         if moved is None or moved < SETTLED:
             break
     best = F.array_position(F.array(*[f"det_{k}" for k in range(STARTS)]), F.least(*[F.col(f"det_{k}") for k in range(STARTS)])).cast("int")
